@@ -3,19 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larder.llm import packing
+from larder.llm import decontaminate, jaccard, line_dedup, packing, toxicity
 from larder.llm.common import materialize
-from larder.llm.queries import table
+from larder.llm.queries import CATEGORIES, table
 from larder.llm.tokens import tokenizer_path
 
 
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain doesn't reject."""
+    chain = toxicity.train_chain(docs, table(spark, sf_dir, "labels"), CATEGORIES)
+    return toxicity.score_texts(docs, chain, CATEGORIES).where("NOT rejected").select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of three-line windows that came before; n_chars follows the text."""
+    kept = line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest doc_id."""
+    return jaccard.one_of_each(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack all kept documents into sequences of at most 4096 tokens."""
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [("toxicity", reject_toxic), ("line_dedup", drop_repeated_lines), ("ngram_jaccard_join", drop_near_duplicates), ("benchmark_decontamination", drop_benchmark_leaks), ("best_fit_packing", pack)]
+#: SQL expresses neither the classifier chain nor the packing; tests/llm compares the stages with plain Python.
 ORACLE_SQL = None
 
 

@@ -17,22 +17,22 @@ WINDOW = 3
 
 
 def line_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, _t (a hash of the text), pos and a 128-bit hash (h, g) of each window of `size` lines."""
-    lines = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("_t"), F.split("text", "\n").alias("l"))
+    """doc_id, __larder_t (a hash of the text), pos and a 128-bit hash (h, g) of each window of `size` lines."""
+    lines = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("__larder_t"), F.split("text", "\n").alias("l"))
     lines = lines.where(F.size("l") >= size)
     window = lambda i: F.struct((i - 1).alias("pos"), F.array_join(F.slice("l", i, size), "\n").alias("w"))
-    windows = lines.select("doc_id", "_t", F.explode(F.transform(F.sequence(F.lit(1), F.size("l") - (size - 1)), window)).alias("x"))
-    return windows.select("doc_id", "_t", "x.pos", F.xxhash64("x.w").alias("h"), F.xxhash64(F.lit("second"), "x.w").alias("g"))
+    windows = lines.select("doc_id", "__larder_t", F.explode(F.transform(F.sequence(F.lit(1), F.size("l") - (size - 1)), window)).alias("x"))
+    return windows.select("doc_id", "__larder_t", "x.pos", F.xxhash64("x.w").alias("h"), F.xxhash64(F.lit("second"), "x.w").alias("g"))
 
 
 def removed_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, _t and removed, the positions of lines (from 0) that later occurrences of windows cover."""
+    """doc_id, __larder_t and removed, the positions of lines (from 0) that later occurrences of windows cover."""
     windows = materialize(line_windows(docs, size), "windows")
-    at = F.struct(F.col("doc_id"), F.col("_t"), F.col("pos"))  # null doc_id is the first
+    at = F.struct(F.col("doc_id"), F.col("__larder_t"), F.col("pos"))  # null doc_id is the first
     firsts = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1").select("h", "g", "first")
     later = windows.join(firsts, ["h", "g"]).where(at > F.col("first"))
-    covered = later.select("doc_id", "_t", F.explode(F.sequence(F.col("pos"), F.col("pos") + (size - 1))).alias("p"))
-    return covered.groupBy("doc_id", "_t").agg(F.array_sort(F.collect_set("p")).alias("removed"))  # lines of one text at most
+    covered = later.select("doc_id", "__larder_t", F.explode(F.sequence(F.col("pos"), F.col("pos") + (size - 1))).alias("p"))
+    return covered.groupBy("doc_id", "__larder_t").agg(F.array_sort(F.collect_set("p")).alias("removed"))  # lines of one text at most
 
 
 def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -42,16 +42,16 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     of one doc_id are ordered by the hash of their text, and rows that are equal in both get the same answer. When all
     lines go the text is empty.
     """
-    gone = removed_lines(docs, size).select(F.col("doc_id").alias("_d"), F.col("_t").alias("_r"), F.col("removed").alias("_removed"))
+    gone = removed_lines(docs, size).select(F.col("doc_id").alias("__larder_d"), F.col("__larder_t").alias("__larder_r"), F.col("removed").alias("__larder_removed"))
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    joined = docs.withColumn("_x", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_r")), "left")
+    joined = docs.withColumn("__larder_x", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__larder_d")) & (F.col("__larder_x") == F.col("__larder_r")), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_removed", i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__larder_removed", i)), "\n")
     return joined.select(
         *own,
-        F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.when(F.col("__larder_removed").isNull(), F.col("text")).otherwise(kept).alias("text"),
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("__larder_removed"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -128,19 +128,19 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         raise ValueError(f"lengths outside 1..{capacity}: {bad[:5]}")
     table = spark.sparkContext.broadcast(slots(plan_patterns(histogram, capacity)))
     # Ranks within a length: numbered in salted groups, then shifted by what the groups before hold.
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(partitions(spark))))
-    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("_rank", F.row_number().over(within)).join(sizes, ["length", "_salt"])
-    ranked = ranked.select(*columns, (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
+    salted = pieces.withColumn("__larder_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(partitions(spark))))
+    sizes = salted.groupBy("length", "__larder_salt").agg(F.count("*").alias("__larder_n"))
+    before = Window.partitionBy("length").orderBy("__larder_salt").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("length", "__larder_salt", F.coalesce(F.sum("__larder_n").over(before), F.lit(0)).alias("__larder_before"))
+    within = Window.partitionBy("length", "__larder_salt").orderBy("doc_id", "piece", "ids_crc32")
+    ranked = salted.withColumn("__larder_rank", F.row_number().over(within)).join(sizes, ["length", "__larder_salt"])
+    ranked = ranked.select(*columns, (F.col("__larder_before") + F.col("__larder_rank") - 1).alias("__larder_rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
         keys = t["length"] << 44 | t["rank"]
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "__larder_rank"))
             at = np.searchsorted(keys, length.astype(np.int64) << 44 | rank, "right") - 1
             sequence = t["sequence"][at] + rank - t["rank"][at]
             own = [batch.column(c) for c in columns]

@@ -31,8 +31,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
-    rows = rows.repartitionByRange(partitions(spark), "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__larder_h"))
+    rows = rows.repartitionByRange(partitions(spark), "doc_id", "__larder_h").sortWithinPartitions("doc_id", "__larder_h")
     rows.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>").write.format("pfor").mode("append").save(path)
 
 
