@@ -1,4 +1,277 @@
 """Registered queries over the driver's tables: name -> query, and name -> the same in DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from larder.functions import fmt, units
+from larder.operators import grocery, matcher, rules, scoring, search
+from larder.plans.catalogue import duck, load, view
+from larder.vocab import AISLES, MIN_RATED
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = duck(sql)
+        return f
+
+    return register
+
+
+def searched(spark: SparkSession, sf: str, f: search.Filter) -> DataFrame:
+    dishes = search.with_names(view(spark, sf, "dishes"), view(spark, sf, "dish_lines"), f)
+    found = search.criteria(f)
+    return dishes.where(search.where(found)).select("dish_id", search.match_count(found).cast("long").alias("match_count"))
+
+
+def filter_query(name: str, f: search.Filter, where: str, n: int):
+    query(name, f"SELECT dish_id, {n}::BIGINT AS match_count FROM dishes WHERE {where}")(lambda spark, sf: searched(spark, sf, f))
+
+
+def _names(*names: str) -> str:
+    return "SELECT l.name FROM dish_lines l WHERE l.dish_id = dishes.dish_id AND l.name IN (" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+S1, S2, S3 = (f"supplier#{i:09d}" for i in (1, 2, 3))
+filter_query("F6_requirement_null", search.Filter(max_minutes=30, min_minutes=5, max_active_minutes=20, min_servings=3, min_keeps_days=2, freezer_only=True), "total_minutes <= 30 AND total_minutes >= 5 AND active_minutes <= 20 AND servings >= 3 AND keeps_days >= 2 AND freezer_months > 0", 6)
+filter_query("F7_category_inclusion", search.Filter(categories=["Soup", "Breakfast"]), "category IN ('Soup', 'Breakfast')", 1)
+filter_query("F8_tags_all", search.Filter(tags=["Cheap", "Vegan"]), "list_has_all(tags, ['Cheap', 'Vegan'])", 1)
+filter_query("F9_tags_any", search.Filter(any_tags=["Cheap", "Vegan", "One pot"]), "list_has_any(tags, ['Cheap', 'Vegan', 'One pot'])", 1)
+filter_query("F10_exclusion_null", search.Filter(exclude_categories=["Soup", "Chicken"]), "category IS NULL OR category NOT IN ('Soup', 'Chicken')", 1)
+filter_query("F11_tags_none", search.Filter(exclude_tags=["Cheap", "Vegan"]), "NOT list_has_any(tags, ['Cheap', 'Vegan'])", 1)
+filter_query("J10_any_ingredient", search.Filter(any_ingredients=[S1, S2]), f"EXISTS ({_names(S1, S2)})", 1)
+filter_query("J11_no_ingredient", search.Filter(exclude_ingredients=[S1, S2, S3]), f"NOT EXISTS ({_names(S1, S2, S3)})", 1)
+filter_query("A9_all_ingredients", search.Filter(ingredients=[S1, S2]), f"(SELECT count(DISTINCT x.name) FROM ({_names(S1, S2)}) x) = 2", 1)
+
+WIDE = search.Filter(max_minutes=30, min_keeps_days=3, any_tags=["Cheap", "Vegan", "One pot"], exclude_categories=["Soup"], any_ingredients=[S1, S2])
+_COUNT = f"""(coalesce(total_minutes <= 30, false)::INT + coalesce(keeps_days >= 3, false)::INT + list_has_any(tags, ['Cheap', 'Vegan', 'One pot'])::INT
+  + (category IS NULL OR category <> 'Soup')::INT + (EXISTS ({_names(S1, S2)}))::INT)"""
+
+
+@query("F14_match_count", f"SELECT dish_id, {_COUNT}::BIGINT AS match_count FROM dishes")
+def _(spark, sf):
+    dishes = search.with_names(view(spark, sf, "dishes"), view(spark, sf, "dish_lines"), WIDE)
+    return dishes.select("dish_id", search.match_count(search.criteria(WIDE)).cast("long").alias("match_count"))
+
+
+_ORDER = "coalesce(published_at, first_seen_at) DESC, coalesce(source_rating, 0) DESC, dish_id DESC"
+
+
+@query("O2_search_order", f"SELECT dish_id, row_number() OVER (ORDER BY m DESC, {_ORDER}) AS place, m::BIGINT AS match_count FROM (SELECT *, {_COUNT} AS m FROM dishes WHERE total_minutes <= 30) ORDER BY place LIMIT 50")
+def _(spark, sf):
+    dishes = search.with_names(view(spark, sf, "dishes"), view(spark, sf, "dish_lines"), WIDE).withColumn("score", F.lit(None).cast("float"))
+    top = search.ranked(dishes, search.criteria(WIDE), F.col("total_minutes") <= 30, search.browse_order(), None)
+    order = Window.orderBy(F.col("match_count").desc(), *search.browse_order())  # of the top 50 only
+    return top.select("dish_id", F.row_number().over(order).cast("long").alias("place"), F.col("match_count").cast("long").alias("match_count"))
+
+
+TIGHT = search.Filter(max_minutes=9, min_keeps_days=5, freezer_only=True, any_tags=["Slow cooker"], exclude_tags=["Slow cooker"])
+
+
+@query("X29_relaxation")
+def _(spark, sf):
+    dishes = view(spark, sf, "dishes").withColumn("score", F.lit(None).cast("float"))
+    answer = search.search(dishes, view(spark, sf, "dish_lines"), TIGHT)
+    return answer.rows.select("dish_id", "match_count", F.lit(str(answer.relaxations)).alias("relaxed"))
+
+
+@query("F15_hard_rules", "SELECT dish_id FROM dishes WHERE (total_minutes IS NULL OR total_minutes <= 30) AND (category IS NULL OR category <> 'Soup') AND NOT list_contains(tags, 'Cheap')")
+def _(spark, sf):
+    rule = lambda kind, value, enabled=True: {"kind": kind, "value": value, "enabled": enabled}
+    wanted = [rule("max_minutes", "30"), rule("max_minutes", "soon"), rule("exclude_category", "Soup"), rule("exclude_tag", "Cheap"), rule("exclude_tag", "Vegan", False)]
+    return view(spark, sf, "dishes").where(rules.rule_filter(wanted)).select("dish_id")
+
+
+@query("J1J2_browse_scores", """SELECT o_orderkey AS dish_id, n_name AS source, c_custkey AS user_id, coalesce(score, 50::FLOAT)::DOUBLE AS score,
+  row_number() OVER (PARTITION BY c_custkey ORDER BY coalesce(score, 50::FLOAT) DESC, o_orderdate DESC, o_orderkey DESC) AS place
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN scores s ON s.user_id = c_custkey AND s.dish_id = o_orderkey""")
+def _(spark, sf):
+    rows = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.join(load(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select(F.col("o_orderkey").alias("dish_id"), F.col("n_name").alias("source"), F.col("c_custkey").alias("user_id"), "o_orderdate")
+    rows = rows.join(view(spark, sf, "scores"), ["user_id", "dish_id"], "left")
+    score = F.coalesce("score", F.lit(50.0).cast("float"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(score.desc(), F.col("o_orderdate").desc(), F.col("dish_id").desc()))
+    return rows.select("dish_id", "source", "user_id", score.cast("double").alias("score"), place.cast("long").alias("place"))
+
+
+_UNIT = "CASE WHEN unit IS NULL THEN 'each' WHEN unit IN ('T', 'Tbsp.') THEN 'tbsp' WHEN unit = 't' THEN 'tsp' WHEN unit = 'cups' THEN 'cup' WHEN unit = 'smidgen' THEN NULL WHEN unit = 'fluid  ounces' THEN 'fl oz' ELSE unit END"
+_DIMENSION = f"CASE WHEN unit = 'smidgen' THEN 'unit:smidgen' WHEN unit IS NULL THEN 'count:each' WHEN unit = 'can' THEN 'count:can' WHEN {_UNIT} IN ('lb', 'oz') THEN 'mass' ELSE 'volume' END"
+
+
+@query("J5_unit_lookup", f"SELECT {_UNIT} AS canonical, {_DIMENSION} AS dimension, count(*)::BIGINT AS n FROM order_lines GROUP BY ALL")
+def _(spark, sf):
+    lines = view(spark, sf, "order_lines")
+    return lines.groupBy(units.normalize_unit(F.col("unit")).alias("canonical"), units.dimension_key(F.col("unit")).alias("dimension")).agg(F.count("*").alias("n"))
+
+
+@query("X3_convert", "SELECT l_orderkey, l_linenumber, l_quantity * 453.59237 / 28.349523125 AS oz, l_quantity * 236.5882365 / 4.92892159375 AS tsp, NULL::DOUBLE AS no_can, l_quantity AS same FROM lineitem")
+def _(spark, sf):
+    q, u = F.col("l_quantity"), F.lit
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", units.convert(q, u("lb"), u("oz")).alias("oz"), units.convert(q, u("cup"), u("tsp")).alias("tsp"), units.convert(q, u("can"), u("oz")).alias("no_can"), units.convert(q, u("can"), u("can")).alias("same"))
+
+
+_Q = "l_quantity / 7"
+
+
+@query("X8_fmt_qty", f"""SELECT l_orderkey, l_linenumber, CASE WHEN abs(r - 0.125) <= 0.02 THEN w || '⅛' WHEN abs(r - 0.25) <= 0.02 THEN w || '¼' WHEN abs(r - 1 / 3) <= 0.02 THEN w || '⅓' WHEN abs(r - 0.5) <= 0.02 THEN w || '½'
+  WHEN abs(r - 2 / 3) <= 0.02 THEN w || '⅔' WHEN abs(r - 0.75) <= 0.02 THEN w || '¾' WHEN abs(q - floor(q + 0.5)) < 0.01 THEN floor(q + 0.5)::BIGINT::VARCHAR
+  ELSE rtrim(rtrim(format('{{:.2f}}', floor(q * 100 + 0.5) / 100), '0'), '.') END AS amount
+  FROM (SELECT *, CASE WHEN floor(q + 1e-9) > 0 THEN floor(q + 1e-9)::BIGINT::VARCHAR ELSE '' END AS w, floor((q - floor(q + 1e-9)) * 1000 + 0.5) / 1000 AS r FROM (SELECT l_orderkey, l_linenumber, {_Q} AS q FROM lineitem))""")
+def _(spark, sf):
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", fmt.fmt_qty(F.expr(_Q)).alias("amount"))
+
+
+_LINES = f""", rows AS (
+  SELECT p.*, o.title, l.position, l.raw_text, l.ingredient_id, l.qty, l.unit, l.optional, i.name, i.aisle,
+    CASE WHEN l.ingredient_id IS NOT NULL THEN 'ingredient:' || l.ingredient_id ELSE 'raw:' || trim(regexp_replace(lower(l.raw_text), '[^a-z0-9]+', '-', 'g'), '-') END AS identity,
+    row_number() OVER (PARTITION BY p.list_id ORDER BY pick_order, l.position) AS seq
+  FROM (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY saved_at, dish_id) AS pick_order FROM picks) p
+  JOIN orders_as_dishes o USING (dish_id) JOIN order_lines l USING (dish_id) LEFT JOIN ingredients i USING (ingredient_id)),
+keyed AS (SELECT *, identity || ':' || CASE WHEN qty IS NULL THEN 'unspecified' ELSE {_DIMENSION} END AS key, qty * greatest(1, least(4, batches)) AS amount FROM rows)"""
+
+
+def _list_lines(spark, sf):
+    return grocery.list_lines(*(view(spark, sf, v) for v in ("picks", "orders_as_dishes", "order_lines", "ingredients")))
+
+
+@query("W1W2_line_sequence", f"{_LINES} SELECT list_id, dish_id, position, seq, key, amount FROM keyed")
+def _(spark, sf):
+    return _list_lines(spark, sf).select("list_id", "dish_id", "position", F.col("seq").cast("long").alias("seq"), "key", "amount")
+
+
+@query("A1A4_grocery_buckets", f"""{_LINES} SELECT list_id, key, min(identity) AS identity, min(seq) AS ord,
+  (array_agg(coalesce(nullif(trim(name), ''), trim(raw_text)) ORDER BY ingredient_id IS NULL, pick_order, position))[1] AS name,
+  (array_agg(aisle ORDER BY ingredient_id IS NULL, pick_order, position))[1] AS aisle,
+  string_agg(title, '|' ORDER BY seq) AS titles, count(qty)::BIGINT AS n, round(coalesce(sum(amount), 0), 6) AS amount, bool_or(qty IS NULL) AS approximate, bool_and(optional) AS optional
+  FROM keyed GROUP BY list_id, key""")
+def _(spark, sf):
+    rows = _list_lines(spark, sf)
+    titles = rows.groupBy("list_id", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "title"))), lambda x: x["title"]), "|").alias("t"))
+    b = grocery.buckets(rows).join(titles, ["list_id", "key"])
+    total = F.aggregate("amounts", F.lit(0.0), lambda a, x: a + x["amount"])
+    return b.select("list_id", "key", "identity", F.col("ord").cast("long").alias("ord"), "name", "aisle", F.col("t").alias("titles"), F.size("amounts").cast("long").alias("n"), F.round(total, 6).alias("amount"), "approximate", "optional")
+
+
+@query("A17A18_grocery_list")
+def _(spark, sf):
+    items = grocery.grocery_list(*(view(spark, sf, v) for v in ("picks", "orders_as_dishes", "order_lines", "ingredients")))
+    return items.withColumn("titles", F.array_join("titles", "|"))
+
+
+@query("O7_aisle_order", "SELECT ingredient_id, coalesce(list_position([" + ", ".join(f"'{a}'" for a in AISLES) + "], aisle) - 1, 10)::BIGINT AS walk FROM ingredients")
+def _(spark, sf):
+    walk = units.lookup({a: i for i, a in enumerate(AISLES)}, F.col("aisle"))
+    return view(spark, sf, "ingredients").select("ingredient_id", F.coalesce(walk, F.lit(len(AISLES))).cast("long").alias("walk"))
+
+
+_OBSERVED = """, observed AS (
+  SELECT user_id, 'max_minutes' AS kind, t::VARCHAR AS value, rating FROM cooked, (VALUES (30), (60), (90)) v(t) WHERE total_minutes > t
+  UNION ALL SELECT user_id, 'exclude_category', category, rating FROM cooked WHERE category IS NOT NULL
+  UNION ALL SELECT user_id, 'exclude_tag', unnest(tags), rating FROM cooked)"""
+
+
+@query("A10A11_observations", f"{_OBSERVED} SELECT user_id, kind, value, count(*)::BIGINT AS n, sum(rating)::BIGINT AS total FROM observed GROUP BY ALL")
+def _(spark, sf):
+    return rules.observations(view(spark, sf, "cooked")).groupBy("user_id", "kind", "value").agg(F.count("*").alias("n"), F.sum("rating").alias("total"))
+
+
+@query("A12A13_derived_rules", f"""{_OBSERVED}, g AS (SELECT user_id, kind, value, count(*)::BIGINT AS observations, median(rating) AS m FROM observed GROUP BY ALL HAVING count(*) >= 5 AND median(rating) <= 2.5)
+  SELECT user_id, kind || ':' || value AS rule_id, kind, value, observations, floor(m * 10 + 0.5) / 10 AS median_rating FROM g WHERE kind <> 'max_minutes'
+  OR value::INT = (SELECT max(h.value::INT) FROM g h WHERE h.user_id = g.user_id AND h.kind = 'max_minutes')""")
+def _(spark, sf):
+    return rules.derive_rules(rules.observations(view(spark, sf, "cooked")))
+
+
+@query("A8_cold_start", f"SELECT user_id, count(DISTINCT dish_id)::BIGINT AS rated FROM (SELECT o_custkey AS user_id, l_partkey AS dish_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY ALL HAVING count(DISTINCT dish_id) >= {MIN_RATED}")
+def _(spark, sf):
+    rows = load(spark, sf, "orders").join(load(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.groupBy(F.col("o_custkey").alias("user_id")).agg(F.count_distinct("l_partkey").alias("rated")).where(F.col("rated") >= MIN_RATED)
+
+
+@query("J7_unnest_tags", "SELECT dish_id, unnest(tags) AS tag FROM dishes")
+def _(spark, sf):
+    return view(spark, sf, "dishes").select("dish_id", F.explode("tags").alias("tag"))
+
+
+@query("J8_latest_per_user", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def _(spark, sf):
+    latest = load(spark, sf, "events").groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("e"))
+    return latest.select("user_id", "e.event_id", "e.event_type")
+
+
+@query("J13W6_unscored_batches", """SELECT user_id, dish_id, ((n - 1) // 20)::BIGINT AS batch, ((n - 1) % 20 + 1)::BIGINT AS ref FROM (
+  SELECT o_custkey AS user_id, o_orderkey AS dish_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n
+  FROM orders WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.user_id = o_custkey AND s.dish_id = o_orderkey)) WHERE n <= 400""")
+def _(spark, sf):
+    pairs = load(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("dish_id"), F.col("o_orderdate").alias("published_at"))
+    rows = scoring.in_batches(scoring.unscored(pairs, view(spark, sf, "scores")))
+    return rows.select("user_id", "dish_id", F.col("batch").cast("long").alias("batch"), F.col("ref").cast("long").alias("ref"))
+
+
+@query("O5_recent_cooks", "SELECT user_id, event_id, n AS place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 50")
+def _(spark, sf):
+    logs = load(spark, sf, "events").withColumnRenamed("ts", "cooked_at").withColumnRenamed("event_id", "log_id")
+    return scoring.recent(logs).select("user_id", F.col("log_id").alias("event_id"), F.col("place").cast("long").alias("place"))
+
+
+@query("U1_union_users", "SELECT user_id FROM events UNION SELECT o_custkey FROM orders")
+def _(spark, sf):
+    return load(spark, sf, "events").select("user_id").union(load(spark, sf, "orders").select("o_custkey")).distinct()
+
+
+@query("A6_status_counts", "SELECT count(*) FILTER (WHERE o_orderstatus = 'O')::BIGINT AS open, count(*) FILTER (WHERE o_orderstatus = 'F')::BIGINT AS filled, count(*) FILTER (WHERE o_orderstatus = 'P')::BIGINT AS partial FROM orders")
+def _(spark, sf):
+    status = F.col("o_orderstatus")
+    return load(spark, sf, "orders").agg(F.count_if(status == "O").alias("open"), F.count_if(status == "F").alias("filled"), F.count_if(status == "P").alias("partial"))
+
+
+@query("I9_budget_window", """SELECT event_type AS kind, date_trunc('day', ts)::TIMESTAMP AS day, round(sum(coalesce(value, 0)), 6) AS spent, count(*)::BIGINT AS calls, coalesce(sum(value), 0) >= 90 AS closed FROM events GROUP BY ALL""")
+def _(spark, sf):
+    rows = load(spark, sf, "events").groupBy(F.col("event_type").alias("kind"), F.window("ts", "1 day").alias("w"))
+    rows = rows.agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("s"), F.count("*").alias("calls"))
+    return rows.select("kind", F.col("w.start").cast("timestamp_ntz").alias("day"), F.round("s", 6).alias("spent"), "calls", (F.col("s") >= 90).alias("closed"))
+
+
+@query("A3_ordered_turns", "SELECT conv_id, string_agg(role || ':' || length(text), '|' ORDER BY turn) AS turns, count(*)::BIGINT AS n FROM conversations GROUP BY conv_id")
+def _(spark, sf):
+    one = F.struct("turn", F.concat("role", F.lit(":"), F.length("text").cast("string")).alias("t"))
+    turns = F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), "|")
+    return load(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("turns"), F.count("*").alias("n"))
+
+
+@query("A21_missing_profile", "SELECT source, count(*)::BIGINT AS n, count(*) FILTER (WHERE l.doc_id IS NULL)::BIGINT AS unlabelled FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")
+def _(spark, sf):
+    rows = load(spark, sf, "documents").select("doc_id", "source").join(load(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("toxic").isNull()).alias("unlabelled"))
+
+
+@query("X11_alias_key", "SELECT DISTINCT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS alias FROM part")
+def _(spark, sf):
+    return load(spark, sf, "part").select(fmt.alias_key(F.col("p_name")).alias("alias")).distinct()
+
+
+@query("X16_content_hash", "SELECT doc_id, sha256(concat_ws('|', doc_id, lang, source, text)) AS content_hash FROM documents")
+def _(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", "text"), 256).alias("content_hash"))
+
+
+_TRIGRAMS = """, grams AS (SELECT name, unnest(list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN generate_series(1, length(w) + 1)] FOR w IN string_split(lower(name), ' ')]))) AS g FROM (SELECT DISTINCT p_name AS name FROM part)),
+sizes AS (SELECT name, count(*) AS n FROM grams GROUP BY name)"""
+
+
+@query("X27_trigram_similarity", f"""WITH {_TRIGRAMS.lstrip(", ")} SELECT a.name AS name, b.name AS alias, round((count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)))::FLOAT::DOUBLE, 6) AS similarity
+  FROM grams a JOIN grams b USING (g) JOIN sizes x ON x.name = a.name JOIN sizes y ON y.name = b.name GROUP BY a.name, b.name HAVING (count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)))::FLOAT::DOUBLE > 0.3""")
+def _(spark, sf):
+    names = load(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
+    near = matcher.similar_names(names, names.select(F.col("name").alias("alias"), F.lit(1).alias("ingredient_id")), 0.3)
+    return near.select("name", "alias", F.round(F.col("similarity").cast("double"), 6).alias("similarity"))
