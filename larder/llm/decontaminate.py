@@ -9,48 +9,59 @@ fewer shingles than a partition's least need are no candidates in it. Candidates
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import SHINGLE, SIMILAR, materialize
 
-WHITE = "[\\x20\\x09-\\x0D]+"
+WHITE = "\t\n\x0b\f\r"
 
 
-def words(text: Column) -> Column:
-    """Lower-case words between white space; null has none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WHITE), lambda w: w != "")
+def with_words(df: DataFrame, *keep: str) -> DataFrame:
+    """keep, w (the lower-case words of text between white space; null has none) and m, their number."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    for c in WHITE:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return df.select(*keep, F.array_remove(F.split(text, " "), "").alias("w")).select(*keep, "w", F.size("w").alias("m"))
 
 
-def shingle_column(w: Column, make) -> Column:
-    """make(run) of each run of five words; of all words where there are fewer; nothing without words."""
-    n = F.size(w)
-    runs = F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: make(F.slice(w, i, SHINGLE)))
-    return F.when(n >= SHINGLE, runs).when(n > 0, F.array(make(w)))
+def shingle_rows(df: DataFrame, *keep: str) -> DataFrame:
+    """keep, m and h, a row for the hash of each run of five words; of all words where there are fewer.
+
+    Shifted copies of the words are zipped, so that no expression is interpreted per word. The generator is an outer
+    one: before an inner one Spark puts a filter that computes the array once more.
+    """
+    words = with_words(df, *keep).where("m > 0")
+    shifted = [F.slice("w", k + 1, F.col("m")).alias(f"w{k}") for k in range(SHINGLE)]
+    runs = F.slice(F.arrays_zip(*shifted), F.lit(1), F.greatest(F.col("m") - (SHINGLE - 1), F.lit(1)))
+    rows = words.select(*keep, "m", runs.alias("r")).select(*keep, "m", F.explode_outer("r").alias("x"))
+    return rows.select(*keep, "m", F.xxhash64(*(f"x.w{k}" for k in range(SHINGLE))).alias("h"))
 
 
-def _text(run: Column) -> Column:
-    return F.array_join(run, " ")
+def shingle_sets(df: DataFrame, name: str, *keep: str) -> DataFrame:
+    """keep and the distinct shingles of text as strings, as column name; null without words."""
+    n = F.col("m")
+    runs = F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.array_join(F.slice("w", i, SHINGLE), " "))
+    sets = F.when(n >= SHINGLE, F.array_distinct(runs)).when(n > 0, F.array(F.array_join("w", " ")))
+    return with_words(df, *keep).select(*keep, sets.alias(name))
 
 
 def item_sketches(items: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """item_id, n, need, partition (of sizes n in [2^k, 2^(k+1))) and h, one row for each hash of the item's sketch."""
-    sets = items.select("item_id", words(F.col("text")).alias("w")).select("item_id", F.array_sort(F.array_distinct(shingle_column(F.col("w"), lambda r: F.xxhash64(_text(r))))).alias("h"))
-    sets = sets.where(F.size("h") > 0).withColumn("n", F.size("h"))
     a, b = similar
+    keyed = items.withColumn("__larder_item", F.struct("item_id", F.xxhash64("text")))  # repeated ids are items of their own
+    sets = shingle_rows(keyed, "__larder_item").groupBy("__larder_item").agg(F.array_sort(F.collect_set("h")).alias("h")).withColumn("n", F.size("h"))  # one item's shingles
     sets = sets.withColumn("need", F.ceil(F.col("n") * a / b).cast("int")).withColumn("partition", F.floor(F.log2("n")).cast("int"))
-    return sets.select("item_id", "n", "need", "partition", F.explode(F.slice("h", F.lit(1), F.col("n") - F.col("need") + 1)).alias("h"))
+    return sets.select("__larder_item.item_id", "n", "need", "partition", F.explode_outer(F.slice("h", F.lit(1), F.col("n") - F.col("need") + 1)).alias("h"))
 
 
 def candidates(docs: DataFrame, items: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Distinct doc_id and item_id that share a hash of the item's sketch."""
-    sketches = materialize(item_sketches(items, similar), "sketches")  # Spark knows its size, and broadcasts it only if small
+    sketches = materialize(item_sketches(items, similar), "sketches")
     least = sketches.groupBy("partition").agg(F.min("need").alias("least"))
-    index = sketches.join(least, "partition").select("h", "item_id", "least")
-    index = materialize(index, "index")
-    rows = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", shingle_column(F.col("w"), lambda r: F.xxhash64(_text(r))).alias("s"))
-    rows = rows.select("doc_id", F.size("s").alias("m"), F.explode("s").alias("h"))
-    return rows.join(index, "h").where(F.col("m") >= F.col("least")).select("doc_id", "item_id").distinct()
+    # Written tables have sizes that Spark knows: it broadcasts the index only if it is small, and else shuffles.
+    index = materialize(sketches.join(least, "partition").select("h", "item_id", "least").distinct(), "index")
+    return shingle_rows(docs, "doc_id").join(index, "h").where(F.col("m") >= F.col("least")).select("doc_id", "item_id").distinct()
 
 
 def contained_items(docs: DataFrame, items: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -61,11 +72,10 @@ def contained_items(docs: DataFrame, items: DataFrame, similar: tuple[int, int]
     are compared as well, under a null id.
     """
     found = materialize(candidates(docs, items, similar), "candidates")
-    shingled = lambda df, key, name: df.select(key, F.array_distinct(shingle_column(words(F.col("text")), _text)).alias(name))
-    pairs = docs.select("doc_id", "text").join(found, docs["doc_id"].eqNullSafe(found["doc_id"])).select(found["doc_id"], "item_id", "text")
-    own = shingled(items.where(F.col("text").isNotNull()), "item_id", "b").withColumnRenamed("item_id", "_item")
-    pairs = pairs.withColumn("a", F.array_distinct(shingle_column(words(F.col("text")), _text)))
-    pairs = pairs.join(own, F.col("item_id").eqNullSafe(F.col("_item"))).select("doc_id", "item_id", F.size(F.array_intersect("a", "b")).cast("long").alias("n_shared"), F.size("b").cast("long").alias("n_shingles"))
+    texts = docs.select("doc_id", "text").join(found, docs["doc_id"].eqNullSafe(found["doc_id"])).select(found["doc_id"], "item_id", "text")
+    own = shingle_sets(items.where(F.col("text").isNotNull()), "b", "item_id").withColumnRenamed("item_id", "__larder_item")
+    pairs = shingle_sets(texts, "a", "doc_id", "item_id").join(own, F.col("item_id").eqNullSafe(F.col("__larder_item")))
+    pairs = pairs.select("doc_id", "item_id", F.size(F.array_intersect("a", "b")).cast("long").alias("n_shared"), F.size("b").cast("long").alias("n_shingles"))
     a, b = similar
     pairs = pairs.where(b * F.col("n_shared") >= a * F.col("n_shingles"))
     best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", "n_shingles")).alias("x"))
