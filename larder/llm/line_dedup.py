@@ -21,7 +21,7 @@ def line_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     lines = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("__larder_t"), F.split("text", "\n").alias("l"))
     lines = lines.where(F.size("l") >= size)
     window = lambda i: F.struct((i - 1).alias("pos"), F.array_join(F.slice("l", i, size), "\n").alias("w"))
-    windows = lines.select("doc_id", "__larder_t", F.explode(F.transform(F.sequence(F.lit(1), F.size("l") - (size - 1)), window)).alias("x"))
+    windows = lines.select("doc_id", "__larder_t", F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("l") - (size - 1)), window)).alias("x"))
     return windows.select("doc_id", "__larder_t", "x.pos", F.xxhash64("x.w").alias("h"), F.xxhash64(F.lit("second"), "x.w").alias("g"))
 
 
@@ -31,7 +31,7 @@ def removed_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     at = F.struct(F.col("doc_id"), F.col("__larder_t"), F.col("pos"))  # null doc_id is the first
     firsts = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1").select("h", "g", "first")
     later = windows.join(firsts, ["h", "g"]).where(at > F.col("first"))
-    covered = later.select("doc_id", "__larder_t", F.explode(F.sequence(F.col("pos"), F.col("pos") + (size - 1))).alias("p"))
+    covered = later.select("doc_id", "__larder_t", F.explode_outer(F.sequence(F.col("pos"), F.col("pos") + (size - 1))).alias("p"))
     return covered.groupBy("doc_id", "__larder_t").agg(F.array_sort(F.collect_set("p")).alias("removed"))  # lines of one text at most
 
 

@@ -70,7 +70,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     first = F.col("doc_id").isNull() if seen["nulls"] else F.col("doc_id") == F.lit(seen["low"]).cast("long")
     ghosts = F.array_compact(F.array(F.when(F.array_contains(cut, F.col("doc_id")), range_of - 1), F.when(first, len(bounds))))
     places = F.concat(F.array(F.struct(range_of.alias("r"), F.lit(False).alias("ghost"))), F.transform(ghosts, lambda r: F.struct(r.cast("int").alias("r"), F.lit(True).alias("ghost"))))
-    rows = docs.withColumn("__larder_p", F.explode(places))
+    rows = docs.withColumn("__larder_p", F.explode_outer(places))
     window = Window.partitionBy("__larder_p.r").orderBy("__larder_p.ghost", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     follow = [F.lead(c).over(window).alias(f"next_{c}") for c in columns]
     return rows.select("*", *follow).where(~F.col("__larder_p.ghost")).drop("__larder_p")

@@ -86,7 +86,7 @@ def derive(records: DataFrame) -> DataFrame:
     rows = records.withColumn("payload_digest", digest(payload)).withColumn("_text", plain_text(F.col("payload"))).withColumn("_fields", fields)
     kind = lambda name, content, block: F.struct(F.lit(name).alias("record_type"), F.lit(content).alias("content_type"), F.col(block).alias("block"))
     made = F.array(kind("metadata", "application/warc-fields", "_fields"), kind("conversion", "text/plain; charset=utf-8", "_text"))
-    rows = rows.select(*own, F.col("record_id").alias("source_id"), "payload_digest", F.explode(made).alias("x")).select("*", "x.*").drop("x")
+    rows = rows.select(*own, F.col("record_id").alias("source_id"), "payload_digest", F.explode_outer(made).alias("x")).select("*", "x.*").drop("x")
     rows = rows.withColumn("record_id", record_urn(F.col("record_type"), F.col("source_id"), F.col("block")))
     rows = rows.withColumn("block_digest", digest(F.col("block"))).withColumn("content_length", F.octet_length("block").cast("long"))
     line = lambda name, column: F.concat(F.lit(f"\r\n{name}: "), F.coalesce(F.col(column).cast("string"), F.lit("")))
