@@ -63,7 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         edges = [0, *cuts.tolist(), len(sizes)]
         for a, b in zip(edges, edges[1:], strict=False):
             if b > a:
-                yield batch.slice(a, b - a)
+                yield batch.take(pa.array(np.arange(a, b)))  # a copy: some kernels misread arrays with an offset
 
 
 def words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
@@ -71,6 +71,8 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
 
     A word is a run of characters other than space and U+0009 to U+000D; only A-Z are lower-cased.
     """
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     if lower:
         texts = pc.ascii_lower(texts)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.llm.common import materialize, partitions, slices
-from larder.llm.tokens import ChunkEncoder, encode_documents
+from larder.llm.tokens import encode_documents, worker_encoder
 
 CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -159,7 +159,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for batch in slices(batches):
             ids, starts = encode_documents(encoder, batch.column("text"), end_id)
             counts = np.diff(starts)

@@ -2,6 +2,7 @@
 
     spark.dataSource.register(PforSource)
     rows.write.format("pfor").mode("append").save(path)     # doc_id long, ids array<int>, in file order
+    texts.write.format("pfor").option("tokenizer", file).option("end_id", 1).mode("append").save(path)   # doc_id long, text
     spark.read.format("pfor").load(path)                    # doc_id, start, ids array<int>
 
 One file per task: the ids of its documents in a row, in blocks of BLOCK ids. A block stores its minimum, and each id
@@ -28,6 +29,9 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from larder.llm.common import slices
+from larder.llm.tokens import encode_documents, worker_encoder
+
 BLOCK = 4096
 #: Share of a block's ids that must fit the packed width.
 PERCENTILE = 0.95
@@ -79,8 +83,19 @@ class Written(WriterCommitMessage):
 
 
 class PforWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+    def __init__(self, path: str, tokenizer: str | None = None, end_id: int = 1):
+        self.path, self.tokenizer, self.end_id = path, tokenizer, end_id
+
+    def rows(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """doc_id, ids in a row and the number of each document's, of rows with ids or with texts to encode."""
+        if self.tokenizer:
+            for batch in slices(iterator):
+                ids, starts = encode_documents(worker_encoder(self.tokenizer), batch.column("text"), self.end_id)
+                yield batch.column("doc_id"), ids, np.diff(starts)
+        else:
+            for batch in iterator:
+                lists = batch.column("ids")
+                yield batch.column("doc_id"), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -101,11 +116,9 @@ class PforWriter(DataSourceArrowWriter):
                     place += len(block)
                 return ids[len(ids) // BLOCK * BLOCK :]
 
-            for batch in iterator:
-                column = batch.column(batch.schema.get_field_index("ids"))
-                docs.append(batch.column(batch.schema.get_field_index("doc_id")))
-                lengths.append(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype("<i8"))
-                ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32)
+            for names, ids, count in self.rows(iterator):
+                docs.append(names)
+                lengths.append(count.astype("<i8"))
                 left = put(np.concatenate([left, ids]), False)
             put(left, True)
             ids_of = pa.chunked_array(docs or [pa.array([], pa.int64())], pa.int64())
@@ -194,4 +207,4 @@ class PforSource(DataSource):
         return PforReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> PforWriter:
-        return PforWriter(self.options["path"], overwrite)
+        return PforWriter(self.options["path"], self.options.get("tokenizer"), int(self.options.get("end_id", 1)))

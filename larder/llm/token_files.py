@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import partitions, scratch_path, slices
+from larder.llm.common import partitions, scratch_path
 from larder.llm.pfor import PforSource
-from larder.llm.tokens import ChunkEncoder, encode_documents
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
@@ -24,16 +23,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     spark = docs.sparkSession
     spark.dataSource.register(PforSource)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
-        for batch in slices(batches):
-            ids, starts = encode_documents(encoder, batch.column("text"), end_id)
-            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
-
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__larder_h"))
     rows = rows.repartitionByRange(partitions(spark), "doc_id", "__larder_h").sortWithinPartitions("doc_id", "__larder_h")
-    rows.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>").write.format("pfor").mode("append").save(path)
+    files = rows.select("doc_id", "text").write.format("pfor").option("tokenizer", tokenizer).option("end_id", end_id)
+    files.mode("append").save(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:

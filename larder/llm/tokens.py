@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -26,7 +27,8 @@ class ChunkEncoder:
 
     For such a tokenizer the ids of a text are those of its chunks one after the other, so a chunk that comes again
     costs a look-up. The tokenizer folds case, and a comma or full stop between a letter and the chunk's end is a
-    pre-token of its own, so chunks are known by their lower-case core. The memory starts again at REMEMBERED cores.
+    pre-token of its own, so chunks are known by their lower-case core. The first REMEMBERED cores are kept for good;
+    the frequent ones are among them, and later ones last for one call.
     """
 
     def __init__(self, path: str):
@@ -34,12 +36,17 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.passing: list[str] = []
         self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def forget_passing(self) -> None:
+        for w in self.passing:
+            del self.known[w]
+        self.passing = []
+        self.starts = self.starts[: len(self.known) + 1]
+        self.ids = self.ids[: self.starts[-1]]
+
     def places(self, cores: list[str]) -> np.ndarray:
         """Where self.starts has each core; unknown ones are encoded first."""
         known = self.known
@@ -47,6 +54,8 @@ class ChunkEncoder:
         for a in range(0, len(missing), 20_000):
             part = missing[a : a + 20_000]
             got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            if len(known) + len(part) > REMEMBERED:
+                self.passing += part
             known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
             lengths = np.fromiter(map(len, got), np.int64, len(got))
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32)])
@@ -58,8 +67,8 @@ class ChunkEncoder:
         flat, starts = words(texts, lower=False)
         if not len(flat):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        if len(self.known) > REMEMBERED:
-            self.forget()
+        self.forget_passing()
+        comma, full = self.places([",", "."])
         coded = flat.dictionary_encode()
         names, codes = coded.dictionary, coded.indices.to_numpy()
         # "<|" may begin a special string, which counts only as it is written
@@ -67,7 +76,6 @@ class ChunkEncoder:
         stop = pc.match_substring_regex(folded, r"^[\x21-\x7e]*[a-z][.,]$")
         cores = pc.if_else(stop, pc.utf8_slice_codeunits(folded, 0, -1), folded).dictionary_encode()
         core = self.places(cores.dictionary.to_pylist())[cores.indices.to_numpy()]
-        comma, full = self.places([",", "."])
         tail = np.where(stop.to_numpy(zero_copy_only=False), np.where(pc.ends_with(folded, ",").to_numpy(zero_copy_only=False), comma, full), -1)
         parts = np.empty((len(codes), 2), np.int64)
         parts[:, 0], parts[:, 1] = core[codes], tail[codes]
@@ -83,6 +91,12 @@ class ChunkEncoder:
         return self.ids[at], ends[first[starts]]
 
 
+@cache
+def worker_encoder(path: str) -> ChunkEncoder:
+    """The encoder of this Python worker, which Spark uses for many tasks."""
+    return ChunkEncoder(path)
+
+
 def encode_documents(encoder: ChunkEncoder, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids with end_id after each text."""
     ids, starts = encoder.encode(texts)

@@ -3,9 +3,10 @@ import random
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from larder.llm import decontaminate, jaccard, line_dedup, merkle, passages
+from larder.llm import common, decontaminate, jaccard, line_dedup, merkle, passages
 from larder.llm.components import components
 
 from .conftest import frame, sentence
@@ -20,6 +21,18 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
+def test_words_of_sliced_batches(monkeypatch, rows):
+    texts = [t for _, t in rows] * 3
+    monkeypatch.setattr(common, "SLICE_BYTES", 3000)
+    got = []
+    for part in common.slices([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]):
+        flat, starts = common.words(part.column("text"))
+        got += [flat[a:b].to_pylist() for a, b in zip(starts, starts[1:], strict=False)]
+    assert got == [[w for w in words(t) if w] for t in texts]
+    flat, starts = common.words(pa.array(texts)[5:])
+    assert len(starts) == len(texts) - 4 and flat[: starts[1]].to_pylist() == got[5]
+
+
 def brute_components(rows):
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
