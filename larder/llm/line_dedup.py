@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import materialize
-
 WINDOW = 3
 
 
@@ -27,7 +25,7 @@ def line_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def removed_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, __larder_t and removed, the positions of lines (from 0) that later occurrences of windows cover."""
-    windows = materialize(line_windows(docs, size), "windows")
+    windows = line_windows(docs, size)  # made twice: that reads less than writing them would
     at = F.struct(F.col("doc_id"), F.col("__larder_t"), F.col("pos"))  # null doc_id is the first
     firsts = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1").select("h", "g", "first")
     later = windows.join(firsts, ["h", "g"]).where(at > F.col("first"))
