@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words of a shingle and the least similarity of near duplicates, as a fraction.
 SHINGLE = 5
 SIMILAR = (4, 5)
-#: Bytes of text that a task works on at a time.
+#: Bytes of text that a task works on at a time, and that Spark sends to a Python worker at a time.
 SLICE_BYTES = 4 << 20
+#: Spark's default of that bound.
+DEFAULT_BYTES = str(64 << 20)
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _LENGTH = np.uint64(0xE7037ED1A0B428DB)
@@ -43,6 +45,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the Arrow batches that this session sends to Python, unless the session has set a bound.
+
+    Rows of texts and of sets differ in size by far, so Spark's bound on rows alone doesn't bound memory.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == DEFAULT_BYTES:
+        spark.conf.set(name, str(SLICE_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,7 +6,8 @@
 3. Classes that meet are dealt to buckets of bounded size. In a bucket, a signature tree has the classes as leaves;
    its nodes hold the OR of their token bitmaps, their range of sizes and the most tokens that share bits. A dual
    traversal leaves out pairs of nodes whose greatest possible overlap is too small, or which are one component
-   already; pairs of leaves that remain are compared exactly.
+   already. The bitmaps, which are small, come first; only for members with a pair that remains are the sets fetched,
+   and their pairs compared exactly.
 4. A first round over three postings of each class joins dense groups, so that the second round, over all postings,
    skips what is already connected. Groups beyond a bucket's size are cut in runs, whose pairs share a bucket each if
    their sizes allow a link.
@@ -18,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import SIMILAR, distinct_sets, materialize, mix, partitions, ragged, shingles, slices, word_hashes, words
+from larder.llm.common import SIMILAR, bound_batches, distinct_sets, materialize, mix, ragged, shingles, slices, word_hashes, words
 from larder.llm.components import components
 
 #: Texts of one task, and of all, from which a shingle counts as common; how many common ones are told apart. Order only: results never depend on these.
@@ -65,7 +67,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def prefix_sets(docs: DataFrame, common: np.ndarray, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """doc_id, n (size of its set), c1 and c2 (set hash) and prefix, which only the first text of its set in a task has."""
+    """doc_id, n (size of its set), c1 and c2 (set hash), and of the first text of its set in a task prefix and bits (its bitmap)."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
     a, b = similar
 
@@ -84,6 +86,7 @@ def prefix_sets(docs: DataFrame, common: np.ndarray, similar: tuple[int, int] =
                 if n[i] and key not in seen:
                     seen.add(key)
                     fresh[i] = True
+            bits = [signature([h[x:y]], width(y - x)).tobytes() if new else None for x, y, new in zip(starts.tolist(), starts[1:].tolist(), fresh.tolist(), strict=False)]
             is_late = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h if len(late) else np.zeros(len(h), bool)
             if is_late.any():
                 order = np.lexsort((h, is_late, owner))
@@ -93,14 +96,14 @@ def prefix_sets(docs: DataFrame, common: np.ndarray, similar: tuple[int, int] =
             edge = np.concatenate([[0], np.cumsum(kept)])[starts]
             lists = ragged(h[kept].view(np.int64), edge, pa.int64())
             lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array(~fresh))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c1), pa.array(c2), lists], names=["doc_id", "n", "c1", "c2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c1), pa.array(c2), lists, pa.array(bits, pa.binary())], names=["doc_id", "n", "c1", "c2", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, c1 long, c2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, c1 long, c2 long, prefix array<long>, bits binary")
 
 
 def meeting(rows: DataFrame, key: str) -> DataFrame:
     """The rows whose key (never null) another row has, too. Partitions are sorted by Spark and streamed, whatever a key's rows."""
-    schema, n = rows.schema, partitions(rows.sparkSession)
+    schema = rows.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, met = None, False  # the row held back, and whether the one before it has its key
@@ -116,7 +119,7 @@ def meeting(rows: DataFrame, key: str) -> DataFrame:
         if met:
             yield last
 
-    return rows.repartition(n, key).sortWithinPartitions(key).mapInArrow(keep, schema)
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(keep, schema)
 
 
 def runs(postings: DataFrame) -> DataFrame:
@@ -135,7 +138,7 @@ def runs(postings: DataFrame) -> DataFrame:
                 out.append(run)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "run"])
 
-    rows = postings.select("token", "rep", "n", "comp").repartition(partitions(postings.sparkSession), "token").sortWithinPartitions("token", "n", "rep")
+    rows = postings.select("token", "rep", "n", "comp").repartition("token").sortWithinPartitions("token", "n", "rep")
     return rows.mapInArrow(number, "token long, rep long, n long, comp long, run int")
 
 
@@ -161,17 +164,40 @@ def buckets(postings: DataFrame, pairs_of_runs: bool, similar: tuple[int, int] =
     return rows.join(pairs, ["token", "run"]).select("bucket", "rep", "comp")
 
 
+def signature(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """The token bitmaps of sets, a row of 64-bit words each; the first bit is that of the least hashes."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    plane = np.zeros((len(sets), bits), bool)
+    plane[owner, (np.concatenate(sets) >> np.uint64(64 - int(np.log2(bits)))).astype(np.int64)] = True
+    return np.packbits(plane, axis=1).view(np.uint64)
+
+
+def width(n: float) -> int:
+    """Bits of a bitmap of n tokens: a power of two, four times n or more."""
+    return 1 << max(6, int(np.ceil(np.log2(4 * n + 1))))
+
+
+def halved(bitmap: np.ndarray) -> np.ndarray:
+    """Bitmaps of half as many bits, of the same sets."""
+    plane = np.unpackbits(bitmap.view(np.uint8), axis=1)
+    return np.packbits(plane[:, ::2] | plane[:, 1::2], axis=1).view(np.uint64)
+
+
 class SignatureTree:
-    """Members in the order of their least shingles, so that alike ones stand together, and the nodes above them."""
+    """Members in the order of their bitmaps, so that alike ones stand together, and the nodes above them."""
 
     def __init__(self, sets: list[np.ndarray], labels: np.ndarray):
         n = np.array([len(s) for s in sets], np.int64)
-        bits = 1 << max(6, int(np.ceil(np.log2(4 * np.median(n) + 1))))
-        owner = np.repeat(np.arange(len(n)), n)
-        plane = np.zeros((len(n), bits), bool)
-        plane[owner, (np.concatenate(sets) >> np.uint64(64 - int(np.log2(bits)))).astype(np.int64)] = True
-        bitmap = np.packbits(plane, axis=1).view(np.uint64)
-        excess = n - plane.sum(1)
+        self.grow(signature(sets, width(np.median(n))), n, labels)
+
+    @classmethod
+    def of_bitmaps(cls, bitmap: np.ndarray, n: np.ndarray, labels: np.ndarray) -> SignatureTree:
+        tree = cls.__new__(cls)
+        tree.grow(bitmap, n, labels)
+        return tree
+
+    def grow(self, bitmap: np.ndarray, n: np.ndarray, labels: np.ndarray) -> None:
+        excess = n - np.bitwise_count(bitmap).sum(1, dtype=np.int64)
         self.levels = [(bitmap, n, n, excess, labels)]
         while len(self.levels[-1][1]) > 1:
             bitmap, low, high, excess, label = self.levels[-1]
@@ -218,6 +244,43 @@ class SignatureTree:
             stack.append((level - 1, cx[ok], cy[ok]))
 
 
+def groups_of_similar(n: np.ndarray, labels: np.ndarray, bitmaps: list[bytes], similar: tuple[int, int] = SIMILAR) -> np.ndarray:
+    """For each member a number that members share if their bitmaps may connect them; -1 if a member has no such pair.
+
+    Bitmaps differ in width by their sets' sizes. The members of one width meet those of twice the width, whose bitmaps
+    are halved; sets further apart in size are never similar.
+    """
+    a, b = similar
+    of = np.arange(len(n))
+    touched = np.zeros(len(n), bool)
+    size = np.array([len(x) for x in bitmaps])
+    for w in np.unique(size).tolist():
+        own = np.flatnonzero(size == w)
+        larger = np.flatnonzero((size == 2 * w) & (a * n <= b * n[own].max()))
+        planes = [np.frombuffer(b"".join(bitmaps[i] for i in own), np.uint64).reshape(len(own), -1)]
+        if len(larger):
+            planes.append(halved(np.frombuffer(b"".join(bitmaps[i] for i in larger), np.uint64).reshape(len(larger), -1)))
+        at, plane = np.concatenate([own, larger]), np.concatenate(planes)
+        order = np.lexsort(plane.byteswap().T[::-1])
+        at = at[order]
+        if len(at) < 2:
+            continue
+        for x, y in SignatureTree.of_bitmaps(plane[order], n[at], labels[at]).pairs(similar):
+            x, y = at[x], at[y]
+            fits = (size[x] == w) | (size[y] == w)
+            x, y = x[fits], y[fits]
+            touched[x] = touched[y] = True
+            while len(x):
+                low, high = np.minimum(of[x], of[y]), np.maximum(of[x], of[y])
+                apart = low != high
+                if not apart.any():
+                    break
+                np.minimum.at(of, high[apart], low[apart])
+                while not np.array_equal(of, up := of[of]):
+                    of = up
+    return np.where(touched, of, -1)
+
+
 def tree_join(reps: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> list[tuple[int, int]]:
     """Links (member, root) that connect all members with a similar pair; pairs of one label need none."""
     a, b = similar
@@ -245,7 +308,43 @@ def tree_join(reps: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], simi
     return links
 
 
-def joined(members: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+def grouped(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list, ...]]:
+    """The rows of each bucket, which stand together, as lists by column."""
+    bucket, held = None, tuple([] for _ in columns)
+    for batch in batches:
+        for key, *row in zip(batch.column("bucket").to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
+            if key != bucket:
+                if held[0]:
+                    yield held
+                bucket, held = key, tuple([] for _ in columns)
+            for values, x in zip(held, row, strict=True):
+                values.append(x)
+    if held[0]:
+        yield held
+
+
+def narrowed(members: DataFrame, signatures: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The members of buckets that bitmaps alone don't rule out, in buckets of those that they may connect.
+
+    Bitmaps are a small part of the sets, and few members remain, so few sets are moved after this.
+    """
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for reps, comps, n, bits in grouped(batches, ["rep", "comp", "n", "bits"]):
+            reps, comps = np.array(reps, np.int64), np.array(comps, np.int64)
+            of = groups_of_similar(np.array(n, np.int64), comps, bits, similar)
+            order = np.lexsort((reps, of))
+            order = order[of[order] >= 0]
+            edges = np.flatnonzero(np.diff(of[order], prepend=-1))
+            key = [xxhash.xxh3_64_intdigest(reps[part].tobytes()) for part in np.split(order, edges[1:])] if len(order) else []
+            key = np.repeat(np.array(key, np.uint64).view(np.int64), np.diff(np.append(edges, len(order))))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(reps[order]), pa.array(comps[order])], names=["bucket", "rep", "comp"])
+
+    rows = members.join(signatures, "rep").select("bucket", "rep", "comp", "n", "bits")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(narrow, "bucket long, rep long, comp long").distinct()
+
+
+def joined(members: DataFrame, signatures: DataFrame, docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Links a, b found in buckets."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +367,9 @@ def joined(members: DataFrame, sets: DataFrame, similar: tuple[int, int] = SIMIL
                 held[2].append(flat[at[i] : at[i + 1]].copy())
         yield from links()
 
-    rows = members.join(sets, "rep").select("bucket", "rep", "comp", "h")
-    return rows.repartition(partitions(members.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(join, "a long, b long")
+    left = materialize(narrowed(members, signatures, similar).hint("rebalance"), "members")
+    rows = left.join(sets_of(docs, left.select("rep").distinct()), "rep").select("bucket", "rep", "comp", "h")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(join, "a long, b long")
 
 
 def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -291,20 +391,20 @@ def near_duplicates(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> Data
     texts with its shingles, if any has an id. Rows of one doc_id are texts of their own; those that stand for their
     class are one node. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     rows = materialize(prefix_sets(docs, common_shingles(docs), similar), "prefixes")
-    classes = rows.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix", ignorenulls=True).alias("prefix")).where("rep is not null")
-    classes = materialize(classes, "classes")
-    postings = classes.select("rep", "n", F.posexplode("prefix").alias("r", "token"))
-    postings = materialize(meeting(postings.select("token", "rep", "n", "r"), "token"), "postings")
-    sets = materialize(sets_of(docs, postings.select("rep").distinct()), "sets")
+    classes = rows.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix", ignorenulls=True).alias("prefix"), F.first("bits", ignorenulls=True).alias("bits")).where("rep is not null")
+    postings = classes.select("rep", "n", F.posexplode_outer("prefix").alias("r", "token"))
+    postings = materialize(meeting(postings.select("token", "rep", "n", "r"), "token").hint("rebalance"), "postings")
+    signatures = materialize(classes.select("rep", "n", "bits"), "signatures")
     first = postings.where(F.col("r") < FIRST).withColumn("comp", F.col("rep"))
-    links = materialize(joined(buckets(first, False, similar), sets, similar), "links")
-    labels = materialize(components(links), "labels")
+    links = materialize(joined(buckets(first, False, similar), signatures, docs, similar).hint("rebalance"), "links")
+    labels = components(links)
     again = postings.join(labels, postings["rep"] == labels["node"], "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    more = materialize(joined(buckets(again, True, similar), sets, similar), "more")
+    more = materialize(joined(buckets(again, True, similar), signatures, docs, similar).hint("rebalance"), "more")
     found = components(links.union(more))
-    named = classes.select("c1", "c2", "n", "rep").join(found, classes["rep"] == found["node"], "left").select("c1", "c2", "n", F.coalesce("component", "rep").alias("component"))
+    ids = rows.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep")).where("rep is not null")
+    named = ids.join(found, ids["rep"] == found["node"], "left").select("c1", "c2", "n", F.coalesce("component", "rep").alias("component"))
     return rows.select("doc_id", "n", "c1", "c2").join(named, ["c1", "c2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -113,6 +113,22 @@ def test_signature_tree_keeps_all_pairs():
                 assert (j, i) in pairs
 
 
+def test_bitmaps_group_all_similar_pairs():
+    rng = np.random.default_rng(7)
+    base = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in rng.integers(1, 90, 60)]
+    sets = base + [np.unique(np.concatenate([s[rng.random(len(s)) > 0.08], rng.integers(0, 2**63, len(s) // 12).astype(np.uint64)])) for s in base]
+    sets = [s for s in sets if len(s)]
+    n = np.array([len(s) for s in sets])
+    bits = [jaccard.signature([s], jaccard.width(len(s))).tobytes() for s in sets]
+    labels = np.arange(len(sets))
+    of = jaccard.groups_of_similar(n, labels, bits)
+    similar = [(i, j) for i in labels for j in labels[i + 1 :] if 5 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 4 * (n[i] + n[j] - k)]
+    assert len(similar) > 20 and all(of[i] == of[j] >= 0 for i, j in similar)
+    assert (jaccard.groups_of_similar(n, np.zeros(len(sets), int), bits) == -1).all()  # one component already
+    apart = base[:1] + [base[0] ^ np.uint64(1 << 62)] if len(base[0]) > 1 else base[:2]
+    assert (jaccard.groups_of_similar(np.array([len(s) for s in apart]), np.arange(2), [jaccard.signature([s], jaccard.width(len(s))).tobytes() for s in apart]) == -1).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 130)] + [(5, 5), (7, None)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
