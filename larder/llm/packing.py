@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larder.llm.common import materialize, partitions, slices
+from larder.llm.common import bound_batches, materialize, partitions, slices
 from larder.llm.tokens import encode_documents, worker_encoder
 
 CAPACITY = 4096
@@ -178,6 +178,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import partitions, scratch_path
+from larder.llm.common import bound_batches, partitions, scratch_path
 from larder.llm.pfor import PforSource
 
 
@@ -21,6 +21,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     alone. An empty table makes files without documents.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     spark.dataSource.register(PforSource)
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__larder_h"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import materialize, slices, word_hashes, words
+from larder.llm.common import bound_batches, materialize, slices, word_hashes, words
 
 #: Most labelled rows to train with, folds, hashed dimensions, texts of the sample that must have a word, passes, and weight decay.
 TRAINING, FOLDS, BITS, LEAST, PASSES, DECAY = 8_000, 3, 18, 5, 150, 1e-4
@@ -90,6 +90,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], t
     Rows without a doc_id, or with a null in any category, are not trained with; of a doc_id's repeated labels the
     largest counts. Without labelled rows all weights are zero.
     """
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(F.col(c).cast("double")).alias(f"y_{c}") for c in categories)).dropna()
     order = F.xxhash64(F.lit("training"), "doc_id")
     chosen = materialize(known.orderBy(order, "doc_id").limit(training), "chosen")
@@ -127,6 +128,7 @@ def score_texts(docs: DataFrame, chain: Sequence[np.ndarray], categories: Sequen
     Null and empty texts have no words and get the models' constants; they are never rejected. All columns stay, but
     for ones of the added names.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(list(chain))
     new = [*(f"p_{c}" for c in categories), "rejected"]
     columns = [c for c in docs.columns if c not in new]
