@@ -18,10 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import slices
+from larder.llm.common import bound_batches, slices
 
 #: Entries of the broadcast table and of the sketch behind it, and the longest pre-token remembered.
 FREQUENT, TRACKED, LONGEST = 20_000, 65_536, 64
+#: Groups in which the sketches of tasks meet.
+GROUPS = 16
 #: Pre-tokens a worker remembers before it starts again.
 REMEMBERED = 500_000
 #: The byte-level pre-token pattern (fixed value of this family of tokenizers).
@@ -33,7 +35,10 @@ VERIFIED = r"[^\t\n\r\x20-\x7e¡-ſ‐-‧€]"
 def frequent_words(docs: DataFrame, n: int = FREQUENT, tracked: int = TRACKED) -> list[str]:
     """The n words that a sketch of `tracked` items finds most frequent between spaces in all texts."""
     words = docs.select(F.explode(F.split("text", " ")).alias("w")).where(F.length("w").between(1, LONGEST))
-    top = words.agg(F.expr(f"approx_top_k(w, {n}, {tracked})").alias("t")).first()["t"]  # n items at most
+    # Sketches of tasks meet in groups first, so that the last step gets a bounded number of them however many tasks there are.
+    group = F.pmod(F.spark_partition_id(), F.lit(GROUPS))
+    sketches = words.groupBy(group.alias("g")).agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("s"))
+    top = sketches.agg(F.expr("approx_top_k_combine(s)").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {n})").alias("t")).first()["t"]  # n items at most
     return [r["item"] for r in top]
 
 
@@ -79,6 +84,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, table: dict
         names = sorted(pieces)
         table = dict(zip(names, PreTokenCounter(tokenizer, {}).lengths(names), strict=True))
     sent = spark.sparkContext.broadcast(table)
+    bound_batches(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PreTokenCounter(tokenizer, sent.value)
