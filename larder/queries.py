@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.functions import fmt, units
-from larder.operators import grocery, matcher, rules, scoring, search
+from larder.functions.urls import canonical_url
+from larder.operators import checks, grocery, matcher, rules, runs, scoring, search
 from larder.plans.catalogue import duck, load, view
+from larder.sources.pages import dedupe_by_url
 from larder.vocab import AISLES, MIN_RATED
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,3 +277,38 @@ def _(spark, sf):
     names = load(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
     near = matcher.similar_names(names, names.select(F.col("name").alias("alias"), F.lit(1).alias("ingredient_id")), 0.3)
     return near.select("name", "alias", F.round(F.col("similarity").cast("double"), 6).alias("similarity"))
+
+
+@query("X13_canonical_url", "SELECT p_partkey, 'https://example.com/p/' || p_partkey || '?a=' || p_size || '&b=2' AS url_key FROM part")
+def _(spark, sf):
+    url = F.concat(F.lit(" HTTP://www.Example.com/p/"), F.col("p_partkey"), F.lit("/?utm_source=x&b=2&ref=y&a="), F.col("p_size"), F.lit("#top"))
+    return load(spark, sf, "part").select("p_partkey", canonical_url(url).alias("url_key"))
+
+
+@query("U2_dedupe_by_url", """SELECT 'https://example.com/' || user_id AS url_key, arg_min('http://www.example.com/' || user_id || '/?utm_id=' || event_id, event_id) AS url,
+  arg_min(CASE WHEN event_id % 3 > 0 THEN ts END, CASE WHEN event_id % 3 > 0 THEN event_id END) AS published_at, arg_min(CASE WHEN event_id % 5 = 0 THEN event_type END, CASE WHEN event_id % 5 = 0 THEN event_id END) AS title FROM events GROUP BY user_id""")
+def _(spark, sf):
+    url = F.concat(F.lit("http://www.example.com/"), F.col("user_id"), F.lit("/?utm_id="), F.col("event_id"))
+    at = F.when(F.col("event_id") % 3 > 0, F.col("ts").cast("timestamp_ntz")).alias("published_at")
+    return dedupe_by_url(load(spark, sf, "events").select(url.alias("url"), at, F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("title"), F.col("event_id").alias("ord")))
+
+
+@query("A15_run_rollup", """WITH latest AS (SELECT event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1),
+  named AS (SELECT *, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'partial' ELSE 'success' END AS status FROM latest)
+  SELECT CASE WHEN count(*) FILTER (WHERE status = 'error') = count(*) THEN 'error' WHEN count(*) FILTER (WHERE status <> 'success') > 0 THEN 'partial' ELSE 'success' END AS status,
+  sum(event_id % 7)::BIGINT AS found, sum(event_id % 3)::BIGINT AS new, max(ts) AS latest FROM named""")
+def _(spark, sf):
+    status = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "partial").otherwise("success")
+    at, n = F.col("ts").cast("timestamp_ntz"), F.col("event_id")
+    rows = load(spark, sf, "events").select(n.alias("run_id"), F.col("user_id").alias("source_id"), status.alias("status"), (n % 7).alias("found"), (n % 3).alias("new"), at.alias("started_at"), F.lit(None).cast("timestamp_ntz").alias("finished_at"))
+    return runs.rollup(runs.latest_runs(rows))
+
+
+@query("Q1_dish_violations", "SELECT dish_id, 'minutes_order' AS rule FROM dishes WHERE active_minutes > total_minutes")
+def _(spark, sf):
+    return checks.violations(view(spark, sf, "dishes"), "dish_id", checks.dish_rules())
+
+
+@query("Q2_repeated_names", "SELECT p_name, count(*)::BIGINT AS n FROM part WHERE p_name IS NOT NULL GROUP BY p_name HAVING count(*) > 1")
+def _(spark, sf):
+    return checks.repeated(load(spark, sf, "part"), "p_name")
