@@ -38,8 +38,9 @@ def frequent_words(docs: DataFrame, n: int = FREQUENT, tracked: int = TRACKED) -
     # Sketches of tasks meet in groups first, so that the last step gets a bounded number of them however many tasks there are.
     group = F.pmod(F.spark_partition_id(), F.lit(GROUPS))
     sketches = words.groupBy(group.alias("g")).agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("s"))
-    top = sketches.agg(F.expr("approx_top_k_combine(s)").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {n})").alias("t")).first()["t"]  # n items at most
-    return [r["item"] for r in top]
+    all_of = sketches.groupBy(F.lit(0).alias("g")).agg(F.expr("approx_top_k_combine(s)").alias("s"))  # no row without words
+    top = all_of.select(F.expr(f"approx_top_k_estimate(s, {n})").alias("t")).first()  # n items at most
+    return [r["item"] for r in top["t"]] if top else []
 
 
 class PreTokenCounter:
