@@ -83,9 +83,13 @@ def contained_items(docs: DataFrame, items: DataFrame, similar: tuple[int, int]
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """docs without the rows whose text contains an item; all columns stay."""
-    found = materialize(contained_items(docs, items, similar).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """docs without the rows whose text contains an item; all columns stay.
+
+    Rows are told apart by (doc_id, text): each goes or stays by its own text, whatever other rows share its id.
+    """
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    found = materialize(contained_items(rows, items, similar).select(F.col("doc_id").alias("__larder_row")).distinct(), "contaminated")
+    return docs.join(found, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("__larder_row"), "left_anti")
 
 
 _SHINGLES = """SELECT {key}, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i+4], ' ') FOR i IN generate_series(1, len(w) - 4)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s

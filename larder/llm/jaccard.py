@@ -411,8 +411,18 @@ def near_duplicates(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> Data
 def one_of_each(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """docs, of each group of near duplicates only the row with the group's smallest doc_id; all columns stay.
 
-    Rows without a doc_id stay if their texts are in no group; of equal rows of one doc_id each stays.
+    Rows are told apart by (doc_id, text), so each is judged by its own text, and of rows that are equal in both one
+    stays. Rows without a doc_id come after those with one. Null and empty texts are in no group and all stay.
     """
-    found = near_duplicates(docs, similar).where("component_id != doc_id OR doc_id IS NULL AND component_id IS NOT NULL")
-    gone = materialize(found.select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    row = F.xxhash64("doc_id", "text")
+    found = near_duplicates(docs.select(row.alias("doc_id"), "text"), similar).where("n_shingles > 0")
+    found = found.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("n")).withColumnRenamed("doc_id", "row")
+    members = materialize(found.join(docs.select(row.alias("row"), "doc_id").distinct(), "row"), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first")
+    groups = members.groupBy("component").agg(first, F.sum("n").alias("all")).where(F.col("all") > 1)
+    judged = members.join(groups, "component").select(F.col("row").alias("__larder_row"), "n", (F.col("row") == F.col("first.row")).alias("stays"))
+    judged = materialize(judged.where("n > 1 OR NOT stays"), "duplicates")
+    same = F.xxhash64(docs["doc_id"], docs["text"]) == F.col("__larder_row")
+    kept = docs.join(judged.select("__larder_row"), same, "left_anti")
+    repeated = docs.join(judged.where("stays").select("__larder_row"), same, "left_semi")
+    return kept.union(repeated.dropDuplicates(["doc_id", "text"]))

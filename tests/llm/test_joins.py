@@ -98,6 +98,16 @@ def test_one_of_each(odd, rows):
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == want
 
 
+def test_one_of_each_judges_rows_by_their_text(spark, odd, rows):
+    kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(odd).collect()]
+    assert sorted(t or "" for d, t in kept if d is None) == ["", "nobody has these seven words at all"]
+    assert kept.count(tuple(rows[0])) == 1 and (2, "another text of the same id") in kept and tuple(rows[2]) in kept
+    a, b, c = (sentence(random.Random(i), 30) for i in range(3))
+    more = [(7, a), (7, b), (9, b), (None, a + " end"), (None, c), (None, c), (None, c + " end"), (None, ""), (None, "")]
+    kept = sorted((r.doc_id or 0, r.text) for r in jaccard.one_of_each(frame(spark, more)).collect())
+    assert [k for k in kept if k[1] not in (c, c + " end")] == sorted([(0, ""), (0, ""), (7, a), (7, b)]) and len(kept) == 5
+
+
 def test_signature_tree_keeps_all_pairs():
     rng = np.random.default_rng(1)
     base = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in rng.integers(1, 80, 40)]
@@ -214,6 +224,14 @@ def test_decontaminate_odd_rows(spark, odd, empty, rows):
     assert decontaminate.decontaminate(odd, items.limit(0)).count() == odd.count()
 
 
+def test_decontaminate_judges_rows_by_their_text(spark):
+    leak, clean, other = (sentence(random.Random(i), 40) for i in range(3))
+    items = spark.createDataFrame([(1, leak[: len(leak) // 2])], "item_id long, text string")
+    rows = [(None, leak), (None, clean), (None, None), (3, leak), (3, other), (4, clean)]
+    kept = [(r.doc_id, r.text) for r in decontaminate.decontaminate(frame(spark, rows), items).collect()]
+    assert sorted(kept, key=str) == sorted([(None, clean), (None, None), (3, other), (4, clean)], key=str)
+
+
 def cartesian(values, width):
     out, todo = [], [(0, len(values) - 1)]
     while todo:
