@@ -278,6 +278,53 @@ def test_repeated_passages(spark):
     assert all(cut[i] == t for i, t in rows if i in clean) and sum(len(cut[i].split()) < len(t.split()) for i, t in rows) == len({r.doc_id for r in got})
 
 
+def brute_exact(x, y, width):
+    """Places of y that equal runs of width and more with x cover."""
+    runs = {tuple(x[i : i + width]) for i in range(len(x) - width + 1)}
+    return {j + k for j in range(len(y) - width + 1) if tuple(y[j : j + width]) in runs for k in range(width)}
+
+
+@pytest.mark.parametrize("percent", [1, 2, 3, 4, 5])
+def test_exact_runs_between_edits_are_found(percent):
+    rng, seen = np.random.default_rng(percent), 0
+    for _ in range(30):
+        x = rng.integers(-(2**63), 2**63 - 1, 600)
+        y = x.copy()
+        for i in np.flatnonzero(rng.random(600) < percent / 100):
+            if not 270 <= i < 330:
+                y[max(0, i - 4) : i + 1] = rng.integers(-(2**63), 2**63 - 1, i + 1 - max(0, i - 4))  # the shingles of one word
+        y[270:330] = x[270:330]
+        got = {j for s, e, t, u, share in passages.similar_runs(x, y, 46) for j in range(t, u)}
+        assert brute_exact(x.tolist(), y.tolist(), 46) <= got
+        for s, e, t, u, share in passages.similar_runs(x, y, 46):
+            a, b = set(x[s:e].tolist()), set(y[t:u].tolist())
+            assert e - s >= 46 and u - t >= 46 and share == len(a & b) / len(a | b) >= 0.8
+        seen += 1
+    assert seen == 30
+
+
+def test_exact_passage_among_regular_edits(spark):
+    rng = random.Random(11)
+    passage = sentence(rng, 60).split(" ")
+    blocks = [sentence(rng, 28).split(" ") for _ in range(10)]
+    changed = [[*b[:14], "edited%d" % i, *b[15:]] for i, b in enumerate(blocks)]
+    a, b = (sum([*v[:5], passage, *v[5:]], []) for v in (blocks, changed))  # words 140 to 200
+    found = passages.verified(spark.createDataFrame([(1, 2, 0, len(a) - 4, 0, len(b) - 4)], "a long, b long, a0 long, a1 long, b0 long, b1 long"), frame(spark, [(1, " ".join(a)), (2, " ".join(b))])).collect()
+    assert any(r.start <= 140 and r.end >= 200 for r in found)
+
+
+def test_best_runs_are_not_stopped_by_a_short_one():
+    hit = np.array([1] * 40 + [0] * 60 + ([1] * 9 + [0]) * 6, bool)
+    assert any(s >= 100 for s, e in passages.best_runs(hit, 46))
+    hit = np.array([0] * 90 + [1] * 36 + [0] + [1] * 4 + [0] * 3 + [1] * 6 + [0] * 90, bool)
+    assert passages.best_runs(hit, 46)
+
+
+def test_runs_of_one_shingle_are_found():
+    loop = np.full(5000, 7)
+    assert passages.similar_runs(loop, loop, 46)
+
+
 def test_passages_odd_rows(odd, empty):
     assert passages.repeated_passages(odd).count() > 0
     assert passages.repeated_passages(empty).count() == 0
