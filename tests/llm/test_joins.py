@@ -308,7 +308,7 @@ def test_exact_passage_among_regular_edits(spark):
     passage = sentence(rng, 60).split(" ")
     blocks = [sentence(rng, 28).split(" ") for _ in range(10)]
     changed = [[*b[:14], "edited%d" % i, *b[15:]] for i, b in enumerate(blocks)]
-    a, b = (sum([*v[:5], passage, *v[5:]], []) for v in (blocks, changed))  # words 140 to 200
+    a, b = ([w for part in (*v[:5], passage, *v[5:]) for w in part] for v in (blocks, changed))  # words 140 to 200 hold it
     found = passages.verified(spark.createDataFrame([(1, 2, 0, len(a) - 4, 0, len(b) - 4)], "a long, b long, a0 long, a1 long, b0 long, b1 long"), frame(spark, [(1, " ".join(a)), (2, " ".join(b))])).collect()
     assert any(r.start <= 140 and r.end >= 200 for r in found)
 
@@ -320,6 +320,14 @@ def test_best_runs_are_not_stopped_by_a_short_one():
     assert passages.best_runs(hit, 46)
 
 
+def test_second_place_of_a_passage_is_reported():
+    rng = np.random.default_rng(5)
+    x, noise = rng.integers(0, 2**63, 60), rng.integers(0, 2**63, (4, 80))
+    edited = np.concatenate([x[:30], noise[3][:4], x[34:]])
+    y = np.concatenate([noise[0], x, noise[1], edited, noise[2]])
+    assert sorted((t, u) for _, _, t, u, _ in passages.similar_runs(x, y, 46)) == [(80, 140), (220, 280)]
+
+
 def test_runs_of_one_shingle_are_found():
     loop = np.full(5000, 7)
     assert passages.similar_runs(loop, loop, 46)
