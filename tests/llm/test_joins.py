@@ -333,6 +333,17 @@ def test_runs_of_one_shingle_are_found():
     assert passages.similar_runs(loop, loop, 46)
 
 
+def test_truncated_first_copies_hide_no_passage(spark):
+    rng, rows, want = random.Random(21), [], set()
+    for group in range(40):
+        passage, n = sentence(rng, 50).split(" "), len(rows)
+        cut = passage[:40] if group % 2 else passage[10:]
+        rows += [(n + k, " ".join([sentence(rng, 30), *p, sentence(rng, 30)])) for k, p in enumerate((cut, cut[:30], passage, passage))]
+        want.add((n + 3, n + 2))
+    found = passages.repeated_passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.source_id) for r in found if r.start <= 30 and r.end >= 80} == want
+
+
 def test_passages_odd_rows(odd, empty):
     assert passages.repeated_passages(odd).count() > 0
     assert passages.repeated_passages(empty).count() == 0
