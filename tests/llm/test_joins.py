@@ -344,6 +344,13 @@ def test_truncated_first_copies_hide_no_passage(spark):
     assert {(r.doc_id, r.source_id) for r in found if r.start <= 30 and r.end >= 80} == want
 
 
+def test_shifts_on_both_sides_of_a_cell_edge_add_up(spark):
+    place = lambda c, j: c << 34 | j << 30 | 30 << 15 | 30
+    rows = [(1, 5, place(100, 0), 0, 1, place(100, 0), False), (2, 5, place(115, 0), 0, 1, place(100, 0), False), (1, 6, place(110, 1), 0, 1, place(110, 1), False), (2, 6, place(126, 1), 0, 1, place(110, 1), False)]
+    met = spark.createDataFrame(rows, "doc_id long, key long, place long, context long, first_doc long, first_place long, big boolean")
+    assert [tuple(r) for r in passages.near_passages(met).collect()] == [(1, 2, 70, 141, 85, 157)]
+
+
 def test_passages_odd_rows(odd, empty):
     assert passages.repeated_passages(odd).count() > 0
     assert passages.repeated_passages(empty).count() == 0
