@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words of a shingle and the least similarity of near duplicates, as a fraction.
@@ -24,14 +27,22 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 _LENGTH = np.uint64(0xE7037ED1A0B428DB)
 
 
+#: The folders of the tables that materialize has made, as long as they are in use.
+_TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+@cache
+def _test_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="larder-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a master of one machine may do without; it gets a temporary one."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="larder-")
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
+    if not path and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (path or _test_dir()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -42,7 +53,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, work is done once, and lost executors cost nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize made. Nothing that is still to run may read them."""
+    for table in tables:
+        if path := _TABLES.pop(table, None):
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def open_path(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; a path without a scheme is local."""
+    return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}")
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import materialize
+from larder.llm.common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,4 +24,5 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(lowest.select("u", F.col("m").alias("v")))
-        links = materialize(small.distinct(), "links")
+        links, old = materialize(small.distinct(), "links"), links
+        discard(old)

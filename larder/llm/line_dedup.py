@@ -30,7 +30,7 @@ def removed_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     firsts = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1").select("h", "g", "first")
     later = windows.join(firsts, ["h", "g"]).where(at > F.col("first"))
     covered = later.select("doc_id", "__larder_t", F.explode_outer(F.sequence(F.col("pos"), F.col("pos") + (size - 1))).alias("p"))
-    return covered.groupBy("doc_id", "__larder_t").agg(F.array_sort(F.collect_set("p")).alias("removed"))  # lines of one text at most
+    return covered.groupBy("doc_id", "__larder_t").agg(F.collect_set("p").alias("removed"))  # lines of one text at most
 
 
 def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -44,7 +44,8 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     joined = docs.withColumn("__larder_x", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__larder_d")) & (F.col("__larder_x") == F.col("__larder_r")), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__larder_removed", i)), "\n")
+    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__larder_removed")  # by a hash set; in order
+    kept = F.get(F.transform(F.array(lines), lambda all_of: F.array_join(F.transform(stays, lambda i: F.get(all_of, i)), "\n")), F.lit(0))
     return joined.select(
         *own,
         F.when(F.col("__larder_removed").isNull(), F.col("text")).otherwise(kept).alias("text"),

@@ -9,7 +9,9 @@ One file per task: the ids of its documents in a row, in blocks of BLOCK ids. A
 minus that packed in the width that a percentile of the block needs; wider ones stand in the block's exception list of
 places and values. After the blocks come the index of block starts, the documents' ids and the documents' lengths, then
 a footer. A file is complete before it gets its name, and the manifest that the driver writes at commit lists the files
-of the task attempts that won, so a lost executor leaves no trace in what is read.
+of the task attempts that won, so a lost executor leaves no trace in what is read. Each append adds a manifest of its
+own, with the next number; readers take them in order. An overwrite's manifest hides all before it, whose files are
+then deleted. Two writers at once may get the same number; both are read, ordered by name.
 
 Block:  n u16, exceptions u16, width u8, minimum u32 | packed ceil(n * width / 8) bytes | places u16[] | values u32[]
 Footer: blocks u64, documents u64, ids u64, place of the index u64, magic "PFOR1\\0\\0\\0"
@@ -29,7 +31,7 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from larder.llm.common import slices
+from larder.llm.common import open_path, slices
 from larder.llm.tokens import encode_documents, worker_encoder
 
 BLOCK = 4096
@@ -37,7 +39,7 @@ BLOCK = 4096
 PERCENTILE = 0.95
 HEAD, FOOT = struct.Struct("<HHBI"), struct.Struct("<QQQQ8s")
 MAGIC = b"PFOR1\0\0\0"
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
 #: Blocks that a reader decodes at a time.
 READ_BLOCKS = 64
 
@@ -70,8 +72,15 @@ def decode_block(data: memoryview) -> np.ndarray:
     return ids + np.uint32(low)
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}")
+def manifests(store: fs.FileSystem, root: str) -> list[tuple[str, dict]]:
+    """Name and content of the manifests that count, in order."""
+    out: list[tuple[str, dict]] = []
+    for info in sorted(store.get_file_info(fs.FileSelector(root, allow_not_found=True)), key=lambda x: x.base_name):
+        if info.base_name.startswith(MANIFEST) and info.base_name.endswith(".json"):
+            with store.open_input_stream(info.path) as f:
+                content = json.loads(f.read())
+            out = [*([] if content["overwrite"] else out), (info.base_name, content)]
+    return out
 
 
 @dataclass
@@ -83,8 +92,8 @@ class Written(WriterCommitMessage):
 
 
 class PforWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, tokenizer: str | None = None, end_id: int = 1):
-        self.path, self.tokenizer, self.end_id = path, tokenizer, end_id
+    def __init__(self, path: str, tokenizer: str | None = None, end_id: int = 1, overwrite: bool = False):
+        self.path, self.tokenizer, self.end_id, self.overwrite = path, tokenizer, end_id, overwrite
 
     def rows(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         """doc_id, ids in a row and the number of each document's, of rows with ids or with texts to encode."""
@@ -100,7 +109,7 @@ class PforWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        store, root = _open(self.path)
+        store, root = open_path(self.path)
         task = TaskContext.get().partitionId()
         name = f"part-{task:06d}-{uuid.uuid4().hex}.pfor"
         docs, lengths, starts, place = [], [], [], 0
@@ -130,13 +139,23 @@ class PforWriter(DataSourceArrowWriter):
         return Written(task, name, len(count), int(count.sum()))
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, root = _open(self.path)
+        store, root = open_path(self.path)
         files = [vars(m) for m in sorted((m for m in messages if m), key=lambda m: m.task)]
-        with store.open_output_stream(f"{root}/{MANIFEST}") as out:
-            out.write(json.dumps({"files": files}).encode())
+        before = manifests(store, root)
+        number = 1 + max((int(name.split("-")[1]) for name, _ in before), default=-1)
+        name = f"{MANIFEST}{number:08d}-{uuid.uuid4().hex}.json"
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(f"{root}/.{name}") as out:
+            out.write(json.dumps({"overwrite": self.overwrite, "files": files}).encode())
+        store.move(f"{root}/.{name}", f"{root}/{name}")
+        if self.overwrite:
+            for old, content in before:
+                store.delete_file(f"{root}/{old}")
+                for x in content["files"]:
+                    store.delete_file(f"{root}/{x['file']}")
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, root = _open(self.path)
+        store, root = open_path(self.path)
         for m in messages:
             if m:
                 store.delete_file(f"{root}/{m.file}")
@@ -156,17 +175,19 @@ class PforReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[Part]:
-        store, root = _open(self.path)
-        with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-            files = json.loads(f.read())["files"]
+        store, root = open_path(self.path)
+        known = manifests(store, root)
+        if not known:
+            raise FileNotFoundError(f"{self.path} holds no token files")
         parts, start = [], 0
-        for x in files:
-            parts.append(Part(x["file"], start))
-            start += x["ids"]
+        for _, content in known:
+            for x in content["files"]:
+                parts.append(Part(x["file"], start))
+                start += x["ids"]
         return parts
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        store, root = _open(self.path)
+        store, root = open_path(self.path)
         with store.open_input_file(f"{root}/{partition.file}") as f:
             f.seek(f.size() - FOOT.size)
             blocks, documents, ids, place, magic = FOOT.unpack(f.read(FOOT.size))
@@ -207,4 +228,4 @@ class PforSource(DataSource):
         return PforReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> PforWriter:
-        return PforWriter(self.options["path"], self.options.get("tokenizer"), int(self.options.get("end_id", 1)))
+        return PforWriter(self.options["path"], self.options.get("tokenizer"), int(self.options.get("end_id", 1)), overwrite)

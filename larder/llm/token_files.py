@@ -14,10 +14,10 @@ from larder.llm.common import bound_batches, partitions, scratch_path
 from larder.llm.pfor import PforSource
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, mode: str = "append") -> None:
     """Write the token ids of each whole text, end_id after them, in ascending doc_id order as pfor files.
 
-    Null doc_id come first; rows of one doc_id follow each other by the hash of their text; a null text has the end id
+    A second append follows the first; mode "overwrite" replaces what is there. Null doc_id come first; rows of one doc_id follow each other by the hash of their text; a null text has the end id
     alone. An empty table makes files without documents.
     """
     spark = docs.sparkSession
@@ -27,7 +27,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__larder_h"))
     rows = rows.repartitionByRange(partitions(spark), "doc_id", "__larder_h").sortWithinPartitions("doc_id", "__larder_h")
     files = rows.select("doc_id", "text").write.format("pfor").option("tokenizer", tokenizer).option("end_id", end_id)
-    files.mode("append").save(path)
+    files.mode(mode).save(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:

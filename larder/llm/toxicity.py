@@ -1,8 +1,9 @@
-"""Toxicity by a chain of linear classifiers over hashed words.
+"""Toxicity by a chain of linear classifiers over hashed words and word beginnings.
 
 The categories are predicted one after the other. Each link is a logistic model over a text's words and the
 probabilities of the links before it; those it is trained with are out-of-fold, so a link sees its predecessors as they
-will be on new texts. Training takes a bounded sample of labelled rows (TRAINING of them, the smallest by a hash of
+will be on new texts. A word counts by itself and by its first characters (PREFIXES), so a stem is known in inflections
+that the sample lacks. Training takes a bounded sample of labelled rows (TRAINING of them, the smallest by a hash of
 doc_id) and runs as one group per fold; scoring is a map over all texts with the weights broadcast.
 """
 
@@ -12,21 +13,31 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import bound_batches, materialize, slices, word_hashes, words
+from larder.llm.common import bound_batches, discard, materialize, mix, slices, word_hashes, words
 
 #: Most labelled rows to train with, folds, hashed dimensions, texts of the sample that must have a word, passes, and weight decay.
 TRAINING, FOLDS, BITS, LEAST, PASSES, DECAY = 8_000, 3, 18, 5, 150, 1e-4
+#: Lengths of the beginnings of longer words that are features besides the words.
+PREFIXES = (4, 5)
 
 
 def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed words of each text with log counts scaled to the text's length, and where each text's begin."""
+    """Hashed words and word beginnings of each text with log counts scaled to the text's length, and where each text's begin."""
     flat, starts = words(texts)
-    code = (word_hashes(flat) >> np.uint64(64 - bits)).astype(np.int64)
     counts = np.diff(starts)
-    key, n = np.unique(np.repeat(np.arange(len(counts)), counts) << bits | code, return_counts=True)
+    coded = flat.dictionary_encode()
+    names, codes = coded.dictionary, coded.indices.to_numpy()
+    length = pc.utf8_length(names).to_numpy()
+    with np.errstate(over="ignore"):
+        begins = [mix(word_hashes(pc.utf8_slice_codeunits(names, 0, n)) + np.uint64(n)) for n in PREFIXES]
+    table = (np.column_stack([word_hashes(names), *begins]) >> np.uint64(64 - bits)).astype(np.int64)
+    there = np.column_stack([np.ones(len(names), bool), *(length > n for n in PREFIXES)])
+    owner = np.repeat(np.arange(len(counts)), counts)
+    key, n = np.unique((owner[:, None] << bits | table[codes])[there[codes]], return_counts=True)
     owner = key >> bits
     edge = np.searchsorted(owner, np.arange(len(counts) + 1))
     value = np.log1p(n) / np.sqrt(np.maximum(counts, 1.0))[owner] * 10
@@ -88,13 +99,16 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], t
     """One weight vector per category.
 
     Rows without a doc_id, or with a null in any category, are not trained with; of a doc_id's repeated labels the
-    largest counts. Without labelled rows all weights are zero.
+    largest counts, of its repeated rows in docs the text with the least hash, so `training` bounds the sample's rows.
+    Without labelled rows all weights are zero.
     """
     bound_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(F.col(c).cast("double")).alias(f"y_{c}") for c in categories)).dropna()
     order = F.xxhash64(F.lit("training"), "doc_id")
     chosen = materialize(known.orderBy(order, "doc_id").limit(training), "chosen")
     sample = docs.select("doc_id", "text").join(chosen, "doc_id")
+    truth = [f"y_{c}" for c in categories]
+    sample = sample.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), *(F.first(c).alias(c) for c in truth))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -103,8 +117,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], t
             keep = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(at, pa.array(index)), pa.ListArray.from_arrays(at, pa.array(value))], names=[*keep, "index", "value"])
 
-    truth = ", ".join(f"y_{c} double" for c in categories)
-    rows = materialize(sample.mapInArrow(hashed, f"doc_id long, {truth}, index array<long>, value array<double>"), "sample")
+    columns = ", ".join(f"{c} double" for c in truth)
+    rows = materialize(sample.mapInArrow(hashed, f"doc_id long, {columns}, index array<long>, value array<double>"), "sample")
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
     out: list[np.ndarray] = []
     earlier: list[str] = []

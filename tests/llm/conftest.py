@@ -48,4 +48,4 @@ def odd(spark, rows):
 
 @pytest.fixture(scope="session")
 def empty(spark):
-    return frame(spark, []) if False else spark.createDataFrame([], SCHEMA)
+    return spark.createDataFrame([], SCHEMA)

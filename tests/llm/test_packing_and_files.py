@@ -99,6 +99,20 @@ def test_token_files(spark, odd, tmp_path):
     assert [r.start for r in got] == np.cumsum([0, *(len(r.ids) for r in got)])[:-1].tolist()
 
 
+def test_appends_follow_each_other_and_overwrites_replace(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/t"
+    some = docs.where("doc_id < 5")
+    token_files.write_token_files(some, path, WORD)
+    token_files.write_token_files(docs.where("doc_id between 5 and 9"), path, WORD)
+    got = token_files.read_token_files(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == list(range(10))
+    assert [r.start for r in got] == np.cumsum([0, *(len(r.ids) for r in got)])[:-1].tolist()
+    token_files.write_token_files(some, path, WORD, mode="overwrite")
+    assert sorted(r.doc_id for r in token_files.read_token_files(spark, path).collect()) == list(range(5))
+    token_files.write_token_files(docs.where("doc_id = 7"), path, WORD)
+    assert sorted(r.doc_id for r in token_files.read_token_files(spark, path).collect()) == [0, 1, 2, 3, 4, 7]
+
+
 def test_round_trip_digests(docs, rows, empty):
     got = sorted(token_files.round_trip(docs, WORD).collect())
     start = 0

@@ -1,10 +1,14 @@
 import gzip
 import html.parser
+import io
+import os
 import random
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from larder.llm import toxicity, warc
@@ -14,9 +18,13 @@ from .conftest import frame, sentence
 PAGES = "page_id long, url string, html string, header string, block string"
 
 
+#: Character references of each kind: named with and without semicolon, prefixes of names, unknown, numeric, remapped, forbidden, too large.
+REFERENCES = "<title>&Eacute;t&eacute; &amp; &#8217;</title><p>&copy; &middot; &nbsp;&copy2 &notin; &notit; &unknown; &amp;lt; &#65;&#x41;&#X42 &#128;&#150; &#0; &#1; &#xD800; &#99999999999; &#xFFFF; & &; &#; &#x; a&b=c</p>"
+
+
 def pages_rows():
     page = '<!DOCTYPE html><html lang="de"><head><title>A  title\n&amp; more</title><style>p{}</style><script>var t="</p>";</script></head><body><p>One &lt;two&gt; <b>th</b>ree.<br>four<!-- gone <p> --></p><a href="/x">out</a></body></html>'
-    return [(1, "http://a.example/1", page), (2, None, page), (3, "http://b.example", None), (4, "http://c.example", ""), (None, "http://d.example", "plain &amp;amp; text"), (1, "http://a.example/1", page), (6, "http://e.example/ü", "<p>" + "lang ü " * 20000)]
+    return [(1, "http://a.example/1", page), (2, None, page), (3, "http://b.example", None), (4, "http://c.example", ""), (None, "http://d.example", "plain &amp;amp; text"), (1, "http://a.example/1", page), (6, "http://e.example/ü", "<p>" + "lang ü " * 20000), (7, "http://f.example", REFERENCES), (8, "http://g.example", "<x <p> \n \t\n b<!-- <script> --><script>1</script ><SCRIPT>2</SCRIPT>c<br/>\xa0 d")]
 
 
 def frame_of_pages(spark):
@@ -50,11 +58,34 @@ class Visible(html.parser.HTMLParser):
             self.words += data.split()
 
 
-def test_text_agrees_with_a_parser(spark):
-    rows = {r.page_id: r.block for r in warc.page_derivatives(frame_of_pages(spark).where("page_id = 2")).where("record_type = 'conversion'").collect()}
+@pytest.mark.parametrize("page", [pages_rows()[0][2], REFERENCES, "<p>caf&eacute; 3 &lt; 4 &#8212; na&iuml;ve &notit; &amp;copy;</p>"])
+def test_text_agrees_with_a_parser(page):
     parser = Visible()
-    parser.feed(pages_rows()[0][2])
-    assert "".join(rows[2].split()) == "".join(parser.words)
+    parser.feed(page)
+    parser.close()
+    assert "".join(warc.page_text(page).split()) == "".join(parser.words)
+
+
+def test_titles_are_decoded():
+    assert warc.page_title("<title>Fish &amp;\n chips &#8217;n&rsquo;</title>") == "Fish & chips ’n’"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_whole_pages_agree_with_a_parser():
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist():
+        parser = Visible()
+        parser.feed(page)
+        parser.close()
+        assert "".join(warc.page_text(page).split()) == "".join(parser.words)
+
+
+def test_all_source_headers_stay(spark):
+    head = "HTTP/1.1 404 Not Found\r\nServer: a\r\nX-Cache: HIT\r\nX-Cache: again\r\n\r\n"
+    row = spark.createDataFrame([("r", "u", "d", head, None, "kept")], warc.RESPONSE + ", block string")
+    got = warc.derive(row).where("record_type = 'metadata'").first()
+    lines = got.block.split("\r\n")
+    assert "source-status: HTTP/1.1 404 Not Found" in lines
+    assert [x for x in lines if x.startswith("source-header")] == ["source-header: Server: a", "source-header: X-Cache: HIT", "source-header: X-Cache: again"]
 
 
 def test_records_link_and_round_trip(spark, tmp_path):
@@ -66,11 +97,39 @@ def test_records_link_and_round_trip(spark, tmp_path):
     read = warc.read_records(spark, f"file://{tmp_path}/w").collect()
     want = sorted((r.record_id, r.source_id, r.block) for r in made.collect())
     assert sorted((r.headers["warc-record-id"], r.headers["warc-refers-to"], bytes(r.block).decode()) for r in read) == want
+    assert not any(r.problem for r in read)
     sources = {r.record_id for r in warc.responses(frame_of_pages(spark)).collect()}
     assert {r[1] for r in want} == sources
     assert warc.page_derivatives(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def record(block, length=None, extra=b""):
+    return b"WARC/1.1\r\nWARC-Type: response\r\n" + extra + (b"" if length == "" else b"Content-Length: %s\r\n" % str(length or len(block)).encode()) + b"\r\n" + block + b"\r\n\r\n"
+
+
+CASES = {
+    "sound": (record(b"one") + record(b"WARC/1.1 two"), [(b"one", None), (b"WARC/1.1 two", None)]),
+    "cut in a block": (record(b"one") + record(b"x" * 50)[:60], [(b"one", None), (None, "truncated")]),
+    "cut in a header": (record(b"one") + b"WARC/1.1\r\nWARC-Ty", [(b"one", None), (b"", "truncated")]),
+    "no length": (record(b"one", "") + record(b"two"), [(b"one", "length"), (b"two", None)]),
+    "bad length": (record(b"one", "many") + record(b"two"), [(b"one", "length"), (b"two", None)]),
+    "no UTF-8": (record(b"one", extra=b"X-A: \xff\xfe\r\n"), [(b"one", "encoding")]),
+    "empty": (b"", []),
+    "noise": (b"hello\r\n" + record(b"one"), [(b"one", None)]),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_malformed_records_have_an_outcome(name, monkeypatch):
+    monkeypatch.setattr(warc.Unpacked, "PIECE", 7)
+    data, want = CASES[name]
+    for packed in (data, gzip.compress(data), b"".join(gzip.compress(data[i : i + 20]) for i in range(0, len(data), 20))):
+        got = [(block, problem) for _, _, block, problem in warc.parsed_records(io.BytesIO(packed))]
+        assert [g if w[0] is not None else (None, g[1]) for g, w in zip(got, want, strict=True)] == want
+    cut = gzip.compress(record(b"one") + record(random.Random(1).randbytes(400)))[:-60]
+    assert [p for *_, p in warc.parsed_records(io.BytesIO(cut))] == [None, "truncated"]
+
+
 BAD = ["zorkbad", "vilebad", "grimbad"]
 
 
@@ -109,3 +168,6 @@ def test_features_count_each_text_alone():
 
     index, value, edge = toxicity.features(pa.array(["a b b", None, "", "A"]))
     assert np.diff(edge).tolist() == [2, 0, 0, 1] and index[2] in index[:2]
+    index, _, edge = toxicity.features(pa.array(["running", "runnable", "runs"]))
+    assert np.diff(edge).tolist() == [3, 3, 1]  # itself, "runn" and "runni"; "runn" and "runna"
+    assert len(set(index[:3]) & set(index[3:6])) == 1
