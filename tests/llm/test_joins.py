@@ -344,11 +344,73 @@ def test_truncated_first_copies_hide_no_passage(spark):
     assert {(r.doc_id, r.source_id) for r in found if r.start <= 30 and r.end >= 80} == want
 
 
-def test_shifts_on_both_sides_of_a_cell_edge_add_up(spark):
-    place = lambda c, j: c << 34 | j << 30 | 30 << 15 | 30
-    rows = [(1, 5, place(100, 0), 0, 1, place(100, 0), False), (2, 5, place(115, 0), 0, 1, place(100, 0), False), (1, 6, place(110, 1), 0, 1, place(110, 1), False), (2, 6, place(126, 1), 0, 1, place(110, 1), False)]
-    met = spark.createDataFrame(rows, "doc_id long, key long, place long, context long, first_doc long, first_place long, big boolean")
-    assert [tuple(r) for r in passages.near_passages(met).collect()] == [(1, 2, 70, 141, 85, 157)]
+def test_nearby_shifts_add_up(spark):
+    place = lambda c, j: int(passages.packed_place(np.array(c), j, np.array(30), np.array(30)))
+    rows = [(1, 2, place(100, 0), place(115, 0)), (1, 2, place(110, 1), place(126, 1)), (1, 3, place(100, 0), place(115, 0)), (1, 3, place(110, 1), place(160, 1))]
+    pairs = spark.createDataFrame(rows, "a long, b long, p long, q long")
+    assert [tuple(r) for r in passages.joined_intervals(pairs).collect()] == [(1, 2, 70, 141, 85, 157)]
+
+
+def test_places_round_trip():
+    c, back, ahead = np.array([0, 5, 1 << 28]), np.array([0, passages.REACH - 1, 3 * passages.REACH + 1]), np.array([7, passages.REACH, 1 << 27])
+    got = passages.unpacked_place(passages.packed_place(c, 3, back, ahead))
+    assert got[0].tolist() == c.tolist() and got[1].tolist() == [3] * 3
+    assert got[2].tolist() == [0, passages.REACH - 1, 4 * passages.REACH] and got[3].tolist() == [7, passages.REACH, 1 << 27]
+
+
+def test_run_hashes_tell_runs_apart():
+    x = np.random.default_rng(2).integers(0, 3, 4000)
+    got = passages.run_hashes(x, 6).tolist()
+    want = [tuple(x[i : i + 6].tolist()) for i in range(len(x) - 5)]
+    assert len(set(got)) == len(set(want)) == len(set(zip(got, want, strict=True)))
+
+
+def exact_pairs(rows, width=50):
+    """Pairs of ids whose texts share a run of width words, by brute force."""
+    holders = {}
+    for i, t in rows:
+        w = t.lower().split()
+        for k in range(len(w) - width + 1):
+            holders.setdefault(tuple(w[k : k + width]), set()).add(i)
+    return {(min(h), i) for h in holders.values() for i in h if i != min(h)}
+
+
+@pytest.mark.parametrize("hot", [2, 8])
+def test_all_equal_passages_connect(spark, monkeypatch, hot):
+    monkeypatch.setattr(passages, "HOT", hot)
+    rng, rows = random.Random(31), []
+    base = [sentence(rng, 90).split(" ") for _ in range(6)]
+    for _ in range(120):  # cuts of mixed passages that overlap each other in part, some edited
+        w = sentence(rng, rng.randint(0, 20)).split(" ")
+        for _ in range(rng.randint(1, 3)):
+            b = list(rng.choice(base))
+            if rng.random() < 0.3:
+                b[rng.randrange(90)] = "edited%d" % rng.randrange(4)
+            x = rng.randint(0, 40)
+            w += [*b[x : x + rng.randint(30, 70)], *sentence(rng, rng.randint(1, 20)).split(" ")]
+        rows.append((len(rows), " ".join(w)))
+    found = passages.repeated_passages(frame(spark, rows)).collect()
+    group = {r.doc_id: r.group_id for r in found} | {r.source_id: r.group_id for r in found}
+    want = exact_pairs(rows)
+    assert want and all(group[a] == group[b] for a, b in want)
+    assert {b for _, b in want} <= {r.doc_id for r in found}
+    text = dict(rows)
+    for r in found:
+        x, y = (t.lower().split()[s:e] for t, s, e in ((text[r.doc_id], r.start, r.end), (text[r.source_id], r.source_start, r.source_end)))
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x, y))
+        assert r.source_id < r.doc_id and r.similarity == len(x & y) / len(x | y) >= 0.8
+
+
+def test_cut_passages(spark):
+    rows = [(1, "a b  c d\te f g"), (2, "a b"), (3, None), (4, ""), (None, "a b c"), (1, "other text here of six words")]
+    cuts = spark.createDataFrame([(1, 1, 3), (1, 2, 4), (1, 2, 4), (1, 5, 6), (2, 0, 2), (3, 0, 2), (4, 0, 2), (9, 0, 5)], "doc_id long, start long, end long")
+    got = passages.cut_passages(frame(spark, rows), cuts)
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted([("1", "a e g"), ("2", ""), ("3", "None"), ("4", ""), ("None", "a b c"), ("1", "other six")])
+    assert got.columns == frame(spark, rows).columns
+    words = [str(i) for i in range(100_000)]
+    many = spark.createDataFrame([(7, i, i + 50) for i in range(0, 99_000, 100)], "doc_id long, start long, end long")
+    left = passages.cut_passages(frame(spark, [(7, " ".join(words))]), many).first().text.split(" ")
+    assert left == [w for i, w in enumerate(words) if i >= 99_000 or i % 100 >= 50]
 
 
 def test_passages_odd_rows(odd, empty):
