@@ -18,9 +18,9 @@ def half_up(x: Column, places: int = 0) -> Column:
 
 
 def number_text(x: Column, places: int) -> Column:
-    """x with at most so many decimals and no trailing zeros."""
+    """x with at most so many decimals and no trailing zeros; null for null."""
     text = F.format_string(f"%.{places}f", half_up(x, places))
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(x.isNotNull(), F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ""))
 
 
 def fmt_qty(qty: Column) -> Column:
@@ -42,8 +42,35 @@ def fmt_line(qty: Column, unit: Column) -> Column:
 
 
 def fmt_time(minutes: Column) -> Column:
-    """"45 min", and from two hours on rounded hours."""
-    return F.when(minutes >= 120, F.concat(half_up(minutes / 60).cast("long").cast("string"), F.lit(" hr"))).otherwise(F.concat(minutes.cast("string"), F.lit(" min")))
+    """"45 min", and from two hours on rounded hours; null gives an empty text."""
+    text = F.when(minutes >= 120, F.concat(half_up(minutes / 60).cast("long").cast("string"), F.lit(" hr"))).otherwise(F.concat(half_up(minutes.cast("double")).cast("long").cast("string"), F.lit(" min")))
+    return F.coalesce(text, F.lit(""))
+
+
+def _counted(n: Column, one: str, many: str) -> Column:
+    return F.when(n > 0, F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many)))
+
+
+def fmt_keeps(days: Column, months: Column) -> Column:
+    """"4 days · 3 months frozen", of which either half may be missing."""
+    return F.concat_ws(" · ", _counted(days, "day", "days"), _counted(months, "month frozen", "months frozen"))
+
+
+def fmt_rating(rating: Column, count: Column) -> Column:
+    """"4.8★ (24 reviews)"; without a rating over zero an empty text."""
+    stars = F.concat(number_text(rating.cast("double"), 1), F.lit("★"))
+    return F.coalesce(F.when(rating > 0, F.concat_ws(" ", stars, F.concat(F.lit("("), _counted(count, "review", "reviews"), F.lit(")")))), F.lit(""))
+
+
+def fmt_cost(cost: Column) -> Column:
+    return F.when(cost == 0, "$0").otherwise(F.format_string("$%.4f", cost.cast("double")))
+
+
+def fmt_duration(started: Column, finished: Column) -> Column:
+    """"42s", "3m 5s", or "In progress"."""
+    seconds = F.greatest(F.lit(0), half_up((F.unix_micros(finished) - F.unix_micros(started)) / 1e6)).cast("long")
+    long = F.format_string("%dm %ds", F.floor(seconds / 60), seconds % 60)
+    return F.when(finished.isNull(), "In progress").when(seconds < 60, F.format_string("%ds", seconds)).otherwise(long)
 
 
 def alias_key(name: Column) -> Column:

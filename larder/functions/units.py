@@ -67,6 +67,13 @@ def convert(qty: Column, unit: Column, to: Column) -> Column:
     return F.when(unit == to, qty.cast("double")).when(same, qty.cast("double") * lookup(FACTOR, unit) / lookup(FACTOR, to))
 
 
+def to_base(qty: Column, unit: Column) -> Column:
+    """qty and unit in grams, millilitres or the count unit itself; null for unknown spellings."""
+    known = normalize_unit(unit)
+    base = F.when(dimension(known) == "mass", "g").when(dimension(known) == "volume", "ml").otherwise(known)
+    return F.when(known.isNotNull() & qty.isNotNull(), F.struct((qty.cast("double") * lookup(FACTOR, known)).alias("qty"), base.alias("unit"), dimension(known).alias("dimension")))
+
+
 def dimension_key(unit: Column) -> Column:
     """What may merge: "mass", "volume", "count:<unit>", or "unit:<slug>" for an unknown spelling."""
     known = normalize_unit(unit)

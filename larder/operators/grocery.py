@@ -11,19 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.functions.fmt import fmt_line, half_up
-from larder.functions.units import convert, dimension_key, lookup, normalize_unit
+from larder.functions.text import nfkd
+from larder.functions.units import FACTOR, dimension_key, lookup, normalize_unit
 from larder.vocab import AISLES, BATCHES
 
 
 def slug(text: Column) -> Column:
-    """Lower-case words of a raw line joined by dashes, 80 characters at most, "unknown" if nothing is left."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Lower-case words of a raw line joined by dashes, 80 characters at most, "unknown" if nothing is left.
+
+    Accented letters are taken apart, and their marks are dashes: two spellings never share a key by losing letters.
+    """
+    s = F.regexp_replace(F.regexp_replace(nfkd(F.lower(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     s = F.substring(s, 1, 80)
     return F.when(s == "", "unknown").otherwise(s)
 
 
 def identity_key(ingredient_id: Column, raw_text: Column) -> Column:
-    return F.when(ingredient_id.isNotNull(), F.concat(F.lit("ingredient:"), ingredient_id.cast("string"))).otherwise(F.concat(F.lit("raw:"), slug(raw_text)))
+    """The ingredient's id as it is, or the line's own words."""
+    return F.coalesce(ingredient_id.cast("string"), F.concat(F.lit("raw:"), slug(raw_text)))
 
 
 def clamp_batches(batches: Column) -> Column:
@@ -44,7 +49,8 @@ def list_lines(picks: DataFrame, dishes: DataFrame, lines: DataFrame, ingredient
     rows = rows.withColumn("amount", F.col("qty").cast("double") * clamp_batches(F.col("batches"))).withColumn("identity", identity).withColumn("key", key)
     display = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.trim("raw_text"))
     seq = F.row_number().over(Window.partitionBy("list_id").orderBy("pick_order", "position"))  # a list has its picks' lines at most
-    return rows.withColumn("display", display).withColumn("seq", seq)
+    rows = rows.withColumn("canonical", normalize_unit(F.col("unit")))
+    return rows.withColumn("factor", lookup(FACTOR, F.col("canonical"))).withColumn("display", display).withColumn("seq", seq)
 
 
 def buckets(rows: DataFrame) -> DataFrame:
@@ -54,7 +60,7 @@ def buckets(rows: DataFrame) -> DataFrame:
     """
     first = F.struct(F.col("ingredient_id").isNull(), "pick_order", "position")
     titles = F.transform(F.array_sort(F.collect_list(F.struct("seq", "title"))), lambda x: x["title"])
-    amounts = F.array_sort(F.collect_list(F.when(F.col("qty").isNotNull(), F.struct("seq", "amount", normalize_unit(F.col("unit")).alias("unit"), F.col("unit").alias("raw_unit")))))
+    amounts = F.array_sort(F.collect_list(F.when(F.col("qty").isNotNull(), F.struct("seq", "amount", F.col("canonical").alias("unit"), "factor", F.col("unit").alias("raw_unit")))))
     return rows.groupBy("list_id", "key").agg(
         F.min("identity").alias("identity"),
         F.min("seq").alias("ord"),
@@ -69,8 +75,8 @@ def buckets(rows: DataFrame) -> DataFrame:
 
 def fold_unspecified(b: DataFrame) -> DataFrame:
     """Buckets without a quantity fold into the earliest quantified bucket of their identity, where there is one."""
-    host = b.where(F.size("amounts") > 0).groupBy("list_id", "identity").agg(F.min_by("key", "ord").alias("host"))
-    rows = b.join(host, ["list_id", "identity"], "left")
+    first = F.min(F.when(F.size("amounts") > 0, F.struct("ord", "key"))).over(Window.partitionBy("list_id", "identity"))
+    rows = b.withColumn("host", first["key"])
     loose = (F.size("amounts") == 0) & F.col("host").isNotNull()
     rows = rows.withColumn("into", F.when(loose, F.col("host")).otherwise(F.col("key"))).withColumn("loose", loose)
     own = lambda c: F.max(F.when(~F.col("loose"), F.col(c))).alias(c)
@@ -84,15 +90,16 @@ def fold_unspecified(b: DataFrame) -> DataFrame:
 def choose_unit(b: DataFrame) -> DataFrame:
     """qty and unit for print: among the units used, the smallest total of one or more, else the largest total.
 
-    Ties go to the unit used most, then first. Totals add up in order of contribution.
+    Ties go to the unit used most, then first. Totals add up in order of contribution. The lines of a bucket share a
+    dimension, so each converts to each; a line in the unit asked for is taken as it is.
     """
     index = F.transform("amounts", lambda x, i: F.struct(i.alias("i"), x["unit"].alias("unit")))
-    units = F.array_distinct(F.filter(F.transform("amounts", lambda x: x["unit"]), lambda u: u.isNotNull()))
-    total = lambda u: F.aggregate("amounts", F.lit(0.0), lambda acc, x: acc + convert(x["amount"], x["unit"], u))
+    units = F.array_distinct(F.transform(F.filter("amounts", lambda x: x["unit"].isNotNull()), lambda x: F.struct(x["unit"].alias("unit"), x["factor"].alias("factor"))))
+    total = lambda u: F.aggregate("amounts", F.lit(0.0), lambda acc, x: acc + F.when(x["unit"] == u["unit"], x["amount"]).otherwise(x["amount"] * x["factor"] / u["factor"]))
     made = F.transform(units, lambda u: F.struct(
-        F.size(F.filter("amounts", lambda x: x["unit"] == u)).alias("n"),
-        F.array_min(F.transform(F.filter(index, lambda x: x["unit"] == u), lambda x: x["i"])).alias("first"),
-        total(u).alias("total"), u.alias("unit"),
+        F.size(F.filter("amounts", lambda x: x["unit"] == u["unit"])).alias("n"),
+        F.array_min(F.transform(F.filter(index, lambda x: x["unit"] == u["unit"]), lambda x: x["i"])).alias("first"),
+        total(u).alias("total"), u["unit"].alias("unit"),
     ))
     rows = b.withColumn("made", F.filter(made, lambda m: m["total"].isNotNull()))
     usable = F.filter("made", lambda m: m["total"] >= 1)
@@ -123,6 +130,20 @@ def grocery_list(picks: DataFrame, dishes: DataFrame, lines: DataFrame, ingredie
     return items.withColumn("place", F.row_number().over(order)).select("list_id", "place", "key", "name", "aisle", "qty", "unit", "amount", "approximate", "optional", "titles")
 
 
+def count_items(items: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """list_id, items and ticked: a list's lines, and how many of their keys are among checks (list_id, key)."""
+    if checks is None:
+        return items.groupBy("list_id").agg(F.count("*").alias("items"), F.lit(0).cast("long").alias("ticked"))
+    known = checks.select("list_id", "key").distinct().withColumn("ticked", F.lit(True))
+    return items.join(known, ["list_id", "key"], "left").groupBy("list_id").agg(F.count("*").alias("items"), F.count("ticked").alias("ticked"))
+
+
+def total_servings(picks: DataFrame, dishes: DataFrame) -> DataFrame:
+    """list_id and servings of the picks: those of a dish times its batches; a dish without servings adds none."""
+    each = F.coalesce("servings", F.lit(0)) * F.col("batches")
+    return picks.join(dishes.select("dish_id", "servings"), "dish_id").groupBy("list_id").agg(F.sum(each).alias("servings"))
+
+
 def list_text(items: DataFrame) -> DataFrame:
     """list_id and text: a heading per aisle, an item per line."""
     line = F.concat_ws("  ", F.concat(F.lit("[ ] "), F.col("name")), F.nullif("amount", F.lit("")))

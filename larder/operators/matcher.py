@@ -18,12 +18,27 @@ def trigrams(text: Column) -> Column:
 
 
 def similar_names(names: DataFrame, aliases: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
-    """name, alias, ingredient_id, similarity over threshold: an inverted join on trigrams, no pair is compared that shares none."""
-    left = names.select("name", F.size(trigrams(F.col("name"))).alias("n"), F.explode(trigrams(F.col("name"))).alias("g"))
-    right = aliases.select("alias", "ingredient_id", F.size(trigrams(F.col("alias"))).alias("m"), F.explode(trigrams(F.col("alias"))).alias("g"))
-    both = left.join(right, "g").groupBy("name", "alias", "ingredient_id").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
-    similarity = (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).cast("float")
-    return both.withColumn("similarity", similarity).where(F.col("similarity").cast("double") > threshold).select("name", "alias", "ingredient_id", "similarity")
+    """name, alias, ingredient_id, similarity over threshold.
+
+    Of n trigrams, rare ones first, two names whose similarity is t or more share one of the first n - ceil(t * n) + 1
+    of each, and their sizes differ by 1 / t at most. Pairs that meet both are compared, as 32-bit floats.
+    """
+    left = names.select("name").distinct().withColumn("t", trigrams(F.col("name"))).where(F.size("t") > 0)
+    right = aliases.select("alias", "ingredient_id").distinct().withColumn("t", trigrams(F.col("alias"))).where(F.size("t") > 0)
+    counts = right.select(F.explode("t").alias("g")).groupBy("g").agg(F.count("*").alias("c"))  # as many as there are trigrams
+
+    def prefixes(df: DataFrame, keys: list[str]) -> DataFrame:
+        rows = df.select(*keys, F.size("t").alias("n"), F.explode("t").alias("g")).join(counts, "g", "left")
+        ranked = rows.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "g"))).alias("r"))  # one name's
+        size = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
+        return ranked.select(*keys, "n", F.explode(F.slice("r", F.lit(1), F.least(size, F.col("n")))).alias("x")).select(*keys, "n", "x.g")
+
+    x, y = prefixes(left, ["name"]), prefixes(right, ["alias", "ingredient_id"]).withColumnRenamed("n", "m")
+    near = x.join(y, "g").where(F.least("n", "m") >= F.greatest("n", "m") * F.lit(threshold) - 1e-9).select("name", "alias", "ingredient_id").distinct()
+    both = near.join(left, "name").withColumnRenamed("t", "a").join(right.withColumnRenamed("t", "b"), ["alias", "ingredient_id"])
+    k = F.size(F.array_intersect("a", "b"))
+    both = both.withColumn("similarity", (k / (F.size("a") + F.size("b") - k)).cast("float"))
+    return both.where(F.col("similarity").cast("double") > threshold).select("name", "alias", "ingredient_id", "similarity")
 
 
 def match(names: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.stem import lexemes, query_lexemes
 from larder.vocab import CATEGORIES, LIMIT_DEFAULT, LIMIT_MAX, NEUTRAL_SCORE, RELAXATION_ROUNDS, TAGS, WIDEN
 
 
@@ -75,10 +76,10 @@ def _any_of(tags: Sequence[str]) -> Column:
     return F.coalesce(F.arrays_overlap(F.col("tags"), F.array(*map(F.lit, tags))), F.lit(False))
 
 
-def criteria(f: Filter, lexemes: str = "lexemes", stem=None) -> list[Criterion]:
+def criteria(f: Filter, column: str = "lexemes", stem=query_lexemes) -> list[Criterion]:
     """The filter's criteria in a fixed order. Ingredient clauses read the column ingredient_names, see with_names.
 
-    A term matches when it has lexemes and all of them are in the lexemes column; stem turns a term into lexemes.
+    A term matches when it has lexemes and all of them are in the column of lexemes; stem turns a term into lexemes.
     """
     c, out = F.col, []
     for key, clause in (
@@ -100,13 +101,17 @@ def criteria(f: Filter, lexemes: str = "lexemes", stem=None) -> list[Criterion]:
         if clause is not None:
             out.append(Criterion(key, clause))
     for term in f.terms:
-        words = stem(term) if stem else term.split()
-        out.append(Criterion(f"term:{term}", _all_lexemes(words, lexemes)))
+        out.append(Criterion(f"term:{term}", _all_lexemes(stem(term), column)))
     return out
 
 
-def _all_lexemes(words: Sequence[str], lexemes: str) -> Column:
-    return F.size(F.array_except(F.array(*map(F.lit, words)), F.col(lexemes))) == 0 if words else F.lit(False)
+def with_lexemes(dishes: DataFrame) -> DataFrame:
+    """dishes with lexemes, the stems of title and blurb, which terms are looked up in. Where dishes are stored, store it with them."""
+    return dishes.withColumn("lexemes", lexemes(F.concat_ws(" ", "title", "blurb")))
+
+
+def _all_lexemes(words: Sequence[str], column: str) -> Column:
+    return F.size(F.array_except(F.array(*map(F.lit, words)), F.col(column))) == 0 if words else F.lit(False)
 
 
 def with_names(dishes: DataFrame, lines: DataFrame, f: Filter) -> DataFrame:
@@ -180,7 +185,7 @@ class Answer:
     terms_union: bool
 
 
-def search(dishes: DataFrame, lines: DataFrame, f: Filter, order: list[Column] | None = None, limit: int | None = None, stem=None) -> Answer:
+def search(dishes: DataFrame, lines: DataFrame, f: Filter, order: list[Column] | None = None, limit: int | None = None, stem=query_lexemes) -> Answer:
     """Search, then widen: any term instead of all, then up to two used rungs of the ladder until a dish is found.
 
     Rows are counted against the filter as it was asked, whatever has been relaxed. An empty filter is not relaxed.

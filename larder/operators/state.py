@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,9 +23,9 @@ def replace_children(old: DataFrame, new: DataFrame, parent: list[str], parents:
 
 
 def save_picks(old: DataFrame, changes: DataFrame) -> DataFrame:
-    """Batches change, saved_at of a kept pick doesn't; null batches remove the pick."""
-    rows = old.alias("o").join(changes.alias("c"), ["user_id", "dish_id"], "full_outer")
-    named = F.col("c.saved_at").isNotNull()
+    """Batches change, saved_at of a kept pick doesn't; null batches remove the pick. A change need not tell when it was made."""
+    rows = old.alias("o").join(changes.withColumn("named", F.lit(True)).alias("c"), ["user_id", "dish_id"], "full_outer")
+    named = F.col("c.named").isNotNull()
     rows = rows.where(~named | F.col("c.batches").isNotNull())
     return rows.select("user_id", "dish_id", F.when(named, F.col("c.batches")).otherwise(F.col("o.batches")).alias("batches"), F.coalesce("o.saved_at", "c.saved_at").alias("saved_at"))
 
@@ -36,24 +37,44 @@ def own_column(old: DataFrame, new: DataFrame, key: str, column: str) -> DataFra
     return rows.select(key, F.coalesce(f"n.{column}", f"o.{column}").alias(column), *rest).select(old.columns)
 
 
-#: Columns that the content of a dish determines, and those derived later, which a changed dish loses.
-DERIVED = ("blurb", "category")
+#: Columns that are derived from the content of a dish, which a changed dish loses.
+DERIVED = ("blurb", "keeps_days", "freezer_months", "category", "tags", "rejection_reason")
 
 
 def upsert_dishes(old: DataFrame, drafts: DataFrame) -> DataFrame:
-    """State after drafts (source_url, content_hash, title, seen_at) with outcome: inserted, unchanged, updated or kept.
+    """State after drafts (source_url, content_hash, seen_at and content columns) with outcome: inserted, unchanged, updated or kept.
 
-    The same hash touches last_seen only; another one replaces the content, resets what was derived and makes the dish pending.
+    The same hash touches last_seen only; another one replaces the content columns that the drafts have, resets what
+    was derived (tags to none, the rest to null) and makes the dish pending. A stored dish may lack a hash. Where the
+    children of updated dishes are kept in a table, replace_children takes those whose outcome is inserted or updated.
     """
-    rows = old.alias("o").join(drafts.alias("d"), "source_url", "full_outer")
-    there, came = F.col("o.content_hash").isNotNull(), F.col("d.content_hash").isNotNull()
-    outcome = F.when(~came, "kept").when(~there, "inserted").when(F.col("o.content_hash") == F.col("d.content_hash"), "unchanged").otherwise("updated")
+    rows = old.withColumn("there", F.lit(True)).alias("o").join(drafts.withColumn("came", F.lit(True)).alias("d"), "source_url", "full_outer")
+    same = F.col("o.content_hash").eqNullSafe(F.col("d.content_hash"))
+    outcome = F.when(F.col("d.came").isNull(), "kept").when(F.col("o.there").isNull(), "inserted").when(same, "unchanged").otherwise("updated")
     fresh = outcome.isin("inserted", "updated")
-    derived = [F.when(~fresh, F.col(f"o.{c}")).alias(c) for c in DERIVED]
-    return rows.select(
-        "source_url", F.coalesce("d.content_hash", "o.content_hash").alias("content_hash"), F.when(fresh, F.col("d.title")).otherwise(F.col("o.title")).alias("title"), *derived,
-        F.when(fresh, "pending").otherwise(F.col("o.status")).alias("status"), F.coalesce("o.first_seen_at", "d.seen_at").alias("first_seen_at"), F.coalesce("d.seen_at", "o.last_seen_at").alias("last_seen_at"), outcome.alias("outcome"),
-    )
+    fixed = {
+        "source_url": F.col("source_url"), "content_hash": F.when(fresh, F.col("d.content_hash")).otherwise(F.col("o.content_hash")), "status": F.when(fresh, "pending").otherwise(F.col("o.status")),
+        "first_seen_at": F.coalesce("o.first_seen_at", "d.seen_at"), "last_seen_at": F.coalesce("d.seen_at", "o.last_seen_at"),
+    }
+    kinds, columns = dict(old.dtypes), []
+    for c in old.columns:
+        reset = F.array().cast(kinds[c]) if c == "tags" else F.lit(None).cast(kinds[c])
+        other = F.when(fresh, reset).otherwise(F.col(f"o.{c}")) if c in DERIVED else F.when(fresh, F.col(f"d.{c}")).otherwise(F.col(f"o.{c}")) if c in drafts.columns else F.col(f"o.{c}")
+        columns.append(fixed.get(c, other).alias(c))
+    return rows.select(*columns, outcome.alias("outcome"))
+
+
+def touch(old: DataFrame, seen: DataFrame) -> DataFrame:
+    """Dishes that were seen again (source_url, seen_at, etag, last_modified): later last_seen_at, and validators where they came."""
+    rows = old.alias("o").join(seen.alias("s"), "source_url", "left")
+    new = {"last_seen_at": F.coalesce("s.seen_at", "o.last_seen_at"), "page_etag": F.coalesce("s.etag", "o.page_etag"), "page_last_modified": F.coalesce("s.last_modified", "o.page_last_modified")}
+    return rows.select(*(new.get(c, F.col("source_url") if c == "source_url" else F.col(f"o.{c}")).alias(c) for c in old.columns))
+
+
+def unchanged_pages(old: DataFrame, seen: DataFrame) -> DataFrame:
+    """source_url and outcome of pages that answered "not modified": touched where the dish is stored, else retry, since nothing is held of it."""
+    known = old.select("source_url").withColumn("there", F.lit(True))
+    return seen.join(known, "source_url", "left").select("source_url", F.when(F.col("there"), "touched").otherwise("retry").alias("outcome"))
 
 
 def compare_and_set(old: DataFrame, changes: DataFrame) -> DataFrame:
@@ -67,8 +88,20 @@ def compare_and_set(old: DataFrame, changes: DataFrame) -> DataFrame:
 ALPHABET = "0123456789abcdefghjkmnpqrstvwxyz"
 
 
+def _code(h: Column) -> Column:
+    return F.concat(*(F.substring(F.lit(ALPHABET), (F.shiftrightunsigned(h, 5 * k).bitwiseAND(31) + 1).cast("int"), F.lit(1)) for k in range(8)))
+
+
 def share_codes(ids: DataFrame, column: str = "id") -> DataFrame:
-    """A code of eight characters per id, the same each time: five bits of a hash per character."""
-    h = F.xxhash64(column)
-    chars = [F.substring(F.lit(ALPHABET), (F.shiftrightunsigned(h, 5 * k).bitwiseAND(31) + 1).cast("int"), F.lit(1)) for k in range(8)]
-    return ids.select(column, F.concat(*chars).alias("share_code"))
+    """A code of eight characters per id, unique and the same each time: five bits of a hash per character.
+
+    Ids whose codes are the same are told apart by their order: all but the first hash again with a number, until no
+    code comes twice. Of n ids about n * n / 2^41 need that, so the rounds are few and small.
+    """
+    rows = ids.select(column).distinct().withColumn("turn", F.lit(0))
+    while True:
+        rows = rows.withColumn("share_code", _code(F.when(F.col("turn") == 0, F.xxhash64(column)).otherwise(F.xxhash64(column, "turn"))))
+        place = F.row_number().over(Window.partitionBy("share_code").orderBy("turn", column))
+        if rows.groupBy("share_code").count().where("count > 1").isEmpty():
+            return rows.select(column, "share_code")
+        rows = rows.withColumn("turn", F.when(place > 1, F.col("turn") + 1).otherwise(F.col("turn"))).drop("share_code")

@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.functions import fmt, units
+from larder.functions.text import stable_hash
 from larder.functions.urls import canonical_url
 from larder.operators import checks, grocery, matcher, rules, runs, scoring, search
-from larder.plans.catalogue import duck, load, view
+from larder.plans.catalogue import load, view
+from larder.registry import ORACLE_SQL, QUERIES, query
 from larder.sources.pages import dedupe_by_url
 from larder.vocab import AISLES, MIN_RATED
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = duck(sql)
-        return f
-
-    return register
-
-
 def searched(spark: SparkSession, sf: str, f: search.Filter) -> DataFrame:
     dishes = search.with_names(view(spark, sf, "dishes"), view(spark, sf, "dish_lines"), f)
     found = search.criteria(f)
@@ -79,7 +65,12 @@ def _(spark, sf):
 TIGHT = search.Filter(max_minutes=9, min_keeps_days=5, freezer_only=True, any_tags=["Slow cooker"], exclude_tags=["Slow cooker"])
 
 
-@query("X29_relaxation")
+_TOLD = "[('min_keeps_days', 'dropped'), ('freezer_only', 'dropped'), ('any_tags', 'dropped')]"
+_TIGHT_COUNT = "(coalesce(total_minutes <= 9, false)::INT + coalesce(keeps_days >= 5, false)::INT + coalesce(freezer_months > 0, false)::INT + list_contains(tags, 'Slow cooker')::INT + (NOT list_contains(tags, 'Slow cooker'))::INT)"
+
+
+@query("X29_relaxation", f"""SELECT dish_id, match_count::INT AS match_count, {_TOLD!r} AS relaxed FROM (SELECT dish_id, {_TIGHT_COUNT} AS match_count, published_at, first_seen_at, source_rating
+  FROM dishes WHERE total_minutes <= 9 AND NOT list_contains(tags, 'Slow cooker')) ORDER BY match_count DESC, {_ORDER} LIMIT 50""".replace(repr(_TOLD), "'" + _TOLD.replace("'", "''") + "'"))
 def _(spark, sf):
     dishes = view(spark, sf, "dishes").withColumn("score", F.lit(None).cast("float"))
     answer = search.search(dishes, view(spark, sf, "dish_lines"), TIGHT)
@@ -135,7 +126,7 @@ def _(spark, sf):
 
 _LINES = f""", rows AS (
   SELECT p.*, o.title, l.position, l.raw_text, l.ingredient_id, l.qty, l.unit, l.optional, i.name, i.aisle,
-    CASE WHEN l.ingredient_id IS NOT NULL THEN 'ingredient:' || l.ingredient_id ELSE 'raw:' || trim(regexp_replace(lower(l.raw_text), '[^a-z0-9]+', '-', 'g'), '-') END AS identity,
+    CASE WHEN l.ingredient_id IS NOT NULL THEN l.ingredient_id::VARCHAR ELSE 'raw:' || trim(regexp_replace(replace(replace(lower(l.raw_text), 'â', 'a~'), 'é', 'e~'), '[^a-z0-9]+', '-', 'g'), '-') END AS identity,
     row_number() OVER (PARTITION BY p.list_id ORDER BY pick_order, l.position) AS seq
   FROM (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY saved_at, dish_id) AS pick_order FROM picks) p
   JOIN orders_as_dishes o USING (dish_id) JOIN order_lines l USING (dish_id) LEFT JOIN ingredients i USING (ingredient_id)),
@@ -164,10 +155,34 @@ def _(spark, sf):
     return b.select("list_id", "key", "identity", F.col("ord").cast("long").alias("ord"), "name", "aisle", F.col("t").alias("titles"), F.size("amounts").cast("long").alias("n"), F.round(total, 6).alias("amount"), "approximate", "optional")
 
 
-@query("A17A18_grocery_list")
+_FACTORS = "MAP {" + ", ".join(f"'{u}': {f!r}::DOUBLE" for u, f in units.FACTOR.items()) + "}"
+_GLYPH = " ".join(f"WHEN abs(r - {v!r}) <= 0.02 THEN w || '{g}'" for v, g in fmt.GLYPHS)
+_AISLE_LIST = "[" + ", ".join(f"'{a}'" for a in AISLES) + "]"
+_LIST = f"""{_LINES}, used AS (SELECT *, {_UNIT} AS canonical FROM keyed),
+bucket AS (SELECT list_id, key, min(identity) AS identity, min(seq) AS ord,
+  (array_agg(coalesce(nullif(trim(name), ''), trim(raw_text)) ORDER BY ingredient_id IS NULL, pick_order, position))[1] AS name,
+  (array_agg(aisle ORDER BY ingredient_id IS NULL, pick_order, position))[1] AS aisle, list(title ORDER BY seq) AS titles,
+  count(qty) AS n, bool_or(qty IS NULL) AS approximate, bool_and(optional) AS optional FROM used GROUP BY list_id, key),
+hosts AS (SELECT list_id, identity, arg_min(key, ord) AS host FROM bucket WHERE n > 0 GROUP BY list_id, identity),
+moved AS (SELECT b.*, CASE WHEN b.n = 0 AND h.host IS NOT NULL THEN h.host ELSE b.key END AS goes, b.n = 0 AND h.host IS NOT NULL AS loose FROM bucket b LEFT JOIN hosts h USING (list_id, identity)),
+titled AS (SELECT list_id, key, string_agg(title, '|' ORDER BY i) AS titles FROM (
+  SELECT list_id, key, title, min(i) AS i FROM (SELECT list_id, goes AS key, unnest(titles) AS title, (loose::INT * 1000000 + ord) * 10000 + generate_subscripts(titles, 1) AS i FROM moved) GROUP BY ALL) GROUP BY list_id, key),
+folded AS (SELECT list_id, goes AS key, max(identity) FILTER (NOT loose) AS identity, max(ord) FILTER (NOT loose) AS ord, max(name) FILTER (NOT loose) AS name, max(aisle) FILTER (NOT loose) AS aisle, sum(n) AS n,
+  bool_or(approximate OR loose) AS approximate, bool_and(optional) AS optional FROM moved GROUP BY list_id, goes),
+asked AS (SELECT list_id, key, canonical AS unit, count(*) AS n, min(seq) AS first FROM used WHERE qty IS NOT NULL AND canonical IS NOT NULL GROUP BY ALL),
+totals AS (SELECT a.*, (SELECT list_sum(list(CASE WHEN u.canonical = a.unit THEN u.amount ELSE u.amount * {_FACTORS}[u.canonical] / {_FACTORS}[a.unit] END ORDER BY u.seq)) FROM used u WHERE u.list_id = a.list_id AND u.key = a.key AND u.qty IS NOT NULL) AS total FROM asked a),
+chosen AS (SELECT list_id, key, unit, total FROM totals QUALIFY row_number() OVER (PARTITION BY list_id, key ORDER BY total < 1, CASE WHEN total >= 1 THEN round(total, 9) ELSE -round(total, 9) END, n DESC, first) = 1),
+raws AS (SELECT list_id, key, sum(amount) AS total, arg_min(coalesce(unit, ''), seq) AS unit FROM used WHERE qty IS NOT NULL GROUP BY ALL),
+items AS (SELECT f.*, t.titles, coalesce(CASE WHEN list_contains({_AISLE_LIST}, f.aisle) THEN f.aisle END, 'Other') AS shelf, CASE WHEN f.n > 0 THEN coalesce(c.total, r.total) END AS qty, CASE WHEN f.n > 0 THEN coalesce(c.unit, r.unit) END AS unit
+  FROM folded f JOIN titled t USING (list_id, key) LEFT JOIN chosen c USING (list_id, key) LEFT JOIN raws r USING (list_id, key))
+SELECT list_id, key, name, shelf AS aisle, round(qty, 6) AS qty, unit, approximate OR n = 0 AS approximate, optional, titles,
+  row_number() OVER (PARTITION BY list_id ORDER BY list_position({_AISLE_LIST}, shelf), lower(strip_accents(name)), ord) AS place FROM items"""
+
+
+@query("A17A18_grocery_list", _LIST)
 def _(spark, sf):
     items = grocery.grocery_list(*(view(spark, sf, v) for v in ("picks", "orders_as_dishes", "order_lines", "ingredients")))
-    return items.withColumn("titles", F.array_join("titles", "|"))
+    return items.drop("amount").withColumn("titles", F.array_join("titles", "|")).withColumn("qty", F.round("qty", 6)).withColumn("place", F.col("place").cast("long"))
 
 
 @query("O7_aisle_order", "SELECT ingredient_id, coalesce(list_position([" + ", ".join(f"'{a}'" for a in AISLES) + "], aisle) - 1, 10)::BIGINT AS walk FROM ingredients")
@@ -262,9 +277,9 @@ def _(spark, sf):
     return load(spark, sf, "part").select(fmt.alias_key(F.col("p_name")).alias("alias")).distinct()
 
 
-@query("X16_content_hash", "SELECT doc_id, sha256(concat_ws('|', doc_id, lang, source, text)) AS content_hash FROM documents")
+@query("X16_content_hash", """SELECT doc_id, sha256(concat('{"doc_id":', coalesce(doc_id::VARCHAR, 'null'), ',"lang":', coalesce('"' || nullif(lang, 'de') || '"', 'null'), ',"n_chars":', coalesce(n_chars::VARCHAR, 'null'), ',"source":', coalesce('"' || nullif(source, 'src1') || '"', 'null'), '}')) AS content_hash FROM documents""")
 def _(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", "text"), 256).alias("content_hash"))
+    return load(spark, sf, "documents").select("doc_id", stable_hash(source=F.nullif("source", F.lit("src1")), lang=F.nullif("lang", F.lit("de")), doc_id=F.col("doc_id"), n_chars=F.col("n_chars")).alias("content_hash"))
 
 
 _TRIGRAMS = """, grams AS (SELECT name, unnest(list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN generate_series(1, length(w) + 1)] FOR w IN string_split(lower(name), ' ')]))) AS g FROM (SELECT DISTINCT p_name AS name FROM part)),
@@ -279,9 +294,16 @@ def _(spark, sf):
     return near.select("name", "alias", F.round(F.col("similarity").cast("double"), 6).alias("similarity"))
 
 
-@query("X13_canonical_url", "SELECT p_partkey, 'https://example.com/p/' || p_partkey || '?a=' || p_size || '&b=2' AS url_key FROM part")
+_KEY = "CASE p_partkey % 6 WHEN 0 THEN 'https://example.com/p/' || p_partkey || '?a=' || p_size || '&b=2' WHEN 1 THEN 'https://example.com/' WHEN 2 THEN 'https://example.com:8080/X' WHEN 3 THEN 'no url ' || p_partkey WHEN 4 THEN 'https://example.com/a//b?a=1&a=0&z=' ELSE NULL END"
+
+
+@query("X13_canonical_url", f"SELECT p_partkey, {_KEY} AS url_key FROM part")
 def _(spark, sf):
-    url = F.concat(F.lit(" HTTP://www.Example.com/p/"), F.col("p_partkey"), F.lit("/?utm_source=x&b=2&ref=y&a="), F.col("p_size"), F.lit("#top"))
+    shapes = [
+        F.concat(F.lit(" HTTP://www.Example.com/p/"), F.col("p_partkey"), F.lit("/?UTM_Source=x&b=2&ref=y&fbclid2=q&a="), F.col("p_size"), F.lit("#top")),
+        F.lit("http://EXAMPLE.com:80"), F.lit("https://www.example.com:8080/X/?gclid=1"), F.concat(F.lit("no url "), F.col("p_partkey")), F.lit("https://example.com:443/a//b//?z=&a=1&a=0&mc_eid=5"), F.lit(None).cast("string"),
+    ]
+    url = F.get(F.array(*shapes), (F.col("p_partkey") % 6).cast("int"))
     return load(spark, sf, "part").select("p_partkey", canonical_url(url).alias("url_key"))
 
 
@@ -304,9 +326,14 @@ def _(spark, sf):
     return runs.rollup(runs.latest_runs(rows))
 
 
-@query("Q1_dish_violations", "SELECT dish_id, 'minutes_order' AS rule FROM dishes WHERE active_minutes > total_minutes")
+@query("Q1_dish_violations", """SELECT dish_id, unnest(list_filter([CASE WHEN dish_id % 4 = 0 THEN 'tags_known' END, CASE WHEN dish_id % 6 = 0 AND category IS NOT NULL THEN 'category_known' END,
+  CASE WHEN source_rating * 2 > 5 THEN 'rating_range' END, CASE WHEN active_minutes * 3 > total_minutes THEN 'minutes_order' END], lambda x: x IS NOT NULL)) AS rule FROM dishes""")
 def _(spark, sf):
-    return checks.violations(view(spark, sf, "dishes"), "dish_id", checks.dish_rules())
+    spoiled = view(spark, sf, "dishes").withColumns({
+        "tags": F.when(F.col("dish_id") % 4 == 0, F.array_append("tags", F.lit("Secret"))).otherwise(F.col("tags")), "category": F.when((F.col("dish_id") % 6 == 0) & F.col("category").isNotNull(), "Cake").otherwise(F.col("category")),
+        "source_rating": F.col("source_rating") * 2, "active_minutes": F.col("active_minutes") * 3,
+    })
+    return checks.violations(spoiled, "dish_id", checks.dish_rules())
 
 
 @query("Q2_repeated_names", "SELECT p_name, count(*)::BIGINT AS n FROM part WHERE p_name IS NOT NULL GROUP BY p_name HAVING count(*) > 1")

@@ -15,7 +15,10 @@ ITEM = "url string, published_at timestamp, title string, ord int"
     ("url", "want"),
     [
         ("http://www.A.com/x/?b=1&a=2&utm_medium=m#f", "https://a.com/x?a=2&b=1"),
-        ("https://a.com/", "https://a.com"),
+        ("https://a.com/", "https://a.com/"),
+        ("http://a.com:80?UTM_Source=x&Ref=y", "https://a.com/"),
+        ("https://WWW.a.com:443/b?fbclidX=1&refer=2", "https://a.com/b?refer=2"),
+        ("http://a.com:8080/b//", "https://a.com:8080/b"),
         ("https://a.com/X?b=2&b=1&gclid=3", "https://a.com/X?b=2&b=1"),
         ("not a url", "not a url"),
         (None, None),

@@ -70,10 +70,11 @@ def test_state(spark):
     picks = "user_id long, dish_id long, batches int, saved_at int"
     got = state.save_picks(spark.createDataFrame([(1, 1, 1, 5), (1, 2, 1, 6)], picks), spark.createDataFrame([(1, 1, 3, 9), (1, 2, None, 9), (1, 3, 2, 9)], picks))
     assert rows(got) == [(1, 1, 3, 5), (1, 3, 2, 9)]
-    old = spark.createDataFrame([("u1", "h1", "t", "b", "Soup", "active", 1, 1), ("u2", "h2", "t", "b", "Soup", "active", 1, 1)], "source_url string, content_hash string, title string, blurb string, category string, status string, first_seen_at int, last_seen_at int")
-    drafts = spark.createDataFrame([("u1", "h1", "t", 2), ("u2", "new", "T", 2), ("u3", "h3", "n", 2)], "source_url string, content_hash string, title string, seen_at int")
+    assert rows(state.save_picks(spark.createDataFrame([(1, 1, 1, 5)], picks), spark.createDataFrame([(1, 1, 4, None)], picks))) == [(1, 1, 4, 5)]
+    old = spark.createDataFrame([("u0", None, "t", "b", "Soup", "active", 1, 1), ("u1", "h1", "t", "b", "Soup", "active", 1, 1), ("u2", "h2", "t", "b", "Soup", "active", 1, 1)], "source_url string, content_hash string, title string, blurb string, category string, status string, first_seen_at int, last_seen_at int")
+    drafts = spark.createDataFrame([("u0", "h0", "T", 2), ("u1", "h1", "t", 2), ("u2", "new", "T", 2), ("u3", "h3", "n", 2)], "source_url string, content_hash string, title string, seen_at int")
     got = {r.source_url: (r.outcome, r.status, r.blurb, r.first_seen_at, r.last_seen_at) for r in state.upsert_dishes(old, drafts).collect()}
-    assert got == {"u1": ("unchanged", "active", "b", 1, 2), "u2": ("updated", "pending", None, 1, 2), "u3": ("inserted", "pending", None, 2, 2)}
+    assert got == {"u0": ("updated", "pending", None, 1, 2), "u1": ("unchanged", "active", "b", 1, 2), "u2": ("updated", "pending", None, 1, 2), "u3": ("inserted", "pending", None, 2, 2)}
     codes = state.share_codes(spark.range(1000)).collect()
     assert len({r.share_code for r in codes}) == 1000 and all(len(r.share_code) == 8 and set(r.share_code) <= set(state.ALPHABET) for r in codes)
 

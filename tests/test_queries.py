@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from larder import queries
+from larder import queries, queries_app, queries_text  # noqa: F401  they register themselves
 
 SF = os.environ.get("LARDER_TEST_SF", "/root/testdata/sf0.001")
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations", "pages", "benchmark")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
