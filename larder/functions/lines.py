@@ -1,11 +1,13 @@
 """Ingredient lines: free text into quantity, unit, name and notes, and names that may stand for the same thing.
 
-parse_lines works in steps of DataFrame columns, each a regular expression or a look-up, so no line leaves the JVM but
-those with character references.
+parse_lines works in steps, each a regular expression or a look-up, so no line leaves the JVM but those with character
+references.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,25 @@ def _measure(words: Column) -> Column:
     return F.when((words != "") & (normalize_unit(bare).isNotNull() | F.lower(bare).isin(*MEASURES)), bare)
 
 
+def _words(text: Column, n: int) -> Column:
+    """The first n words as they stand; empty if there are fewer."""
+    return F.regexp_extract(text, r"^\S+" + r"\s+\S+" * (n - 1), 0)
+
+
+def _note(n: Column) -> Column:
+    return _tidy(F.regexp_replace(F.regexp_replace(F.regexp_replace(n, OPTIONAL, ""), r"\$\d+(?:\.\d+)?\**", ""), r"^\*+|\*+$", ""))
+
+
+def _bound(state: Column, fields: list[str], name: str, value: Callable[[Column], Column]) -> Column:
+    """state, a struct of fields, with the field name made of them.
+
+    The state is the argument of a lambda, so it is computed once however often its fields are used. As columns of
+    their own, steps would be put into each other by every filter that is pushed below them.
+    """
+    kept = [f for f in fields if f != name]
+    return F.get(F.transform(F.array(state), lambda s: F.struct(*(s[f].alias(f) for f in kept), value(s).alias(name))), F.lit(0))
+
+
 def parse_lines(df: DataFrame, column: str = "raw_text", into: str = "parsed") -> DataFrame:
     """df with a struct of qty, unit (as written), name, note and optional; null for lines without text.
 
@@ -69,50 +90,47 @@ def parse_lines(df: DataFrame, column: str = "raw_text", into: str = "parsed") -
     stays in the name. A size in parentheses may stand before the unit; other groups, what follows a comma or
     semicolon, and closing phrases such as "to taste" are notes, each once whatever its case.
     """
-    t = lambda name: F.col(f"__larder_{name}")
-    steps: list[tuple[str, Column]] = [
-        ("text", F.nullif(clean_text(F.col(column)), F.lit(""))),
-        ("atom", F.regexp_extract(t("text"), _QUANTITY, 1)),
-        ("qty", F.when(t("atom") != "", _amount(F.trim(t("atom"))))),
-        ("qty", F.when(t("qty") > 0, t("qty"))),
-        ("rest", F.when(t("qty").isNotNull(), F.ltrim(F.substr(t("text"), F.length(F.regexp_extract(t("text"), _QUANTITY, 0)) + 1))).otherwise(t("text"))),
-        ("lead", F.regexp_extract(t("rest"), rf"^(?:{_GROUP}\s*+)+", 0)),
-        ("rest", F.substr(t("rest"), F.length(t("lead")) + 1)),
-        ("word", F.regexp_extract(t("rest"), r"^([A-Za-z]+)\s+", 1)),
-        ("after", F.when(F.lower(t("word")).isin(*MODIFIERS), F.ltrim(F.substr(t("rest"), F.length(t("word")) + 1)))),
-        ("two", F.regexp_extract(t("after"), r"^\S+\s+\S+", 0)),
-        ("one", F.regexp_extract(t("after"), r"^\S+", 0)),
-        ("modified", _measure(t("two")).isNotNull() | _measure(t("one")).isNotNull()),
-        ("rest", F.when(t("modified"), t("after")).otherwise(t("rest"))),
-        ("two", F.regexp_extract(t("rest"), r"^\S+\s+\S+", 0)),
-        ("one", F.regexp_extract(t("rest"), r"^\S+", 0)),
-        ("unit2", _measure(t("two"))),
-        ("unit", F.coalesce(t("unit2"), _measure(t("one")))),
-        ("taken", F.when(t("unit2").isNotNull(), t("two")).when(t("unit").isNotNull(), t("one"))),
-        ("rest", F.when(t("unit").isNotNull(), F.regexp_replace(F.ltrim(F.substr(t("rest"), F.length(t("taken")) + 1)), r"(?i)^of\b\s*", "")).otherwise(t("rest"))),
-        ("head", F.regexp_extract(t("rest"), rf"^(?:[^(]|{_GROUP})*+", 0)),  # up to an unbalanced parenthesis
-        ("bare", _tidy(F.concat(F.regexp_replace(t("head"), _GROUP, " "), F.substr(t("rest"), F.length(t("head")) + 1)))),
-        ("pieces", F.filter(F.transform(F.split(t("bare"), r"\s*[,;]\s*"), lambda x: F.trim(x)), lambda x: x != "")),
-        ("first", F.coalesce(F.get(t("pieces"), F.lit(0)), t("text"))),
-        ("suffix", F.regexp_extract(t("first"), SUFFIX, 1)),
-        ("name", _tidy(F.when(t("suffix") != "", F.regexp_replace(t("first"), SUFFIX, "")).otherwise(t("first")))),
-        ("notes", F.concat(
-            _inner(F.regexp_extract_all(t("lead"), F.lit(f"({_GROUP})"))), F.when(t("modified"), F.array(t("word"))).otherwise(F.array().cast("array<string>")),
-            _inner(F.regexp_extract_all(t("head"), F.lit(f"({_GROUP})"))), F.slice(t("pieces"), F.lit(2), F.greatest(F.size(t("pieces")), F.lit(1))), F.array(t("suffix")),
+    steps: list[tuple[str, Callable[[Column], Column]]] = [
+        ("atom", lambda s: F.regexp_extract(s["text"], _QUANTITY, 1)),
+        ("qty", lambda s: F.when(s["atom"] != "", _amount(F.trim(s["atom"])))),
+        ("qty", lambda s: F.when(s["qty"] > 0, s["qty"])),
+        ("rest", lambda s: F.when(s["qty"].isNotNull(), F.ltrim(F.substr(s["text"], F.length(F.regexp_extract(s["text"], _QUANTITY, 0)) + 1))).otherwise(s["text"])),
+        ("lead", lambda s: F.regexp_extract(s["rest"], rf"^(?:{_GROUP}\s*+)+", 0)),
+        ("rest", lambda s: F.substr(s["rest"], F.length(s["lead"]) + 1)),
+        ("word", lambda s: F.regexp_extract(s["rest"], r"^([A-Za-z]+)\s+", 1)),
+        ("after", lambda s: F.when(F.lower(s["word"]).isin(*MODIFIERS), F.ltrim(F.substr(s["rest"], F.length(s["word"]) + 1)))),
+        ("modified", lambda s: _measure(_words(s["after"], 2)).isNotNull() | _measure(_words(s["after"], 1)).isNotNull()),
+        ("rest", lambda s: F.when(s["modified"], s["after"]).otherwise(s["rest"])),
+        ("two", lambda s: _measure(_words(s["rest"], 2))),
+        ("unit", lambda s: F.coalesce(s["two"], _measure(_words(s["rest"], 1)))),
+        ("taken", lambda s: F.when(s["two"].isNotNull(), _words(s["rest"], 2)).when(s["unit"].isNotNull(), _words(s["rest"], 1))),
+        ("rest", lambda s: F.when(s["unit"].isNotNull(), F.regexp_replace(F.ltrim(F.substr(s["rest"], F.length(s["taken"]) + 1)), r"(?i)^of\b\s*", "")).otherwise(s["rest"])),
+        ("head", lambda s: F.regexp_extract(s["rest"], rf"^(?:[^(]|{_GROUP})*+", 0)),  # up to an unbalanced parenthesis
+        ("bare", lambda s: _tidy(F.concat(F.regexp_replace(s["head"], _GROUP, " "), F.substr(s["rest"], F.length(s["head"]) + 1)))),
+        ("pieces", lambda s: F.filter(F.transform(F.split(s["bare"], r"\s*[,;]\s*"), lambda x: F.trim(x)), lambda x: x != "")),
+        ("first", lambda s: F.coalesce(F.get(s["pieces"], F.lit(0)), s["text"])),
+        ("suffix", lambda s: F.regexp_extract(s["first"], SUFFIX, 1)),
+        ("name", lambda s: _tidy(F.when(s["suffix"] != "", F.regexp_replace(s["first"], SUFFIX, "")).otherwise(s["first"]))),
+        ("notes", lambda s: F.concat(
+            _inner(F.regexp_extract_all(s["lead"], F.lit(f"({_GROUP})"))), F.when(s["modified"], F.array(s["word"])).otherwise(F.array().cast("array<string>")),
+            _inner(F.regexp_extract_all(s["head"], F.lit(f"({_GROUP})"))), F.slice(s["pieces"], F.lit(2), F.greatest(F.size(s["pieces"]), F.lit(1))), F.array(s["suffix"]),
         )),
-        ("notes", F.transform(F.flatten(F.transform(t("notes"), lambda n: F.split(n, r"\s*[,;]\s*"))), lambda n: _tidy(F.regexp_replace(F.regexp_replace(F.regexp_replace(n, OPTIONAL, ""), r"\$\d+(?:\.\d+)?\**", ""), r"^\*+|\*+$", "")))),
-        ("notes", F.filter(t("notes"), lambda n: n != "")),
-        ("lower", F.transform(t("notes"), lambda n: F.lower(n))),
-        ("notes", F.filter(t("notes"), lambda n, i: F.array_position(t("lower"), F.lower(n)) == i + 1)),
+        ("notes", lambda s: F.transform(F.flatten(F.transform(s["notes"], lambda n: F.split(n, r"\s*[,;]\s*"))), _note)),
+        ("notes", lambda s: F.filter(s["notes"], lambda n: n != "")),
+        ("lower", lambda s: F.transform(s["notes"], lambda n: F.lower(n))),
+        ("notes", lambda s: F.filter(s["notes"], lambda n, i: F.array_position(s["lower"], F.lower(n)) == i + 1)),
     ]
-    out = df
+    state = F.struct(F.col("__larder_text").alias("text"))
+    fields = ["text"]
     for name, value in steps:
-        out = out.withColumn(f"__larder_{name}", value)
-    made = F.struct(
-        t("qty").alias("qty"), t("unit").alias("unit"), F.coalesce(F.nullif(t("name"), F.lit("")), t("text")).alias("name"),
-        F.nullif(F.array_join(t("notes"), "; "), F.lit("")).alias("note"), t("text").rlike(OPTIONAL).alias("optional"),
-    )
-    return out.withColumn(into, F.when(t("text").isNotNull(), made)).drop(*{f"__larder_{n}" for n, _ in steps})
+        state = _bound(state, fields, name, value)
+        fields = [*(f for f in fields if f != name), name]
+    made = _bound(state, fields, "made", lambda s: F.struct(
+        s["qty"].alias("qty"), s["unit"].alias("unit"), F.coalesce(F.nullif(s["name"], F.lit("")), s["text"]).alias("name"),
+        F.nullif(F.array_join(s["notes"], "; "), F.lit("")).alias("note"), s["text"].rlike(OPTIONAL).alias("optional"),
+    ))["made"]
+    rows = df.withColumn("__larder_text", F.nullif(clean_text(F.col(column)), F.lit("")))
+    return rows.withColumn(into, F.when(F.col("__larder_text").isNotNull(), made)).drop("__larder_text")
 
 
 # Words that tell how a thing was bought, cut or written down, not what it is.

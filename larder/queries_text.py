@@ -151,7 +151,7 @@ def _(spark, sf):
     return load(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", text.bounded_text(F.col("text"), 60).alias("text"))
 
 
-_TAGLESS = "replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '(?is)<(script|style)\\b[^>]*>.*?</(script|style)\\s*>', ' ', 'g'), '<!--[^>]*-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '&amp;', '&')"
+_TAGLESS = "replace(replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '(?is)<(script|style)\\b[^>]*>.*?</(script|style)\\s*>', ' ', 'g'), '<!--[^>]*-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '&quot;', '\"'), '&amp;', '&')"
 
 
 @query("X15_clean_pages", f"SELECT page_id, md5({_TAGLESS}) AS digest FROM pages")
