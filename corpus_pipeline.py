@@ -1,4 +1,8 @@
-"""A corpus from documents to packed sequences, stage by stage."""
+"""A corpus from documents to packed sequences, stage by stage.
+
+Every stage takes documents with doc_id, text and any other columns, and all but the last return the same columns. Rows
+without a doc_id, with a null or empty text, and repeated rows are defined for each; an empty table passes through all.
+"""
 
 from __future__ import annotations
 
@@ -12,29 +16,37 @@ from larder.llm.tokens import tokenizer_path
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain doesn't reject."""
+    """Documents that the classifier chain doesn't reject, row by row. Null and empty texts are never rejected; repeated rows get one answer."""
     chain = toxicity.train_chain(docs, table(spark, sf_dir, "labels"), CATEGORIES)
     return toxicity.score_texts(docs, chain, CATEGORIES).where("NOT rejected").select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of three-line windows that came before; n_chars follows the text."""
+    """All documents, without the lines of three-line windows that came before; n_chars follows the text.
+
+    Documents come in the order of doc_id, rows without one first, rows of one doc_id by the hash of their text. Null
+    texts stay null with null n_chars; a text all of whose lines go is empty; equal rows lose the same lines.
+    """
     kept = line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
     return kept.select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
+    """One document of each group of near duplicates, the one with the smallest doc_id.
+
+    Rows without a doc_id come after all others; of rows equal in doc_id and text one stays. Null texts and texts
+    without words are in no group and all stay.
+    """
     return jaccard.one_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item, each row by its own text; null and empty texts and items contain and match nothing."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all kept documents into sequences of at most 4096 tokens."""
+    """Pack all kept documents into sequences of at most 4096 tokens; a null or empty text is its end token, repeated rows are packed each."""
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
