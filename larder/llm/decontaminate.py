@@ -1,10 +1,11 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame functions only.
 
 An item is contained in a text when at least 4/5 of the item's distinct five-word shingles are in it. Items are
-partitioned by their number of shingles, and each partition has its own sketch size: of an item with n shingles, of
-which `need` must be found, the n - need + 1 with the smallest hashes. A text that holds `need` of n shingles must hold
-one of any n - need + 1, so no contained item is missed; the sketch bounds only how many texts are verified. Texts with
-fewer shingles than a partition's least need are no candidates in it. Candidates are verified on the exact shingles.
+partitioned by their number n of shingles, [2^k, 2^(k+1)) each. An item's sketch has the hashes of its n - need + 1
+shingles that the fewest items have, then those with the least hashes, where `need` of n must be found: a text that
+holds `need` of them must hold one of any n - need + 1, so no contained item is missed, and the sketch bounds only how
+many texts are verified. Texts with fewer words than a partition's least need are no candidates in it. Each candidate
+text is read once, whatever the number of its items, and its shingles are compared as strings.
 """
 
 from __future__ import annotations
@@ -50,9 +51,11 @@ def item_sketches(items: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataF
     """item_id, n, need, partition (of sizes n in [2^k, 2^(k+1))) and h, one row for each hash of the item's sketch."""
     a, b = similar
     keyed = items.withColumn("__larder_item", F.struct("item_id", F.xxhash64("text")))  # repeated ids are items of their own
-    sets = shingle_rows(keyed, "__larder_item").groupBy("__larder_item").agg(F.array_sort(F.collect_set("h")).alias("h")).withColumn("n", F.size("h"))  # one item's shingles
+    rows = shingle_rows(keyed, "__larder_item").select("__larder_item", "h").distinct()
+    rows = rows.join(rows.groupBy("h").agg(F.count("*").alias("c")), "h")
+    sets = rows.groupBy("__larder_item").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("s")).withColumn("n", F.size("s"))  # one item's shingles
     sets = sets.withColumn("need", F.ceil(F.col("n") * a / b).cast("int")).withColumn("partition", F.floor(F.log2("n")).cast("int"))
-    return sets.select("__larder_item.item_id", "n", "need", "partition", F.explode_outer(F.slice("h", F.lit(1), F.col("n") - F.col("need") + 1)).alias("h"))
+    return sets.select("__larder_item.item_id", "n", "need", "partition", F.explode_outer(F.slice("s", F.lit(1), F.col("n") - F.col("need") + 1)).alias("x")).select("item_id", "n", "need", "partition", "x.h")
 
 
 def candidates(docs: DataFrame, items: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -68,18 +71,19 @@ def contained_items(docs: DataFrame, items: DataFrame, similar: tuple[int, int]
     """doc_id, item_id, n_shared, n_shingles (of the item) and containment of each item that a text contains.
 
     Null and empty texts and items contain nothing and are contained nowhere; a text or item of fewer than five words
-    has one shingle, all of them. Texts of one doc_id count together, as do those of one item_id; rows without an id
-    are compared as well, under a null id.
+    has one shingle, all of them. Texts of one doc_id count together, as do those of one item_id, if one of them has the
+    words that a containment needs; rows without an id are compared as well, under a null id.
     """
     found = materialize(candidates(docs, items, similar), "candidates")
-    texts = docs.select("doc_id", "text").join(found, docs["doc_id"].eqNullSafe(found["doc_id"])).select(found["doc_id"], "item_id", "text")
-    own = shingle_sets(items.where(F.col("text").isNotNull()), "b", "item_id").withColumnRenamed("item_id", "__larder_item")
-    pairs = shingle_sets(texts, "a", "doc_id", "item_id").join(own, F.col("item_id").eqNullSafe(F.col("__larder_item")))
-    pairs = pairs.select("doc_id", "item_id", F.size(F.array_intersect("a", "b")).cast("long").alias("n_shared"), F.size("b").cast("long").alias("n_shingles"))
+    ids = found.select(F.col("doc_id").alias("__larder_doc")).distinct()
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__larder_doc")), "left_semi")
+    held = shingle_sets(texts, "s", "doc_id").select("doc_id", F.explode("s").alias("s")).distinct()
+    own = shingle_sets(items, "s", "item_id").select("item_id", F.explode("s").alias("s")).distinct()
+    sizes = own.groupBy("item_id").agg(F.count("*").alias("n_shingles")).withColumnRenamed("item_id", "__larder_item")
+    shared = held.join(own, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     a, b = similar
-    pairs = pairs.where(b * F.col("n_shared") >= a * F.col("n_shingles"))
-    best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", "n_shingles")).alias("x"))
-    return best.select("doc_id", "item_id", "x.n_shared", "x.n_shingles", (F.col("x.n_shared") / F.col("x.n_shingles")).alias("containment"))
+    pairs = shared.join(sizes, F.col("item_id").eqNullSafe(F.col("__larder_item"))).where(b * F.col("n_shared") >= a * F.col("n_shingles"))
+    return pairs.select("doc_id", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:

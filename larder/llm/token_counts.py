@@ -9,6 +9,7 @@ the table only saves time: counts never depend on it.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +73,18 @@ class PreTokenCounter:
         return sum(got)
 
 
+#: The counter of this Python worker, which Spark uses for many tasks, by the name of its table.
+_COUNTERS: dict[str, PreTokenCounter] = {}
+
+
+def worker_counter(name: str, path: str, table) -> PreTokenCounter:
+    """The worker's counter for the broadcast table of that name; what it remembers lasts from task to task."""
+    if name not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[name] = PreTokenCounter(path, table.value)
+    return _COUNTERS[name]
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, table: dict[str, int] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every whole text.
 
@@ -84,11 +97,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, table: dict
         pieces = {p for w in words for p in regex.findall(PATTERN, " " + w)}
         names = sorted(pieces)
         table = dict(zip(names, PreTokenCounter(tokenizer, {}).lengths(names), strict=True))
-    sent = spark.sparkContext.broadcast(table)
+    sent, name = spark.sparkContext.broadcast(table), uuid.uuid4().hex
     bound_batches(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PreTokenCounter(tokenizer, sent.value)
+        counter = worker_counter(name, tokenizer, sent)
         for batch in slices(batches):
             n = [counter.count(t) if t else 0 for t in batch.column("text").to_pylist()]
             size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())

@@ -74,3 +74,27 @@ def test_packing(stages, spark):
     folder, seen, _ = stages
     check_packed(seen[4][2].collect(), pairs(seen[4][1]), 4096)
     assert corpus_pipeline.run(spark, folder).agg(F.sum("length")).first() == seen[4][2].agg(F.sum("length")).first()
+
+
+def write_tables(spark, folder, docs):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "no such words in any of them"), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_odd_rows_and_clashing_columns_pass_through_all_stages(spark, odd, tmp_path):
+    write_tables(spark, tmp_path, odd)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == odd.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()} and len([r for r in packed if r.piece == 0]) == docs.count()
+    assert docs.where("text IS NULL").count() == odd.where("text IS NULL").count()
+
+
+def test_an_empty_corpus_gives_no_sequences(spark, empty, tmp_path):
+    write_tables(spark, tmp_path, empty)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
