@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, jaccard, line_dedup, merkle, packing, passages, token_counts, token_files, toxicity, warc
+from larder.llm import alignment, decontaminate, jaccard, line_dedup, merkle, packing, passages, personal, spelling, token_counts, token_files, toxicity, warc
 from larder.llm.tokens import tokenizer_path
 
 
@@ -58,9 +58,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_digests(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_best_fit_packing, op2_ngram_jaccard_join, op3_document_fingerprints, op4_token_counts, op5_toxicity,
     op6_warc_derivatives, op7_benchmark_decontamination, op8_token_files, op9_line_dedup, op10_substring_dedup,
+    op11_spelling_variants, op12_tokenizer_alignment, op13_personal_data,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {
