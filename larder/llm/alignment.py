@@ -6,14 +6,15 @@ numbers the groups. Every end of either stream is the end of exactly one overlap
 which are open there, so the next token of each stream at or after an end, which a window over the same order carries
 along, gives all links and no pair twice, however many tokens a group has.
 
-All of it runs within partitions to which whole documents were dealt once, as text. How often ids are linked corpus-wide
-is counted by partition first, and only distinct pairs of a partition move: to their sums, and back with them.
+All of it runs within buckets of whole documents, which never move: their tokens are written once, bucketed by runs of
+rows. How often ids are linked corpus-wide is counted with partial sums, so only distinct pairs of a task move.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain, pairwise
@@ -21,15 +22,15 @@ from itertools import chain, pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larder.llm.common import bound_batches, materialize, partitions, ragged
+from larder.llm.common import bound_batches, drop_table, materialize, partitions, ragged, scratch_path, slices
 
-#: Bits of a token's code, and of its number of bytes within. Bytes of text of a partition.
+#: Bits of a token's code, and of its number of bytes within. Bytes of text of a part, and buckets of a table at most.
 BITS, LENGTH_BITS = 31, 11
-PART_BYTES = 2 << 20
+PART_BYTES, MOST_BUCKETS = 2 << 20, 50_000
 #: Pairs of linked ids whose counts are broadcast at most; more are joined.
 SENT_PAIRS = 1 << 20
 #: Pieces of texts that a worker remembers before it starts again.
@@ -64,14 +65,14 @@ class TokenPair:
         self.spell_a = [b"" if i in special else bytes(to_byte[c] for c in names.get(i, "")) for i in range(1 + max(names))]
         pieces = ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
         self.spell_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
-        self.code_a, self.code_b = (np.array([i << LENGTH_BITS | len(w) for i, w in enumerate(x)], np.int64) for x in (self.spell_a, self.spell_b))
+        self.code_a, self.code_b = (np.array([i << LENGTH_BITS | len(w) for i, w in enumerate(x)], np.int32) for x in (self.spell_a, self.spell_b))
         if max(map(len, self.spell_a + self.spell_b)) >= 1 << LENGTH_BITS or max(map(len, (self.spell_a, self.spell_b))) > 1 << (BITS - LENGTH_BITS):
             raise ValueError("a token or a vocabulary is too long for its code")
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.fits, self.a_codes, self.b_codes = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.fits, self.a_codes, self.b_codes = np.zeros(0, bool), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.a_starts = self.b_starts = np.zeros(1, np.int64)
 
     def learn(self, pieces: list[str]) -> None:
@@ -88,12 +89,11 @@ class TokenPair:
         self.a_codes, self.a_starts = np.concatenate([self.a_codes, self.code_a[flat(ids_a)]]), ends(self.a_starts, ids_a)
         self.b_codes, self.b_starts = np.concatenate([self.b_codes, self.code_b[flat(ids_b)]]), ends(self.b_starts, ids_b)
 
-    def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of all texts in a row, and where each text's begin; none unless both tokenizers spell the text.
+    def codes(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By A and by B the codes of all texts in a row, and where each text's begin; none unless both spell the text.
 
-        A number has A's code at a place in its low bits and B's above, 0 where one has no more tokens. Tokens of either
-        never span a space between two characters other than white space, so what is between such spaces is encoded
-        once and remembered; other texts are encoded whole.
+        Tokens of either never span a space between two characters other than white space, so what is between such
+        spaces is encoded once and remembered; other texts are encoded whole.
         """
         if len(self.known) > REMEMBERED:
             self.forget()
@@ -114,12 +114,7 @@ class TokenPair:
         empty = (pc.binary_length(texts).to_numpy() == 0) | (misfits[starts[1:]] > misfits[starts[:-1]])
         taken = ~np.repeat(empty, np.diff(starts))
         pieces, starts = pieces[taken], np.concatenate([[0], np.cumsum(np.diff(starts) * ~empty)])
-        both = [_gather(codes, at, pieces, starts) for codes, at in ((self.a_codes, self.a_starts), (self.b_codes, self.b_starts))]
-        sizes = np.maximum(*(np.diff(s) for _, s in both))
-        out, begin = np.zeros(sizes.sum(), np.int64), np.concatenate([[0], np.cumsum(sizes)])
-        for shift, (codes, own) in enumerate(both):
-            out[np.arange(len(codes)) + np.repeat(begin[:-1] - own[:-1], np.diff(own))] |= codes << (shift * BITS)
-        return out, begin
+        return [_gather(codes, at, pieces, starts) for codes, at in ((self.a_codes, self.a_starts), (self.b_codes, self.b_starts))]
 
 
 def _gather(codes: np.ndarray, at: np.ndarray, pieces: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,47 +130,52 @@ def worker_pair(path_a: str, path_b: str) -> TokenPair:
     return TokenPair(path_a, path_b)
 
 
-def token_codes(path_a: str, path_b: str):
-    """The Arrow function from a text to its tokens by both, see TokenPair.codes."""
+def token_table(docs: DataFrame, path_a: str, path_b: str) -> str:
+    """Write part, row, doc_id and the codes a and b of every row of docs (doc_id, text) as a table; returns its name.
 
-    @F.arrow_udf("array<bigint>")
-    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    A part is a run of rows of about PART_BYTES. The table is bucketed by part, so documents need not move to be aligned.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    seen = docs.agg(F.sum(F.octet_length("text")).alias("s"), F.count("*").alias("n")).first()
+    size, n = seen["s"] or 0, seen["n"]
+    parts = size // PART_BYTES + 1
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("row", "doc_id", "text", F.expr(f"row div {n // parts + 1}").alias("part"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = worker_pair(path_a, path_b)
-        for batch in texts:
-            codes, starts = pair.codes(batch)
-            yield ragged(codes, starts, pa.int64())
+        for batch in slices(batches):
+            a, b = (ragged(codes, starts, pa.int32()) for codes, starts in pair.codes(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("row"), batch.column("doc_id"), a, b], names=["part", "row", "doc_id", "a", "b"])
 
-    return encode
+    name = f"larder_tokens_{uuid.uuid4().hex}"
+    coded = rows.mapInArrow(encode, "part long, row long, doc_id long, a array<int>, b array<int>")
+    coded.write.bucketBy(int(min(parts, MOST_BUCKETS)), "part").option("path", scratch_path(spark, name)).option("compression", "zstd").saveAsTable(name)
+    return name
 
 
-def aligned_tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """One row for each link, and one with nulls for a document without tokens.
+def aligned_tokens(tokens: DataFrame) -> DataFrame:
+    """One row for each link of the rows of a token_table, and one with nulls for a document without tokens.
 
-    row names the document's row among docs, so repeated rows and null ids are aligned each. finish is the link's end in
+    part and row name the document's row, so repeated rows and null ids are aligned each. finish is the link's end in
     bytes of space+text, a and b the ids, kind 0 if A's token alone ends there, 1 if B's, 2 at a cut, and later the
     number of cuts at or after it, which is the same for all links of a group.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    texts = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    size = texts.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
-    parts = max(size // PART_BYTES + 1, min(partitions(spark), size // (PART_BYTES // 8) + 1))
-    texts = texts.repartition(int(parts), "row").sortWithinPartitions("row")
-    coded = texts.select("row", "doc_id", token_codes(path_a, path_b)("text").alias("codes"))
-    tokens = coded.select("row", "doc_id", F.posexplode_outer("codes").alias("at", "both"))
-    n_bytes = lambda shift: F.shiftright("both", shift).bitwiseAND((1 << LENGTH_BITS) - 1)
-    id_ = lambda shift: F.shiftright("both", shift + LENGTH_BITS).bitwiseAND((1 << (BITS - LENGTH_BITS)) - 1).cast("int")
-    own = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    ends = tokens.select("row", "doc_id", "both", F.sum(n_bytes(0)).over(own).alias("end_a"), F.sum(n_bytes(BITS)).over(own).alias("end_b"))
-    side = lambda shift, end, of_a, of_b: F.struct(F.when(n_bytes(shift) > 0, F.col(end)).alias("finish"), of_a.cast("int").alias("of_a"), of_b.cast("int").alias("of_b"))
-    sides = F.array(side(0, "end_a", id_(0), F.lit(None)), side(BITS, "end_b", F.lit(None), id_(BITS)))
-    sided = ends.select("row", "doc_id", F.inline(sides)).where("finish IS NOT NULL OR of_a IS NULL AND of_b IS NULL")
-    met = sided.groupBy("row", "doc_id", "finish").agg(F.max("of_a").alias("of_a"), F.max("of_b").alias("of_b"))
+    tokens = tokens.select("part", "row", "doc_id", F.posexplode_outer(F.arrays_zip("a", "b")).alias("at", "t")).select("part", "row", "doc_id", "at", "t.a", "t.b")
+    n_bytes = lambda c: F.coalesce(F.col(c).bitwiseAND((1 << LENGTH_BITS) - 1), F.lit(0))
+    own = Window.partitionBy("part", "row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = tokens.select("part", "row", "doc_id", "at", "a", "b", F.sum(n_bytes("a")).over(own).alias("end_a"), F.sum(n_bytes("b")).over(own).alias("end_b"))
+    side = lambda end, code, of_a, of_b: F.struct(F.when(F.col(code).isNotNull(), F.col(end).cast("int")).alias("finish"), of_a.cast("int").alias("of_a"), of_b.cast("int").alias("of_b"))
+    id_ = lambda c: F.shiftright(c, LENGTH_BITS)
+    sides = F.array(side("end_a", "a", id_("a"), F.lit(None)), side("end_b", "b", F.lit(None), id_("b")))
+    sided = ends.select("part", "row", "doc_id", "at", F.inline(sides)).where("finish IS NOT NULL OR at IS NULL")
+    met = sided.groupBy("part", "row", "doc_id", "finish").agg(F.max("of_a").alias("of_a"), F.max("of_b").alias("of_b"))
     cut = F.col("of_a").isNotNull() & F.col("of_b").isNotNull()
-    back = Window.partitionBy("row").orderBy(F.col("finish").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("part", "row").orderBy(F.col("finish").desc()).rowsBetween(Window.unboundedPreceding, 0)
     kind = F.when(cut, 2).when(F.col("of_b").isNotNull(), 1).when(F.col("of_a").isNotNull(), 0)
     open_ = lambda c: F.last(c, ignorenulls=True).over(back)
-    return met.select("row", "doc_id", "finish", open_("of_a").alias("a"), open_("of_b").alias("b"), kind.cast("byte").alias("kind"), F.sum(cut.cast("int")).over(back).alias("later"))
+    return met.select("part", "row", "doc_id", "finish", open_("of_a").alias("a"), open_("of_b").alias("b"), kind.cast("byte").alias("kind"), F.sum(cut.cast("int")).over(back).alias("later"))
 
 
 def groups_text(a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> str:
@@ -231,8 +231,11 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, sent_pairs: int =
     each. An empty table gives no rows; columns besides doc_id and text are ignored. With more than sent_pairs distinct
     linked pairs of ids, their counts are joined by pair and part of the documents instead of broadcast.
     """
-    tokens = aligned_tokens(docs, path_a, path_b).sortWithinPartitions("row", F.col("finish").desc())
-    whole = materialize(tokens.drop("later").mapInArrow(_digest, _DIGEST), "aligned")
+    spark = docs.sparkSession
+    name = token_table(docs, path_a, path_b)
+    tokens = aligned_tokens(spark.table(name)).sortWithinPartitions("part", "row", F.col("finish").desc())
+    whole = materialize(tokens.drop("part", "later").mapInArrow(_digest, _DIGEST), "aligned", compression="zstd")
+    drop_table(spark, name)
     links = whole.select("row", F.explode(F.arrays_zip("a", "b")).alias("p")).select("row", "p.a", "p.b")
     counts = materialize(links.groupBy("a", "b").agg(F.count("*").alias("count")), "counts")
     best = counts.groupBy("b").agg(F.max("count").alias("most"))
@@ -240,7 +243,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, sent_pairs: int =
     if counts.count() <= sent_pairs:
         scored = links.join(F.broadcast(known), ["a", "b"])
     else:  # no pair is so frequent that its links in one part are many
-        parts = F.pmod(F.xxhash64("row"), F.lit(16 * partitions(docs.sparkSession))).alias("part")
+        parts = F.pmod(F.xxhash64("row"), F.lit(16 * partitions(spark))).alias("part")
         links = links.select("*", parts)
         known = links.select("part", "a", "b").distinct().join(known, ["a", "b"])
         scored = links.join(known, ["part", "a", "b"])

@@ -49,22 +49,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/larder/{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, work is done once, and lost executors cost nothing."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _TABLES[out] = path
     return out
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drop a table that was saved at a scratch_path, and its files. Nothing that is still to run may read it."""
+    where = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]
+    spark.sql(f"DROP TABLE {name}")
+    _delete(spark, where)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialize made. Nothing that is still to run may read them."""
     for table in tables:
         if path := _TABLES.pop(table, None):
-            spark = table.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(table.sparkSession, path)
 
 
 def open_path(path: str) -> tuple[fs.FileSystem, str]:

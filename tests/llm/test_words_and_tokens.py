@@ -155,7 +155,7 @@ def test_links_of_any_batches(spark, rows):
         assert by_null(alignment.align_documents(docs, BYTE, PIECE).collect()) == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    links = alignment.aligned_tokens(docs, BYTE, PIECE).where("kind IS NOT NULL").toPandas()
+    links = alignment.aligned_tokens(spark.table(alignment.token_table(docs, BYTE, PIECE))).where("kind IS NOT NULL").toPandas()
     assert (links.groupby(["row", "later"]).kind.apply(lambda k: (k == 2).sum()) == 1).all()
 
 
