@@ -25,6 +25,7 @@ MODIFIERS = ("full", "heaping", "level", "packed", "rounded", "scant")
 SUFFIX = r"(?i)\s+(to taste|as needed|until desired consistency|for (?:serving|garnish|frying|drizzling))\s*$"
 OPTIONAL = r"(?i)\boptional(?:ly)?\b"
 
+# How amounts are written.
 _GLYPHS = "".join(FRACTIONS)
 _ATOM = rf"(?:\d+\s+\d+/\d+|\d*\s*[{_GLYPHS}]|\d+/\d+|\d+(?:\.\d+)?)"
 _QUANTITY = rf"(?i)^({_ATOM})(?:\s*(?:-|–|—|to)\s*{_ATOM})?(?=\s|[^\d./]|$)"
@@ -50,12 +51,13 @@ def _inner(groups: Column) -> Column:
 def _amount(atom: Column) -> Column:
     part = lambda p, i: F.regexp_extract(atom, p, i).try_cast("double")
     glyph, mixed, fraction = rf"^(\d*)\s*([{_GLYPHS}])$", r"^(\d+)\s+(\d+)/(\d+)$", r"^(\d+)/(\d+)$"
-    return (
+    value = (
         F.when(atom.rlike(glyph), F.coalesce(part(glyph, 1), F.lit(0.0)) + lookup(FRACTIONS, F.regexp_extract(atom, glyph, 2)))
         .when(atom.rlike(mixed), part(mixed, 1) + F.try_divide(part(mixed, 2), part(mixed, 3)))
         .when(atom.rlike(fraction), F.try_divide(part(fraction, 1), part(fraction, 2)))
         .otherwise(atom.try_cast("double"))
     )
+    return F.when(value < float("inf"), value)  # digits beyond what a double holds are no amount
 
 
 def _measure(words: Column) -> Column:

@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """new replaces rows of old with its keys."""
+def one_each(changes: DataFrame, keys: list[str], *latest: str) -> DataFrame:
+    """One row for each key: that with the greatest `latest` columns, then the greatest others in the table's order (null is least)."""
+    rest = [*latest, *(c for c in changes.columns if c not in (*keys, *latest))]
+    if not rest:
+        return changes.distinct()
+    return changes.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__larder_row")).select(*keys, *(F.col(f"__larder_row.{c}").alias(c) for c in rest)).select(changes.columns)
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], *latest: str) -> DataFrame:
+    """new replaces rows of old with its keys; of several new rows with a key one_each decides by `latest`."""
+    new = one_each(new, keys, *latest)
     return old.join(new.select(keys), keys, "left_anti").unionByName(new)
 
 
@@ -23,7 +32,11 @@ def replace_children(old: DataFrame, new: DataFrame, parent: list[str], parents:
 
 
 def save_picks(old: DataFrame, changes: DataFrame) -> DataFrame:
-    """Batches change, saved_at of a kept pick doesn't; null batches remove the pick. A change need not tell when it was made."""
+    """Batches change, saved_at of a kept pick doesn't; null batches remove the pick. A change need not tell when it was made.
+
+    Of several changes of a pick the one saved last counts, see one_each.
+    """
+    changes = one_each(changes, ["user_id", "dish_id"], "saved_at")
     rows = old.alias("o").join(changes.withColumn("named", F.lit(True)).alias("c"), ["user_id", "dish_id"], "full_outer")
     named = F.col("c.named").isNotNull()
     rows = rows.where(~named | F.col("c.batches").isNotNull())
@@ -31,7 +44,8 @@ def save_picks(old: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def own_column(old: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
-    """Upsert by an owner of one column: the others keep their values."""
+    """Upsert by an owner of one column: the others keep their values; of several values for a key the greatest counts."""
+    new = one_each(new.select(key, column), [key])
     rest = [F.col(f"o.{c}").alias(c) for c in old.columns if c not in (key, column)]
     rows = old.alias("o").join(new.select(key, column).alias("n"), key, "full_outer")
     return rows.select(key, F.coalesce(f"n.{column}", f"o.{column}").alias(column), *rest).select(old.columns)
@@ -47,7 +61,9 @@ def upsert_dishes(old: DataFrame, drafts: DataFrame) -> DataFrame:
     The same hash touches last_seen only; another one replaces the content columns that the drafts have, resets what
     was derived (tags to none, the rest to null) and makes the dish pending. A stored dish may lack a hash. Where the
     children of updated dishes are kept in a table, replace_children takes those whose outcome is inserted or updated.
+    Of several drafts of a URL the one seen last counts, see one_each, so there is one row and one outcome a URL.
     """
+    drafts = one_each(drafts, ["source_url"], "seen_at")
     rows = old.withColumn("there", F.lit(True)).alias("o").join(drafts.withColumn("came", F.lit(True)).alias("d"), "source_url", "full_outer")
     same = F.col("o.content_hash").eqNullSafe(F.col("d.content_hash"))
     outcome = F.when(F.col("d.came").isNull(), "kept").when(F.col("o.there").isNull(), "inserted").when(same, "unchanged").otherwise("updated")
@@ -65,7 +81,8 @@ def upsert_dishes(old: DataFrame, drafts: DataFrame) -> DataFrame:
 
 
 def touch(old: DataFrame, seen: DataFrame) -> DataFrame:
-    """Dishes that were seen again (source_url, seen_at, etag, last_modified): later last_seen_at, and validators where they came."""
+    """Dishes that were seen again (source_url, seen_at, etag, last_modified): later last_seen_at, and validators where they came; of several sights the last."""
+    seen = one_each(seen, ["source_url"], "seen_at")
     rows = old.alias("o").join(seen.alias("s"), "source_url", "left")
     new = {"last_seen_at": F.coalesce("s.seen_at", "o.last_seen_at"), "page_etag": F.coalesce("s.etag", "o.page_etag"), "page_last_modified": F.coalesce("s.last_modified", "o.page_last_modified")}
     return rows.select(*(new.get(c, F.col("source_url") if c == "source_url" else F.col(f"o.{c}")).alias(c) for c in old.columns))
@@ -78,7 +95,14 @@ def unchanged_pages(old: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def compare_and_set(old: DataFrame, changes: DataFrame) -> DataFrame:
-    """Finish pending rows whose hash is still the one that was read; outcome is applied, stale or kept."""
+    """Finish pending rows whose hash is still the one that was read; outcome is applied, stale or kept.
+
+    One row and one outcome a dish: of several changes the one that expects the stored hash counts, then the greatest
+    status, so a change is never both applied and stale.
+    """
+    held = changes.join(old.select("dish_id", F.col("content_hash").alias("__larder_hash")), "dish_id")
+    fits = F.col("expected_hash").eqNullSafe(F.col("__larder_hash"))
+    changes = held.groupBy("dish_id").agg(F.max(F.struct(fits.alias("fits"), "expected_hash", "status")).alias("c")).select("dish_id", "c.expected_hash", "c.status")
     rows = old.alias("o").join(changes.alias("c"), "dish_id", "left")
     asked = F.col("c.expected_hash").isNotNull()
     good = asked & (F.col("o.status") == "pending") & F.col("o.content_hash").eqNullSafe(F.col("c.expected_hash"))

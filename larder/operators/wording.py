@@ -63,44 +63,44 @@ def _quoted(words) -> str:
     return in_words([f"“{w}”" for w in words])
 
 
-# What a relaxed search shows instead, by field.
+# What a relaxed search changed, by field.
 WIDENED = {
-    "max_minutes": "recipes up to {to} minutes instead of {was}",
-    "min_minutes": "recipes from {to} minutes instead of {was}",
-    "max_active_minutes": "recipes with up to {to} minutes of hands-on time instead of {was}",
+    "max_minutes": "the time limit is {to} minutes, not {was}",
+    "min_minutes": "the least time is {to} minutes, not {was}",
+    "max_active_minutes": "the limit of active time is {to} minutes, not {was}",
 }
 DROPPED = {
-    "min_keeps_days": "recipes however long they keep",
-    "freezer_only": "recipes that may not freeze",
-    "min_servings": "recipes whatever they serve",
-    "any_tags": "recipes without the effort part",
-    "tags": "recipes without every tag you asked for",
-    "categories": "recipes from every category",
+    "min_keeps_days": "how long a dish keeps doesn't count",
+    "freezer_only": "dishes need not freeze",
+    "min_servings": "portions don't count",
+    "any_tags": "alternative tags don't count",
+    "tags": "tags are not required",
+    "categories": "all categories are shown",
 }
 
 
 def describe(notice: Notice) -> str:
     """A notice as a sentence."""
     if notice.kind == "degraded":
-        return "Search understanding is down; showing text matches."
+        return "The search was read word by word, since it could not be understood as a whole."
     if notice.kind == "rules-bypassed":
-        return f"Ignoring your {_quoted(notice.about)} {'rule' if len(notice.about) == 1 else 'rules'} for this search."
+        return f"Your {'rule' if len(notice.about) == 1 else 'rules'} {_quoted(notice.about)} {'is' if len(notice.about) == 1 else 'are'} off for this search."
     if notice.kind == "terms-union":
-        return f"Nothing matched {'both' if len(notice.about) == 2 else 'all of'} {_quoted(notice.about)}. Showing recipes that match one."
+        return f"No dish has {_quoted(notice.about)} together, so one of them is enough."
     shown = [WIDENED[r[0]].format(was=r[2], to=r[3]) if r[1] == "widened" else DROPPED[r[0]] for r in notice.about]
-    return f"Nothing matched all of that. Showing {in_words(shown)}."
+    return f"No dish fits the whole search, so these are wider: {'; '.join(shown)}."
 
 
 def describe_rule(rule: dict) -> str:
     kind, value = rule["kind"], rule["value"]
-    return f"Hide recipes that take more than {value} minutes" if kind == "max_minutes" else f"Hide {value} recipes" if kind == "exclude_category" else f"Hide recipes tagged “{value}”"
+    return f"At most {value} minutes" if kind == "max_minutes" else f"No dishes of the category {value}" if kind == "exclude_category" else f"No dishes with the tag “{value}”"
 
 
 def short_rule(rule: dict) -> str:
     kind, value = rule["kind"], rule["value"]
-    return f"under {value} minutes" if kind == "max_minutes" else f"no {value}" if kind == "exclude_category" else f"nothing tagged {value}"
+    return f"up to {value} min" if kind == "max_minutes" else f"not {value}"
 
 
 def explain_rule(rule: dict) -> str:
     n = rule["observations"]
-    return f"You rated {'1 cook' if n == 1 else f'{n} cooks'} in this group {rule['median_rating']:g}★ on average"
+    return f"Median of {n} {'rating' if n == 1 else 'ratings'} here: {rule['median_rating']:g} of 5"

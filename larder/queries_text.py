@@ -175,17 +175,19 @@ def _(spark, sf):
     return load(spark, sf, "pages").select("page_id", origin(F.col("url")).alias("origin"))
 
 
+# Paths of pages on two kinds of sites.
+SITE_PATHS = {"numbered-or-named": r"(?i)-recipe(?:-[a-z0-9-]+)?-\d+/?$", "numbered": r"(?i)-recipe-\d+/?$"}
 RECIPE_URLS = {
-    ("https://a.com/recipes/soup/", "recipes-directory"): "true", ("https://a.com/recipes/soup/print", "recipes-directory"): "false", ("https://www.a.com/best-soup-recipe-23/", "kitchn-recipe-id"): "true",
-    ("https://a.com/soup-recipe-easy-23", "kitchn-recipe-id"): "true", ("https://a.com/soup-recipe-easy-23", "serious-eats-recipe-id"): "false", ("https://a.com/soup-recipe-23?x=1", "serious-eats-recipe-id"): "true",
-    ("https://a.com//my-soup/", "generic-post"): "true", ("https://a.com/tag/soup", "generic-post"): "false", ("https://a.com/x.jpg", "generic-post"): "false", ("https://b.com/my-soup", "generic-post"): "false",
-    ("http://a.com/my-soup", "generic-post"): "false", ("ftp://a.com/my-soup", "generic-post"): "false", ("https://a.com", "generic-post"): "false", (None, "generic-post"): "false",
+    ("https://a.com/recipes/soup/", "directory"): "true", ("https://a.com/recipes/soup/print", "directory"): "false", ("https://www.a.com/best-soup-recipe-23/", "numbered-or-named"): "true",
+    ("https://a.com/soup-recipe-easy-23", "numbered-or-named"): "true", ("https://a.com/soup-recipe-easy-23", "numbered"): "false", ("https://a.com/soup-recipe-23?x=1", "numbered"): "true",
+    ("https://a.com//my-soup/", "post"): "true", ("https://a.com/tag/soup", "post"): "false", ("https://a.com/x.jpg", "post"): "false", ("https://b.com/my-soup", "post"): "false",
+    ("http://a.com/my-soup", "post"): "false", ("ftp://a.com/my-soup", "post"): "false", ("https://a.com", "post"): "false", (None, "post"): "false",
 }
 
 
 @query("F17_recipe_urls", f"{P} ({_sql_map(RECIPE_URLS)})::BOOLEAN AS recipe FROM part")
 def _(spark, sf):
-    return load(spark, sf, "part").select("p_partkey", feeds.recipe_url(_pick([u for u, _ in RECIPE_URLS]), F.lit("https://www.a.com/"), _pick([a for _, a in RECIPE_URLS])).alias("recipe"))
+    return load(spark, sf, "part").select("p_partkey", feeds.recipe_url(_pick([u for u, _ in RECIPE_URLS]), F.lit("https://www.a.com/"), _pick([a for _, a in RECIPE_URLS]), SITE_PATHS).alias("recipe"))
 
 
 LINKS = {("/x", "https://a.com/b/c"): "'https://a.com/x'", ("y?q", "https://a.com/b/c"): "'https://a.com/b/y?q'", ("//b.com", "https://a.com/"): "'https://b.com/'", ("", "https://a.com/"): "NULL", ("x", None): "NULL", ("http://[", "https://a.com/"): "NULL", (" https://c.com/d ", None): "'https://c.com/d'"}
@@ -228,7 +230,7 @@ def _(spark, sf):
     feed = rows.where("dish_id % 2 = 0").select(url, "published_at", "title", F.col("dish_id").alias("ord"))
     feed = feed.union(feed.select(F.lit("https://a.com/about"), "published_at", "title", "ord").limit(3))
     site = rows.select(url, F.lit(None).cast("timestamp").alias("published_at"), F.lit(None).cast("string").alias("title"), F.col("dish_id").alias("ord"))
-    wanted = feeds.recipe_url(F.col("url"), F.lit("https://a.com"), F.lit("generic-post"))
+    wanted = feeds.recipe_url(F.col("url"), F.lit("https://a.com"), F.lit("post"))
     return pages.discover(feed, site, since=datetime(2024, 1, 3), wanted=wanted, both=True).select("url", "title")
 
 
@@ -266,7 +268,7 @@ def _(spark, sf):
 @query("F24_allowed_links", "SELECT 't' || event_id AS id, 'https://a.com/my-soup-' || (event_id % 10) AS url, 1::BIGINT AS source_id FROM events")
 def _(spark, sf):
     pages_ = load(spark, sf, "events").select(F.col("event_id").alias("page"), F.expr(_POSTS.replace("unix_timestamp(ts)", "unix_timestamp(cast(ts as timestamp))")).alias("body"))
-    sources = spark.createDataFrame([(1, "https://a.com", "generic-post"), (2, "https://c.com", "generic-post")], "source_id long, base_url string, adapter string")
+    sources = spark.createDataFrame([(1, "https://a.com", "post"), (2, "https://c.com", "post")], "source_id long, base_url string, adapter string")
     return reddit.allowed_links(reddit.posts(pages_), sources).select("id", "url", "source_id")
 
 
@@ -295,7 +297,7 @@ _LD = """concat('<html><script type="application/ld+json">{"@graph":[{"@type":"P
   '1 cup rice|' || p_type AS ingredients, 'Base:Boil.|Base:Mix|Base:Eat' AS steps, p_size::BIGINT AS votes, '2024-05-06' AS day, '' AS missing FROM part""")
 def _(spark, sf):
     rows = load(spark, sf, "part").select("p_partkey", F.concat(F.lit("https://a.com/"), "p_partkey").alias("url"), F.expr(_LD).alias("html"))
-    made = structured.recipes(rows)
+    made = structured.dish_pages(rows)
     steps = F.array_join(F.transform("instructions", lambda s: F.concat_ws(":", s["name"], s["text"])), "|")
     long = lambda c, name: F.col(c).cast("long").alias(name)
     return made.select(
@@ -307,12 +309,12 @@ def _(spark, sf):
 @query("F18_drafts", "SELECT 'https://a.com/' || p_partkey AS source_url, lower(replace(p_name, ' ', '-')) || '-rice' AS slug, 2::BIGINT AS lines FROM part WHERE p_partkey % 2 = 0")
 def _(spark, sf):
     rows = load(spark, sf, "part").select(F.concat(F.lit("https://a.com/"), "p_partkey").alias("url"), F.when(F.col("p_partkey") % 2 == 0, F.expr(_LD)).otherwise("<p>nothing</p>").alias("html"))
-    return structured.drafts(structured.recipes(rows)).select("source_url", "slug", F.size("lines").cast("long").alias("lines"))
+    return structured.drafts(structured.dish_pages(rows)).select("source_url", "slug", F.size("lines").cast("long").alias("lines"))
 
 
 @query("A21_page_profile", "SELECT 'pages' AS site, count(*)::BIGINT AS pages, 0::BIGINT AS recipes, 0::BIGINT AS no_title FROM pages")
 def _(spark, sf):
-    found = structured.recipes(load(spark, sf, "pages").select("url", "html")).withColumn("site", F.lit("pages"))
+    found = structured.dish_pages(load(spark, sf, "pages").select("url", "html")).withColumn("site", F.lit("pages"))
     return structured.missing_profile(found, "site").select("site", "pages", "recipes", "no_title")
 
 

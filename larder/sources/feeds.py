@@ -169,14 +169,18 @@ def allowed(urls: DataFrame, rules: DataFrame, user_agent: str) -> DataFrame:
     return rows.select(*urls.columns, F.coalesce(best["open"], F.lit(True)).alias("allowed"), "delay_ms")
 
 
-def recipe_url(url: Column, base: Column, adapter: Column) -> Column:
-    """Whether a URL is one of a source's recipe pages, by the source's adapter (fixed names and patterns)."""
+#: Adapters that any site may use: a folder of dishes, and posts, which are told by what they are not.
+DIRECTORY, POST = "directory", "post"
+
+
+def recipe_url(url: Column, base: Column, adapter: Column, patterns: dict[str, str] | None = None) -> Column:
+    """Whether a URL is one of a source's recipe pages, by the source's adapter.
+
+    patterns has the path of a page by the name of a site's own adapter; DIRECTORY and POST are known without it.
+    """
     path = F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract(url, r"^[^/]+//[^/?#]*(/[^?#]*)", 1), F.lit("")), F.lit("/")), "/{2,}", "/")
     post = (path != "/") & ~path.rlike(r"(?i)\.[a-z0-9]{1,6}$") & ~path.rlike(r"(?i)^/(?:about|author|category|contact|feed|page|privacy|search|shop|tag|wp-admin|wp-json)(?:/|$)")
-    shape = (
-        F.when(adapter == "recipes-directory", path.rlike(r"(?i)^/recipes/[^/]+/?$"))
-        .when(adapter == "kitchn-recipe-id", path.rlike(r"(?i)-recipe(?:-[a-z0-9-]+)?-\d+/?$"))
-        .when(adapter == "serious-eats-recipe-id", path.rlike(r"(?i)-recipe-\d+/?$"))
-        .when(adapter == "generic-post", post)
-    )
+    shape = F.when(adapter == DIRECTORY, path.rlike(r"(?i)^/recipes/[^/]+/?$")).when(adapter == POST, post)
+    for name, pattern in (patterns or {}).items():
+        shape = shape.when(adapter == name, path.rlike(pattern))
     return F.coalesce(url.rlike("(?i)^https?://") & (origin(url) == origin(base)) & shape, F.lit(False))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -61,6 +62,18 @@ def loads(text: str):
     return None
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def well_formed(value):
+    """value with all lone surrogates in its texts replaced; they are legal in JSON and no text."""
+    if isinstance(value, str):
+        return _SURROGATE.sub("\ufffd", value)
+    if isinstance(value, list):
+        return [well_formed(v) for v in value]
+    return {k: well_formed(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
 def listed(value) -> list:
     return [] if value is None else value if isinstance(value, list) else [value]
 
@@ -102,7 +115,9 @@ def scalars(value, names: tuple[str, ...], refs: dict, depth: int = 4) -> list:
 
 
 def texts(value, names: tuple[str, ...], refs: dict) -> list[str]:
-    out = (str(int(x + 0.5)) if isinstance(x, (int, float)) and not isinstance(x, bool) else clean(x) for x in scalars(value, names, refs))
+    """The texts that a value stands for; numbers that aren't whole are rounded, and those that aren't finite are left out."""
+    whole = lambda x: "" if not math.isfinite(x) else str(math.floor(x + 0.5))
+    out = (whole(x) if isinstance(x, float) else clean(x) for x in scalars(value, names, refs))
     return [x for x in out if x]
 
 
@@ -153,7 +168,7 @@ def page_fields(page: str | None, url: str | None) -> dict:
         if isinstance(n.get("@id"), str) and n["@id"] and len(n) > 1:
             refs.setdefault(n["@id"], n)
     value = ("value", "@value", "duration", "name")
-    rating = next((n for r in listed(node.get("aggregateRating")) if isinstance(r, dict) for n in [refs.get(r.get("@id"), r)] if pick(n, "ratingValue", "@value", "ratingCount", "reviewCount") is not None), {})
+    rating = next((n for r in listed(node.get("aggregateRating")) if isinstance(r, dict) for n in [refs.get(r["@id"], r) if isinstance(r.get("@id"), str) else r] if pick(n, "ratingValue", "@value", "ratingCount", "reviewCount") is not None), {})
     words = lambda v: list(dict.fromkeys(x for item in listed(v) for part in (item.split(",") if isinstance(item, str) else [item]) if (x := clean(part))))
     text = lambda v: None if v is None else str(v)
     images = [u for x in scalars(node.get("image"), ("url", "contentUrl", "@id", "@list"), refs) if isinstance(x, str) and (u := join_url(x, url))]
@@ -170,6 +185,14 @@ def page_fields(page: str | None, url: str | None) -> dict:
     }
 
 
+def read_page(page: str | None, url: str | None) -> dict:
+    """page_fields, or nothing at all of a page that Python can't get through, such as one nested too deeply."""
+    try:
+        return well_formed(page_fields(page, url))
+    except (ValueError, TypeError, AttributeError, KeyError, OverflowError, RecursionError):
+        return {}
+
+
 def structured(pages: DataFrame) -> DataFrame:
     """pages (url, html and more) with the struct `found`, the fields of RAW. Null pages have no blocks; a page that can't be read has null fields."""
     schema = StructType([*pages.schema, *StructType.fromDDL(f"found struct<{', '.join(f.replace(' ', ':', 1) for f in _split(RAW))}>")])
@@ -178,7 +201,7 @@ def structured(pages: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column("html").to_pylist(), batch.column("url").to_pylist(), strict=True)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([page_fields(h, u) for h, u in rows], kind)], names=[*batch.schema.names, "found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([read_page(h, u) for h, u in rows], kind)], names=[*batch.schema.names, "found"])
 
     return pages.mapInArrow(make, schema)
 
@@ -190,12 +213,12 @@ def _split(ddl: str) -> list[str]:
 MISSING = ("title", "image_url", "servings", "total_minutes", "active_minutes", "ingredients", "instructions", "rating", "author", "published_at")
 
 
-def recipes(pages: DataFrame) -> DataFrame:
-    """url, blocks, malformed, nodes and the typed fields of each page's recipe with content_hash and missing; pages without one have nulls."""
+def dish_pages(pages: DataFrame, *keep: str) -> DataFrame:
+    """url and the columns to keep, blocks, malformed, nodes and the typed fields of each page's recipe with content_hash and missing; pages without one have nulls. One row a page."""
     f = lambda name: F.col(f"found.{name}")
     first = lambda name: so.first_of(f(name), so.duration_minutes)
     rows = structured(pages).select(
-        "url", f("blocks").alias("blocks"), f("malformed").alias("malformed"), f("nodes").alias("nodes"), truncated(f("name"), 300).alias("title"), truncated(f("description"), 2000).alias("description"),
+        "url", *keep, f("blocks").alias("blocks"), f("malformed").alias("malformed"), f("nodes").alias("nodes"), truncated(f("name"), 300).alias("title"), truncated(f("description"), 2000).alias("description"),
         F.get(f("images"), F.lit(0)).alias("image_url"), f("images").alias("image_urls"), so.first_of(f("yields"), so.servings).alias("servings"),
         F.array_max(F.transform(f("yields"), lambda y, i: F.struct(F.length(y).alias("n"), (-i).alias("i"), y.alias("text"))))["text"].alias("yield_text"),
         first("total").alias("total"), first("prep").alias("prep_minutes"), first("cook").alias("cook_minutes"), f("ingredients").alias("ingredients"), f("steps").alias("instructions"),
@@ -214,10 +237,11 @@ def recipes(pages: DataFrame) -> DataFrame:
 
 
 def drafts(found: DataFrame, listed_as: DataFrame | None = None) -> DataFrame:
-    """Drafts of dishes from recipes(): those with a title and an ingredient. listed_as (url, title, published_at) fills in what a page lacks."""
+    """Drafts of dishes from dish_pages(): those with a title and an ingredient. listed_as (url, title, published_at) fills in what a page lacks; of a url listed more than once the latest counts."""
     rows = found
     if listed_as is not None:
-        known = listed_as.select("url", clean_or_null(F.col("title")).alias("__larder_title"), F.col("published_at").alias("__larder_at"))
+        known = listed_as.groupBy("url").agg(F.max(F.struct("published_at", clean_or_null(F.col("title")).alias("title"))).alias("l"))
+        known = known.select("url", F.col("l.title").alias("__larder_title"), F.col("l.published_at").alias("__larder_at"))
         rows = rows.join(known, "url", "left").withColumn("title", F.coalesce("title", "__larder_title")).withColumn("published_at", F.coalesce("published_at", "__larder_at")).drop("__larder_title", "__larder_at")
     rows = rows.where(F.col("title").isNotNull() & (F.size("ingredients") > 0))
     lines = F.transform("ingredients", lambda x, i: F.struct(i.alias("position"), x.alias("raw_text")))
@@ -239,6 +263,7 @@ def field_drift(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     return both.select(F.explode(differs).alias("field")).groupBy("field").agg(F.count("*").alias("n"))
 
 
+# The markup and headings by which a recipe shows in a page without structured data.
 _HEADINGS = r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>"
 _PROP = r"""(?i)itemprop\s*=\s*["'][^"']*\b{}\b"""
 
@@ -263,6 +288,7 @@ def fallback_reason(page: Column, has_title: Column, n_ingredients: Column, node
 class PromptText(HTMLParser):
     """Headings, paragraphs and list items of the page's main part, as lines."""
 
+    # What is not read, and the main parts in the order in which they are looked for.
     DROPPED = {"script", "style", "template", "noscript", "svg", "iframe", "nav", "header", "footer", "aside", "form"}
     CLASSES = {"advertisement", "advertising", "ad", "ads", "newsletter", "social-share"}
     ROOTS = ("main", "article", "recipe-card", "wprm-recipe", "tasty-recipes", "mv-create", "body")
@@ -336,11 +362,12 @@ def with_prompt_text(pages: DataFrame, column: str = "html", into: str = "page_t
 
 
 def fallbacks(pages: DataFrame) -> DataFrame:
-    """url, reason and page_text of the pages (url, html) that are worth reading as text; those without any text are not."""
-    found = recipes(pages).select("url", "title", "ingredients", "nodes", "malformed")
-    rows = pages.select("url", "html").join(found, "url")
-    reason = fallback_reason(F.coalesce("html", F.lit("")), F.col("title").isNotNull(), F.size("ingredients"), F.col("nodes"), F.col("malformed"))
-    rows = with_prompt_text(rows.withColumn("reason", reason).where("reason IS NOT NULL"))
+    """url, reason and page_text of the pages (url, html) that are worth reading as text; those without any text are not.
+
+    Each row is judged by its own page, whatever its url; a page that can't be read counts as one without blocks.
+    """
+    rows = dish_pages(pages, "html")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    reason = fallback_reason(F.coalesce("html", F.lit("")), F.col("title").isNotNull(), zero(F.size("ingredients")), zero(F.col("nodes")), zero(F.col("malformed")))
+    rows = with_prompt_text(rows.select("url", "html", reason.alias("reason")).where("reason IS NOT NULL"))
     return rows.where("page_text != ''").select("url", "reason", "page_text")
-
-

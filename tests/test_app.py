@@ -49,11 +49,11 @@ def test_notices_are_told_in_order():
     told = wording.notices(["under 30 minutes"], True, ["a", "b"], [("max_minutes", "widened", 15, 23), ("tags", "dropped")])
     assert [n.kind for n in told] == ["degraded", "rules-bypassed", "terms-union", "relaxed"]
     said = [wording.describe(n) for n in told]
-    assert said[1] == "Ignoring your “under 30 minutes” rule for this search." and said[2].startswith("Nothing matched both “a” and “b”.")
-    assert said[3] == "Nothing matched all of that. Showing recipes up to 23 minutes instead of 15 and recipes without every tag you asked for."
+    assert said[1] == "Your rule “under 30 minutes” is off for this search." and said[2].startswith("No dish has “a” and “b” together")
+    assert said[3] == "No dish fits the whole search, so these are wider: the time limit is 23 minutes, not 15; tags are not required."
     assert wording.notices([], False, [], []) == [] and text.in_words(["a", "b", "c"]) == "a, b and c"
     rule = {"kind": "exclude_tag", "value": "Cheap", "observations": 1, "median_rating": 2.0}
-    assert (wording.describe_rule(rule), wording.short_rule(rule), wording.explain_rule(rule)) == ("Hide recipes tagged “Cheap”", "nothing tagged Cheap", "You rated 1 cook in this group 2★ on average")
+    assert (wording.describe_rule(rule), wording.short_rule(rule), wording.explain_rule(rule)) == ("No dishes with the tag “Cheap”", "not Cheap", "Median of 1 rating here: 2 of 5")
 
 
 def test_fingerprint():
@@ -126,12 +126,12 @@ def test_loose_json():
 
 def test_odd_pages(spark):
     pages = [("https://a.com/1", None), ("https://a.com/2", "<p>x</p>"), ("https://a.com/3", '<script type="application/ld+json">[{"@type":"Recipe","name":"<b>A</b>","recipeIngredient":"salt","recipeYield":{"value":4},"totalTime":["","PT10M"],"image":["/a.jpg",{"@id":"/b.jpg"},"/a.jpg"],"recipeInstructions":"Mix.\\nEat.","aggregateRating":{"ratingValue":0,"ratingCount":0},"author":["X",{"name":"Y"},"X"]}]</script>')]
-    got = {r.url[-1]: r for r in structured.recipes(spark.createDataFrame(pages, "url string, html string")).collect()}
+    got = {r.url[-1]: r for r in structured.dish_pages(spark.createDataFrame(pages, "url string, html string")).collect()}
     assert (got["1"].nodes, got["2"].nodes, got["1"].missing, got["2"].content_hash) == (0, 0, None, None)
     r = got["3"]
     assert (r.title, r.servings, r.total_minutes, r.image_urls, r.author, r.rating) == ("A", 4, 10, ["https://a.com/a.jpg", "https://a.com/b.jpg"], "X, Y", None)
     assert [s.text for s in r.instructions] == ["Mix.", "Eat."] and r.missing == ["active_minutes", "rating", "published_at"]
-    assert structured.drafts(structured.recipes(spark.createDataFrame(pages, "url string, html string"))).count() == 1
+    assert structured.drafts(structured.dish_pages(spark.createDataFrame(pages, "url string, html string"))).count() == 1
 
 
 def test_prompt_text():
