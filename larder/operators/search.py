@@ -159,6 +159,22 @@ def relax(f: Filter, rung: Sequence[str]) -> tuple[Filter, list[tuple]]:
     return replace(f, **changed), told
 
 
+def attempts(f: Filter) -> list[tuple[Filter, str, list[tuple]]]:
+    """What a search tries one after the other, each wider than the one before: filter, how terms combine, what was relaxed."""
+    out = [(f, "all", [])]
+    if f.empty:
+        return out
+    if len(f.terms) > 1:
+        out.append((f, "any", []))
+    g, told, rounds = f, [], 0
+    for rung in LADDER:
+        g, now = relax(g, rung)
+        if now and rounds < RELAXATION_ROUNDS:
+            rounds, told = rounds + 1, told + now
+            out.append((g, out[-1][1], told))
+    return out
+
+
 def clamp_limit(limit: int | None) -> int:
     return LIMIT_DEFAULT if limit is None else max(1, min(LIMIT_MAX, int(limit)))
 
@@ -192,19 +208,8 @@ def search(dishes: DataFrame, lines: DataFrame, f: Filter, order: list[Column] |
     """
     base, order = with_names(dishes, lines, f), order or browse_order()
     asked = criteria(f, stem=stem)
-    attempt = lambda g, terms: ranked(base, asked, where(criteria(g, stem=stem), terms), order, limit)
-    rows, told, terms = attempt(f, "all"), [], "all"
-    if f.empty or not rows.isEmpty():
-        return Answer(rows, told, False)
-    if len(f.terms) > 1:
-        terms = "any"
-        rows = attempt(f, terms)
-    rounds, g = 0, f
-    for rung in LADDER:
-        if rounds == RELAXATION_ROUNDS or not rows.isEmpty():
+    for g, terms, told in attempts(f):
+        rows = ranked(base, asked, where(criteria(g, stem=stem), terms), order, limit)
+        if not rows.isEmpty():
             break
-        g, now = relax(g, rung)
-        if now:
-            rounds, told = rounds + 1, told + now
-            rows = attempt(g, terms)
     return Answer(rows, told, terms == "any")

@@ -9,11 +9,12 @@ from pyspark.sql.window import Window
 from larder.functions import fmt, units
 from larder.functions.text import stable_hash
 from larder.functions.urls import canonical_url
-from larder.operators import checks, grocery, matcher, rules, runs, scoring, search
+from larder.operators import checks, grocery, many, matcher, rules, runs, scoring, search
 from larder.plans.catalogue import load, view
 from larder.registry import ORACLE_SQL, QUERIES, query
 from larder.sources.pages import dedupe_by_url
-from larder.vocab import AISLES, MIN_RATED
+from larder.vocab import AISLES, CATEGORIES, MIN_RATED, TAGS
+
 
 def searched(spark: SparkSession, sf: str, f: search.Filter) -> DataFrame:
     dishes = search.with_names(view(spark, sf, "dishes"), view(spark, sf, "dish_lines"), f)
@@ -77,6 +78,31 @@ def _(spark, sf):
     return answer.rows.select("dish_id", "match_count", F.lit(str(answer.relaxations)).alias("relaxed"))
 
 
+def _searches(array: str) -> str:
+    """A search for every customer: a time limit, for most portions, one of two tags, no dish of a category, one of two ingredients."""
+    at = lambda values, i: f"{array}{', '.join(repr(v) for v in values)}{']' if array == '[' else ')'}[cast({i} as int)]"
+    one = 0 if array != "[" else 1  # Spark's subscripts begin at 0
+    name = lambda i: f"concat('supplier#', lpad(cast({i} + 1 as {'string' if array != '[' else 'varchar'}), 9, '0'))"
+    many_of = lambda *xs: f"{array}{', '.join(xs)}{']' if array == '[' else ')'}"
+    return f"""SELECT c_custkey AS search_id, cast(c_custkey % 40 + 5 as int) AS max_minutes, cast(nullif(c_custkey % 7, 0) as int) AS min_servings, {many_of(at(TAGS, f"c_custkey % 27 + {one}"), at(TAGS, f"c_custkey * 5 % 27 + {one}"))} AS any_tags,
+  {many_of(at(CATEGORIES, f"c_custkey % 6 + {one}"))} AS exclude_categories, {many_of(name("c_custkey % 100"), name("c_custkey % 10"))} AS any_ingredients FROM """
+
+
+@query("X29O2A9_many_searches", f"""SELECT search_id, place, dish_id, match_count, rung, relaxed FROM (
+  SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY rung, match_count DESC, {_ORDER}) AS place, min(rung) OVER (PARTITION BY search_id) AS least FROM (
+  SELECT *, m + coalesce(p, false)::INT + t + x + i AS match_count, CASE WHEN rung > 0 AND asked AND rung = 2 THEN 2 WHEN rung = 2 THEN 2 WHEN rung = 1 THEN 1 ELSE 0 END AS relaxed FROM (
+  SELECT *, CASE WHEN x + i < 2 THEN NULL WHEN m = 1 AND t = 1 AND (p OR NOT asked) THEN 0 WHEN asked AND m = 1 AND t = 1 THEN 1 WHEN NOT asked AND m = 1 THEN 1 WHEN asked AND m = 1 THEN 2 WHEN NOT asked AND w THEN 2 END AS rung FROM (
+  SELECT s.search_id, d.*, min_servings IS NOT NULL AS asked, coalesce(total_minutes <= max_minutes, false)::INT AS m, coalesce(total_minutes <= ceil(max_minutes * 1.5), false) AS w, servings >= min_servings AS p,
+    list_has_any(tags, any_tags)::INT AS t, (category IS NULL OR NOT list_contains(exclude_categories, category))::INT AS x, coalesce(list_has_any(names, any_ingredients), false)::INT AS i
+  FROM ({_searches("[")} customer) s, (SELECT dishes.*, names FROM dishes LEFT JOIN (SELECT dish_id, list(name) AS names FROM dish_lines WHERE name IS NOT NULL GROUP BY 1) USING (dish_id)) d))
+  WHERE rung IS NOT NULL)) WHERE rung = least AND place <= 5""")
+def _(spark, sf):
+    searches = spark.sql(_searches("array(") + "{customer}", customer=load(spark, sf, "customer"))
+    dishes = view(spark, sf, "dishes").withColumn("score", F.lit(None).cast("float"))
+    found = many.search_many(dishes, view(spark, sf, "dish_lines"), searches, limit=5)
+    return found.select("search_id", F.col("place").cast("long").alias("place"), "dish_id", "match_count", "rung", F.size("relaxations").alias("relaxed"))
+
+
 @query("F15_hard_rules", "SELECT dish_id FROM dishes WHERE (total_minutes IS NULL OR total_minutes <= 30) AND (category IS NULL OR category <> 'Soup') AND NOT list_contains(tags, 'Cheap')")
 def _(spark, sf):
     rule = lambda kind, value, enabled=True: {"kind": kind, "value": value, "enabled": enabled}
