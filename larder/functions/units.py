@@ -50,11 +50,15 @@ def lookup(table: dict, key: Column) -> Column:
 
 def normalize_unit(unit: Column) -> Column:
     """The unit that a spelling stands for: null is "each", an unknown spelling null. T and t differ."""
-    trimmed = F.regexp_replace(unit, r"^[\s ﻿]+|[\s ﻿]+$", "")
-    key = F.trim(F.regexp_replace(F.regexp_replace(F.lower(trimmed), r"\.+$", ""), r"[\s ]+", " "))
-    cased = {s: u for u, all_of in CASED.items() for s in all_of}
-    plain = {s: u for u, all_of in SPELLINGS.items() for s in all_of}
-    return F.when(unit.isNull(), F.lit("each")).otherwise(F.coalesce(lookup(cased, trimmed), lookup(plain, key)))
+    return F.when(unit.isNull(), F.lit("each")).otherwise(_by_spelling(unit, lambda canonical: canonical))
+
+
+def _by_spelling(unit: Column, value) -> Column:
+    """value of the unit that a spelling stands for, looked up in one table by the spelling itself; null for unknown ones."""
+    trimmed = F.regexp_replace(unit, r"^[\s ﻿]+|[\s ﻿]+$", "")
+    key = F.trim(F.regexp_replace(F.regexp_replace(F.lower(trimmed), r"\.+$", ""), r"[\s ]+", " "))
+    cased, plain = ({s: value(u) for u, all_of in table.items() for s in all_of} for table in (CASED, SPELLINGS))
+    return F.coalesce(lookup(cased, trimmed), lookup(plain, key))
 
 
 def dimension(canonical: Column) -> Column:
@@ -76,7 +80,6 @@ def to_base(qty: Column, unit: Column) -> Column:
 
 def dimension_key(unit: Column) -> Column:
     """What may merge: "mass", "volume", "count:<unit>", or "unit:<slug>" for an unknown spelling."""
-    known = normalize_unit(unit)
-    slug = F.regexp_replace(F.lower(F.trim(unit)), "[^a-z0-9]+", "-")
-    other = F.concat(F.lit("unit:"), F.when(slug == "", "unknown").otherwise(slug))
-    return F.when(known.isNull(), other).when(dimension(known) == "count", F.concat(F.lit("count:"), known)).otherwise(dimension(known))
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.trim(unit)), "[^a-z0-9]+", "-"), "^$", "unknown")
+    known = _by_spelling(unit, lambda canonical: f"count:{canonical}" if DIMENSION[canonical] == "count" else DIMENSION[canonical])
+    return F.when(unit.isNull(), "count:each").otherwise(F.coalesce(known, F.concat(F.lit("unit:"), slug)))

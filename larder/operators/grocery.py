@@ -22,13 +22,12 @@ def slug(text: Column) -> Column:
     Accented letters are taken apart, and their marks are dashes: two spellings never share a key by losing letters.
     """
     s = F.regexp_replace(F.regexp_replace(nfkd(F.lower(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    s = F.substring(s, 1, 80)
-    return F.when(s == "", "unknown").otherwise(s)
+    return F.regexp_replace(F.substring(s, 1, 80), "^$", "unknown")
 
 
 def identity_key(ingredient_id: Column, raw_text: Column) -> Column:
     """The ingredient's id as it is, or the line's own words."""
-    return F.coalesce(ingredient_id.cast("string"), F.concat(F.lit("raw:"), slug(raw_text)))
+    return F.coalesce(ingredient_id.cast("string"), F.concat(F.lit("raw:"), slug(F.when(ingredient_id.isNull(), raw_text))))
 
 
 def clamp_batches(batches: Column) -> Column:
