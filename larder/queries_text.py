@@ -5,10 +5,11 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larder.functions import fmt, lines, schema_org, stem, text, units
 from larder.functions.urls import origin
-from larder.operators import grocery, search
+from larder.operators import grocery, search, term_index
 from larder.plans.catalogue import load, view
 from larder.registry import query
 from larder.sources import feeds, pages, reddit, structured
@@ -141,6 +142,25 @@ def _(spark, sf):
     return dishes.select("dish_id", F.array_join("lexemes", " ").alias("lexemes"), search.match_count(found).cast("long").alias("match_count"))
 
 
+_STEMS = "(VALUES ('anvil', 'anvil'), ('blue', 'blue'), ('bolt', 'bolt'), ('cold', 'cold'), ('gear', 'gear'), ('gizmo', 'gizmo'), ('hot', 'hot'), ('large', 'larg'), ('new', 'new'), ('old', 'old'), ('plate', 'plate'), ('red', 'red'), ('ring', 'ring'), ('rod', 'rod'), ('small', 'small'), ('widget', 'widget')) AS stems(w, lexeme)"
+_STEMMED = f"SELECT DISTINCT dish_id, coalesce(published_at, first_seen_at) AS made, coalesce(source_rating, 0) AS r, lexeme FROM (SELECT *, unnest(string_split(title, ' ')) AS w FROM dish_rows) JOIN {_STEMS} USING (w)"
+
+
+@query("F12_postings", f"SELECT lexeme, count(*)::BIGINT AS dishes, max(dish_id) AS last FROM ({_STEMMED}) GROUP BY 1")
+def _(spark, sf):
+    index = term_index.build(search.with_lexemes(view(spark, sf, "dish_rows")), 500)
+    held = index.postings.select("lexeme", "segment", F.explode("places").alias("place")).join(index.ranked, ["segment", "place"])
+    return held.groupBy("lexeme").agg(F.count("*").alias("dishes"), F.max("dish_id").alias("last"))
+
+
+@query("F12O1_indexed_search", f"""SELECT dish_id, row_number() OVER (ORDER BY made DESC, r DESC, dish_id DESC) AS nth FROM (SELECT dish_id, any_value(made) AS made, any_value(r) AS r FROM ({_STEMMED}) WHERE lexeme IN ('plate', 'small')
+  GROUP BY 1 HAVING count(*) = 2) ORDER BY nth LIMIT 50""")
+def _(spark, sf):
+    index = term_index.build(search.with_lexemes(view(spark, sf, "dish_rows")), 500)
+    found, _ = term_index.first_dishes(index, ["plating", "Small"], 50)
+    return found.select("dish_id", F.row_number().over(Window.orderBy("place")).cast("long").alias("nth"))  # of 50 rows
+
+
 @query("F12F13_stop_words", "SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '' AND NOT list_contains([" + ", ".join(f"'{w}'" for w in stem.STOP_WORDS) + "], w)))::BIGINT AS n FROM documents WHERE text IS NOT NULL")
 def _(spark, sf):
     return load(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.size(stem.plain_words(F.col("text"))).cast("long").alias("n"))
