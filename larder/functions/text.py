@@ -130,3 +130,11 @@ def fingerprint(text: str) -> str:
     for i in range(0, len(units), 2):
         h = (h ^ int.from_bytes(units[i : i + 2], "little")) * 0x01000193 & 0xFFFFFFFF
     return f"{h:08x}"
+
+
+def fingerprint_of(text: Column) -> Column:
+    """fingerprint of each text; null for null."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16LE")), F.lit("(....)"), 1)
+    number = lambda u: F.conv(F.concat(F.substring(u, 3, 2), F.substring(u, 1, 2)), 16, 10).cast("long")
+    h = F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, u: (h.bitwiseXOR(number(u)) * 0x01000193).bitwiseAND(0xFFFFFFFF))
+    return F.lower(F.lpad(F.hex(h), 8, "0"))

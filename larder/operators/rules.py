@@ -24,7 +24,11 @@ def observations(cooked: DataFrame) -> DataFrame:
 
 def derive_rules(observed: DataFrame) -> DataFrame:
     """Rules with enough observations and a low median: of the time rules the largest bucket, all of the exclusions."""
-    groups = observed.groupBy("user_id", "kind", "value").agg(F.count("rating").alias("observations"), F.median("rating").alias("m"))
+    return rules_of(observed.groupBy("user_id", "kind", "value").agg(F.count("rating").alias("observations"), F.median("rating").alias("m")))
+
+
+def rules_of(groups: DataFrame) -> DataFrame:
+    """derive_rules of user_id, kind, value, the number of observations and their median m."""
     groups = groups.where((F.col("observations") >= MIN_OBSERVATIONS) & (F.col("m") <= DISLIKE_MEDIAN)).withColumn("median_rating", half_up(F.col("m"), 1)).drop("m")
     times = groups.where("kind = 'max_minutes'").groupBy("user_id", "kind").agg(F.max_by(F.struct("value", "observations", "median_rating"), F.col("value").cast("int")).alias("r")).select("user_id", "kind", "r.*")
     rules = times.unionByName(groups.where("kind != 'max_minutes'"))

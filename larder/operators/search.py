@@ -199,6 +199,7 @@ class Answer:
     rows: DataFrame
     relaxations: list[tuple]
     terms_union: bool
+    filter: Filter  # as it was searched in the end
 
 
 def search(dishes: DataFrame, lines: DataFrame, f: Filter, order: list[Column] | None = None, limit: int | None = None, stem=query_lexemes) -> Answer:
@@ -212,4 +213,4 @@ def search(dishes: DataFrame, lines: DataFrame, f: Filter, order: list[Column] |
         rows = ranked(base, asked, where(criteria(g, stem=stem), terms), order, limit)
         if not rows.isEmpty():
             break
-    return Answer(rows, told, terms == "any")
+    return Answer(rows, told, terms == "any", g)

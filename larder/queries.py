@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from larder.functions import fmt, units
 from larder.functions.text import stable_hash
 from larder.functions.urls import canonical_url
-from larder.operators import checks, grocery, many, matcher, rules, runs, scoring, search
+from larder.operators import checks, grocery, many, matcher, rule_state, rules, runs, scoring, search
 from larder.plans.catalogue import load, view
 from larder.registry import ORACLE_SQL, QUERIES, query
 from larder.sources.pages import dedupe_by_url
@@ -228,13 +228,25 @@ def _(spark, sf):
     return rules.observations(view(spark, sf, "cooked")).groupBy("user_id", "kind", "value").agg(F.count("*").alias("n"), F.sum("rating").alias("total"))
 
 
-@query("A12A13_derived_rules", f"""{_OBSERVED}, g AS (SELECT user_id, kind, value, count(*)::BIGINT AS observations, median(rating) AS m FROM observed GROUP BY ALL HAVING count(*) >= 5 AND median(rating) <= 2.5)
+_DERIVED = f"""{_OBSERVED}, g AS (SELECT user_id, kind, value, count(*)::BIGINT AS observations, median(rating) AS m FROM observed GROUP BY ALL HAVING count(*) >= 5 AND median(rating) <= 2.5)
   SELECT user_id, kind || ':' || value AS rule_id, kind, value, observations, floor(m * 10 + 0.5) / 10 AS median_rating FROM g WHERE kind <> 'max_minutes'
-  OR value::INT = (SELECT max(h.value::INT) FROM g h WHERE h.user_id = g.user_id AND h.kind = 'max_minutes')""")
+  OR value::INT = (SELECT max(h.value::INT) FROM g h WHERE h.user_id = g.user_id AND h.kind = 'max_minutes')"""
+
+
+@query("A12A13_derived_rules", _DERIVED)
 def _(spark, sf):
     return rules.derive_rules(rules.observations(view(spark, sf, "cooked")))
 
 
+@query("A12A13_kept_rules", _DERIVED)
+def _(spark, sf):
+    cooked = view(spark, sf, "cooked")
+    old, late = cooked.where("user_id % 3 > 0 OR rating < 4"), cooked.where("user_id % 3 = 0 AND rating >= 4")
+    wrong = cooked.where("user_id % 7 = 0").withColumn("rating", F.lit(1))  # cooks that are taken back again
+    kept = rule_state.merge(rule_state.histograms(old), rule_state.histograms(wrong))
+    return rule_state.update(kept, rule_state.rules_from(kept), late, wrong)[1]
+
+
 @query("A8_cold_start", f"SELECT user_id, count(DISTINCT dish_id)::BIGINT AS rated FROM (SELECT o_custkey AS user_id, l_partkey AS dish_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY ALL HAVING count(DISTINCT dish_id) >= {MIN_RATED}")
 def _(spark, sf):
     rows = load(spark, sf, "orders").join(load(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))

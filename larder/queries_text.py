@@ -350,3 +350,9 @@ def _(spark, sf):
     card = F.concat(F.lit("<nav><p>menu</p></nav><main><h1>Soup</h1><div class='x recipe-card'><h2>Ingredients</h2><ul><li>salt &amp; "), "url", F.lit("<li>salt &amp; "), "url", F.lit("</ul><h3>Method</h3><p>Boil.<br></p></div></main><footer><p>end</p></footer>"))
     rows = load(spark, sf, "pages").select("url", F.when(F.col("page_id") % 2 == 0, card).otherwise(F.col("html")).alias("html"))
     return structured.fallbacks(rows)
+
+
+@query("X19_fingerprints", """SELECT p_partkey, printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, [ord(c)::BIGINT FOR c IN string_split(t, '')]), lambda h, c: (xor(h, c) * 16777619) % 4294967296)) AS mark
+  FROM (SELECT p_partkey, p_name || ' é ' || p_partkey AS t FROM part)""")
+def _(spark, sf):
+    return load(spark, sf, "part").select("p_partkey", text.fingerprint_of(F.concat_ws(" é ", "p_name", F.col("p_partkey").cast("string"))).alias("mark"))
