@@ -22,6 +22,11 @@ def observations(cooked: DataFrame) -> DataFrame:
     return cooked.select("user_id", "rating", F.explode(F.array_compact(F.concat(over, category, tags))).alias("o")).select("user_id", "o.kind", "o.value", "rating")
 
 
+def cooked(logs: DataFrame, dishes: DataFrame) -> DataFrame:
+    """user_id, rating, total_minutes, category and tags of each cook log (user_id, dish_id, rating) of a dish that is there; logs of other dishes, or of none, drop out."""
+    return logs.select("user_id", "dish_id", "rating").join(dishes.select("dish_id", "total_minutes", "category", "tags"), "dish_id").drop("dish_id")
+
+
 def derive_rules(observed: DataFrame) -> DataFrame:
     """Rules with enough observations and a low median: of the time rules the largest bucket, all of the exclusions."""
     return rules_of(observed.groupBy("user_id", "kind", "value").agg(F.count("rating").alias("observations"), F.median("rating").alias("m")))

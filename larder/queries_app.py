@@ -461,3 +461,11 @@ def _(spark, sf):
     derived = rows.select(F.col("o_custkey").alias("user_id"), rule(5)).distinct().select("user_id", "rule_id", *plain)
     before = rows.groupBy(F.col("o_custkey").alias("user_id"), rule(7)).agg((F.min("o_orderkey") % 2 == 0).alias("enabled")).select("user_id", "rule_id", *plain, "enabled")
     return rules.merge_rules(before, derived).select("user_id", "rule_id", "enabled")
+
+
+@query("J6_cooked_dishes", """SELECT user_id, kind, value, count(*)::BIGINT AS observations, sum(rating)::BIGINT AS stars FROM (
+  SELECT user_id, rating, unnest(list_concat([('max_minutes', t::VARCHAR) FOR t IN [30, 60, 90] IF total_minutes > t], CASE WHEN category IS NULL THEN [] ELSE [('exclude_category', category)] END, [('exclude_tag', t) FOR t IN tags])) AS o
+  FROM cook_logs JOIN dish_rows USING (dish_id)) t(user_id, rating, o), (SELECT 1) one, LATERAL (SELECT o[1] AS kind, o[2] AS value) GROUP BY ALL""")
+def _(spark, sf):
+    seen = rules.observations(rules.cooked(view(spark, sf, "cook_logs"), view(spark, sf, "dish_rows")))
+    return seen.groupBy("user_id", "kind", "value").agg(F.count("*").alias("observations"), F.sum("rating").alias("stars"))

@@ -356,3 +356,21 @@ def _(spark, sf):
   FROM (SELECT p_partkey, p_name || ' é ' || p_partkey AS t FROM part)""")
 def _(spark, sf):
     return load(spark, sf, "part").select("p_partkey", text.fingerprint_of(F.concat_ws(" é ", "p_name", F.col("p_partkey").cast("string"))).alias("mark"))
+
+
+@query("X20_written_durations", """SELECT l_orderkey, l_linenumber, nullif(h * 60 + m, 0)::INT AS iso, nullif(h * 60 + m, 0)::INT AS words, nullif(d * 1440 + h * 60, 0)::INT AS days, nullif(m, 0)::INT AS bare, floor(h * 60 + 30.5)::INT AS half
+  FROM (SELECT *, l_orderkey % 30 AS h, l_partkey % 100 AS m, l_suppkey % 4 AS d FROM lineitem)""")
+def _(spark, sf):
+    h, m, d = (F.expr(f"cast({c} as string)") for c in ("l_orderkey % 30", "l_partkey % 100", "l_suppkey % 4"))
+    minutes = lambda *parts: schema_org.duration_minutes(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
+    rows = load(spark, sf, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", minutes("PT", h, "H", m, "M").alias("iso"), minutes(h, " hours and ", m, " min").alias("words"), minutes("P", d, "DT", h, "H").alias("days"), minutes(" ", m, " ").alias("bare"), minutes("pt", h, ",5H").alias("half"))
+
+
+@query("X21X24_written_numbers", """SELECT p_partkey, nullif(p_size, 0)::INT AS plain, nullif(p_size, 0)::INT AS low, NULL::INT AS measured, CASE WHEN s <= 5 AND s > 0 THEN s::FLOAT END AS value,
+  CASE WHEN (s <= 5 AND s > 0) OR p_partkey > 0 THEN p_partkey::INT END AS count FROM (SELECT *, (p_size % 60)::DOUBLE / 10 AS s FROM part)""")
+def _(spark, sf):
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    stars = schema_org.rating(F.concat(((F.col("p_size") % 60).cast("double") / 10).cast("string"), F.lit(" of 5")), F.concat(F.format_number("p_partkey", 0), F.lit(" ratings")))
+    yields = {"plain": F.concat(F.lit("Serves "), size), "low": F.concat(size, F.lit(" – "), key, F.lit(" portions")), "measured": F.concat(size, F.lit(" cups of "), F.col("p_name"))}
+    return load(spark, sf, "part").select("p_partkey", *(schema_org.servings(t).alias(n) for n, t in yields.items()), stars["value"].alias("value"), stars["count"].alias("count"))
