@@ -56,20 +56,32 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(index: np.ndarray, value: np.ndarray, edge: np.ndarray, earlier: np.ndarray, y: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Weights of a logistic model: one per hashed word, then the earlier links', then the constant. Classes weigh the same."""
     own, extra, n = 1 << bits, earlier.shape[1], len(y)
-    rows = np.repeat(np.arange(n), np.diff(edge))
-    keep = np.bincount(index, minlength=own)[index] >= LEAST
-    rows, index, value = rows[keep], index[keep], value[keep]
-    edge = np.searchsorted(rows, np.arange(n + 1))
+    rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(edge))
+    used = np.bincount(index, minlength=own) >= LEAST
+    keep = used[index]
+    rows, value = rows[keep], value[keep].astype(np.float32)
+    # Words that are used are numbered anew, and their places also put in the order of words, so both sums run along memory.
+    number = (np.cumsum(used) - 1).astype(np.int32)[index[keep]]
+    size = int(used.sum())
+    by_row, by_word = np.searchsorted(rows, np.arange(n)), np.argsort(number, kind="stable")
+    full = np.flatnonzero(np.bincount(rows, minlength=n))
+    rows_of, value_of, starts = rows[by_word], value[by_word], np.searchsorted(number[by_word], np.arange(size))
     positive = max(y.sum(), 1)
     weight = np.where(y > 0, n / (2 * positive), n / (2 * max(n - positive, 1))) / n
-    w = np.zeros(own + extra + 1)
+    w = np.zeros(size + extra + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, PASSES + 1):
-        error = weight * (sigmoid(scores(index, value, edge, w) + earlier @ w[own:-1] + w[-1]) - y)
-        g = np.concatenate([np.bincount(index, value * error[rows], own), earlier.T @ error, [error.sum()]]) + DECAY * w
+        total = earlier @ w[size:-1] + w[-1]
+        if size:
+            total[full] += np.add.reduceat(value * w[:size].astype(np.float32)[number], by_row[full])
+        error = weight * (sigmoid(total) - y)
+        words_of = np.add.reduceat(value_of * error.astype(np.float32)[rows_of], starts) if size else np.zeros(0)
+        g = np.concatenate([words_of, earlier.T @ error, [error.sum()]]) + DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return w
+    out = np.zeros(own + extra + 1)
+    out[:own][used], out[own:] = w[:size], w[size:]
+    return out
 
 
 def link_trainer(category: str, columns: list[str]):
