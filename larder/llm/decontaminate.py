@@ -85,7 +85,8 @@ def contained_items(docs: DataFrame, items: DataFrame, similar: tuple[int, int]
 def decontaminate(docs: DataFrame, items: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """docs without the rows whose text contains an item; all columns stay.
 
-    Rows are told apart by (doc_id, text): each goes or stays by its own text, whatever other rows share its id.
+    Rows are told apart by (doc_id, text): each goes or stays by its own text, whatever other rows share its id. Null and
+    empty texts and items contain and match nothing, so such rows stay; texts of any length are searched whole.
     """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
     found = materialize(contained_items(rows, items, similar).select(F.col("doc_id").alias("__larder_row")).distinct(), "contaminated")

@@ -193,7 +193,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
 
 
 def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids (array), doc_ids and offsets of their pieces in order."""
+    """The packed sequences themselves: sequence_id, ids (array), doc_ids and offsets of their pieces in order.
+
+    Null and empty texts are their end id alone, null doc_id and repeated rows are packed each, texts longer than a
+    sequence are cut into several, an empty table gives no rows; columns besides doc_id and text are ignored.
+    """
     pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id, with_ids=True), "pieces")
     placed = pack_pieces(pieces, capacity)
     row = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "ids")))  # capacity ids at most

@@ -31,13 +31,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
 
 def read_token_files(spark, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it) and ids, in file order."""
+    """doc_id, start (ids of all documents before it) and ids, in file order; files without documents give no rows."""
     spark.dataSource.register(PforSource)
     return spark.read.format("pfor").load(path)
 
 
 def token_digests(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of what read_token_files returns."""
+    """doc_id, start, n_tokens and ids_crc32 of what read_token_files returns, row by row; null and repeated doc_id stay."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,7 +51,7 @@ def token_digests(rows: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None) -> DataFrame:
-    """Write the files, read them back and return token_digests of them."""
+    """Write the files, read them back and return token_digests of them; see write_token_files for odd rows."""
     path = path or scratch_path(docs.sparkSession, "tokens.pfor")
     write_token_files(docs, path, tokenizer, end_id)
     return token_digests(read_token_files(docs.sparkSession, path))

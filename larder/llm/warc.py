@@ -245,7 +245,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_derivatives(pages: DataFrame) -> DataFrame:
-    """The derived records of crawled pages."""
+    """The derived records of crawled pages (page_id, url, html).
+
+    Null and empty html are an empty payload, repeated rows give records each, an empty table none.
+    """
     columns = ["page_id", "record_type", "record_id", "source_id", "target_uri", "date", "content_type", "content_length", "block_digest", "payload_digest", "header", "block"]
     return derive(responses(pages)).select(columns)
 
