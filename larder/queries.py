@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from larder.functions import fmt, units
 from larder.functions.text import stable_hash
 from larder.functions.urls import canonical_url
-from larder.operators import checks, grocery, many, matcher, rule_state, rules, runs, scoring, search
+from larder.operators import bitmaps, checks, grocery, many, matcher, rule_state, rules, runs, scoring, search
 from larder.plans.catalogue import load, view
 from larder.registry import ORACLE_SQL, QUERIES, query
 from larder.sources.pages import dedupe_by_url
@@ -41,6 +41,32 @@ filter_query("J10_any_ingredient", search.Filter(any_ingredients=[S1, S2]), f"EX
 filter_query("J11_no_ingredient", search.Filter(exclude_ingredients=[S1, S2, S3]), f"NOT EXISTS ({_names(S1, S2, S3)})", 1)
 filter_query("A9_all_ingredients", search.Filter(ingredients=[S1, S2]), f"(SELECT count(DISTINCT x.name) FROM ({_names(S1, S2)}) x) = 2", 1)
 
+
+@query("A9J10J11_bitmap_dishes", f"""SELECT 'all' AS search_id, dish_id FROM dishes WHERE (SELECT count(DISTINCT x.name) FROM ({_names(S1, S2)}) x) = 2
+  UNION ALL SELECT 'any', dish_id FROM dishes WHERE EXISTS ({_names(S1, S2)}) UNION ALL SELECT 'none', dish_id FROM dishes WHERE NOT EXISTS ({_names(S1, S2, S3)})""")
+def _(spark, sf):
+    asked = [("all", [S1, S2], None, None), ("any", None, [S1, S2], None), ("none", None, None, [S1, S2, S3])]
+    searches = spark.createDataFrame(asked, "search_id string, ingredients array<string>, any_ingredients array<string>, exclude_ingredients array<string>")
+    return bitmaps.dishes_of(bitmaps.lookup(bitmaps.ingredient_words(view(spark, sf, "dishes"), view(spark, sf, "dish_lines")), searches))
+
+
+def _baskets(array: str) -> str:
+    """A search for each customer: all, any and none of some ingredients, in all combinations, by the customer's number."""
+    end = ")" if array == "array(" else "]"
+    name = lambda n: f"concat('supplier#', lpad(cast({n} as {'string' if array == 'array(' else 'varchar'}), 9, '0'))"
+    some = lambda when, *numbers: f"CASE WHEN {when} THEN {array}{', '.join(map(name, numbers))}{end} END"
+    return f"""SELECT c_custkey AS search_id, {some("c_custkey % 2 = 0", "c_custkey % 9 + 1", "c_custkey % 5 + 1")} AS ingredients, {some("c_custkey % 3 = 0", "c_custkey % 7 + 2", "c_custkey % 10 + 3")} AS any_ingredients,
+  {some("c_custkey % 5 < 3", "c_custkey % 8 + 1", "c_custkey % 3 + 6")} AS exclude_ingredients FROM """
+
+
+@query("A9J10J11_bitmap_counts", f"""SELECT search_id, count(*)::BIGINT AS n FROM ({_baskets("[")} customer) s,
+  (SELECT dish_id, coalesce(names, []) AS names FROM dishes LEFT JOIN (SELECT dish_id, list(DISTINCT name) AS names FROM dish_lines WHERE name IS NOT NULL GROUP BY 1) USING (dish_id)) d
+  WHERE (ingredients IS NULL OR list_has_all(names, ingredients)) AND (any_ingredients IS NULL OR list_has_any(names, any_ingredients)) AND (exclude_ingredients IS NULL OR NOT list_has_any(names, exclude_ingredients)) GROUP BY 1""")
+def _(spark, sf):
+    searches = spark.sql(_baskets("array(") + "{customer}", customer=load(spark, sf, "customer"))
+    return bitmaps.counts_of(bitmaps.lookup(bitmaps.ingredient_words(view(spark, sf, "dishes"), view(spark, sf, "dish_lines")), searches))
+
+
 WIDE = search.Filter(max_minutes=30, min_keeps_days=3, any_tags=["Cheap", "Vegan", "One pot"], exclude_categories=["Soup"], any_ingredients=[S1, S2])
 _COUNT = f"""(coalesce(total_minutes <= 30, false)::INT + coalesce(keeps_days >= 3, false)::INT + list_has_any(tags, ['Cheap', 'Vegan', 'One pot'])::INT
   + (category IS NULL OR category <> 'Soup')::INT + (EXISTS ({_names(S1, S2)}))::INT)"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.operators import aliases as al
-from larder.operators import browse, matcher, planner, rules, runs, scoring, search, state
+from larder.operators import browse, kept_counts, matcher, planner, rules, runs, scoring, search, state
 from larder.operators.grocery import count_items, total_servings
 from larder.plans.catalogue import load, view
 from larder.registry import query
@@ -82,6 +82,31 @@ def _(spark, sf):
     return browse.remaining(*_views(spark, sf, "dish_rows", "mapped_lines"))
 
 
+_STATUS = "CASE WHEN dish_id % 4 = 1 THEN 'pending' WHEN dish_id % 10 = 0 THEN 'active' ELSE status END"
+_MAPPED = "CASE WHEN position % 3 = 0 THEN NULL WHEN ingredient_id IS NULL AND position % 3 = 1 THEN dish_id % 50 + 1 ELSE ingredient_id END"
+
+
+def _followed(spark, sf):
+    """Dishes and lines before, and the changes of their status and mapping."""
+    dishes, lines = _views(spark, sf, "dish_rows", "mapped_lines")
+    dish_changes = kept_counts.signed(dishes, dishes.withColumn("status", F.expr(_STATUS)), ["dish_id", "status"])
+    line_changes = kept_counts.signed(lines, lines.withColumn("ingredient_id", F.expr(_MAPPED)), ["dish_id", "ingredient_id"])
+    return dishes, lines, dish_changes, line_changes
+
+
+@query("J12A14_followed_uses", f"""SELECT ingredient_id, count(*)::BIGINT AS uses FROM (SELECT dish_id, {_MAPPED} AS ingredient_id FROM mapped_lines) WHERE ingredient_id IS NOT NULL
+  AND dish_id IN (SELECT dish_id FROM dish_rows WHERE {_STATUS} = 'active') GROUP BY 1""")
+def _(spark, sf):
+    dishes, lines, dish_changes, line_changes = _followed(spark, sf)
+    return kept_counts.change_uses(kept_counts.uses(dishes, lines), dishes, lines, dish_changes, line_changes)
+
+
+@query("F20F27_followed_left", f"SELECT (SELECT count(*) FROM dish_rows WHERE {_STATUS} = 'pending')::BIGINT AS pending, (SELECT count(*) FROM mapped_lines WHERE {_MAPPED} IS NULL)::BIGINT AS unmapped")
+def _(spark, sf):
+    dishes, lines, dish_changes, line_changes = _followed(spark, sf)
+    return kept_counts.change_left(kept_counts.left(dishes, lines), dish_changes, line_changes)
+
+
 @query("F22_category_chip", "SELECT dish_id, 'Soup' AS chip FROM dish_rows WHERE category = 'Soup' UNION ALL SELECT dish_id, 'All' FROM dish_rows")
 def _(spark, sf):
     rows = view(spark, sf, "dish_rows")
