@@ -6,12 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from larder.functions.fmt import alias_key
 from larder.functions.lines import parse_lines, plausible_match
 from larder.operators.matcher import match
 from larder.operators.state import insert_ignore
+from larder.plans.shared import numbered, written
 
 
 @dataclass
@@ -57,13 +57,15 @@ def apply_mappings(ingredients: DataFrame, aliases: DataFrame, lines: DataFrame,
     wanted = wanted.join(open_, ["dish_id", "position"], "left")
     stale = F.col("there").isNull() | ~F.col("now").eqNullSafe(F.col("raw_text"))
     wanted = wanted.withColumn("state", F.when(F.col("canonical").isNull(), "undecided").when(stale, "stale").otherwise("live")).drop("now", "there")
+    wanted = written(wanted, "wanted")
     owners = aliases.select(F.col("alias").alias("known"), F.col("ingredient_id").alias("owner"))
     names = ingredients.select(F.col("name").alias("known"), F.col("ingredient_id").alias("owner")).unionByName(owners.join(ingredients.select(F.col("name").alias("known")), "known", "left_anti"))
     live = wanted.where("state = 'live'").select("alias", "canonical", "aisle").distinct()
     live = live.join(owners.withColumnRenamed("known", "alias").withColumnRenamed("owner", "kept"), "alias", "left").join(names.withColumnRenamed("known", "canonical").withColumnRenamed("owner", "meant"), "canonical", "left")
+    live = written(live, "live")
     fresh = live.where("kept IS NULL AND meant IS NULL").groupBy("canonical").agg(F.first("aisle").alias("aisle"))
     top = ingredients.agg(F.coalesce(F.max("ingredient_id"), F.lit(0)).alias("top"))
-    fresh = fresh.withColumn("k", F.row_number().over(Window.orderBy("canonical"))).join(top)  # new ingredients of one batch of decisions, with one row
+    fresh = numbered(fresh, "canonical").join(top)  # with one row
     fresh = fresh.select((F.col("top") + F.col("k")).cast("long").alias("ingredient_id"), F.col("canonical").alias("name"), "aisle")
     live = live.join(fresh.select(F.col("name").alias("canonical"), F.col("ingredient_id").alias("made")), "canonical", "left")
     live = live.withColumn("intended", F.coalesce("meant", "made")).withColumn("target", F.coalesce("kept", "intended"))
@@ -93,8 +95,8 @@ def seed(ingredients: DataFrame, aliases: DataFrame, seeds: DataFrame) -> tuple[
     rows = seeds.withColumn("name", alias_key(F.col("name"))).groupBy("name").agg(F.max_by(F.struct("aisle", "default_unit"), "position").alias("s")).select("name", "s.*")
     both = ingredients.alias("i").join(rows.withColumn("seeded", F.lit(True)).alias("s"), "name", "full_outer")
     top = ingredients.agg(F.coalesce(F.max("ingredient_id"), F.lit(0)).alias("top"))
-    number = F.row_number().over(Window.partitionBy(F.col("i.ingredient_id").isNull()).orderBy("name"))  # of a seed's size
-    both = both.withColumn("k", number).join(top)
+    number = numbered(rows.select("name").join(ingredients.select("name"), "name", "left_anti"), "name").join(top)  # with one row
+    both = both.join(number, "name", "left")
     pick = lambda c: F.when(F.col("seeded"), F.col(f"s.{c}")).otherwise(F.col(f"i.{c}")).alias(c)
     out = both.select(F.coalesce("i.ingredient_id", F.col("top") + F.col("k")).cast("long").alias("ingredient_id"), "name", pick("aisle"), pick("default_unit"))
     own = out.join(rows.select("name"), "name", "left_semi").select(F.col("name").alias("alias"), "ingredient_id")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larder.plans.shared import written
+
 
 def one_each(changes: DataFrame, keys: list[str], *latest: str) -> DataFrame:
     """One row for each key: that with the greatest `latest` columns, then the greatest others in the table's order (null is least)."""
@@ -120,12 +122,15 @@ def share_codes(ids: DataFrame, column: str = "id") -> DataFrame:
     """A code of eight characters per id, unique and the same each time: five bits of a hash per character.
 
     Ids whose codes are the same are told apart by their order: all but the first hash again with a number, until no
-    code comes twice. Of n ids about n * n / 2^41 need that, so the rounds are few and small.
+    code comes twice. Of n ids about n * n / 2^41 need that, so the rounds are few; each looks only at the ids that are
+    still without a code.
     """
-    rows = ids.select(column).distinct().withColumn("turn", F.lit(0))
-    while True:
-        rows = rows.withColumn("share_code", _code(F.when(F.col("turn") == 0, F.xxhash64(column)).otherwise(F.xxhash64(column, "turn"))))
-        place = F.row_number().over(Window.partitionBy("share_code").orderBy("turn", column))
-        if rows.groupBy("share_code").count().where("count > 1").isEmpty():
-            return rows.select(column, "share_code")
-        rows = rows.withColumn("turn", F.when(place > 1, F.col("turn") + 1).otherwise(F.col("turn"))).drop("share_code")
+    first = F.row_number().over(Window.partitionBy("share_code").orderBy(column)) == 1
+    rows = written(ids.select(column).distinct().withColumn("share_code", _code(F.xxhash64(column))).withColumn("own", first), "codes")
+    given, turn = rows.where("own").drop("own"), 0
+    while not (open_ := rows.where("NOT own").select(column)).isEmpty():
+        turn += 1
+        again = open_.withColumn("share_code", _code(F.xxhash64(column, F.lit(turn)))).join(given.select("share_code", F.lit(True).alias("held")), "share_code", "left")
+        rows = written(again.select(column, "share_code", (F.col("held").isNull() & first).alias("own")), "codes")
+        given = given.unionByName(rows.where("own").drop("own"))
+    return given.select(column, "share_code")

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from larder.functions.schema_org import published
 from larder.functions.text import clean_or_null, join_url
 from larder.functions.urls import origin
+from larder.plans.shared import written
 
 ITEM = "array<struct<kind:string,url:string,title:string,at:string>>"
 
@@ -88,24 +89,27 @@ def follow_sitemaps(roots: DataFrame, documents: DataFrame, since: datetime | No
 
     documents (url, xml) holds what was fetched. Of an index the newest `most` children count, those that changed before
     since don't; each map is read once, and a source reads at most `most` maps besides its roots. Undated pages pass.
+    Each level writes what its maps list and the frontier that follows, so that no map is parsed twice and the work is
+    that of the maps that are read, however many levels there are.
     """
     fresh = F.lit(True) if since is None else F.col("published_at").isNull() | (F.col("published_at") > F.lit(since))
-    frontier = roots.select("source_id", "url").distinct()
+    frontier = read = written(roots.select("source_id", "url").distinct(), "frontier")
     budget = frontier.groupBy("source_id").agg((F.count("*") + most).alias("left"))
-    read, pages = frontier.limit(0), []
+    pages = []
     for level in range(levels + 1):
-        rows = xml_rows(frontier.join(documents.select("url", "xml"), "url")).where(fresh)
+        rows = written(xml_rows(frontier.join(documents.select("url", "xml"), "url")).where(fresh), "maps")
         pages.append(rows.where("kind = 'page'").select("source_id", F.col("item_url").alias("url"), "published_at"))
-        if level == levels:
+        maps = rows.where("kind = 'sitemap'")
+        if level == levels or maps.isEmpty():
             break
-        read = read.union(frontier.select("source_id", "url"))
         newest = Window.partitionBy("source_id", "url").orderBy(F.col("published_at").desc_nulls_last(), "ord")
-        children = rows.where("kind = 'sitemap'").withColumn("k", F.row_number().over(newest)).where(F.col("k") <= most)
+        children = maps.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= most)
         children = children.groupBy("source_id", F.col("item_url").alias("url")).agg(F.min(F.struct("k", "ord")).alias("at")).join(read, ["source_id", "url"], "left_anti")
         done = read.groupBy("source_id").agg(F.count("*").alias("done"))
         turn = Window.partitionBy("source_id").orderBy("at", "url")
         children = children.withColumn("k", F.row_number().over(turn)).join(budget, "source_id").join(done, "source_id").where(F.col("done") + F.col("k") <= F.col("left"))
-        frontier = children.select("source_id", "url")
+        frontier = written(children.select("source_id", "url"), "frontier")
+        read = read.union(frontier)
     return reduce(DataFrame.union, pages)
 
 
