@@ -13,6 +13,7 @@ from larder.operators import browse, kept_counts, matcher, planner, rules, runs,
 from larder.operators.grocery import count_items, total_servings
 from larder.plans.catalogue import load, view
 from larder.registry import query
+from larder.streaming import work_queue
 
 SINCE = datetime(2024, 3, 5)
 _BROWSE = "coalesce(score, 50::FLOAT) DESC, coalesce(published_at, first_seen_at) DESC, coalesce(source_rating, 0) DESC, dish_id DESC"
@@ -393,6 +394,20 @@ def _(spark, sf):
     return state.compare_and_set(rows.select("dish_id", "content_hash", "status"), changes).select("dish_id", "status", "outcome")
 
 
+@query("K14I8I7_queue", """SELECT source_url AS url, version::BIGINT AS version, event FROM dish_rows, LATERAL (VALUES (true, 1, 'task'), (dish_id % 3 = 0, 1, 'applied'), (dish_id % 3 = 1, 1, 'stale'), (dish_id % 4 = 0 AND dish_id % 3 <> 0, 1, 'superseded'),
+  (dish_id % 4 = 0, 2, 'task'), (dish_id % 4 = 1, 1, 'touched'), (dish_id % 12 = 0, 2, 'stale'), (dish_id % 12 = 6, 1, 'repeated')) AS t(happens, version, event) WHERE happens""")
+def _(spark, sf):
+    work_queue.use_store(spark)
+    rows = view(spark, sf, "dish_rows").select("dish_id", F.col("source_url").alias("url"), "first_seen_at", "content_hash")
+
+    def some(where: str, hours: int, kind: str, content_hash: str, status: str) -> DataFrame:
+        return rows.where(where).selectExpr("url", f"first_seen_at + INTERVAL {hours} HOURS AS at", f"'{kind}' AS kind", f"{content_hash} AS content_hash", f"{status} AS status")
+
+    events = some("true", 0, "draft", "content_hash", "cast(NULL AS string)").union(some("dish_id % 3 != 2", 1, "answer", "if(dish_id % 3 = 0, content_hash, 'old')", "'active'"))
+    events = events.union(some("dish_id % 4 < 2", 2, "draft", "if(dish_id % 4 = 0, concat('new', content_hash), content_hash)", "cast(NULL AS string)"))
+    return work_queue.work(events.union(some("dish_id % 6 = 0", 3, "answer", "content_hash", "'rejected'"))).select("url", "version", "event")
+
+
 @query("K18_share_codes")
 def _(spark, sf):
     return state.share_codes(load(spark, sf, "orders").select(F.col("o_orderkey").alias("id")))
