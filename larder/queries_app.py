@@ -13,7 +13,7 @@ from larder.operators import browse, kept_counts, matcher, planner, rules, runs,
 from larder.operators.grocery import count_items, total_servings
 from larder.plans.catalogue import load, view
 from larder.registry import query
-from larder.streaming import work_queue
+from larder.streaming import budget, work_queue
 
 SINCE = datetime(2024, 3, 5)
 _BROWSE = "coalesce(score, 50::FLOAT) DESC, coalesce(published_at, first_seen_at) DESC, coalesce(source_rating, 0) DESC, dish_id DESC"
@@ -260,6 +260,17 @@ def _(spark, sf):
     return runs.search_open(usage).select(F.col("day").cast("date").alias("day"), "available")
 
 
+@query("I9K12_running_gate", """SELECT run_id, coalesce(sum(cost::DECIMAL(18, 9)) OVER (PARTITION BY kind, date_trunc('day', started_at) ORDER BY started_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < CASE kind WHEN 'search' THEN 0.05 ELSE 0.2 END AS allowed FROM scan_runs""")
+def _(spark, sf):
+    limits = {"search": 0.05, "scan": 0.2}
+    calls = view(spark, sf, "scan_runs").select(F.col("run_id").alias("call_id"), "kind", F.col("started_at").alias("at"), "cost")
+    spent = budget.nothing_spent(spark)
+    early, late = (calls.where(f"hour(at) {op} 12") for op in ("<", ">="))
+    first = budget.gate(spent, early, limits)
+    second = budget.gate(budget.add_spent(spent, first), late, limits)
+    return first.union(second).select(F.col("call_id").alias("run_id"), "allowed")
+
+
 @query("X34_usage_cost", "SELECT run_id, round(CASE WHEN run_id % 5 = 0 THEN run_id / 1000.0 ELSE ((tokens_in - least(tokens_out * 3, tokens_in)) * 0.5 + least(tokens_out * 3, tokens_in) * 0.1 + tokens_out * 2.0) / 1000000 END, 9)::DOUBLE AS cost FROM scan_runs")
 def _(spark, sf):
     reported = F.when(F.col("run_id") % 5 == 0, F.col("run_id") / 1000.0).otherwise(F.lit(-1.0))
