@@ -26,9 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return (path or _test_dir()).rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/larder/{uuid.uuid4().hex}/{name}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written and read again: its plan ends there, and lost executors cost what they were doing only."""
-    path = f"{shared_dir(df.sparkSession)}/larder/{uuid.uuid4().hex}/{name}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from larder.functions import fmt, units
 from larder.functions.text import stable_hash
 from larder.functions.urls import canonical_url
-from larder.operators import bitmaps, checks, grocery, many, matcher, rule_state, rules, runs, scoring, search
+from larder.operators import bitmaps, checks, grocery, many, matcher, name_index, rule_state, rules, runs, scoring, search
 from larder.plans.catalogue import load, view
+from larder.plans.shared import scratch
 from larder.registry import ORACLE_SQL, QUERIES, query
 from larder.sources.pages import dedupe_by_url
 from larder.vocab import AISLES, CATEGORIES, MIN_RATED, TAGS
@@ -350,14 +351,28 @@ _TRIGRAMS = """, grams AS (SELECT name, unnest(list_distinct(flatten([[substr('
 sizes AS (SELECT name, count(*) AS n FROM grams GROUP BY name)"""
 
 
-@query("X27_trigram_similarity", f"""WITH {_TRIGRAMS.lstrip(", ")} SELECT a.name AS name, b.name AS alias, round((count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)))::FLOAT::DOUBLE, 6) AS similarity
-  FROM grams a JOIN grams b USING (g) JOIN sizes x ON x.name = a.name JOIN sizes y ON y.name = b.name GROUP BY a.name, b.name HAVING (count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)))::FLOAT::DOUBLE > 0.3""")
+_SIMILAR = f"""WITH {_TRIGRAMS.lstrip(", ")} SELECT a.name AS name, b.name AS alias, round((count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)))::FLOAT::DOUBLE, 6) AS similarity
+  FROM grams a JOIN grams b USING (g) JOIN sizes x ON x.name = a.name JOIN sizes y ON y.name = b.name GROUP BY a.name, b.name HAVING (count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)))::FLOAT::DOUBLE > 0.3"""
+
+
+@query("X27_trigram_similarity", _SIMILAR)
 def _(spark, sf):
     names = load(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
     near = matcher.similar_names(names, names.select(F.col("name").alias("alias"), F.lit(1).alias("ingredient_id")), 0.3)
     return near.select("name", "alias", F.round(F.col("similarity").cast("double"), 6).alias("similarity"))
 
 
+@query("J15I13_name_index", _SIMILAR)
+def _(spark, sf):
+    names = load(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
+    part = lambda where: names.where(where).select(F.col("name").alias("alias"), F.lit(1).alias("ingredient_id"))
+    index = name_index.NameIndex(spark, scratch(spark, "names"))
+    index.build(part("crc32(name) % 8 > 1"), 0.3)
+    index.add(part("crc32(name) % 8 = 1"))
+    index.add(part("crc32(name) % 8 < 2"))
+    return index.find(names).select("name", "alias", F.round(F.col("similarity").cast("double"), 6).alias("similarity"))
+
+
 _KEY = "CASE p_partkey % 6 WHEN 0 THEN 'https://example.com/p/' || p_partkey || '?a=' || p_size || '&b=2' WHEN 1 THEN 'https://example.com/' WHEN 2 THEN 'https://example.com:8080/X' WHEN 3 THEN 'no url ' || p_partkey WHEN 4 THEN 'https://example.com/a//b?a=1&a=0&z=' ELSE NULL END"
 
 
