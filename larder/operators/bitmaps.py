@@ -7,11 +7,16 @@ its own names alone. Ids far from each other cost a row a dish, as lists would.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Searches that are sent to every task, at most; more are joined by name.
+from larder.plans.shared import written
+
+#: Searches that are sent to every task at once; more take a turn for each so many.
 SENT = 100_000
+LISTS = ("ingredients", "any_ingredients", "exclude_ingredients")
 
 
 def _word(dish: Column) -> list[Column]:
@@ -43,7 +48,7 @@ def change(words: DataFrame, taken: DataFrame, given: DataFrame) -> DataFrame:
 def _asked(searches: DataFrame) -> DataFrame:
     """A row for each name of a search: search_id, name, role (0 all, 1 any, 2 none) and what the search asks for."""
     wanted = {}
-    for c in ("ingredients", "any_ingredients", "exclude_ingredients"):
+    for c in LISTS:
         names = F.transform(F.array_compact(c), F.lower) if c in searches.columns else F.array().cast("array<string>")
         wanted[c] = F.array_distinct(F.coalesce(names, F.array().cast("array<string>")))
     of = lambda names, role: F.transform(names, lambda x: F.struct(x.alias("name"), F.lit(role).alias("role")))
@@ -57,14 +62,22 @@ def _asked(searches: DataFrame) -> DataFrame:
 def lookup(words: DataFrame, searches: DataFrame) -> DataFrame:
     """search_id, word and bits of the dishes that have all `ingredients`, one of `any_ingredients` and none of `exclude_ingredients`.
 
-    Each list may be missing, null or empty, which asks for nothing. A search's rows are put together by one grouping,
-    into which every task sends what it has added up. Searches with a list read their names' rows; those that only exclude
-    read those of every dish, which is their answer's size.
+    Each list may be missing, null or empty, which asks for nothing. The rows of the names that are asked for are dealt by
+    word, so a search's rows of a word meet where they are and only the names' own rows move. Searches with a list read
+    their names' rows; those that only exclude read those of every dish, which is their answer's size.
     """
+    turns = max(1, -(-searches.count() // SENT))
+    if turns > 1:
+        turn = F.pmod(F.xxhash64("search_id"), F.lit(turns))
+        return reduce(DataFrame.unionByName, (_lookup(words, searches.where(turn == i)) for i in range(turns)))
+    return _lookup(words, searches)
+
+
+def _lookup(words: DataFrame, searches: DataFrame) -> DataFrame:
     asked = _asked(searches)
-    if searches.limit(SENT + 1).count() <= SENT:
-        asked = F.broadcast(asked)
-    rows = words.join(asked, words["name"].eqNullSafe(asked["name"])).select("search_id", "word", "bits", "n_all", "named", "n_any", "role")
+    known = F.broadcast(asked.select(F.col("name").alias("known")).distinct())
+    rows = words.join(known, words["name"].eqNullSafe(known["known"]), "left_semi").repartition("word")
+    rows = rows.join(F.broadcast(asked), rows["name"].eqNullSafe(asked["name"])).select("search_id", "word", "bits", "n_all", "named", "n_any", "role")
     bits = lambda role: F.when(F.col("role") == role, F.col("bits"))
     rows = rows.groupBy("search_id", "word").agg(
         F.first("n_all").alias("n_all"), F.first("named").alias("named"), F.first("n_any").alias("n_any"), F.count(bits(0)).alias("met"),
@@ -85,3 +98,14 @@ def dishes_of(found: DataFrame) -> DataFrame:
 def counts_of(found: DataFrame) -> DataFrame:
     """search_id and n, the number of its dishes; searches that find none have no row."""
     return found.groupBy("search_id").agg(F.sum(F.bit_count("bits")).alias("n"))
+
+
+def counts(words: DataFrame, searches: DataFrame) -> DataFrame:
+    """counts_of the searches' lookup, with equal searches looked up once."""
+    held = [c for c in LISTS if c in searches.columns]
+    asks = F.to_json(F.struct(F.lit(0).alias("x"), *(F.array_sort(F.array_distinct(F.transform(c, F.lower))).alias(c) for c in held)))
+    rows = searches.select("search_id", asks.alias("asks"), *held)
+    each = written(rows.select("asks", *held).dropDuplicates(["asks"]).withColumn("no", F.monotonically_increasing_id()), "searches")
+    found = counts_of(lookup(words, each.select(F.col("no").alias("search_id"), *held)))
+    told = each.select("asks", "no").join(found, each["no"] == found["search_id"]).select("asks", "n")
+    return rows.select("search_id", "asks").join(told, "asks").select("search_id", "n")

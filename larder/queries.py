@@ -65,7 +65,7 @@ def _baskets(array: str) -> str:
   WHERE (ingredients IS NULL OR list_has_all(names, ingredients)) AND (any_ingredients IS NULL OR list_has_any(names, any_ingredients)) AND (exclude_ingredients IS NULL OR NOT list_has_any(names, exclude_ingredients)) GROUP BY 1""")
 def _(spark, sf):
     searches = spark.sql(_baskets("array(") + "{customer}", customer=load(spark, sf, "customer"))
-    return bitmaps.counts_of(bitmaps.lookup(bitmaps.ingredient_words(view(spark, sf, "dishes"), view(spark, sf, "dish_lines")), searches))
+    return bitmaps.counts(bitmaps.ingredient_words(view(spark, sf, "dishes"), view(spark, sf, "dish_lines")), searches)
 
 
 WIDE = search.Filter(max_minutes=30, min_keeps_days=3, any_tags=["Cheap", "Vegan", "One pot"], exclude_categories=["Soup"], any_ingredients=[S1, S2])

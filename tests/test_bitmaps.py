@@ -48,3 +48,23 @@ def test_missing_lists_and_empty_tables(spark):
     one = spark.createDataFrame([(1, ["N1"])], "search_id long, exclude_ingredients array<string>")
     assert answers(words, one) == [(1, 2)]
     assert answers(words.limit(0), one) == [] and answers(words, one.limit(0)) == []
+
+
+def test_counts_of_equal_searches_and_turns(spark, monkeypatch):
+    rows = {d: {NAMES[d % 6], NAMES[d % 4]} for d in range(300)}
+    asked = [(s, [f"N{s % 3}", "n1"] if s % 2 else ["n1", f"n{s % 3}"], None, [f"n{s % 4}"] if s % 5 else None) for s in range(90)]
+    searches = spark.createDataFrame(asked, "search_id long, ingredients array<string>, any_ingredients array<string>, exclude_ingredients array<string>")
+    words = made_plain(spark, rows)
+    lower = [(s, [n.lower() for n in a], o, x) for s, a, o, x in asked]
+    expected = {}
+    for s, _ in want(rows, lower):
+        expected[s] = expected.get(s, 0) + 1
+    looked = []
+    whole = bitmaps._lookup
+    monkeypatch.setattr(bitmaps, "SENT", 4)
+    monkeypatch.setattr(bitmaps, "_lookup", lambda w, s: looked.append(s.count()) or whole(w, s))
+    assert {r.search_id: r.n for r in bitmaps.counts(words, searches).collect()} == expected
+    assert sum(looked) < 90 and len(looked) > 1  # equal searches once, in turns
+    plan = words.sparkSession.createDataFrame([(1, ["n1"])], "search_id long, ingredients array<string>")
+    text = whole(words, plan)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(search_id" not in text  # no row of a search and a word moves
