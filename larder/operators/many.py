@@ -5,8 +5,8 @@ the answer to a search is the best of its dishes by (rung, match count, order),
 That key merges: a batch of dishes keeps its best few for each search, and one window puts the batches' together.
 
 Within a batch every criterion is a bitmap over the batch's dishes. Criteria are shared by searches, and ingredients and
-terms look theirs up in the batch's postings, so a search costs a few ANDs over bitmaps. The set of searches is sent to
-all tasks; it is the question, of at most MOST rows, while dishes and lines may be any number.
+terms look theirs up in the batch's postings, so a search costs a few ANDs over bitmaps. Searches that ask the same are
+answered once. Each MOST that differ are sent to all tasks and take a pass; searches, dishes and lines may be any number.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from larder.functions.stem import query_lexemes
 from larder.operators.search import Filter, attempts, clamp_limit
+from larder.plans.shared import written
 from larder.vocab import CATEGORIES, NEUTRAL_SCORE, TAGS
 
-#: Searches that one pass takes at most.
+#: Different searches that one pass takes, about.
 MOST = 100_000
 
 _FIELDS = tuple(f.name for f in fields(Filter))
@@ -129,11 +129,22 @@ def search_many(dishes: DataFrame, lines: DataFrame, searches: DataFrame, limit:
     relaxations are (field, how, was, to). Searches that nothing passes on any rung have no rows, an empty table of
     dishes or searches gives none. A search_id that comes twice, or an invalid filter, raises ValueError.
     """
-    spark, limit = dishes.sparkSession, clamp_limit(limit)
-    rows = [r.asDict() for r in searches.limit(MOST + 1).collect()]
-    if len(rows) > MOST or len({r["search_id"] for r in rows}) < len(rows):
-        raise ValueError(f"at most {MOST} searches, each with its own search_id")
-    tried = {r["search_id"]: attempts(filter_of(r)) for r in rows}
+    if not searches.groupBy("search_id").count().where("count > 1").isEmpty():
+        raise ValueError("each search needs its own search_id")
+    fields_ = [c for c in searches.columns if c in _FIELDS]
+    asks = F.to_json(F.struct(F.lit(0).alias("x"), *fields_))
+    each = written(searches.select(asks.alias("asks"), *fields_).dropDuplicates(["asks"]).withColumn("no", F.monotonically_increasing_id()), "searches")
+    passes = max(1, -(-each.count() // MOST))
+    turn = F.pmod(F.xxhash64("no"), F.lit(passes))
+    found = reduce(DataFrame.union, (_search_each(dishes, lines, each.where(turn == i).drop("asks"), clamp_limit(limit), keys, stem) for i in range(passes)))
+    told = found.join(each.select("no", "asks"), "no").drop("no")
+    return searches.select("search_id", asks.alias("asks")).join(told, "asks").drop("asks")
+
+
+def _search_each(dishes: DataFrame, lines: DataFrame, searches: DataFrame, limit: int, keys: list[Column] | None, stem) -> DataFrame:
+    """search_many of different searches in one pass, with no instead of search_id."""
+    spark = dishes.sparkSession
+    tried = {r["no"]: attempts(filter_of(r.asDict())) for r in searches.collect()}
     plans = [(i, [(_criteria(g, stem), terms) for g, terms, _ in t]) for i, t in tried.items()]
     asked = sorted({w for _, plan in plans for k, v in plan[0][0] if "ingredients" in k for w in v})
     stems = sorted({w for _, plan in plans for k, v in plan[0][0] if k == "term" for w in v})
@@ -144,8 +155,7 @@ def search_many(dishes: DataFrame, lines: DataFrame, searches: DataFrame, limit:
     base = dishes.select("dish_id", *_NUMBERS, "category", "tags", lexemes.alias("lexemes"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
     base = base.join(names, "dish_id", "left")
     wanted = spark.sparkContext.broadcast(plans)
-    id_type, search_type = dishes.schema["dish_id"].dataType.simpleString(), searches.schema["search_id"].dataType.simpleString()
-    id_kind = to_arrow_type(searches.schema["search_id"].dataType)
+    id_type = dishes.schema["dish_id"].dataType.simpleString()
     ordered = [f"k{i}" for i in range(len(keys))]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,15 +169,15 @@ def search_many(dishes: DataFrame, lines: DataFrame, searches: DataFrame, limit:
             at = np.concatenate([np.zeros(0, np.int64), *(x[2] for x in out)])
             repeat = lambda j: pa.array(np.repeat(np.arange(len(out)), sizes)) if j is None else pa.array(np.repeat([x[j] for x in out], sizes).astype(np.int32))
             if len(at):
-                ids = pa.array([x[0] for x in out], id_kind).take(repeat(None))
+                ids = pa.array([x[0] for x in out], pa.int64()).take(repeat(None))
                 kept = [table.column(c).take(pa.array(at)).combine_chunks() for c in ("dish_id", *ordered)]
-                yield pa.RecordBatch.from_arrays([ids, repeat(1), pa.array(np.concatenate([x[3] for x in out]).astype(np.int32)), *kept], names=["search_id", "rung", "match_count", "dish_id", *ordered])
+                yield pa.RecordBatch.from_arrays([ids, repeat(1), pa.array(np.concatenate([x[3] for x in out]).astype(np.int32)), *kept], names=["no", "rung", "match_count", "dish_id", *ordered])
 
     kinds = {f"k{i}": base.schema[f"k{i}"].dataType.simpleString() for i in range(len(keys))}
-    best = base.mapInArrow(match, f"search_id {search_type}, rung int, match_count int, dish_id {id_type}, {', '.join(f'{k} {t}' for k, t in kinds.items())}")
-    order = Window.partitionBy("search_id").orderBy("rung", F.col("match_count").desc(), *(F.col(k).desc() for k in ordered), F.col("dish_id").desc())
-    least = F.min("rung").over(Window.partitionBy("search_id"))
+    best = base.mapInArrow(match, f"no long, rung int, match_count int, dish_id {id_type}, {', '.join(f'{k} {t}' for k, t in kinds.items())}")
+    order = Window.partitionBy("no").orderBy("rung", F.col("match_count").desc(), *(F.col(k).desc() for k in ordered), F.col("dish_id").desc())
+    least = F.min("rung").over(Window.partitionBy("no"))
     best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).withColumn("least", least).where("rung = least")
     told = [(i, rung, terms == "any", [(n, how, *(str(x) for x in values)) if values else (n, how, None, None) for n, how, *values in told]) for i, t in tried.items() for rung, (_, terms, told) in enumerate(t)]
-    told = spark.createDataFrame(told, f"search_id {search_type}, rung int, terms_union boolean, relaxations array<struct<field:string,how:string,was:string,to:string>>")
-    return best.join(F.broadcast(told), ["search_id", "rung"]).select("search_id", "place", "dish_id", "match_count", "rung", "terms_union", "relaxations")
+    told = spark.createDataFrame(told, "no long, rung int, terms_union boolean, relaxations array<struct<field:string,how:string,was:string,to:string>>")
+    return best.join(F.broadcast(told), ["no", "rung"]).select("no", "place", "dish_id", "match_count", "rung", "terms_union", "relaxations")

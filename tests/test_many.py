@@ -79,3 +79,17 @@ def test_odd_searches(spark, catalogue):
         many.search_many(dishes, lines, spark.createDataFrame([(1,), (1,)], "search_id int"))
     with pytest.raises(ValueError):
         many.search_many(dishes, lines, spark.createDataFrame([(1, -4)], "search_id int, max_minutes int"))
+
+
+def test_more_searches_than_a_pass_takes(spark, catalogue, monkeypatch):
+    dishes, lines = catalogue
+    rows = filters(20, 5)
+    rows += [(i + 20, *r[1:]) for i, r in enumerate(rows)]  # each twice
+    searches = spark.createDataFrame(rows, f"search_id int, {FIELDS}")
+    want = sorted(map(str, many.search_many(dishes, lines, searches, limit=5).collect()))
+    seen = []
+    one = many._search_each
+    monkeypatch.setattr(many, "MOST", 6)
+    monkeypatch.setattr(many, "_search_each", lambda d, n, s, *rest: seen.append(s.count()) or one(d, n, s, *rest))
+    assert sorted(map(str, many.search_many(dishes, lines, searches, limit=5).collect())) == want and len(want) > 40
+    assert len(seen) > 1 and sum(seen) == len({r[1:].__repr__() for r in rows})
