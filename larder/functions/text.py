@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Callable
+from html.entities import html5
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -30,9 +32,16 @@ def nfkd(text: Column) -> Column:
     return F.coalesce(_mapped(lambda t: unicodedata.normalize("NFKD", t), F.when(text.rlike(NON_ASCII), text)), text)
 
 
-def unescaped(text: Column) -> Column:
-    """Character references decoded; only texts with an ampersand go to Python."""
-    return F.coalesce(_mapped(html.unescape, F.when(F.contains(text, F.lit("&")), text)), text)
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _closed(text: str) -> str:
+    return _CLOSED.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0], text)
+
+
+def unescaped(text: Column, closed: bool = False) -> Column:
+    """Character references decoded, closed: only those that a semicolon ends; only texts with an ampersand go to Python."""
+    return F.coalesce(_mapped(_closed if closed else html.unescape, F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def fold_accents(text: Column) -> Column:
@@ -43,16 +52,16 @@ def collapse_blanks(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, BLANK, " "), "^ | $", "")
 
 
-def strip_html(text: Column) -> Column:
-    """Text without markup: hidden elements go, block tags break lines, references are decoded last, so none becomes a tag."""
+def strip_html(text: Column, closed: bool = False) -> Column:
+    """Text without markup: hidden elements go, block tags break lines, references (see unescaped) are decoded last, so none becomes a tag."""
     out = F.regexp_replace(text, r"(?is)<(script|style|template|noscript)\b[^>]*>.*?</\1\s*>", " ")
     out = F.regexp_replace(out, r"(?i)</?(p|div|br|li|ul|ol|tr|h[1-6]|section|article)\b[^>]*>", "\n")
-    return unescaped(F.regexp_replace(out, "<[^>]*>", " "))
+    return unescaped(F.regexp_replace(out, "<[^>]*>", " "), closed)
 
 
-def clean_text(text: Column) -> Column:
+def clean_text(text: Column, closed: bool = False) -> Column:
     """strip_html on one line; null gives an empty text."""
-    return collapse_blanks(strip_html(F.coalesce(text, F.lit(""))))
+    return collapse_blanks(strip_html(F.coalesce(text, F.lit("")), closed))
 
 
 def clean_or_null(text: Column) -> Column:
