@@ -31,7 +31,7 @@ def posts(pages: DataFrame) -> DataFrame:
     good = _filled(F.col("id")).isNotNull() & _filled(F.col("subreddit")).isNotNull() & _filled(F.col("permalink")).isNotNull() & _filled(F.col("title")).isNotNull() & F.col("created_utc").isNotNull()
     return rows.where(good).select(
         "page", "page_after", "id", "subreddit", link.alias("permalink"), "title", F.coalesce(_filled(F.col("selftext")), F.lit("")).alias("selftext"), _filled(F.col("selftext_html")).alias("selftext_html"),
-        F.coalesce(_filled(F.col("url_overridden_by_dest")), _filled(F.col("url")), link).alias("url"), F.timestamp_seconds("created_utc").alias("created_at"), F.coalesce("score", F.lit(0)).cast("long").alias("score"), F.coalesce("is_self", F.lit(False)).alias("is_self"),
+        F.coalesce(_filled(F.col("url_overridden_by_dest")), _filled(F.col("url")), link).alias("url"), F.timestamp_micros(F.round(F.col("created_utc") * 1_000_000).try_cast("long")).alias("created_at"), F.coalesce("score", F.lit(0)).cast("long").alias("score"), F.coalesce("is_self", F.lit(False)).alias("is_self"),
     )
 
 

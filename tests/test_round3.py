@@ -1,10 +1,30 @@
 """Rows on which queries or operators once gave something else than their SQL."""
 
+from datetime import datetime
+
 import duckdb
 from pyspark.sql import functions as F
 
 from larder import queries, queries_text  # noqa: F401  they register themselves
 from larder.functions import text
+from larder.sources import reddit
+
+
+def test_posts_of_the_boundary_second(spark, tmp_path):
+    rows = [(i * 20 + 15, datetime(2024, 1, 5, 0, 0, 0, micros), i) for i, micros in enumerate((0, 1, 400_001, 999_999))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql("SET timezone = 'UTC'")
+    con.sql(f"CREATE VIEW events AS SELECT event_id, ts::TIMESTAMP AS ts, user_id FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL["S9S10F23_posts"]).select("id, permalink, score").fetchall()
+    got = queries.QUERIES["S9S10F23_posts"](spark, str(tmp_path)).select("id", "permalink", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 3
+
+
+def test_created_at_keeps_microseconds(spark):
+    body = '{"data":{"children":[{"data":{"id":"a","subreddit":"s","permalink":"/x","title":"t","created_utc":1704412800.400001}}]}}'
+    page = spark.createDataFrame([(1, body)], "page int, body string")
+    assert reddit.posts(page).select(F.unix_micros("created_at")).first()[0] == 1704412800400001
 
 
 def test_references_without_semicolons(spark, tmp_path):
