@@ -28,19 +28,20 @@ MEASURED = r"(?i)(?<![A-Za-z0-9_])" + _one_of(MEASURES)
 
 
 def _positive(x: Column) -> Column:
-    rounded = half_up(x).try_cast("int")
-    return F.when(rounded > 0, rounded)
+    return F.get(F.filter(F.array(half_up(x).try_cast("int")), lambda n: n > 0), F.lit(0))  # x is worked out once, inside lambdas too
 
 
 def duration_minutes(text: Column) -> Column:
     """Whole minutes of an ISO duration, a bare number or words such as "1 hour 20 mins"; null for none, and for zero."""
     t = F.trim(text)
-    part = lambda i: F.coalesce(F.replace(F.regexp_extract(t, DURATION, i), F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
-    iso = sum((part(i + 1) * minutes for i, minutes in enumerate(PARTS)), F.lit(0.0))
+    parts = F.split(F.regexp_replace(t, DURATION, ";".join(f"${i + 1}" for i in range(len(PARTS)))), ";")  # matched once for all parts
+    # an empty text is not cast: each failed cast costs an exception
+    part = lambda x, minutes: F.coalesce(F.when(x != "", F.replace(x, F.lit(","), F.lit(".")).try_cast("double")), F.lit(0.0)) * minutes
+    iso = F.aggregate(F.zip_with(parts, F.array(*(F.lit(float(m)) for m in PARTS)), part), F.lit(0.0), lambda a, x: a + x)
     number, unit = F.regexp_extract_all(t, F.lit(PHRASE), 1), F.regexp_extract_all(t, F.lit(PHRASE), 2)
     each = F.zip_with(number, unit, lambda n, u: n.try_cast("double") * F.when(F.lower(u).startswith("h"), 60).otherwise(1))
     words = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
-    return F.when(t.startswith("-"), None).when(t.rlike(DURATION), _positive(iso)).when(t.rlike(r"^\d+$"), _positive(t.try_cast("double"))).when(F.size(number) > 0, _positive(words))
+    return _positive(F.when(t.startswith("-"), None).when(t.rlike(DURATION), iso).when(t.rlike(r"^\d+$"), t.try_cast("double")).otherwise(words))
 
 
 def servings(text: Column) -> Column:
@@ -69,7 +70,9 @@ def rating(value: Column, count: Column) -> Column:
 
 def published(text: Column) -> Column:
     """A date or time of the years 1990 to 2100 in UTC: ISO, or as in mail headers; else null."""
-    t = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9}, ", "")
+    return F.get(F.filter(F.transform(F.array(F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9}, ", "")), _time), lambda at: F.year(at).between(1990, 2100)), F.lit(0))
+
+
+def _time(t: Column) -> Column:
     mail = F.regexp_replace(F.regexp_replace(t, r"(?i) (GMT|UT|UTC|Z)$", " +0000"), r"^(\d) ", "0$1 ")
-    at = F.coalesce(F.try_to_timestamp(F.when(t.rlike(r"^\d{4}-"), t)), F.try_to_timestamp(mail, F.lit("dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(mail, F.lit("dd MMM yyyy HH:mm Z")))
-    return F.when(F.year(at).between(1990, 2100), at)
+    return F.coalesce(F.try_to_timestamp(F.when(t.rlike(r"^\d{4}-"), t)), F.try_to_timestamp(mail, F.lit("dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(mail, F.lit("dd MMM yyyy HH:mm Z")))

@@ -6,8 +6,10 @@ import duckdb
 from pyspark.sql import functions as F
 
 from larder import queries, queries_text  # noqa: F401  they register themselves
-from larder.functions import text
-from larder.sources import reddit
+from larder.functions import schema_org, text, units
+from larder.functions.urls import origin
+from larder.operators import grocery, term_index
+from larder.sources import feeds, reddit
 
 
 def test_posts_of_the_boundary_second(spark, tmp_path):
@@ -38,3 +40,14 @@ def test_references_without_semicolons(spark, tmp_path):
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     want = con.sql(queries.ORACLE_SQL["X15_clean_pages"]).fetchall()
     assert [tuple(r) for r in queries.QUERIES["X15_clean_pages"](spark, str(tmp_path)).select("page_id", "digest").collect()] == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_durations_match_their_pattern_once(spark):
+    texts = spark.createDataFrame([("PT1H30M",), ("P1W",), ("1 hour 20 mins",), ("PT0S",), ("pt1,5h",), ("-5",), ("soon",), (None,), ("90",)], "t string")
+    df = texts.select(schema_org.duration_minutes(F.col("t")).alias("n"))
+    assert [r.n for r in df.collect()] == [90, 10080, 80, None, 90, None, None, None, 90]
+    assert plan_of(df).count(schema_org.DURATION) <= 2
