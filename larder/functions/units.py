@@ -54,11 +54,11 @@ def normalize_unit(unit: Column) -> Column:
 
 
 def _by_spelling(unit: Column, value) -> Column:
-    """value of the unit that a spelling stands for, looked up in one table by the spelling itself; null for unknown ones."""
+    """value of the unit that a spelling stands for, looked up in one table by the spelling as it is, else by its normal form; null for unknown ones."""
     trimmed = F.regexp_replace(unit, r"^[\s ﻿]+|[\s ﻿]+$", "")
     key = F.trim(F.regexp_replace(F.regexp_replace(F.lower(trimmed), r"\.+$", ""), r"[\s ]+", " "))
     cased, plain = ({s: value(u) for u, all_of in table.items() for s in all_of} for table in (CASED, SPELLINGS))
-    return F.coalesce(lookup(cased, trimmed), lookup(plain, key))
+    return F.coalesce(lookup(plain | cased, unit), lookup(cased, trimmed), lookup(plain, key))
 
 
 def dimension(canonical: Column) -> Column:
@@ -73,9 +73,11 @@ def convert(qty: Column, unit: Column, to: Column) -> Column:
 
 def to_base(qty: Column, unit: Column) -> Column:
     """qty and unit in grams, millilitres or the count unit itself; null for unknown spellings."""
-    known = normalize_unit(unit)
-    base = F.when(dimension(known) == "mass", "g").when(dimension(known) == "volume", "ml").otherwise(known)
-    return F.when(known.isNotNull() & qty.isNotNull(), F.struct((qty.cast("double") * lookup(FACTOR, known)).alias("qty"), base.alias("unit"), dimension(known).alias("dimension")))
+    base = {"mass": "g", "volume": "ml"}
+    known = lambda u: F.struct(F.lit(FACTOR[u]).alias("factor"), F.lit(base.get(DIMENSION[u], u)).alias("unit"), F.lit(DIMENSION[u]).alias("dimension"))
+    found = F.when(qty.isNotNull(), _by_spelling(F.coalesce(unit, F.lit("each")), known))
+    made = lambda x: F.struct((qty.cast("double") * x["factor"]).alias("qty"), x["unit"].alias("unit"), x["dimension"].alias("dimension"))
+    return F.get(F.transform(F.array_compact(F.array(found)), made), F.lit(0))  # the spelling is looked up once for all three
 
 
 def dimension_key(unit: Column) -> Column:

@@ -51,3 +51,11 @@ def test_durations_match_their_pattern_once(spark):
     df = texts.select(schema_org.duration_minutes(F.col("t")).alias("n"))
     assert [r.n for r in df.collect()] == [90, 10080, 80, None, 90, None, None, None, 90]
     assert plan_of(df).count(schema_org.DURATION) <= 2
+
+
+def test_spellings_are_looked_up_once(spark):
+    rows = spark.createDataFrame([(2.0, "Pounds"), (1.0, "C"), (3.0, None), (3.0, ""), (1.0, "smidgen"), (None, "g"), (2.0, " Tbsp. ")], "q double, u string")
+    df = rows.select(units.to_base(F.col("q"), F.col("u")).alias("b"))
+    got = [r.b and (round(r.b.qty, 4), r.b.unit, r.b.dimension) for r in df.collect()]
+    assert got == [(907.1847, "g", "mass"), (236.5882, "ml", "volume"), (3.0, "each", "count"), (3.0, "each", "count"), None, None, (29.5735, "ml", "volume")]
+    assert plan_of(df).count("kilograms") <= 2
