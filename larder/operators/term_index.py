@@ -11,11 +11,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.functions.stem import query_lexemes
+from larder.plans.shared import written
 
 #: Dishes of a segment, segments at most, folders of postings, and segments that a search reads first.
 SEGMENT, MOST_SEGMENTS, FOLDERS, FIRST = 100_000, 10_000, 64, 4
@@ -56,16 +59,27 @@ def build(dishes: DataFrame, segment: int = SEGMENT) -> TermIndex:
     # Cuts by date, which are as even as dates are; a date's dishes are never apart, so a segment is never in the way of the order.
     cuts = rows.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first()["q"] if parts > 1 else []
     bounds = sorted(set(cuts or []))
-    above = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: b >= F.col("at"))) if bounds else F.lit(0)
-    rows = rows.withColumn("segment", above.cast("int"))
+    rows = rows.withColumn("segment", _bounds_above(bounds, F.col("at")) if bounds else F.lit(0))
     place = F.row_number().over(Window.partitionBy("segment").orderBy(F.col("key").desc())) - 1
     rows = rows.select("dish_id", "lexemes", "segment", (F.col("segment").cast("long") * F.lit(1 << 40) + place).alias("place"))
+    rows = written(rows, "ranked")  # ranked once, for postings, places and each search
     words = rows.select("segment", "place", F.explode(F.array_distinct("lexemes")).alias("lexeme"))
     block = F.expr(f"place % {1 << 40} div {segment}")  # more than one where a date has more dishes than a segment
     postings = words.groupBy("lexeme", "segment", block.alias("block")).agg(F.array_sort(F.collect_list("place")).alias("places"))
     return TermIndex(rows.select("segment", "place", "dish_id"), postings.select(folder_of(F.col("lexeme")).alias("folder"), "lexeme", "segment", "places"), len(bounds) + 1 if n else 0)
 
 
+def _bounds_above(bounds: list[int], at: Column) -> Column:
+    """How many of the ascending bounds are at or above each value, by bisection; 0 for null."""
+
+    def each(values: pd.Series) -> pd.Series:
+        known = values.notna().to_numpy()
+        below = np.searchsorted(np.array(bounds, np.int64), values.fillna(0).to_numpy(np.int64))
+        return pd.Series(np.where(known, len(bounds) - below, 0).astype(np.int32))
+
+    return F.pandas_udf(each, "int")(at)
+
+
 def folder_of(lexeme: Column) -> Column:
     return F.pmod(F.hash(lexeme), F.lit(FOLDERS))
 

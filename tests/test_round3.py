@@ -46,6 +46,15 @@ def plan_of(df):
     return df._jdf.queryExecution().analyzed().toString()
 
 
+def test_terms_are_ranked_once(spark):
+    dishes = spark.range(50).selectExpr("id AS dish_id", "array('a', if(id % 2 = 0, 'b', 'c')) AS lexemes", "timestamp_seconds(id div 3) AS first_seen_at", "cast(NULL AS timestamp) AS published_at", "1.0D AS source_rating")
+    index = term_index.build(dishes, 7)
+    assert "Window" not in plan_of(index.postings) and "Window" not in plan_of(index.ranked)
+    order = [r.dish_id for r in index.ranked.orderBy("place").collect()]
+    assert order == list(range(49, -1, -1)) and index.segments > 3
+    assert [r[0] for r in spark.createDataFrame([(1,), (2,), (None,), (9,)], "at long").select(term_index._bounds_above([2, 5], F.col("at"))).collect()] == [2, 2, 0, 0]
+
+
 def test_durations_match_their_pattern_once(spark):
     texts = spark.createDataFrame([("PT1H30M",), ("P1W",), ("1 hour 20 mins",), ("PT0S",), ("pt1,5h",), ("-5",), ("soon",), (None,), ("90",)], "t string")
     df = texts.select(schema_org.duration_minutes(F.col("t")).alias("n"))
