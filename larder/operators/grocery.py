@@ -52,8 +52,8 @@ def list_lines(picks: DataFrame, dishes: DataFrame, lines: DataFrame, ingredient
     return rows.withColumn("factor", lookup(FACTOR, F.col("canonical"))).withColumn("display", display).withColumn("seq", seq)
 
 
-def buckets(rows: DataFrame) -> DataFrame:
-    """One row per list and key: what may be added up, in order of contribution.
+def buckets(rows: DataFrame, repeated: bool = False) -> DataFrame:
+    """One row per list and key: what may be added up, in order of contribution, and the titles, each once or, repeated, one a line.
 
     Name and aisle come from the first mapped line, else the first line.
     """
@@ -65,7 +65,7 @@ def buckets(rows: DataFrame) -> DataFrame:
         F.min("seq").alias("ord"),
         F.min_by("display", first).alias("name"),
         F.min_by("aisle", first).alias("aisle"),
-        F.array_distinct(titles).alias("titles"),
+        (titles if repeated else F.array_distinct(titles)).alias("titles"),
         amounts.alias("amounts"),
         F.bool_or(F.col("qty").isNull()).alias("approximate"),
         F.bool_and(F.coalesce("optional", F.lit(False))).alias("optional"),

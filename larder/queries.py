@@ -201,11 +201,9 @@ def _(spark, sf):
   string_agg(title, '|' ORDER BY seq) AS titles, count(qty)::BIGINT AS n, round(coalesce(sum(amount), 0), 6) AS amount, bool_or(qty IS NULL) AS approximate, bool_and(optional) AS optional
   FROM keyed GROUP BY list_id, key""")
 def _(spark, sf):
-    rows = _list_lines(spark, sf)
-    titles = rows.groupBy("list_id", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "title"))), lambda x: x["title"]), "|").alias("t"))
-    b = grocery.buckets(rows).join(titles, ["list_id", "key"])
+    b = grocery.buckets(_list_lines(spark, sf), repeated=True)
     total = F.aggregate("amounts", F.lit(0.0), lambda a, x: a + x["amount"])
-    return b.select("list_id", "key", "identity", F.col("ord").cast("long").alias("ord"), "name", "aisle", F.col("t").alias("titles"), F.size("amounts").cast("long").alias("n"), F.round(total, 6).alias("amount"), "approximate", "optional")
+    return b.select("list_id", "key", "identity", F.col("ord").cast("long").alias("ord"), "name", "aisle", F.array_join("titles", "|").alias("titles"), F.size("amounts").cast("long").alias("n"), F.round(total, 6).alias("amount"), "approximate", "optional")
 
 
 _FACTORS = "MAP {" + ", ".join(f"'{u}': {f!r}::DOUBLE" for u, f in units.FACTOR.items()) + "}"

@@ -68,3 +68,8 @@ def test_spellings_are_looked_up_once(spark):
     got = [r.b and (round(r.b.qty, 4), r.b.unit, r.b.dimension) for r in df.collect()]
     assert got == [(907.1847, "g", "mass"), (236.5882, "ml", "volume"), (3.0, "each", "count"), (3.0, "each", "count"), None, None, (29.5735, "ml", "volume")]
     assert plan_of(df).count("kilograms") <= 2
+
+
+def test_titles_of_a_bucket_a_line_each(spark):
+    rows = spark.createDataFrame([(1, "k", "i", s, "soup", 1.0, "cup", 1.0, "cup", 1, 1, s, "n", "a", 1.0, False) for s in (2, 1)], "list_id int, key string, identity string, seq int, title string, amount double, canonical string, factor double, unit string, ingredient_id int, pick_order int, position int, display string, aisle string, qty double, optional boolean")
+    assert [grocery.buckets(rows, repeated=r).first().titles for r in (True, False)] == [["soup", "soup"], ["soup"]]
