@@ -15,7 +15,8 @@ from larder.sources.feeds import recipe_url
 SITE = "https://www.reddit.com"
 POST = "id string, subreddit string, permalink string, title string, selftext string, selftext_html string, url string, url_overridden_by_dest string, created_utc double, score double, is_self boolean"
 LISTING = f"struct<data:struct<after:string,children:array<struct<data:struct<{', '.join(f.replace(' ', ':') for f in POST.split(', '))}>>>>>"
-COMMENTS = "struct<data:struct<children:array<struct<kind:string,data:struct<id:string,author:string,body:string,score:double,replies:string>>>>>"
+_COMMENT = "struct<id:string,author:string,body:string,score:double,replies:string>"
+COMMENTS = f"struct<data:struct<children:array<struct<kind:string,data:{_COMMENT}>>>>"
 #: Levels of replies below a comment, and comments of a post, that are read.
 DEPTH, MOST = 4, 500
 
@@ -57,13 +58,13 @@ def comments(threads: DataFrame) -> DataFrame:
     Replies are read DEPTH levels deep and MOST comments of a post in their order. Deleted ones and those of the
     moderating robot are left out, not their replies.
     """
-    level = threads.select("post_id", F.from_json(F.get(F.from_json("body", "array<string>"), F.lit(1)), COMMENTS).alias("l"), F.array().cast("array<int>").alias("path"))
-    out = None
-    for _ in range(DEPTH + 1):
-        rows = level.select("post_id", "path", F.posexplode("l.data.children").alias("i", "c")).where("c.kind = 't1'").select("post_id", F.concat("path", F.array("i")).alias("path"), "c.data.*")
-        found = rows.select("post_id", "id", "author", "body", F.coalesce("score", F.lit(0)).cast("long").alias("score"), "path")
-        out = found if out is None else out.union(found)
-        level = rows.where(F.col("replies").startswith("{")).select("post_id", F.from_json("replies", COMMENTS).alias("l"), "path")
+    level = threads.select("post_id", F.array().cast("array<int>").alias("path"), F.get(F.from_json("body", "array<string>"), F.lit(1)).alias("replies"), F.lit(None).cast(_COMMENT).alias("c"))
+    for _ in range(DEPTH + 1):  # each comment goes on as it is, beside its replies, so no text is read twice
+        own = F.struct("path", F.lit(None).cast("string").alias("replies"), "c")
+        answers = F.transform(F.from_json("replies", COMMENTS)["data"]["children"], lambda x, i: F.struct(x["kind"].alias("kind"), i.alias("i"), x["data"].alias("c")))
+        answers = F.transform(F.filter(answers, lambda x: x["kind"] == "t1"), lambda x: F.struct(F.concat("path", F.array(x["i"])).alias("path"), F.when(x["c"]["replies"].startswith("{"), x["c"]["replies"]).alias("replies"), x["c"].alias("c")))
+        level = level.select("post_id", F.explode(F.concat(F.array(own), F.coalesce(answers, F.array().cast(f"array<struct<path:array<int>,replies:string,c:{_COMMENT}>>")))).alias("x")).select("post_id", "x.*")
+    out = level.where("c IS NOT NULL").select("post_id", "c.id", "c.author", "c.body", F.coalesce("c.score", F.lit(0)).cast("long").alias("score"), "path")
     gone = F.trim("body").rlike(r"(?i)^\[(?:deleted|removed)\]$")
     good = out.where(_filled(F.col("id")).isNotNull() & _filled(F.col("body")).isNotNull() & ~gone & (F.lower(F.coalesce("author", F.lit(""))) != "automoderator"))
     first = Window.partitionBy("post_id").orderBy("path")  # one post's

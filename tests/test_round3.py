@@ -70,6 +70,13 @@ def test_spellings_are_looked_up_once(spark):
     assert plan_of(df).count("kilograms") <= 2
 
 
+def test_threads_are_read_in_one_go(spark):
+    threads = spark.createDataFrame([("p", '[{},{"data":{"children":[{"kind":"more"},{"kind":"t1","data":{"id":"a","body":"x","score":1,"replies":{"data":{"children":[{"kind":"t1","data":{"id":"b","body":"y","replies":""}}]}}}}]}}]'), ("q", None), ("r", "[")], "post_id string, body string")
+    rows = reddit.comments(threads)
+    assert "Union" not in plan_of(rows)
+    assert sorted((r.post_id, r.id, r.score, r.path) for r in rows.collect()) == [("p", "a", 1, [1]), ("p", "b", 0, [1, 0])]
+
+
 def test_titles_of_a_bucket_a_line_each(spark):
     rows = spark.createDataFrame([(1, "k", "i", s, "soup", 1.0, "cup", 1.0, "cup", 1, 1, s, "n", "a", 1.0, False) for s in (2, 1)], "list_id int, key string, identity string, seq int, title string, amount double, canonical string, factor double, unit string, ingredient_id int, pick_order int, position int, display string, aisle string, qty double, optional boolean")
     assert [grocery.buckets(rows, repeated=r).first().titles for r in (True, False)] == [["soup", "soup"], ["soup"]]
