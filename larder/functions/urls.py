@@ -32,6 +32,7 @@ def canonical_url(url: Column) -> Column:
 
 def origin(url: Column) -> Column:
     """Scheme, host without www. and port if it isn't the usual one; what is no URL: lower case without final slashes."""
-    part = lambda i: F.regexp_extract(F.trim(url), URL, i)
-    made = F.concat(F.lower(part(1)), F.lit("://"), F.regexp_replace(_host(part(2), part(1)), "^[^@]*@", ""))
+    made = F.lower(F.regexp_replace(F.trim(url), r"(?is)^(https?)://([^/?#]+).*$", "$1://$2"))
+    made = F.regexp_replace(made, r"(?s)^(https?://)(?:[^@]*@)?(?:www\.)?", "$1")
+    made = F.regexp_replace(made, r"(?s)^(http://.*):80$|^(https://.*):443$", "$1$2")
     return F.when(F.trim(url).rlike(URL), made).otherwise(F.regexp_replace(F.lower(url), "/+$", ""))

@@ -8,8 +8,11 @@ from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from larder.functions.schema_org import published
@@ -17,7 +20,7 @@ from larder.functions.text import clean_or_null, join_url
 from larder.functions.urls import origin
 from larder.plans.shared import written
 
-ITEM = "array<struct<kind:string,url:string,title:string,at:string>>"
+ITEM = "kind string, item_url string, title string, at string, ord int"
 
 
 def _tree(xml: str | None) -> ElementTree.Element | None:
@@ -73,15 +76,22 @@ def xml_items(xml: str | None, base: str | None) -> list[dict]:
     return [{"kind": k, "url": u, "title": t, "at": at} for k, u, t, at in found if u]
 
 
-def _items(xml: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([xml_items(x, b) for x, b in zip(xml, base, strict=True)])
-
-
 def xml_rows(documents: DataFrame) -> DataFrame:
     """The items of XML documents (url, xml and more): all but xml, with kind, item_url, title, published_at and ord."""
     keep = [c for c in documents.columns if c != "xml"]
-    rows = documents.select(*keep, F.posexplode(F.pandas_udf(_items, ITEM)("xml", "url")).alias("ord", "x"))
-    return rows.select(*keep, "x.kind", F.col("x.url").alias("item_url"), clean_or_null(F.col("x.title")).alias("title"), published(F.col("x.at")).alias("published_at"), "ord")
+    schema = StructType([*documents.select(*keep).schema, *StructType.fromDDL(ITEM)])
+    kinds = [f.type for f in to_arrow_schema(StructType.fromDDL(ITEM))]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = zip(batch.column("xml").to_pylist(), batch.column("url").to_pylist(), strict=True)
+            rows = [(at, x["kind"], x["url"], x["title"], x["at"], i) for at, (xml, base) in enumerate(pages) for i, x in enumerate(xml_items(xml, base))]
+            owner = pa.array([r[0] for r in rows], pa.int64())
+            made = [pa.array([r[k + 1] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(owner) for c in keep), *made], names=schema.names)
+
+    rows = documents.mapInArrow(make, schema)
+    return rows.select(*keep, "kind", "item_url", clean_or_null(F.col("title")).alias("title"), published(F.col("at")).alias("published_at"), "ord")
 
 
 def follow_sitemaps(roots: DataFrame, documents: DataFrame, since: datetime | None = None, most: int = 5, levels: int = 3) -> DataFrame:
@@ -178,7 +188,12 @@ DIRECTORY, POST = "directory", "post"
 
 
 def recipe_url(url: Column, base: Column, adapter: Column, patterns: dict[str, str] | None = None) -> Column:
-    """Whether a URL is one of a source's recipe pages, by the source's adapter.
+    """Whether a URL is one of a source's recipe pages, by the source's adapter."""
+    return F.coalesce(origin(url) == origin(base), F.lit(False)) & recipe_path(url, adapter, patterns)
+
+
+def recipe_path(url: Column, adapter: Column, patterns: dict[str, str] | None = None) -> Column:
+    """Whether the path of a URL of a source is that of one of its recipe pages.
 
     patterns has the path of a page by the name of a site's own adapter; DIRECTORY and POST are known without it.
     """
@@ -187,4 +202,4 @@ def recipe_url(url: Column, base: Column, adapter: Column, patterns: dict[str, s
     shape = F.when(adapter == DIRECTORY, path.rlike(r"(?i)^/recipes/[^/]+/?$")).when(adapter == POST, post)
     for name, pattern in (patterns or {}).items():
         shape = shape.when(adapter == name, path.rlike(pattern))
-    return F.coalesce(url.rlike("(?i)^https?://") & (origin(url) == origin(base)) & shape, F.lit(False))
+    return F.coalesce(url.rlike("(?i)^https?://") & shape, F.lit(False))

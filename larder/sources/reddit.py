@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from larder.functions.text import title_slug
 from larder.functions.urls import canonical_url, origin
-from larder.sources.feeds import recipe_url
+from larder.sources.feeds import recipe_path, recipe_url
 
 SITE = "https://www.reddit.com"
 POST = "id string, subreddit string, permalink string, title string, selftext string, selftext_html string, url string, url_overridden_by_dest string, created_utc double, score double, is_self boolean"
@@ -88,7 +88,7 @@ def allowed_links(rows: DataFrame, sources: DataFrame) -> DataFrame:
     found = rows.select("id", F.posexplode(F.concat(F.array("url"), href, plain)).alias("k", "url"))
     found = found.withColumn("url", F.regexp_replace(F.replace("url", F.lit("&amp;"), F.lit("&")), r"[.,;:!?)\]}]+$", "")).where(F.col("url").rlike("(?i)^https?://") & ~F.col("url").rlike("^[^/]+//[^/?#]*@"))
     known = sources.select("source_id", "base_url", "adapter", origin(F.col("base_url")).alias("at"))
-    found = found.withColumn("at", origin(F.col("url"))).join(known, "at").where(recipe_url(F.col("url"), F.col("base_url"), F.col("adapter")))
+    found = found.withColumn("at", origin(F.col("url"))).join(known, "at").where(recipe_path(F.col("url"), F.col("adapter")))  # of one origin
     return found.withColumn("url", canonical_url(F.col("url"))).groupBy("id", "url").agg(F.min_by("source_id", "k").alias("source_id"), F.min("k").alias("place"))
 
 

@@ -80,3 +80,13 @@ def test_threads_are_read_in_one_go(spark):
 def test_titles_of_a_bucket_a_line_each(spark):
     rows = spark.createDataFrame([(1, "k", "i", s, "soup", 1.0, "cup", 1.0, "cup", 1, 1, s, "n", "a", 1.0, False) for s in (2, 1)], "list_id int, key string, identity string, seq int, title string, amount double, canonical string, factor double, unit string, ingredient_id int, pick_order int, position int, display string, aisle string, qty double, optional boolean")
     assert [grocery.buckets(rows, repeated=r).first().titles for r in (True, False)] == [["soup", "soup"], ["soup"]]
+
+
+def test_links_and_items_without_doubled_work(spark):
+    links = spark.createDataFrame([("http://u@www.A.com:80/x",), ("HTTPS://www.x@b.com:443?q",), ("a@b//C/",), ("https://a.com:80#f",)], "u string").select(origin(F.col("u")).alias("o"))
+    assert [r.o for r in links.collect()] == ["http://a.com", "https://b.com", "a@b//c", "https://a.com:80"]
+    assert plan_of(links).count("([^/?#]+)") <= 2
+    xml = "<rss><channel><item><link>/a</link><title>t</title></item><item><link> </link></item></channel></rss>"
+    rows = feeds.xml_rows(spark.createDataFrame([("https://a.com/f", xml, 1), ("https://a.com/g", None, 2)], "url string, xml string, n int"))
+    assert [tuple(r) for r in rows.select("url", "n", "item_url", "title", "ord").collect()] == [("https://a.com/f", 1, "https://a.com/a", "t", 0)]
+    assert "MapInArrow" in plan_of(rows)
