@@ -59,13 +59,16 @@ def fit(index: np.ndarray, value: np.ndarray, edge: np.ndarray, earlier: np.ndar
     rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(edge))
     used = np.bincount(index, minlength=own) >= LEAST
     keep = used[index]
-    rows, value = rows[keep], value[keep].astype(np.float32)
+    rows, value = rows[keep], value[keep].astype(np.float32, copy=False)
     # Words that are used are numbered anew, and their places also put in the order of words, so both sums run along memory.
     number = (np.cumsum(used) - 1).astype(np.int32)[index[keep]]
     size = int(used.sum())
-    by_row, by_word = np.searchsorted(rows, np.arange(n)), np.argsort(number, kind="stable")
+    by_row, by_word = np.searchsorted(rows, np.arange(n, dtype=np.int32)), np.argsort(number, kind="stable")
     full = np.flatnonzero(np.bincount(rows, minlength=n))
-    rows_of, value_of, starts = rows[by_word], value[by_word], np.searchsorted(number[by_word], np.arange(size))
+    rows_of, value_of = rows[by_word], value[by_word]
+    starts = np.searchsorted(number[by_word], np.arange(size, dtype=np.int32))
+    del rows, keep, by_word, index
+    each = np.empty(len(value), np.float32)  # one buffer for the products of all passes
     positive = max(y.sum(), 1)
     weight = np.where(y > 0, n / (2 * positive), n / (2 * max(n - positive, 1))) / n
     w = np.zeros(size + extra + 1)
@@ -73,9 +76,12 @@ def fit(index: np.ndarray, value: np.ndarray, edge: np.ndarray, earlier: np.ndar
     for t in range(1, PASSES + 1):
         total = earlier @ w[size:-1] + w[-1]
         if size:
-            total[full] += np.add.reduceat(value * w[:size].astype(np.float32)[number], by_row[full])
+            np.multiply(value, np.take(w[:size].astype(np.float32), number, out=each, mode="clip"), out=each)
+            total[full] += np.add.reduceat(each, by_row[full])
         error = weight * (sigmoid(total) - y)
-        words_of = np.add.reduceat(value_of * error.astype(np.float32)[rows_of], starts) if size else np.zeros(0)
+        if size:
+            np.multiply(value_of, np.take(error.astype(np.float32), rows_of, out=each, mode="clip"), out=each)
+        words_of = np.add.reduceat(each, starts) if size else np.zeros(0)
         g = np.concatenate([words_of, earlier.T @ error, [error.sum()]]) + DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -88,16 +94,23 @@ def link_trainer(category: str, columns: list[str]):
     """Train one link on the rows outside fold `model` and predict those inside; model FOLDS trains on all and gives its weights."""
 
     def train(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-        part = part.combine_chunks()
-        lists = part["index"].combine_chunks()
-        edge = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
-        index, value = lists.flatten().to_numpy(), part["value"].combine_chunks().flatten().to_numpy()
+        # The words are copied once, into one array each, a batch after the other.
+        counts = pc.list_value_length(part["index"]).to_numpy().astype(np.int64)
+        edge = np.concatenate([[0], np.cumsum(counts)])
+        index, value, at = np.empty(edge[-1], np.int32), np.empty(edge[-1], np.float32), 0
+        for i, v in zip(part["index"].chunks, part["value"].chunks, strict=True):
+            i, v = i.flatten(), v.flatten()
+            index[at : at + len(i)], value[at : at + len(i)] = i.to_numpy(), v.to_numpy()
+            at += len(i)
         y, fold = part[f"y_{category}"].to_numpy(), part["fold"].to_numpy()
         before = np.column_stack([part[c].to_numpy() for c in columns]) if columns else np.zeros((len(y), 0))
         model = key[0].as_py()
         mine = fold != model
-        some = np.repeat(mine, np.diff(edge))
-        w = fit(index[some], value[some], np.concatenate([[0], np.cumsum(np.diff(edge)[mine])]), before[mine], y[mine])
+        if mine.all():
+            w = fit(index, value, edge, before, y)
+        else:
+            some = np.repeat(mine, counts)
+            w = fit(index[some], value[some], np.concatenate([[0], np.cumsum(counts[mine])]), before[mine], y[mine])
         if model == FOLDS:
             return pa.table({"doc_id": pa.array([None], pa.int64()), "p": pa.array([None], pa.float64()), "w": [w.astype(np.float32).tobytes()]})
         own = 1 << BITS
@@ -127,10 +140,10 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], t
             index, value, edge = features(batch.column("text"))
             at = pa.array(edge, pa.int32())
             keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(at, pa.array(index)), pa.ListArray.from_arrays(at, pa.array(value))], names=[*keep, "index", "value"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(at, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value.astype(np.float32)))], names=[*keep, "index", "value"])
 
     columns = ", ".join(f"{c} double" for c in truth)
-    rows = materialize(sample.mapInArrow(hashed, f"doc_id long, {columns}, index array<long>, value array<double>"), "sample")
+    rows = materialize(sample.mapInArrow(hashed, f"doc_id long, {columns}, index array<int>, value array<float>"), "sample")
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
     out: list[np.ndarray] = []
     earlier: list[str] = []

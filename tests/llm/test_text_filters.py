@@ -171,3 +171,12 @@ def test_features_count_each_text_alone():
     index, _, edge = toxicity.features(pa.array(["running", "runnable", "runs"]))
     assert np.diff(edge).tolist() == [3, 3, 1]  # itself, "runn" and "runni"; "runn" and "runna"
     assert len(set(index[:3]) & set(index[3:6])) == 1
+
+
+def test_training_rows_take_eight_bytes_a_word(spark, monkeypatch):
+    rows, labels = labelled(1, 60)
+    held, write = {}, toxicity.materialize
+    monkeypatch.setattr(toxicity, "materialize", lambda df, name, **options: held.setdefault(name, write(df, name, **options)))
+    toxicity.train_chain(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ["quality", "toxic"])
+    kinds = dict(held["sample"].dtypes)
+    assert (kinds["index"], kinds["value"]) == ("array<int>", "array<float>")
