@@ -22,6 +22,7 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 
 OUT = "url string, version long, content_hash string, event string, tries int, status string, at timestamp"
 Out = Row("url", "version", "content_hash", "event", "tries", "status", "at")
@@ -101,18 +102,47 @@ def use_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
+def of_table(rows: DataFrame) -> DataFrame:
+    """What comes out of a table of events, as Queue gives it where no one is asked twice: a URL's events are sorted by Spark, which may spill.
+
+    A URL's hash is that of the draft before, so each draft with another hash begins a version; the first answer of a
+    version that fits is applied.
+    """
+    url = Window.partitionBy("url").orderBy("at", F.col("kind") != "draft", "content_hash", F.coalesce("status", F.lit("")))
+    before, until = url.rowsBetween(Window.unboundedPreceding, -1), url.rowsBetween(Window.unboundedPreceding, 0)
+    draft = F.col("kind") == "draft"
+    held = rows.withColumn("held", F.last(F.when(draft, F.col("content_hash")), ignorenulls=True).over(before))
+    same = F.col("held").eqNullSafe(F.col("content_hash"))
+    held = held.withColumn("begins", draft & ~same).withColumn("fits", ~draft & same)
+    held = held.withColumn("version", F.count_if("begins").over(until)).withColumn("earlier", F.count_if("begins").over(before))
+    # What was applied last: to the version in which it was, whose answers come before the draft that begins the next.
+    held = held.withColumn("answered", F.last(F.when(F.col("fits"), F.col("earlier")), ignorenulls=True).over(before))
+    pending = ~F.col("answered").eqNullSafe(F.col("earlier"))
+    first = F.when(F.col("fits") & pending, F.struct(F.col("status"))).alias("first")
+    told = held.select("*", pending.alias("pending"), first).withColumn("outcome", F.last("first", ignorenulls=True).over(before))
+    out = lambda version, content_hash, event, tries, status: F.struct(version.alias("version"), content_hash.alias("content_hash"), F.lit(event).alias("event"), tries.cast("int").alias("tries"), status.cast("string").alias("status"))
+    version, earlier, own, one, status = F.col("version"), F.col("earlier"), F.col("content_hash"), F.lit(1), F.col("status")
+    task, superseded = out(version, own, "task", one, F.lit(None)), out(earlier, F.col("held"), "superseded", one, F.lit(None))
+    made = (
+        F.when(F.col("begins") & F.col("held").isNotNull() & F.col("pending"), F.array(superseded, task)).when(F.col("begins"), F.array(task))
+        .when(draft, F.array(out(version, own, "touched", one, F.when(F.col("pending"), F.lit(PENDING)).otherwise(F.col("outcome.status")))))
+        .when(~F.col("fits"), F.array(out(version, own, "stale", F.when(F.col("held").isNull(), 0).otherwise(1), status)))
+        .when(F.col("pending"), F.array(out(version, own, "applied", one, status))).otherwise(F.array(out(version, own, "repeated", one, status)))
+    )
+    return told.select("url", F.inline(made), "at").select("url", "version", "content_hash", "event", "tries", "status", "at")
+
+
 def work(events: DataFrame, wait: timedelta = timedelta(hours=1), most: int = 3, late: str = "10 minutes") -> DataFrame:
     """What comes out of a stream of events, see above; call use_store first.
 
     Time is that of the events: a task is asked for again when events `wait` later than it have come, and `late` more. An
     event that comes later than that is dropped by the watermark, so an answer lost so is asked for again. Of a table
-    instead of a stream everything is known, so nothing is asked for twice. Events without url, at, content_hash or a
+    instead of a stream everything is known, so nothing is asked for twice, and windows say what the state would. Events without url, at, content_hash or a
     known kind, and answers without a status, are left out. The events of one URL in one micro-batch are sorted in its
     task's memory: the source's options bound them (maxFilesPerTrigger, maxBytesPerTrigger).
     """
     known = (F.col("kind") == "draft") | ((F.col("kind") == "answer") & F.col("status").isNotNull() & ~F.col("status").isin(PENDING, FAILED))
     rows = events.select("url", F.col("at").cast("timestamp").alias("at"), "kind", "content_hash", "status").where(known).where("url IS NOT NULL AND at IS NOT NULL AND content_hash IS NOT NULL")
-    if events.isStreaming:
-        rows = rows.withWatermark("at", late)
-    timed = events.isStreaming
-    return rows.groupBy("url").transformWithState(Queue(wait if timed else None, most), OUT, "Append", "EventTime" if timed else "None")
+    if not events.isStreaming:
+        return of_table(rows)
+    return rows.withWatermark("at", late).groupBy("url").transformWithState(Queue(wait, most), OUT, "Append", "EventTime")

@@ -1,6 +1,7 @@
 """The queue of drafts: retries by time, stale and repeated answers, restarts and lost batches."""
 
 import json
+import random
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -78,3 +79,16 @@ def test_a_table_of_events(spark):
     got = work_queue.work(spark.createDataFrame(rows, EVENT)).collect()
     assert [(r.version, r.event) for r in got if r.url == "b"] == [(1, "task"), (1, "superseded"), (2, "task"), (2, "touched"), (2, "stale"), (2, "touched")]
     assert work_queue.work(spark.createDataFrame([], EVENT)).isEmpty()
+
+
+def test_a_table_of_many_events_as_the_state_has_them(spark):
+    """Windows give what the stateful processor gives, in whatever order of drafts and answers, and no Python runs."""
+    work_queue.use_store(spark)
+    rng = random.Random(3)
+    rows = [(f"u{rng.randrange(150)}", T0 + timedelta(minutes=rng.randrange(12)), *rng.choice([("draft", rng.choice("xyz"), None), ("answer", rng.choice("xyz"), rng.choice(["active", "rejected"]))])) for _ in range(2500)]
+    events = spark.createDataFrame(rows, EVENT)
+    want = events.groupBy("url").transformWithState(work_queue.Queue(None, 3), work_queue.OUT, "Append", "None")
+    got = work_queue.work(events)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    assert "Python" not in got._jdf.queryExecution().toString() and "TransformWithState" not in got._jdf.queryExecution().toString()
