@@ -1,13 +1,17 @@
 """Alignment of two tokenizers' tokens of one text, as Spark relations.
 
-The tokens of both are exploded with their positions, and windowed sums of their lengths in bytes give where each ends.
-The two streams then meet on (document, end): where both have a token's end is a cut, and the running count of cuts
-numbers the groups. Every end of either stream is the end of exactly one overlap of two tokens, that of the tokens
-which are open there, so the next token of each stream at or after an end, which a window over the same order carries
-along, gives all links and no pair twice, however many tokens a group has.
-
-All of it runs within buckets of whole documents, which never move: their tokens are written once, bucketed by runs of
-rows. How often ids are linked corpus-wide is counted with partial sums, so only distinct pairs of a task move.
+Tokens of neither span a space between two words, so a text is aligned if its pieces between such spaces are, and a
+piece that comes again is aligned as it was. Runs of documents (groups) therefore keep each distinct piece once, with
+how often it comes, and documents as their pieces' numbers.
+
+The tokens of both are exploded with their ends in bytes of the piece, and the two streams meet on (piece, end): where
+both have a token's end is a cut, and the running count of cuts numbers the groups of tokens. Every end of either
+stream is the end of exactly one overlap of two tokens, that of the tokens which are open there, so the next token of
+each stream at or after an end, which a window over the same order carries along, gives all links and no pair twice,
+however many tokens a group has.
+
+All of it runs within buckets of whole pieces, which never move. How often ids are linked corpus-wide is counted with
+partial sums, so only distinct pairs of a task move. In the end the documents of a run meet its pieces.
 """
 
 from __future__ import annotations
@@ -22,18 +26,22 @@ from itertools import chain, pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larder.llm.common import bound_batches, drop_table, materialize, partitions, ragged, scratch_path, slices
+from larder.llm.common import bound_batches, drop_folder, materialize, partitions, ragged, scratch_path, slices
 
-#: Bits of a token's code, and of its number of bytes within. Bytes of text of a part, and buckets of a table at most.
-BITS, LENGTH_BITS = 31, 11
-PART_BYTES, MOST_BUCKETS = 2 << 20, 50_000
+#: Bits of a token's code, and of its number of bytes within; of an id, before which comes the stream's bit and the end.
+BITS, LENGTH_BITS, ID_BITS = 31, 11, 20
+#: Bytes of text of a run of documents, about; of text for each bucket of a table, and its buckets at most.
+RUN_BYTES, BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 4 << 20, 50_000
+#: Bits of a piece's number in its run, of a run's number in its task, and of a piece's number in its part of a run.
+PIECE_BITS, RUN_BITS, PART_BITS = 28, 16, 15
 #: Pairs of linked ids whose counts are broadcast at most; more are joined.
 SENT_PAIRS = 1 << 20
-#: Pieces of texts that a worker remembers before it starts again.
+#: Pieces of texts that a worker remembers before it starts again, and with it a run of documents.
 REMEMBERED = 400_000
 #: Texts with white space beside a space, at an end, or with the mark that stands for a space in pieces.
 ODD = r"[\s\p{Z}\x{85}\x1c-\x1f] | [\s\p{Z}\x{85}\x1c-\x1f]|^[\s\p{Z}]|[\s\p{Z}\x{85}\x1c-\x1f]$|▁"
@@ -89,14 +97,12 @@ class TokenPair:
         self.a_codes, self.a_starts = np.concatenate([self.a_codes, self.code_a[flat(ids_a)]]), ends(self.a_starts, ids_a)
         self.b_codes, self.b_starts = np.concatenate([self.b_codes, self.code_b[flat(ids_b)]]), ends(self.b_starts, ids_b)
 
-    def codes(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        """By A and by B the codes of all texts in a row, and where each text's begin; none unless both spell the text.
+    def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the pieces of all texts in a row, and where each text's begin; none unless both spell the text.
 
         Tokens of either never span a space between two characters other than white space, so what is between such
         spaces is encoded once and remembered; other texts are encoded whole.
         """
-        if len(self.known) > REMEMBERED:
-            self.forget()
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         odd = pc.match_substring_regex(texts, ODD)
         cut = pc.split_pattern(pc.if_else(odd, "", texts), " ")
@@ -113,8 +119,19 @@ class TokenPair:
         misfits = np.concatenate([[0], np.cumsum(~self.fits[pieces])])
         empty = (pc.binary_length(texts).to_numpy() == 0) | (misfits[starts[1:]] > misfits[starts[:-1]])
         taken = ~np.repeat(empty, np.diff(starts))
-        pieces, starts = pieces[taken], np.concatenate([[0], np.cumsum(np.diff(starts) * ~empty)])
-        return [_gather(codes, at, pieces, starts) for codes, at in ((self.a_codes, self.a_starts), (self.b_codes, self.b_starts))]
+        return pieces[taken].astype(np.int32), np.concatenate([[0], np.cumsum(np.diff(starts) * ~empty)])
+
+    def codes(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of both streams the end, stream and id of each token of the pieces with these numbers, and where each piece's begin."""
+        made = []
+        for stream, codes, at in ((0, self.a_codes, self.a_starts), (1, self.b_codes, self.b_starts)):
+            codes, starts = _gather(codes, at, pieces, np.arange(len(pieces) + 1))
+            total = np.concatenate([[0], np.cumsum(codes & ((1 << LENGTH_BITS) - 1), dtype=np.int64)])
+            owner = np.repeat(np.arange(len(pieces)), np.diff(starts))
+            made.append((owner, (total[1:] - total[starts[owner]]) << (ID_BITS + 1) | stream << ID_BITS | codes >> LENGTH_BITS))
+        owner, codes = (np.concatenate(x) for x in zip(*made, strict=True))
+        order = np.argsort(owner, kind="stable")
+        return codes[order], np.searchsorted(owner[order], np.arange(len(pieces) + 1))
 
 
 def _gather(codes: np.ndarray, at: np.ndarray, pieces: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,97 +148,161 @@ def worker_pair(path_a: str, path_b: str) -> TokenPair:
 
 
 def token_table(docs: DataFrame, path_a: str, path_b: str) -> str:
-    """Write part, row, doc_id and the codes a and b of every row of docs (doc_id, text) as a table; returns its name.
+    """Write the documents and the pieces of docs (doc_id, text) as a table; returns its name.
 
-    A part is a run of rows of about PART_BYTES. The table is bucketed by part, so documents need not move to be aligned.
+    A row of docs is run, doc_id and pieces, the numbers of its pieces. A piece has part, row (run and number), times (in
+    the documents of its run) and codes, the ends and ids of its tokens. The table is bucketed by part, so pieces need
+    not move to be aligned. Its folders what=documents and what=pieces hold the two.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    seen = docs.agg(F.sum(F.octet_length("text")).alias("s"), F.count("*").alias("n")).first()
-    size, n = seen["s"] or 0, seen["n"]
-    parts = size // PART_BYTES + 1
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    rows = rows.select("row", "doc_id", "text", F.expr(f"row div {n // parts + 1}").alias("part"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = worker_pair(path_a, path_b)
+        pair, run = worker_pair(path_a, path_b), TaskContext.get().partitionId() << RUN_BITS
+        seen, times = 0, np.zeros(0, np.int64)
+
+        def end() -> Iterator[pa.RecordBatch]:
+            met = np.flatnonzero(times)
+            for part in np.split(met, np.flatnonzero(np.diff(met >> PART_BITS)) + 1) if len(met) else ():
+                of = (run << (PIECE_BITS - PART_BITS)) + (part[0] >> PART_BITS)
+                nothing = [pa.nulls(len(part), t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), of)), pa.array((run << PIECE_BITS) + part), pa.array(times[part]), ragged(*pair.codes(part), pa.int64()), *nothing, pa.array(["pieces"] * len(part))], schema=_TABLE)
+
         for batch in slices(batches):
-            a, b = (ragged(codes, starts, pa.int32()) for codes, starts in pair.codes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("row"), batch.column("doc_id"), a, b], names=["part", "row", "doc_id", "a", "b"])
+            if seen > RUN_BYTES or len(pair.known) > REMEMBERED:
+                yield from end()
+                run, seen, times = run + 1, 0, np.zeros(0, np.int64)
+                if len(pair.known) > REMEMBERED:
+                    pair.forget()
+            pieces, starts = pair.pieces(batch.column("text"))
+            new = np.bincount(pieces, minlength=len(pair.known))
+            new[: len(times)] += times
+            times, seen = new, seen + batch.column("text").nbytes
+            n = len(batch)
+            nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, run << (PIECE_BITS - PART_BITS))), *nothing, pa.array(np.full(n, run)), batch.column("doc_id"), ragged(pieces, starts, pa.int32()), pa.array(["documents"] * n)], schema=_TABLE)
+        yield from end()
 
     name = f"larder_tokens_{uuid.uuid4().hex}"
-    coded = rows.mapInArrow(encode, "part long, row long, doc_id long, a array<int>, b array<int>")
-    coded.write.bucketBy(int(min(parts, MOST_BUCKETS)), "part").option("path", scratch_path(spark, name)).option("compression", "zstd").saveAsTable(name)
+    coded = docs.select("doc_id", "text").mapInArrow(encode, "part long, row long, times long, codes array<long>, run long, doc_id long, pieces array<int>, what string")
+    coded.write.partitionBy("what").bucketBy(int(min(size // BUCKET_BYTES + 1, MOST_BUCKETS)), "part").option("path", scratch_path(spark, name)).option("compression", "zstd").saveAsTable(name)
     return name
 
 
+_TABLE = pa.schema([("part", pa.int64()), ("row", pa.int64()), ("times", pa.int64()), ("codes", pa.list_(pa.int64())), ("run", pa.int64()), ("doc_id", pa.int64()), ("pieces", pa.list_(pa.int32())), ("what", pa.string())])
+
+
 def aligned_tokens(tokens: DataFrame) -> DataFrame:
-    """One row for each link of the rows of a token_table, and one with nulls for a document without tokens.
+    """One row for each link of the pieces of a token_table.
 
-    part and row name the document's row, so repeated rows and null ids are aligned each. finish is the link's end in
-    bytes of space+text, a and b the ids, kind 0 if A's token alone ends there, 1 if B's, 2 at a cut, and later the
-    number of cuts at or after it, which is the same for all links of a group.
+    part and row name the piece. finish is the link's end in bytes, a and b the ids, kind 0 if A's token alone ends
+    there, 1 if B's, 2 at a cut, and later the number of cuts at or after it, which is the same for all links of a group.
     """
-    tokens = tokens.select("part", "row", "doc_id", F.posexplode_outer(F.arrays_zip("a", "b")).alias("at", "t")).select("part", "row", "doc_id", "at", "t.a", "t.b")
-    n_bytes = lambda c: F.coalesce(F.col(c).bitwiseAND((1 << LENGTH_BITS) - 1), F.lit(0))
-    own = Window.partitionBy("part", "row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    ends = tokens.select("part", "row", "doc_id", "at", "a", "b", F.sum(n_bytes("a")).over(own).alias("end_a"), F.sum(n_bytes("b")).over(own).alias("end_b"))
-    side = lambda end, code, of_a, of_b: F.struct(F.when(F.col(code).isNotNull(), F.col(end).cast("int")).alias("finish"), of_a.cast("int").alias("of_a"), of_b.cast("int").alias("of_b"))
-    id_ = lambda c: F.shiftright(c, LENGTH_BITS)
-    sides = F.array(side("end_a", "a", id_("a"), F.lit(None)), side("end_b", "b", F.lit(None), id_("b")))
-    sided = ends.select("part", "row", "doc_id", "at", F.inline(sides)).where("finish IS NOT NULL OR at IS NULL")
-    met = sided.groupBy("part", "row", "doc_id", "finish").agg(F.max("of_a").alias("of_a"), F.max("of_b").alias("of_b"))
+    ends = tokens.where("what = 'pieces'").select("part", "row", "times", F.explode("codes").alias("code"))
+    id_, stream = F.col("code").bitwiseAND((1 << ID_BITS) - 1).cast("int"), F.col("code").bitwiseAND(1 << ID_BITS)
+    met = ends.groupBy("part", "row", "times", F.shiftright("code", ID_BITS + 1).cast("int").alias("finish")).agg(F.max(F.when(stream == 0, id_)).alias("of_a"), F.max(F.when(stream != 0, id_)).alias("of_b"))
     cut = F.col("of_a").isNotNull() & F.col("of_b").isNotNull()
     back = Window.partitionBy("part", "row").orderBy(F.col("finish").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    kind = F.when(cut, 2).when(F.col("of_b").isNotNull(), 1).when(F.col("of_a").isNotNull(), 0)
+    kind = F.when(cut, 2).when(F.col("of_b").isNotNull(), 1).otherwise(0)
     open_ = lambda c: F.last(c, ignorenulls=True).over(back)
-    return met.select("part", "row", "doc_id", "finish", open_("of_a").alias("a"), open_("of_b").alias("b"), kind.cast("byte").alias("kind"), F.sum(cut.cast("int")).over(back).alias("later"))
-
+    return met.select("part", "row", "times", "finish", open_("of_a").alias("a"), open_("of_b").alias("b"), kind.cast("byte").alias("kind"), F.sum(cut.cast("int")).over(back).alias("later"))
 
-def groups_text(a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> str:
-    """The groups "a1,a2|b1;a3|b2,b3" of a document's links in ascending order."""
-    ends_a, ends_b = kind != 1, kind != 0
-    cuts = np.flatnonzero(kind == 2) + 1
-    of_a, of_b = [0, *np.cumsum(ends_a)[cuts - 1].tolist()], [0, *np.cumsum(ends_b)[cuts - 1].tolist()]
-    ids_a, ids_b = list(map(str, a[ends_a].tolist())), list(map(str, b[ends_b].tolist()))
-    return ";".join(f"{','.join(ids_a[i:j])}|{','.join(ids_b[k:m])}" for (i, j), (k, m) in zip(pairwise(of_a), pairwise(of_b), strict=True))
 
-
-_SUMS = [("row", pa.int64()), ("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]
-_DIGEST = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>"
+_COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+_SUMS = pa.schema([("row", pa.int64()), ("times", pa.int64()), *((n, pa.int32()) for n in _COUNTS), ("groups", pa.string()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
+_DIGEST = "row long, times long, n_a int, n_b int, n_groups int, n_links int, groups string, a array<int>, b array<int>"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links come in descending order of finish, document by document; a document's last may come in a later batch."""
+    """Links come in descending order of finish, piece by piece; a piece's last may come in a later batch."""
     carried: list[pa.RecordBatch] = []
     for batch in chain(batches, [None]):
         row = batch.column("row").to_numpy() if batch else None
         if batch and carried and row[0] == row[-1] == carried[0].column("row")[0].as_py():
             carried.append(batch)
             continue
-        keep = int(np.searchsorted(np.cumsum(row[::-1] != row[-1]), 1)) if batch else 0  # rows of the batch's last document
+        keep = int(np.searchsorted(np.cumsum(row[::-1] != row[-1]), 1)) if batch else 0  # rows of the batch's last piece
         ready = [*carried, batch.slice(0, len(row) - keep)] if batch else carried
         carried = [batch.slice(len(row) - keep)] if batch else []
         if sum(map(len, ready)):
-            yield _documents(pa.Table.from_batches(ready))
-
-
-def _documents(links: pa.Table) -> pa.RecordBatch:
-    row, a, b, kind = (links.column(c).to_numpy() for c in ("row", "a", "b", "kind"))
-    edges = [0, *(np.flatnonzero(np.diff(row)) + 1).tolist(), len(row)]
-    full = links.column("finish").is_valid().to_numpy()
-    sums, linked, counts = [], ([np.zeros(0, np.int32)], [np.zeros(0, np.int32)]), [0]
-    for i, j in pairwise(edges):
-        n = j - i if full[i] else 0  # a document without tokens has one row, of nulls
-        la, lb, k = (x[i : i + n][::-1].astype(np.int32) for x in (a, b, kind))
-        text = groups_text(la, lb, k) if n else ""
-        sums.append((int((k != 1).sum()), int((k != 0).sum()), int((k == 2).sum()), n, hashlib.sha256(text.encode()).hexdigest() if n else ""))
-        linked[0].append(la)
-        linked[1].append(lb)
-        counts.append(n)
-    first = links.take(edges[:-1])
-    columns = [first.column("row").combine_chunks(), first.column("doc_id").combine_chunks(), *(list(c) for c in zip(*sums, strict=True)), *(ragged(np.concatenate(x), np.cumsum(counts), pa.int32()) for x in linked)]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c for c, (_, t) in zip(columns, _SUMS, strict=True)], schema=pa.schema(_SUMS))
+            yield _pieces(pa.Table.from_batches(ready))
+
+
+def _joined(texts: pa.Array, starts: np.ndarray, by: str) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), texts), by)
+
+
+def _pieces(links: pa.Table) -> pa.RecordBatch:
+    """Each piece with its groups as text, "a1,a2|b1;a3|b2,b3", and its links in ascending order. Every piece ends in a cut."""
+    row, times, a, b, kind = (links.column(c).to_numpy()[::-1] for c in ("row", "times", "a", "b", "kind"))
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]])
+    before = lambda x: np.concatenate([[0], np.cumsum(x)])
+    ends_a, ends_b, cuts = kind != 1, kind != 0, kind == 2
+    a_before, b_before, cuts_before = before(ends_a), before(ends_b), before(cuts)
+    at = np.concatenate([[0], np.flatnonzero(cuts) + 1])
+    texts = [_joined(pa.array(ids[ends]).cast(pa.string()), n[at], ",") for ids, ends, n in ((a, ends_a, a_before), (b, ends_b, b_before))]
+    groups = _joined(pc.binary_join_element_wise(*texts, "|"), cuts_before[edges], ";")
+    first = edges[:-1]
+    counts = [pa.array(np.diff(n[edges]), pa.int32()) for n in (a_before, b_before, cuts_before)]
+    return pa.RecordBatch.from_arrays([pa.array(row[first]), pa.array(times[first]), *counts, pa.array(np.diff(edges), pa.int32()), groups, *(ragged(x.astype(np.int32), edges, pa.int32()) for x in (a, b))], schema=_SUMS)
+
+
+def _scored(whole: DataFrame, sent_pairs: int) -> DataFrame:
+    """whole with n_best and count_sum instead of its links."""
+    spark = whole.sparkSession
+    links = whole.select("row", "times", F.explode(F.arrays_zip("a", "b")).alias("p")).select("row", "times", "p.a", "p.b")
+    counts = materialize(links.groupBy("a", "b").agg(F.sum("times").alias("count")), "counts")
+    best = counts.groupBy("b").agg(F.max("count").alias("most"))
+    known = counts.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
+    if counts.count() > sent_pairs:  # no pair is so frequent that its pieces in one part are many
+        parts = F.pmod(F.xxhash64("row"), F.lit(16 * partitions(spark))).alias("part")
+        links = links.select("row", "a", "b", parts)
+        known = links.select("part", "a", "b").distinct().join(known, ["a", "b"])
+        sums = links.join(known, ["part", "a", "b"]).groupBy("row").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        return whole.drop("a", "b").join(sums, "row")
+    pairs = known.select(F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b")).alias("pair"), "count", "best").toArrow().sort_by("pair")
+    sent = spark.sparkContext.broadcast([pairs[c].to_numpy() for c in ("pair", "count", "best")])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, count, best = sent.value
+        for batch in batches:
+            a, b = (batch.column(c) for c in ("a", "b"))
+            starts = a.offsets.to_numpy().astype(np.int64) - a.offsets[0].as_py()
+            at = np.searchsorted(pair, a.flatten().to_numpy().astype(np.int64) << 32 | b.flatten().to_numpy())
+            sums = [np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)])[starts] for x in (best, count)]
+            names = [n for n in batch.schema.names if n not in "ab"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(np.diff(x)) for x in sums)], names=[*names, "n_best", "count_sum"])
+
+    return whole.mapInArrow(score, "row long, times long, n_a int, n_b int, n_groups int, n_links int, groups string, n_best long, count_sum long")
+
+
+def _by_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for the pieces of a run in a batch, as lists and as lines of their groups: a third of the bytes of a row each."""
+    for batch in batches:
+        row = batch.column("row").to_numpy()
+        run = row >> PIECE_BITS
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(run)]]) if len(run) else np.zeros(1, np.int64)
+        columns = [ragged((row & ((1 << PIECE_BITS) - 1)).astype(np.int32), edges, pa.int32())]
+        columns += [ragged(batch.column(n).to_numpy(), edges, pa.int64() if n == "count_sum" else pa.int32()) for n in (*_COUNTS, "n_best", "count_sum")]
+        yield pa.RecordBatch.from_arrays([pa.array(run[edges[:-1]]), *columns, _joined(batch.column("groups"), edges, "\n")], names=["run", "numbers", *_COUNTS, "n_best", "count_sum", "groups"])
+
+
+def _put_together(docs: pa.Table, pieces: pa.Table) -> pa.Table:
+    """The documents of a run from their pieces."""
+    number = pc.list_flatten(pieces["numbers"]).to_numpy()
+    place = np.zeros(number.max(initial=-1) + 1, np.int64)
+    place[number] = np.arange(len(number))
+    counts = pc.list_value_length(docs["pieces"]).to_numpy()
+    starts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    at = place[pc.list_flatten(docs["pieces"]).to_numpy()]
+    sums = {}
+    for name in (*_COUNTS, "n_best", "count_sum"):
+        total = np.concatenate([[0], np.cumsum(pc.list_flatten(pieces[name]).to_numpy()[at], dtype=np.int64)])
+        sums[name] = pa.array(total[starts[1:]] - total[starts[:-1]])
+    texts = [t for lines in pieces["groups"].to_pylist() for t in lines.split("\n")]
+    digests = [hashlib.sha256(";".join(map(texts.__getitem__, at[i:j].tolist())).encode()).hexdigest() if j > i else "" for i, j in pairwise(starts.tolist())]
+    return pa.table({"doc_id": docs["doc_id"], **sums, "groups_sha256": pa.array(digests, pa.string())})
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str, sent_pairs: int = SENT_PAIRS) -> DataFrame:
@@ -229,24 +310,15 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, sent_pairs: int =
 
     Texts that are null or empty, or that either tokenizer doesn't spell again, have zeros and ''. Repeated rows count
     each. An empty table gives no rows; columns besides doc_id and text are ignored. With more than sent_pairs distinct
-    linked pairs of ids, their counts are joined by pair and part of the documents instead of broadcast.
+    linked pairs of ids, their counts are joined by pair and part of the pieces instead of broadcast.
     """
     spark = docs.sparkSession
     name = token_table(docs, path_a, path_b)
-    tokens = aligned_tokens(spark.table(name)).sortWithinPartitions("part", "row", F.col("finish").desc())
-    whole = materialize(tokens.drop("part", "later").mapInArrow(_digest, _DIGEST), "aligned", compression="zstd")
-    drop_table(spark, name)
-    links = whole.select("row", F.explode(F.arrays_zip("a", "b")).alias("p")).select("row", "p.a", "p.b")
-    counts = materialize(links.groupBy("a", "b").agg(F.count("*").alias("count")), "counts")
-    best = counts.groupBy("b").agg(F.max("count").alias("most"))
-    known = counts.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
-    if counts.count() <= sent_pairs:
-        scored = links.join(F.broadcast(known), ["a", "b"])
-    else:  # no pair is so frequent that its links in one part are many
-        parts = F.pmod(F.xxhash64("row"), F.lit(16 * partitions(spark))).alias("part")
-        links = links.select("*", parts)
-        known = links.select("part", "a", "b").distinct().join(known, ["a", "b"])
-        scored = links.join(known, ["part", "a", "b"])
-    scored = scored.groupBy("row").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return whole.drop("a", "b").join(scored, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+    table = spark.table(name)
+    links = aligned_tokens(table).sortWithinPartitions("part", "row", F.col("finish").desc())
+    whole = materialize(links.drop("part", "finish", "later").mapInArrow(_digest, _DIGEST), "aligned", compression="zstd")
+    drop_folder(spark, name, "what=pieces")
+    pieces = _scored(whole, sent_pairs).mapInArrow(_by_run, "run long, numbers array<int>, " + ", ".join(f"{n} array<int>" for n in (*_COUNTS, "n_best")) + ", count_sum array<long>, groups string")
+    rows = table.where("what = 'documents'").select("run", "doc_id", "pieces")
+    put = rows.groupBy("run").cogroup(pieces.groupBy("run")).applyInArrow(_put_together, "doc_id long, " + ", ".join(f"{n} long" for n in (*_COUNTS, "n_best", "count_sum")) + ", groups_sha256 string")
+    return put.select("doc_id", *_COUNTS, "n_best", "count_sum", "groups_sha256")

@@ -63,11 +63,10 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop_table(spark: SparkSession, name: str) -> None:
-    """Drop a table that was saved at a scratch_path, and its files. Nothing that is still to run may read it."""
+def drop_folder(spark: SparkSession, name: str, folder: str) -> None:
+    """Delete one folder of the files of a table that was saved at a scratch_path. Nothing that is still to run may read it."""
     where = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]
-    spark.sql(f"DROP TABLE {name}")
-    _delete(spark, where)
+    _delete(spark, f"{where}/{folder}/_")
 
 
 def discard(*tables: DataFrame) -> None:

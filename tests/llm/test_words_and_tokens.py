@@ -159,6 +159,24 @@ def test_links_of_any_batches(spark, rows):
     assert (links.groupby(["row", "later"]).kind.apply(lambda k: (k == 2).sum()) == 1).all()
 
 
+def test_pieces_are_aligned_once_in_a_run(spark, rows, monkeypatch):
+    texts = [(i, t) for i, (_, t) in enumerate(rows[:8])]
+    docs = lambda times: spark.createDataFrame(texts * times, "doc_id long, text string").coalesce(1)
+    links = lambda times: alignment.aligned_tokens(spark.table(alignment.token_table(docs(times), BYTE, PIECE))).count()
+    assert links(20) == links(1)
+    want = Counter(by_null(alignment.align_documents(docs(6), BYTE, PIECE).collect()))
+    monkeypatch.setattr(alignment, "RUN_BYTES", 1000)
+    monkeypatch.setattr(alignment, "REMEMBERED", 700)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        table = spark.table(alignment.token_table(docs(6), BYTE, PIECE))
+        assert table.where("what = 'documents'").select("run").distinct().count() > 3
+        assert Counter(by_null(alignment.align_documents(docs(6), BYTE, PIECE).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_alignment_of_nothing(empty):
     assert alignment.align_documents(empty, BYTE, PIECE).collect() == []
 
