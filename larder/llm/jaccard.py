@@ -2,7 +2,8 @@
 
 1. Texts with equal shingle sets fall together in one class (128-bit set hash); one document stands for it.
 2. Each class posts its prefix: its n - ceil(0.8 n) + 1 first shingles in an order that puts common ones last. Two
-   similar sets share a shingle of their prefixes, so nothing is lost, and only postings that meet another go on.
+   similar sets share a shingle of their prefixes, so nothing is lost, and only postings that meet another of a size
+   that may be similar go on.
 3. Classes that meet are dealt to buckets of bounded size. In a bucket, a signature tree has the classes as leaves;
    its nodes hold the OR of their token bitmaps, their range of sizes and the most tokens that share bits. A dual
    traversal leaves out pairs of nodes whose greatest possible overlap is too small, or which are one component
@@ -32,6 +33,10 @@ COMMON_TASK, COMMON, COMMON_KEPT = 4, 64, 100_000
 RUN_MEMBERS, RUN_SHINGLES = 512, 500_000
 #: Children of a tree's node, and postings of a class in the first round.
 FANOUT, FIRST = 8, 3
+#: Members of a bucket that has no tree.
+FEW = 8
+#: Rows of results that a task hands over at a time.
+ROWS = 8192
 
 
 def text_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,17 +106,22 @@ def prefix_sets(docs: DataFrame, common: np.ndarray, similar: tuple[int, int] =
     return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, n long, c1 long, c2 long, prefix array<long>, bits binary")
 
 
-def meeting(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose key (never null) another row has, too. Partitions are sorted by Spark and streamed, whatever a key's rows."""
-    schema = rows.schema
+def meeting(postings: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The postings (token, n and others, not null) whose token another one of a size that may be similar has, too.
+
+    Partitions are sorted by Spark and streamed, whatever a token's rows; of a token, sizes next to each other stand
+    together, so a posting without such a neighbour has no partner at all.
+    """
+    a, b = similar
+    schema = postings.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, met = None, False  # the row held back, and whether the one before it has its key
+        last, met = None, False  # the row held back, and whether it meets the one before it
         for batch in batches:
             if last is not None:
                 batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            k = batch.column(key).to_numpy()
-            same = k[1:] == k[:-1]
+            k, n = batch.column("token").to_numpy(), batch.column("n").to_numpy()
+            same = (k[1:] == k[:-1]) & (b * n[:-1] >= a * n[1:])
             good = np.concatenate([[met], same]) | np.concatenate([same, [False]])
             last, met = batch.slice(len(k) - 1), bool(good[-1])
             if good[:-1].any():
@@ -119,7 +129,7 @@ def meeting(rows: DataFrame, key: str) -> DataFrame:
         if met:
             yield last
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(keep, schema)
+    return postings.repartition("token").sortWithinPartitions("token", "n").mapInArrow(keep, schema)
 
 
 def runs(postings: DataFrame) -> DataFrame:
@@ -143,25 +153,27 @@ def runs(postings: DataFrame) -> DataFrame:
 
 
 def buckets(postings: DataFrame, pairs_of_runs: bool, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """bucket, rep and comp: each run, or each pair of runs of a token that sizes let link, with more than one component.
+    """anchor, bucket, rep and comp: each run, or each pair of runs of a token that sizes let link, with more than one component.
 
-    Buckets of the same members are one.
+    Buckets of the same members are one. What is sent to buckets is dealt by anchor: of a few members the least, so that
+    a member's buckets mostly meet in one place and its bitmap, sent there again and again, is compressed away.
     """
     a, b = similar
     rows = materialize(runs(postings), "runs")
-    each = rows.groupBy("token", "run").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y"))
-    pairs = each.select("token", F.col("run").alias("i"), F.col("run").alias("j"), "c0", "c1", "k", "x", "y")
+    each = rows.groupBy("token", "run").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y"), F.min("rep").alias("least"))
+    pairs = each.select("token", F.col("run").alias("i"), F.col("run").alias("j"), "c0", "c1", "k", "x", "y", "least")
     if pairs_of_runs:
         left, right = each.alias("p"), each.where("run > 0").alias("q")
         on = (F.col("p.token") == F.col("q.token")) & (F.col("p.run") < F.col("q.run")) & (b * F.col("p.high") >= a * F.col("q.low"))
         two = left.join(right, on).select(
             "p.token", F.col("p.run").alias("i"), F.col("q.run").alias("j"), F.least("p.c0", "q.c0").alias("c0"), F.greatest("p.c1", "q.c1").alias("c1"),
-            (F.col("p.k") + F.col("q.k")).alias("k"), F.col("p.x").bitwiseXOR(F.col("q.x")).alias("x"), F.col("p.y").bitwiseXOR(F.col("q.y")).alias("y"),
+            (F.col("p.k") + F.col("q.k")).alias("k"), F.col("p.x").bitwiseXOR(F.col("q.x")).alias("x"), F.col("p.y").bitwiseXOR(F.col("q.y")).alias("y"), F.least("p.least", "q.least").alias("least"),
         )
         pairs = pairs.union(two)
-    pairs = pairs.where("c0 != c1").groupBy("k", "x", "y").agg(F.min(F.struct("token", "i", "j")).alias("m"))
-    pairs = pairs.select("m.token", F.xxhash64("k", "x", "y").alias("bucket"), F.explode(F.array_distinct(F.array("m.i", "m.j"))).alias("run"))
-    return rows.join(pairs, ["token", "run"]).select("bucket", "rep", "comp")
+    pairs = pairs.where("c0 != c1").groupBy("k", "x", "y").agg(F.min(F.struct("token", "i", "j", "least")).alias("m"))
+    bucket = F.xxhash64("k", "x", "y")
+    pairs = pairs.select("m.token", F.when(F.col("k") <= FEW, F.col("m.least")).otherwise(bucket).alias("anchor"), bucket.alias("bucket"), F.explode(F.array_distinct(F.array("m.i", "m.j"))).alias("run"))
+    return rows.join(pairs, ["token", "run"]).select("anchor", "bucket", "rep", "comp")
 
 
 def signature(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -281,12 +293,37 @@ def groups_of_similar(n: np.ndarray, labels: np.ndarray, bitmaps: list[bytes], s
     return np.where(touched, of, -1)
 
 
+def few_similar(n: list[int], labels: list[int], bitmaps: list[bytes], similar: tuple[int, int] = SIMILAR) -> list[tuple[int, int]]:
+    """The pairs of a few members that their bitmaps may link: most buckets hold two or three, for which a tree is far more work."""
+    a, b = similar
+    planes, out = [int.from_bytes(x) for x in bitmaps], []
+    for j in range(1, len(n)):
+        for i in range(j):
+            if labels[i] == labels[j] or b * n[i] < a * n[j] or b * n[j] < a * n[i]:
+                continue
+            x, y = planes[i], planes[j]
+            if len(bitmaps[i]) != len(bitmaps[j]):
+                k = i if len(bitmaps[i]) > len(bitmaps[j]) else j
+                half = int.from_bytes(halved(np.frombuffer(bitmaps[k], np.uint64).reshape(1, -1)).tobytes())
+                x, y = (half, y) if k == i else (x, half)
+            both = (x & y).bit_count() + min(n[i] - x.bit_count(), n[j] - y.bit_count())
+            if (a + b) * both >= a * (n[i] + n[j]):
+                out.append((i, j))
+    return out
+
+
 def tree_join(reps: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> list[tuple[int, int]]:
     """Links (member, root) that connect all members with a similar pair; pairs of one label need none."""
     a, b = similar
-    order = sorted(range(len(sets)), key=lambda i: (sets[i][:2].tolist(), len(sets[i])))
-    reps, sets = reps[order], [sets[i] for i in order]
-    names, labels = np.unique(labels[order], return_inverse=True)
+    names, labels = np.unique(labels, return_inverse=True)
+    if len(sets) > FEW:
+        order = sorted(range(len(sets)), key=lambda i: (sets[i][:2].tolist(), len(sets[i])))
+        reps, labels, sets = reps[order], labels[order], [sets[i] for i in order]
+        pairs = SignatureTree(sets, labels).pairs(similar)
+    else:
+        n = [len(s) for s in sets]
+        close = [(i, j) for j in range(len(n)) for i in range(j) if b * n[i] >= a * n[j] and b * n[j] >= a * n[i]]
+        pairs = [tuple(np.array(close, np.int64).reshape(-1, 2).T)]
     parent = list(range(len(names)))
 
     def root(x: int) -> int:
@@ -296,7 +333,7 @@ def tree_join(reps: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], simi
         return x
 
     links = []
-    for xs, ys in SignatureTree(sets, labels).pairs(similar):
+    for xs, ys in pairs:
         for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
             p, q = root(labels[x]), root(labels[y])
             if p == q:
@@ -326,33 +363,51 @@ def grouped(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
 def narrowed(members: DataFrame, signatures: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """The members of buckets that bitmaps alone don't rule out, in buckets of those that they may connect.
 
-    Bitmaps are a small part of the sets, and few members remain, so few sets are moved after this.
+    Bitmaps are a small part of the sets, and few members remain, so few sets are moved after this. Two texts meet under
+    many tokens, beside other texts each time; of a bucket of few members each pair is a bucket of its own, which is one
+    however often it comes.
     """
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for reps, comps, n, bits in grouped(batches, ["rep", "comp", "n", "bits"]):
-            reps, comps = np.array(reps, np.int64), np.array(comps, np.int64)
-            of = groups_of_similar(np.array(n, np.int64), comps, bits, similar)
-            order = np.lexsort((reps, of))
-            order = order[of[order] >= 0]
-            edges = np.flatnonzero(np.diff(of[order], prepend=-1))
-            key = [xxhash.xxh3_64_intdigest(reps[part].tobytes()) for part in np.split(order, edges[1:])] if len(order) else []
-            key = np.repeat(np.array(key, np.uint64).view(np.int64), np.diff(np.append(edges, len(order))))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(reps[order]), pa.array(comps[order])], names=["bucket", "rep", "comp"])
+        anchors, keys, out = [], [], []
 
-    rows = members.join(signatures, "rep").select("bucket", "rep", "comp", "n", "bits")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(narrow, "bucket long, rep long, comp long").distinct()
+        def ready() -> pa.RecordBatch:
+            columns = [np.array(anchors, np.int64), np.array(keys, np.uint64).view(np.int64), *np.array(out, np.int64).reshape(-1, 2).T]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "bucket", "rep", "comp"])
+
+        for reps, comps, n, bits in grouped(batches, ["rep", "comp", "n", "bits"]):
+            if len(n) <= FEW:
+                groups = [[(reps[i], comps[i]), (reps[j], comps[j])] for i, j in few_similar(n, comps, bits, similar)]
+            else:
+                of = groups_of_similar(np.array(n, np.int64), np.array(comps, np.int64), bits, similar).tolist()
+                groups = [[(rep, comp) for k, rep, comp in zip(of, reps, comps, strict=True) if k == g] for g in set(of) if g >= 0]
+            for group in groups:
+                group.sort()
+                anchors += [group[0][0]] * len(group)
+                keys += [xxhash.xxh3_64_intdigest(np.array([rep for rep, _ in group], np.int64).tobytes())] * len(group)
+                out += group
+            if len(keys) > ROWS:
+                yield ready()
+                anchors, keys, out = [], [], []
+        yield ready()
+
+    rows = members.join(signatures, "rep").select("anchor", "bucket", "rep", "comp", "n", "bits")
+    return rows.repartition("anchor").sortWithinPartitions("bucket").mapInArrow(narrow, "anchor long, bucket long, rep long, comp long").distinct()
 
 
 def joined(members: DataFrame, signatures: DataFrame, docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Links a, b found in buckets."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, ([], [], [])
-
-        def links() -> Iterator[pa.RecordBatch]:
-            if len(held[0]) > 1 and (got := tree_join(np.array(held[0], np.int64), np.array(held[1], np.int64), held[2], similar)):
-                x, y = zip(*got, strict=True)
+        bucket, held, found = None, ([], [], []), set()
+
+        def links(least: int) -> Iterator[pa.RecordBatch]:
+            """Join what is held, and hand over the links found so far if there are more than the least."""
+            if len(held[0]) > 1:
+                found.update(tree_join(np.array(held[0], np.int64), np.array(held[1], np.int64), held[2], similar))
+            if len(found) > least:
+                x, y = zip(*found, strict=True)
+                found.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -360,16 +415,16 @@ def joined(members: DataFrame, signatures: DataFrame, docs: DataFrame, similar:
             flat, at = h.flatten().to_numpy().view(np.uint64), h.offsets.to_numpy() - h.offsets[0].as_py()
             for i, (key, rep, comp) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "rep", "comp")), strict=True)):
                 if key != bucket:
-                    yield from links()
+                    yield from links(ROWS)
                     bucket, held = key, ([], [], [])
                 held[0].append(rep)
                 held[1].append(comp)
                 held[2].append(flat[at[i] : at[i + 1]].copy())
-        yield from links()
+        yield from links(0)
 
     left = materialize(narrowed(members, signatures, similar).hint("rebalance"), "members")
-    rows = left.join(sets_of(docs, left.select("rep").distinct()), "rep").select("bucket", "rep", "comp", "h")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(join, "a long, b long")
+    rows = left.join(sets_of(docs, left.select("rep").distinct()), "rep").select("anchor", "bucket", "rep", "comp", "h")
+    return rows.repartition("anchor").sortWithinPartitions("bucket").mapInArrow(join, "a long, b long")
 
 
 def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -395,7 +450,7 @@ def near_duplicates(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> Data
     rows = materialize(prefix_sets(docs, common_shingles(docs), similar), "prefixes")
     classes = rows.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix", ignorenulls=True).alias("prefix"), F.first("bits", ignorenulls=True).alias("bits")).where("rep is not null")
     postings = classes.select("rep", "n", F.posexplode_outer("prefix").alias("r", "token"))
-    postings = materialize(meeting(postings.select("token", "rep", "n", "r"), "token").hint("rebalance"), "postings")
+    postings = materialize(meeting(postings.select("token", "rep", "n", "r"), similar).hint("rebalance"), "postings")
     signatures = materialize(classes.select("rep", "n", "bits"), "signatures")
     first = postings.where(F.col("r") < FIRST).withColumn("comp", F.col("rep"))
     links = materialize(joined(buckets(first, False, similar), signatures, docs, similar).hint("rebalance"), "links")

@@ -108,6 +108,33 @@ def test_one_of_each_judges_rows_by_their_text(spark, odd, rows):
     assert [k for k in kept if k[1] not in (c, c + " end")] == sorted([(0, ""), (0, ""), (7, a), (7, b)]) and len(kept) == 5
 
 
+@pytest.mark.parametrize("batch", ["2", "10000"])
+def test_postings_meet_only_sizes_that_may_be_similar(spark, monkeypatch, batch):
+    rng = random.Random(int(batch))
+    rows = [(t, i, rng.randint(1, 60), 0) for i in range(200) for t in {rng.randrange(30)}]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {tuple(r) for r in jaccard.meeting(spark.createDataFrame(rows, "token long, rep long, n long, r int")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    meet = lambda x, y: x is not y and x[0] == y[0] and 5 * min(x[2], y[2]) >= 4 * max(x[2], y[2])
+    want = {x for x in rows if any(meet(x, y) for y in rows)}
+    assert got == want and len(want) < len(rows)
+
+
+def test_a_pair_that_meets_in_many_buckets_is_compared_once(spark):
+    rng = np.random.default_rng(11)
+    base = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in (40, 200, 700)]
+    sets = [*base, *(s[len(s) // 20 :] for s in base)]  # 0 and 3, 1 and 4, 2 and 5 are alike
+    n, bits = [len(s) for s in sets], [jaccard.signature([s], jaccard.width(len(s))).tobytes() for s in sets]
+    assert jaccard.few_similar(n, list(range(6)), bits) == [(0, 3), (1, 4), (2, 5)] and jaccard.few_similar(n, [0] * 6, bits) == []
+    signatures = spark.createDataFrame([(i, k, b) for i, (k, b) in enumerate(zip(n, bits, strict=True))], "rep long, n long, bits binary")
+    members = [(7, b, i, i) for b, held in ((1, (0, 3)), (2, (0, 1, 3)), (3, (0, 2, 3, 5)), (4, (0, 1, 2))) for i in held]
+    got = jaccard.narrowed(spark.createDataFrame(members, "anchor long, bucket long, rep long, comp long"), signatures).collect()
+    assert sorted(r.rep for r in got) == [0, 2, 3, 5] and len({r.bucket for r in got}) == 2
+
+
 def test_signature_tree_keeps_all_pairs():
     rng = np.random.default_rng(1)
     base = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in rng.integers(1, 80, 40)]
