@@ -10,8 +10,8 @@ stream is the end of exactly one overlap of two tokens, that of the tokens which
 each stream at or after an end, which a window over the same order carries along, gives all links and no pair twice,
 however many tokens a group has.
 
-All of it runs within buckets of whole pieces, which never move. How often ids are linked corpus-wide is counted with
-partial sums, so only distinct pairs of a task move. In the end the documents of a run meet its pieces.
+All of it runs within buckets of whole runs, so neither pieces nor documents move. How often ids are linked corpus-wide is
+counted with partial sums, so only distinct pairs of a task move. In the end the documents of a run meet its pieces.
 """
 
 from __future__ import annotations
@@ -27,18 +27,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larder.llm.common import bound_batches, drop_folder, materialize, partitions, ragged, scratch_path, slices
+from larder.llm.common import bound_batches, drop_folder, materialize, ragged, scratch_path, slices
 
 #: Bits of a token's code, and of its number of bytes within; of an id, before which comes the stream's bit and the end.
 BITS, LENGTH_BITS, ID_BITS = 31, 11, 20
 #: Bytes of text of a run of documents, about; of text for each bucket of a table, and its buckets at most.
 RUN_BYTES, BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 4 << 20, 50_000
-#: Bits of a piece's number in its run, of a run's number in its task, and of a piece's number in its part of a run.
-PIECE_BITS, RUN_BITS, PART_BITS = 28, 16, 15
+#: Bits of a piece's number in its run, and of a run's number in its task; pieces that are written at a time.
+PIECE_BITS, RUN_BITS, WRITTEN = 28, 16, 1 << 15
 #: Pairs of linked ids whose counts are broadcast at most; more are joined.
 SENT_PAIRS = 1 << 20
 #: Pieces of texts that a worker remembers before it starts again, and with it a run of documents.
@@ -122,7 +122,7 @@ class TokenPair:
         return pieces[taken].astype(np.int32), np.concatenate([[0], np.cumsum(np.diff(starts) * ~empty)])
 
     def codes(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of both streams the end, stream and id of each token of the pieces with these numbers, and where each piece's begin."""
+        """Of both streams the end, stream and id of each token of the pieces with these numbers, and where each piece's begin, latest first as they are sorted."""
         made = []
         for stream, codes, at in ((0, self.a_codes, self.a_starts), (1, self.b_codes, self.b_starts)):
             codes, starts = _gather(codes, at, pieces, np.arange(len(pieces) + 1))
@@ -130,7 +130,7 @@ class TokenPair:
             owner = np.repeat(np.arange(len(pieces)), np.diff(starts))
             made.append((owner, (total[1:] - total[starts[owner]]) << (ID_BITS + 1) | stream << ID_BITS | codes >> LENGTH_BITS))
         owner, codes = (np.concatenate(x) for x in zip(*made, strict=True))
-        order = np.argsort(owner, kind="stable")
+        order = np.lexsort((-codes, owner))
         return codes[order], np.searchsorted(owner[order], np.arange(len(pieces) + 1))
 
 
@@ -150,9 +150,9 @@ def worker_pair(path_a: str, path_b: str) -> TokenPair:
 def token_table(docs: DataFrame, path_a: str, path_b: str) -> str:
     """Write the documents and the pieces of docs (doc_id, text) as a table; returns its name.
 
-    A row of docs is run, doc_id and pieces, the numbers of its pieces. A piece has part, row (run and number), times (in
-    the documents of its run) and codes, the ends and ids of its tokens. The table is bucketed by part, so pieces need
-    not move to be aligned. Its folders what=documents and what=pieces hold the two.
+    A row of docs is run, doc_id and pieces, the numbers of its pieces. A piece has run, row (run and number), times (in
+    the documents of its run) and codes, the ends and ids of its tokens. The table is bucketed by run, so that neither
+    need move. Its folders what=documents and what=pieces hold the two.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -164,10 +164,10 @@ def token_table(docs: DataFrame, path_a: str, path_b: str) -> str:
 
         def end() -> Iterator[pa.RecordBatch]:
             met = np.flatnonzero(times)
-            for part in np.split(met, np.flatnonzero(np.diff(met >> PART_BITS)) + 1) if len(met) else ():
-                of = (run << (PIECE_BITS - PART_BITS)) + (part[0] >> PART_BITS)
-                nothing = [pa.nulls(len(part), t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), of)), pa.array((run << PIECE_BITS) + part), pa.array(times[part]), ragged(*pair.codes(part), pa.int64()), *nothing, pa.array(["pieces"] * len(part))], schema=_TABLE)
+            for i in range(0, len(met), WRITTEN):
+                part = met[i : i + WRITTEN]
+                nothing = [pa.nulls(len(part), t) for t in (pa.int64(), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), run)), pa.array((run << PIECE_BITS) + part), pa.array(times[part]), ragged(*pair.codes(part), pa.int64()), *nothing, pa.array(["pieces"] * len(part))], schema=_TABLE)
 
         for batch in slices(batches):
             if seen > RUN_BYTES or len(pair.known) > REMEMBERED:
@@ -181,41 +181,51 @@ def token_table(docs: DataFrame, path_a: str, path_b: str) -> str:
             times, seen = new, seen + batch.column("text").nbytes
             n = len(batch)
             nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, run << (PIECE_BITS - PART_BITS))), *nothing, pa.array(np.full(n, run)), batch.column("doc_id"), ragged(pieces, starts, pa.int32()), pa.array(["documents"] * n)], schema=_TABLE)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, run)), *nothing, batch.column("doc_id"), ragged(pieces, starts, pa.int32()), pa.array(["documents"] * n)], schema=_TABLE)
         yield from end()
 
     name = f"larder_tokens_{uuid.uuid4().hex}"
-    coded = docs.select("doc_id", "text").mapInArrow(encode, "part long, row long, times long, codes array<long>, run long, doc_id long, pieces array<int>, what string")
-    coded.write.partitionBy("what").bucketBy(int(min(size // BUCKET_BYTES + 1, MOST_BUCKETS)), "part").option("path", scratch_path(spark, name)).option("compression", "zstd").saveAsTable(name)
+    coded = docs.select("doc_id", "text").mapInArrow(encode, "run long, row long, times long, codes array<long>, doc_id long, pieces array<int>, what string")
+    coded.write.partitionBy("what").bucketBy(int(min(size // BUCKET_BYTES + 1, MOST_BUCKETS)), "run").option("path", scratch_path(spark, name)).option("compression", "zstd").saveAsTable(name)
     return name
 
 
-_TABLE = pa.schema([("part", pa.int64()), ("row", pa.int64()), ("times", pa.int64()), ("codes", pa.list_(pa.int64())), ("run", pa.int64()), ("doc_id", pa.int64()), ("pieces", pa.list_(pa.int32())), ("what", pa.string())])
+def _buckets(spark: SparkSession, name: str) -> int:
+    """The number of buckets of a table."""
+    return int(spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Num Buckets'").first()["data_type"])
+
+
+_TABLE = pa.schema([("run", pa.int64()), ("row", pa.int64()), ("times", pa.int64()), ("codes", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("pieces", pa.list_(pa.int32())), ("what", pa.string())])
 
 
 def aligned_tokens(tokens: DataFrame) -> DataFrame:
     """One row for each link of the pieces of a token_table.
 
-    part and row name the piece. finish is the link's end in bytes, a and b the ids, kind 0 if A's token alone ends
-    there, 1 if B's, 2 at a cut, and later the number of cuts at or after it, which is the same for all links of a group.
+    run and row name the piece. code begins with the link's end in bytes, a and b are the ids, kind is 0 if A's token alone
+    ends there, 1 if B's, 2 at a cut; later is the number of cuts at or after it, the same for all links of a group. Rows
+    come by piece, the latest link first.
     """
-    ends = tokens.where("what = 'pieces'").select("part", "row", "times", F.explode("codes").alias("code"))
-    id_, stream = F.col("code").bitwiseAND((1 << ID_BITS) - 1).cast("int"), F.col("code").bitwiseAND(1 << ID_BITS)
-    met = ends.groupBy("part", "row", "times", F.shiftright("code", ID_BITS + 1).cast("int").alias("finish")).agg(F.max(F.when(stream == 0, id_)).alias("of_a"), F.max(F.when(stream != 0, id_)).alias("of_b"))
-    cut = F.col("of_a").isNotNull() & F.col("of_b").isNotNull()
-    back = Window.partitionBy("part", "row").orderBy(F.col("finish").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    kind = F.when(cut, 2).when(F.col("of_b").isNotNull(), 1).otherwise(0)
-    open_ = lambda c: F.last(c, ignorenulls=True).over(back)
-    return met.select("part", "row", "times", "finish", open_("of_a").alias("a"), open_("of_b").alias("b"), kind.cast("byte").alias("kind"), F.sum(cut.cast("int")).over(back).alias("later"))
+    ends = tokens.where("what = 'pieces'").select("run", "row", "times", F.explode("codes").alias("code"))
+    by = Window.partitionBy("row", "run").orderBy(F.col("code").desc())
+    back = by.rowsBetween(Window.unboundedPreceding, 0)
+    of_b, end = F.col("code").bitwiseAND(1 << ID_BITS) != 0, lambda c: F.shiftright(c, ID_BITS + 1)
+    open_ = lambda whose: F.last(F.when(whose, F.col("code")), ignorenulls=True).over(back)
+    met = ends.select("run", "row", "times", "code", of_b.alias("of_b"), open_(~of_b).alias("a"), open_(of_b).alias("b"), F.lead("code").over(by).alias("next"))
+    met = met.where(F.col("next").isNull() | (end("next") != end("code")))  # of two tokens that end at a cut, the second knows both
+    kind = F.when(end("a") == end("b"), 2).when(F.col("of_b"), 1).otherwise(0)
+    id_ = lambda c: F.col(c).bitwiseAND((1 << ID_BITS) - 1).cast("int")
+    links = met.select("run", "row", "times", "code", id_("a").alias("a"), id_("b").alias("b"), kind.cast("byte").alias("kind"))
+    return links.withColumn("later", F.sum((F.col("kind") == 2).cast("int")).over(back))
 
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
-_SUMS = pa.schema([("row", pa.int64()), ("times", pa.int64()), *((n, pa.int32()) for n in _COUNTS), ("groups", pa.string()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
-_DIGEST = "row long, times long, n_a int, n_b int, n_groups int, n_links int, groups string, a array<int>, b array<int>"
+_SUMS = pa.schema([("run", pa.int64()), ("numbers", pa.list_(pa.int32())), *((n, pa.list_(pa.int32())) for n in _COUNTS), ("times", pa.list_(pa.int64())), *((n, pa.list_(pa.int32())) for n in "ab"), ("groups", pa.string())])
+_DIGEST = "run long, numbers array<int>, " + ", ".join(f"{n} array<int>" for n in _COUNTS) + ", times array<long>, a array<int>, b array<int>, groups string"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links come in descending order of finish, piece by piece; a piece's last may come in a later batch."""
+    worker_pair.cache_clear()  # from here on no task needs the tokenizers and the pieces that this worker remembers
     carried: list[pa.RecordBatch] = []
     for batch in chain(batches, [None]):
         row = batch.column("row").to_numpy() if batch else None
@@ -234,7 +244,10 @@ def _joined(texts: pa.Array, starts: np.ndarray, by: str) -> pa.Array:
 
 
 def _pieces(links: pa.Table) -> pa.RecordBatch:
-    """Each piece with its groups as text, "a1,a2|b1;a3|b2,b3", and its links in ascending order. Every piece ends in a cut."""
+    """A row for the pieces of a run: their numbers, counts and groups as lines, "a1,a2|b1;a3|b2,b3", and all their links.
+
+    times is that of each link. Lists take a third of the bytes of a row for each piece. Every piece ends in a cut.
+    """
     row, times, a, b, kind = (links.column(c).to_numpy()[::-1] for c in ("row", "times", "a", "b", "kind"))
     edges = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]])
     before = lambda x: np.concatenate([[0], np.cumsum(x)])
@@ -243,53 +256,49 @@ def _pieces(links: pa.Table) -> pa.RecordBatch:
     at = np.concatenate([[0], np.flatnonzero(cuts) + 1])
     texts = [_joined(pa.array(ids[ends]).cast(pa.string()), n[at], ",") for ids, ends, n in ((a, ends_a, a_before), (b, ends_b, b_before))]
     groups = _joined(pc.binary_join_element_wise(*texts, "|"), cuts_before[edges], ";")
-    first = edges[:-1]
-    counts = [pa.array(np.diff(n[edges]), pa.int32()) for n in (a_before, b_before, cuts_before)]
-    return pa.RecordBatch.from_arrays([pa.array(row[first]), pa.array(times[first]), *counts, pa.array(np.diff(edges), pa.int32()), groups, *(ragged(x.astype(np.int32), edges, pa.int32()) for x in (a, b))], schema=_SUMS)
+    run = row[edges[:-1]] >> PIECE_BITS
+    of = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(run)]])  # where each run's pieces begin, and its links
+    number = (row[edges[:-1]] & ((1 << PIECE_BITS) - 1)).astype(np.int32)
+    counts = [ragged(np.diff(n[edges]).astype(np.int32), of, pa.int32()) for n in (a_before, b_before, cuts_before)]
+    counts.append(ragged(np.diff(edges).astype(np.int32), of, pa.int32()))
+    linked = [ragged(x, edges[of], kind) for x, kind in ((times, pa.int64()), (a, pa.int32()), (b, pa.int32()))]
+    return pa.RecordBatch.from_arrays([pa.array(run[of[:-1]]), ragged(number, of, pa.int32()), *counts, *linked, _joined(groups, of, "\n")], schema=_SUMS)
+
+
+def _pair(a: pa.Array, b: pa.Array) -> np.ndarray:
+    return pc.list_flatten(a).to_numpy().astype(np.int64) << 32 | pc.list_flatten(b).to_numpy()
 
 
-def _scored(whole: DataFrame, sent_pairs: int) -> DataFrame:
-    """whole with n_best and count_sum instead of its links."""
+def _scored(whole: DataFrame, sent_pairs: int) -> tuple[DataFrame, list[np.ndarray] | None]:
+    """whole and all linked pairs in order with their counts and whether these are best; or whole with those as lists."""
     spark = whole.sparkSession
-    links = whole.select("row", "times", F.explode(F.arrays_zip("a", "b")).alias("p")).select("row", "times", "p.a", "p.b")
+    links = whole.select(F.explode(F.arrays_zip("a", "b", "times")).alias("p")).select("p.a", "p.b", "p.times")
     counts = materialize(links.groupBy("a", "b").agg(F.sum("times").alias("count")), "counts")
     best = counts.groupBy("b").agg(F.max("count").alias("most"))
     known = counts.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
-    if counts.count() > sent_pairs:  # no pair is so frequent that its pieces in one part are many
-        parts = F.pmod(F.xxhash64("row"), F.lit(16 * partitions(spark))).alias("part")
-        links = links.select("row", "a", "b", parts)
-        known = links.select("part", "a", "b").distinct().join(known, ["a", "b"])
-        sums = links.join(known, ["part", "a", "b"]).groupBy("row").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-        return whole.drop("a", "b").join(sums, "row")
-    pairs = known.select(F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b")).alias("pair"), "count", "best").toArrow().sort_by("pair")
-    sent = spark.sparkContext.broadcast([pairs[c].to_numpy() for c in ("pair", "count", "best")])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, count, best = sent.value
-        for batch in batches:
-            a, b = (batch.column(c) for c in ("a", "b"))
-            starts = a.offsets.to_numpy().astype(np.int64) - a.offsets[0].as_py()
-            at = np.searchsorted(pair, a.flatten().to_numpy().astype(np.int64) << 32 | b.flatten().to_numpy())
-            sums = [np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)])[starts] for x in (best, count)]
-            names = [n for n in batch.schema.names if n not in "ab"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(np.diff(x)) for x in sums)], names=[*names, "n_best", "count_sum"])
-
-    return whole.mapInArrow(score, "row long, times long, n_a int, n_b int, n_groups int, n_links int, groups string, n_best long, count_sum long")
-
-
-def _by_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for the pieces of a run in a batch, as lists and as lines of their groups: a third of the bytes of a row each."""
-    for batch in batches:
-        row = batch.column("row").to_numpy()
-        run = row >> PIECE_BITS
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(run)]]) if len(run) else np.zeros(1, np.int64)
-        columns = [ragged((row & ((1 << PIECE_BITS) - 1)).astype(np.int32), edges, pa.int32())]
-        columns += [ragged(batch.column(n).to_numpy(), edges, pa.int64() if n == "count_sum" else pa.int32()) for n in (*_COUNTS, "n_best", "count_sum")]
-        yield pa.RecordBatch.from_arrays([pa.array(run[edges[:-1]]), *columns, _joined(batch.column("groups"), edges, "\n")], names=["run", "numbers", *_COUNTS, "n_best", "count_sum", "groups"])
-
-
-def _put_together(docs: pa.Table, pieces: pa.Table) -> pa.Table:
-    """The documents of a run from their pieces."""
+    if counts.count() <= sent_pairs:
+        pairs = known.select(F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b")).alias("pair"), "count", "best").toArrow().sort_by("pair")
+        return whole, [pairs[c].to_numpy() for c in ("pair", "count", "best")]
+    # the pairs of each row once, with their counts, meet the row again: no pair is so frequent that its rows are many links
+    named = whole.withColumn("chunk", F.xxhash64("run", F.element_at("numbers", 1)))
+    own = named.select("chunk", F.explode(F.array_distinct(F.arrays_zip("a", "b"))).alias("p")).select("chunk", "p.a", "p.b")
+    pair = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b"))
+    sums = own.join(known, ["a", "b"]).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct(pair.alias("pair"), "count", "best"))).alias("k"))
+    return named.join(sums, "chunk").select(*whole.columns, *(F.col(f"k.{c}").alias(f"of_{c}") for c in ("pair", "count", "best"))), None
+
+
+def _put_together(docs: pa.Table, pieces: pa.Table, sent: list[np.ndarray] | None) -> pa.Table:
+    """The documents of a run from their pieces. Counts of pairs were sent, or come beside the pieces of each row."""
+    worker_pair.cache_clear()
+    scores = []
+    for piece in pieces.to_batches() if len(pieces) else ():
+        for i in range(len(piece)):
+            row = piece.slice(i, 1)
+            pair, count, best = sent or [pc.list_flatten(row[f"of_{c}"]).to_numpy(zero_copy_only=False) for c in ("pair", "count", "best")]
+            at = np.searchsorted(pair, _pair(row["a"], row["b"]))
+            edges = np.concatenate([[0], np.cumsum(pc.list_flatten(row["n_links"]).to_numpy())])
+            scores.append([np.diff(np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)])[edges]) for x in (best, count)])
+    score = dict(zip(("n_best", "count_sum"), (np.concatenate(x) for x in zip(*scores, strict=True)), strict=True)) if scores else dict.fromkeys(("n_best", "count_sum"), np.zeros(0, np.int64))
     number = pc.list_flatten(pieces["numbers"]).to_numpy()
     place = np.zeros(number.max(initial=-1) + 1, np.int64)
     place[number] = np.arange(len(number))
@@ -298,7 +307,8 @@ def _put_together(docs: pa.Table, pieces: pa.Table) -> pa.Table:
     at = place[pc.list_flatten(docs["pieces"]).to_numpy()]
     sums = {}
     for name in (*_COUNTS, "n_best", "count_sum"):
-        total = np.concatenate([[0], np.cumsum(pc.list_flatten(pieces[name]).to_numpy()[at], dtype=np.int64)])
+        own = score[name] if name in score else pc.list_flatten(pieces[name]).to_numpy()
+        total = np.concatenate([[0], np.cumsum(own[at], dtype=np.int64)])
         sums[name] = pa.array(total[starts[1:]] - total[starts[:-1]])
     texts = [t for lines in pieces["groups"].to_pylist() for t in lines.split("\n")]
     digests = [hashlib.sha256(";".join(map(texts.__getitem__, at[i:j].tolist())).encode()).hexdigest() if j > i else "" for i, j in pairwise(starts.tolist())]
@@ -315,10 +325,13 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, sent_pairs: int =
     spark = docs.sparkSession
     name = token_table(docs, path_a, path_b)
     table = spark.table(name)
-    links = aligned_tokens(table).sortWithinPartitions("part", "row", F.col("finish").desc())
-    whole = materialize(links.drop("part", "finish", "later").mapInArrow(_digest, _DIGEST), "aligned", compression="zstd")
+    links = aligned_tokens(table).sortWithinPartitions("row", "run", F.col("code").desc())
+    aligned = f"{name}_aligned"
+    made = links.select("row", "times", "a", "b", "kind").mapInArrow(_digest, _DIGEST)
+    made.write.bucketBy(_buckets(spark, name), "run").option("path", scratch_path(spark, aligned)).option("compression", "zstd").saveAsTable(aligned)
     drop_folder(spark, name, "what=pieces")
-    pieces = _scored(whole, sent_pairs).mapInArrow(_by_run, "run long, numbers array<int>, " + ", ".join(f"{n} array<int>" for n in (*_COUNTS, "n_best")) + ", count_sum array<long>, groups string")
+    pieces, pairs = _scored(spark.table(aligned), sent_pairs)
+    pieces, sent = pieces.drop("times"), spark.sparkContext.broadcast(pairs)
     rows = table.where("what = 'documents'").select("run", "doc_id", "pieces")
-    put = rows.groupBy("run").cogroup(pieces.groupBy("run")).applyInArrow(_put_together, "doc_id long, " + ", ".join(f"{n} long" for n in (*_COUNTS, "n_best", "count_sum")) + ", groups_sha256 string")
+    put = rows.groupBy("run").cogroup(pieces.groupBy("run")).applyInArrow(lambda d, p: _put_together(d, p, sent.value), "doc_id long, " + ", ".join(f"{n} long" for n in (*_COUNTS, "n_best", "count_sum")) + ", groups_sha256 string")
     return put.select("doc_id", *_COUNTS, "n_best", "count_sum", "groups_sha256")

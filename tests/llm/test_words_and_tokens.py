@@ -177,6 +177,20 @@ def test_pieces_are_aligned_once_in_a_run(spark, rows, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+@pytest.mark.parametrize("sent_pairs", [alignment.SENT_PAIRS, 0])
+def test_runs_meet_where_they_are(spark, rows, monkeypatch, sent_pairs):
+    """Of many runs in many buckets, documents are put together without moving, and as from one run."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = by_null(alignment.align_documents(docs, BYTE, PIECE).collect())
+    monkeypatch.setattr(alignment, "RUN_BYTES", 1000)
+    monkeypatch.setattr(alignment, "REMEMBERED", 200)
+    monkeypatch.setattr(alignment, "BUCKET_BYTES", 5000)
+    got = alignment.align_documents(docs, BYTE, PIECE, sent_pairs)
+    assert by_null(got.collect()) == want
+    if sent_pairs:
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_alignment_of_nothing(empty):
     assert alignment.align_documents(empty, BYTE, PIECE).collect() == []
 
