@@ -3,7 +3,7 @@
 1. Texts with equal shingle sets fall together in one class (128-bit set hash); one document stands for it.
 2. Each class posts its prefix: its n - ceil(0.8 n) + 1 first shingles in an order that puts common ones last. Two
    similar sets share a shingle of their prefixes, so nothing is lost, and only postings that meet another of a size
-   that may be similar go on.
+   and place that may be similar go on.
 3. Classes that meet are dealt to buckets of bounded size. In a bucket, a signature tree has the classes as leaves;
    its nodes hold the OR of their token bitmaps, their range of sizes and the most tokens that share bits. A dual
    traversal leaves out pairs of nodes whose greatest possible overlap is too small, or which are one component
@@ -35,6 +35,8 @@ RUN_MEMBERS, RUN_SHINGLES = 512, 500_000
 FANOUT, FIRST = 8, 3
 #: Members of a bucket that has no tree.
 FEW = 8
+#: Shingles of all members of an anchor's buckets, whose bitmaps or sets a task holds at once.
+BITMAP_SHINGLES, SET_SHINGLES = 32_000_000, 4_000_000
 #: Rows of results that a task hands over at a time.
 ROWS = 8192
 
@@ -107,23 +109,29 @@ def prefix_sets(docs: DataFrame, common: np.ndarray, similar: tuple[int, int] =
 
 
 def meeting(postings: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """The postings (token, n and others, not null) whose token another one of a size that may be similar has, too.
+    """The postings (token, n, r and others, not null) whose token another one of a size that may be similar has, too.
 
-    Partitions are sorted by Spark and streamed, whatever a token's rows; of a token, sizes next to each other stand
-    together, so a posting without such a neighbour has no partner at all.
+    At the first shingle that two sets share, what they share is left in both from there on, so a posting at place r
+    reaches partners of a * n <= b * own n - (a + b) * r at most. Partitions are sorted by Spark and streamed, whatever
+    a token's rows: a larger partner is there if the next one is in reach, a smaller one if it reaches that far itself.
     """
     a, b = similar
     schema = postings.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, met = None, False  # the row held back, and whether it meets the one before it
+        last, met, most = None, False, -1  # the row held back, whether it meets one before it, and the furthest reach of its token so far
         for batch in batches:
             if last is not None:
                 batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            k, n = batch.column("token").to_numpy(), batch.column("n").to_numpy()
-            same = (k[1:] == k[:-1]) & (b * n[:-1] >= a * n[1:])
-            good = np.concatenate([[met], same]) | np.concatenate([same, [False]])
-            last, met = batch.slice(len(k) - 1), bool(good[-1])
+            k, n, r = (batch.column(c).to_numpy() for c in ("token", "n", "r"))
+            reach = np.maximum(b * n - (a + b) * r.astype(np.int64), 0)
+            reach[0] = max(reach[0], most)
+            same = k[1:] == k[:-1]
+            base = np.concatenate([[0], np.cumsum(~same)]) << 40
+            furthest = np.maximum.accumulate(base + reach) - base
+            back, ahead = same & (a * n[1:] <= furthest[:-1]), same & (a * n[1:] <= reach[:-1])
+            good = np.concatenate([[met], back]) | np.concatenate([ahead, [False]])
+            last, met, most = batch.slice(len(k) - 1), bool(good[-1]), int(furthest[-1])
             if good[:-1].any():
                 yield batch.slice(0, len(k) - 1).filter(pa.array(good[:-1]))
         if met:
@@ -155,8 +163,8 @@ def runs(postings: DataFrame) -> DataFrame:
 def buckets(postings: DataFrame, pairs_of_runs: bool, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """anchor, bucket, rep and comp: each run, or each pair of runs of a token that sizes let link, with more than one component.
 
-    Buckets of the same members are one. What is sent to buckets is dealt by anchor: of a few members the least, so that
-    a member's buckets mostly meet in one place and its bitmap, sent there again and again, is compressed away.
+    Buckets of the same members are one. What is sent to buckets is dealt by anchor, the least member, as the buckets of
+    texts that are alike in part mostly share it.
     """
     a, b = similar
     rows = materialize(runs(postings), "runs")
@@ -172,10 +180,24 @@ def buckets(postings: DataFrame, pairs_of_runs: bool, similar: tuple[int, int] =
         pairs = pairs.union(two)
     pairs = pairs.where("c0 != c1").groupBy("k", "x", "y").agg(F.min(F.struct("token", "i", "j", "least")).alias("m"))
     bucket = F.xxhash64("k", "x", "y")
-    pairs = pairs.select("m.token", F.when(F.col("k") <= FEW, F.col("m.least")).otherwise(bucket).alias("anchor"), bucket.alias("bucket"), F.explode(F.array_distinct(F.array("m.i", "m.j"))).alias("run"))
+    pairs = pairs.select("m.token", F.col("m.least").alias("anchor"), bucket.alias("bucket"), F.explode(F.array_distinct(F.array("m.i", "m.j"))).alias("run"))
     return rows.join(pairs, ["token", "run"]).select("anchor", "bucket", "rep", "comp")
 
 
+def together(members: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """members (anchor, bucket, rep, comp) as anchor, rep, comp and buckets, so that what a member brings comes once an anchor.
+
+    An anchor with more than `most` shingles (sizes has n by rep) is several, among which its buckets are dealt, so a
+    task holds a bounded part of it.
+    """
+    sized = members.join(sizes.select("rep", "n"), "rep")
+    large = sized.groupBy("anchor").agg(F.sum("n").alias("all")).where(F.col("all") > most)
+    part = F.pmod(F.xxhash64("bucket"), F.ceil(F.col("all") / most))
+    anchor = F.when(F.col("all").isNull(), F.col("anchor")).otherwise(F.xxhash64("anchor", part))
+    rows = members.join(large, "anchor", "left").select(anchor.alias("anchor"), "bucket", "rep", "comp")
+    return rows.groupBy("anchor", "rep").agg(F.first("comp").alias("comp"), F.collect_set("bucket").alias("buckets"))
+
+
 def signature(sets: list[np.ndarray], bits: int) -> np.ndarray:
     """The token bitmaps of sets, a row of 64-bit words each; the first bit is that of the least hashes."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -312,9 +334,13 @@ def few_similar(n: list[int], labels: list[int], bitmaps: list[bytes], similar:
     return out
 
 
-def tree_join(reps: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> list[tuple[int, int]]:
-    """Links (member, root) that connect all members with a similar pair; pairs of one label need none."""
+def tree_join(reps: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR, apart: set[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Links (member, root) that connect all members with a similar pair; pairs of one label need none.
+
+    apart holds the pairs of sets, by identity, that are known not to be similar, and takes those found so.
+    """
     a, b = similar
+    apart = set() if apart is None else apart
     names, labels = np.unique(labels, return_inverse=True)
     if len(sets) > FEW:
         order = sorted(range(len(sets)), key=lambda i: (sets[i][:2].tolist(), len(sets[i])))
@@ -336,28 +362,43 @@ def tree_join(reps: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], simi
     for xs, ys in pairs:
         for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
             p, q = root(labels[x]), root(labels[y])
-            if p == q:
+            pair = (id(sets[x]), id(sets[y])) if id(sets[x]) < id(sets[y]) else (id(sets[y]), id(sets[x]))
+            if p == q or pair in apart:
                 continue
             k = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
             if b * k >= a * (len(sets[x]) + len(sets[y]) - k):
                 parent[max(p, q)] = min(p, q)
                 links.append((int(reps[x]), int(reps[y])))
+            else:
+                apart.add(pair)
     return links
 
 
-def grouped(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list, ...]]:
-    """The rows of each bucket, which stand together, as lists by column."""
-    bucket, held = None, tuple([] for _ in columns)
+def grouped(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list[list[int]], list[list]]]:
+    """Of each anchor, whose rows stand together, its buckets as numbers of members, and the members by column.
+
+    Lists of numbers come as arrays.
+    """
+    anchor, buckets, held = None, {}, [[] for _ in columns]
     for batch in batches:
-        for key, *row in zip(batch.column("bucket").to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
-            if key != bucket:
-                if held[0]:
-                    yield held
-                bucket, held = key, tuple([] for _ in columns)
-            for values, x in zip(held, row, strict=True):
-                values.append(x)
-    if held[0]:
-        yield held
+        values = [batch.column(c) for c in columns]
+        values = [_arrays(v) if pa.types.is_list(v.type) else v.to_pylist() for v in values]
+        for key, of, *row in zip(batch.column("anchor").to_pylist(), batch.column("buckets").to_pylist(), *values, strict=True):
+            if key != anchor:
+                if buckets:
+                    yield list(buckets.values()), held
+                anchor, buckets, held = key, {}, [[] for _ in columns]
+            for bucket in of:
+                buckets.setdefault(bucket, []).append(len(held[0]))
+            for kept, x in zip(held, row, strict=True):
+                kept.append(x)
+    if buckets:
+        yield list(buckets.values()), held
+
+
+def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
+    flat, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return [flat[i:j].copy() for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
 
 def narrowed(members: DataFrame, signatures: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -375,56 +416,69 @@ def narrowed(members: DataFrame, signatures: DataFrame, similar: tuple[int, int]
             columns = [np.array(anchors, np.int64), np.array(keys, np.uint64).view(np.int64), *np.array(out, np.int64).reshape(-1, 2).T]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "bucket", "rep", "comp"])
 
-        for reps, comps, n, bits in grouped(batches, ["rep", "comp", "n", "bits"]):
-            if len(n) <= FEW:
-                groups = [[(reps[i], comps[i]), (reps[j], comps[j])] for i, j in few_similar(n, comps, bits, similar)]
-            else:
-                of = groups_of_similar(np.array(n, np.int64), np.array(comps, np.int64), bits, similar).tolist()
-                groups = [[(rep, comp) for k, rep, comp in zip(of, reps, comps, strict=True) if k == g] for g in set(of) if g >= 0]
-            for group in groups:
-                group.sort()
-                anchors += [group[0][0]] * len(group)
-                keys += [xxhash.xxh3_64_intdigest(np.array([rep for rep, _ in group], np.int64).tobytes())] * len(group)
-                out += group
-            if len(keys) > ROWS:
-                yield ready()
-                anchors, keys, out = [], [], []
+        for buckets, (reps, comps, n, bits) in grouped(batches, ["rep", "comp", "n", "bits"]):
+            told: dict[tuple[int, int], bool] = {}  # the pairs of small buckets that were looked at, and whether they remain
+            for at in buckets:
+                if len(at) <= FEW:
+                    new = [(i, j) for k, j in enumerate(at) for i in at[:k] if (i, j) not in told]
+                    told.update(dict.fromkeys(new, False))
+                    groups = []
+                    if new:
+                        pairs = few_similar(*([x[i] for i in at] for x in (n, comps, bits)), similar)
+                        pairs = set(new) & {(at[i], at[j]) for i, j in pairs}
+                        groups = [[(reps[i], comps[i]), (reps[j], comps[j])] for i, j in pairs]
+                else:
+                    of = groups_of_similar(np.array([n[i] for i in at], np.int64), np.array([comps[i] for i in at], np.int64), [bits[i] for i in at], similar).tolist()
+                    whole: dict[int, list[tuple[int, int]]] = {}
+                    for k, i in zip(of, at, strict=True):
+                        if k >= 0:
+                            whole.setdefault(k, []).append((reps[i], comps[i]))
+                    groups = list(whole.values())
+                for group in groups:
+                    group.sort()
+                    anchors += [group[0][0]] * len(group)
+                    keys += [xxhash.xxh3_64_intdigest(np.array([rep for rep, _ in group], np.int64).tobytes())] * len(group)
+                    out += group
+                if len(keys) > ROWS:
+                    yield ready()
+                    anchors, keys, out = [], [], []
         yield ready()
 
-    rows = members.join(signatures, "rep").select("anchor", "bucket", "rep", "comp", "n", "bits")
-    return rows.repartition("anchor").sortWithinPartitions("bucket").mapInArrow(narrow, "anchor long, bucket long, rep long, comp long").distinct()
+    rows = together(members, signatures, BITMAP_SHINGLES).join(signatures, "rep").select("anchor", "buckets", "rep", "comp", "n", "bits")
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(narrow, "anchor long, bucket long, rep long, comp long").distinct()
 
 
 def joined(members: DataFrame, signatures: DataFrame, docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Links a, b found in buckets."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held, found = None, ([], [], []), set()
-
-        def links(least: int) -> Iterator[pa.RecordBatch]:
-            """Join what is held, and hand over the links found so far if there are more than the least."""
-            if len(held[0]) > 1:
-                found.update(tree_join(np.array(held[0], np.int64), np.array(held[1], np.int64), held[2], similar))
-            if len(found) > least:
-                x, y = zip(*found, strict=True)
+        found = set()
+
+        def ready() -> pa.RecordBatch:
+            x, y = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+        for buckets, (reps, comps, sets) in grouped(batches, ["rep", "comp", "h"]):
+            rep, label, apart = np.array(reps, np.int64), np.array(comps, np.int64), set()
+            of = dict(zip(reps, comps, strict=True))
+            for at in buckets:
+                if len(at) < 2:
+                    continue
+                for x, y in tree_join(rep[at], label[at], [sets[i] for i in at], similar, apart):
+                    found.add((x, y))
+                    p, q = sorted((of[x], of[y]))
+                    if p != q:  # what is connected now need not be compared in the anchor's other buckets
+                        label[label == q] = p
+                        of = dict(zip(reps, label.tolist(), strict=True))
+            if len(found) > ROWS:
+                yield ready()
                 found.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+        if found:
+            yield ready()
 
-        for batch in batches:
-            h = batch.column("h")
-            flat, at = h.flatten().to_numpy().view(np.uint64), h.offsets.to_numpy() - h.offsets[0].as_py()
-            for i, (key, rep, comp) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "rep", "comp")), strict=True)):
-                if key != bucket:
-                    yield from links(ROWS)
-                    bucket, held = key, ([], [], [])
-                held[0].append(rep)
-                held[1].append(comp)
-                held[2].append(flat[at[i] : at[i + 1]].copy())
-        yield from links(0)
-
-    left = materialize(narrowed(members, signatures, similar).hint("rebalance"), "members")
-    rows = left.join(sets_of(docs, left.select("rep").distinct()), "rep").select("anchor", "bucket", "rep", "comp", "h")
-    return rows.repartition("anchor").sortWithinPartitions("bucket").mapInArrow(join, "a long, b long")
+    left = materialize(narrowed(materialize(members, "buckets"), signatures, similar).hint("rebalance"), "members")
+    rows = together(left, signatures, SET_SHINGLES).join(sets_of(docs, left.select("rep").distinct()), "rep").select("anchor", "buckets", "rep", "comp", "h")
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(join, "a long, b long")
 
 
 def sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:

@@ -123,6 +123,22 @@ def test_postings_meet_only_sizes_that_may_be_similar(spark, monkeypatch, batch)
     assert got == want and len(want) < len(rows)
 
 
+@pytest.mark.parametrize("batch", ["2", "10000"])
+def test_postings_meet_only_places_that_may_be_similar(spark, batch):
+    """No posting of a pair that may be similar at its places is lost, and one that can be similar to none is left out."""
+    rng = random.Random(int(batch))
+    rows = [(rng.randrange(40), i, n := rng.randint(10, 60), rng.randint(0, n // 5)) for i in range(200)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {tuple(r) for r in jaccard.meeting(spark.createDataFrame(rows, "token long, rep long, n long, r int").coalesce(1)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    meet = lambda x, y: x is not y and x[0] == y[0] and 9 * min(x[2] - x[3], y[2] - y[3]) >= 4 * (x[2] + y[2])
+    close = lambda x, y: x is not y and x[0] == y[0] and 5 * min(x[2], y[2]) >= 4 * max(x[2], y[2])
+    assert {x for x in rows if any(meet(x, y) for y in rows)} <= got < {x for x in rows if any(close(x, y) for y in rows)}
+
+
 def test_a_pair_that_meets_in_many_buckets_is_compared_once(spark):
     rng = np.random.default_rng(11)
     base = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in (40, 200, 700)]
@@ -135,6 +151,23 @@ def test_a_pair_that_meets_in_many_buckets_is_compared_once(spark):
     assert sorted(r.rep for r in got) == [0, 2, 3, 5] and len({r.bucket for r in got}) == 2
 
 
+def test_what_a_member_brings_comes_once_an_anchor(spark):
+    """However many buckets of an anchor a member is in, it is one row; a large anchor is dealt in parts by whole buckets."""
+    members = [(0, b, i, i) for b in range(40) for i in {0, b % 7, b % 5 + 10}] + [(5, 99, 5, 5), (5, 99, 6, 6)]
+    frame = spark.createDataFrame(members, "anchor long, bucket long, rep long, comp long")
+    sizes = spark.createDataFrame([(i, 100) for i in range(20)], "rep long, n long")
+    one = jaccard.together(frame, sizes, 10**6).collect()
+    assert len(one) == len({(r.anchor, r.rep) for r in one}) == 14
+    parts = jaccard.together(frame, sizes, 2000).collect()
+    for got in (one, parts):
+        assert {(b, r.rep, r.comp) for r in got for b in r.buckets} == {m[1:] for m in members}
+    where = {}
+    for r in parts:
+        for b in r.buckets:
+            where.setdefault(b, set()).add(r.anchor)
+    assert all(len(x) == 1 for x in where.values()) and 3 < len({r.anchor for r in parts}) < 12
+
+
 def test_signature_tree_keeps_all_pairs():
     rng = np.random.default_rng(1)
     base = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in rng.integers(1, 80, 40)]
