@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import bound_batches, discard, materialize, mix, slices, word_hashes, words
+from larder.llm.tokens import worker_encoder
 
 #: Most labelled rows to train with, folds, hashed dimensions, texts of the sample that must have a word, passes, and weight decay.
 TRAINING, FOLDS, BITS, LEAST, PASSES, DECAY = 8_000, 3, 18, 5, 150, 1e-4
@@ -58,16 +59,21 @@ def fit(index: np.ndarray, value: np.ndarray, edge: np.ndarray, earlier: np.ndar
     own, extra, n = 1 << bits, earlier.shape[1], len(y)
     rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(edge))
     used = np.bincount(index, minlength=own) >= LEAST
-    keep = used[index]
-    rows, value = rows[keep], value[keep].astype(np.float32, copy=False)
+    value = value.astype(np.float32, copy=False)
+    if not (keep := used[index]).all():
+        rows, value, index = rows[keep], value[keep], index[keep]
     # Words that are used are numbered anew, and their places also put in the order of words, so both sums run along memory.
-    number = (np.cumsum(used) - 1).astype(np.int32)[index[keep]]
+    # Arrays of all words are few at a time: they are most of a worker's memory.
+    number = (np.cumsum(used) - 1).astype(np.int32)[index]
     size = int(used.sum())
-    by_row, by_word = np.searchsorted(rows, np.arange(n, dtype=np.int32)), np.argsort(number, kind="stable")
-    full = np.flatnonzero(np.bincount(rows, minlength=n))
-    rows_of, value_of = rows[by_word], value[by_word]
-    starts = np.searchsorted(number[by_word], np.arange(size, dtype=np.int32))
-    del rows, keep, by_word, index
+    starts = np.concatenate([[0], np.bincount(number, minlength=size).cumsum()[:-1]]) if size else np.zeros(0, np.int64)
+    by_row = np.searchsorted(rows, np.arange(n, dtype=np.int32))
+    full = np.flatnonzero(np.diff(by_row, append=len(rows)))
+    del keep, index
+    by_word = np.argsort(number, kind="stable")
+    rows = rows_of = rows[by_word]
+    value_of = value[by_word]
+    del rows, by_word
     each = np.empty(len(value), np.float32)  # one buffer for the products of all passes
     positive = max(y.sum(), 1)
     weight = np.where(y > 0, n / (2 * positive), n / (2 * max(n - positive, 1))) / n
@@ -90,31 +96,53 @@ def fit(index: np.ndarray, value: np.ndarray, edge: np.ndarray, earlier: np.ndar
     return out
 
 
+def give_up_kept() -> None:
+    """Free what a worker keeps from a stage of tokenizing, which shares it with training in a pipeline."""
+    worker_encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
+def word_batches(part: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, slice]]:
+    """Words, values and edges of part's rows, a batch after the other and not copied, and which rows these are."""
+    at = 0
+    for i, v in zip(part["index"].chunks, part["value"].chunks, strict=True):
+        edge = i.offsets.to_numpy().astype(np.int64)
+        yield i.flatten().to_numpy(), v.flatten().to_numpy(), edge - edge[0], slice(at, at + len(i))
+        at += len(i)
+
+
+def training_words(part: pa.Table, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, values and edges of the rows that are mine, copied once, without the words that too few of them have for fit."""
+    texts = np.zeros(1 << BITS, np.int64)
+    for index, _, edge, rows in word_batches(part):
+        texts += np.bincount(index[np.repeat(mine[rows], np.diff(edge))], minlength=len(texts))
+    used = texts >= LEAST
+    n, at = int(texts[used].sum()), 0
+    index, value, counts = np.empty(n, np.int32), np.empty(n, np.float32), []
+    for i, v, edge, rows in word_batches(part):
+        keep = np.repeat(mine[rows], np.diff(edge)) & used[i]
+        to = at + int(keep.sum())
+        index[at:to], value[at:to], at = i[keep], v[keep], to
+        kept = np.concatenate([[0], np.cumsum(keep)])
+        counts.append((kept[edge[1:]] - kept[edge[:-1]])[mine[rows]])
+    return index, value, np.concatenate([[0], *counts]).cumsum()
+
+
 def link_trainer(category: str, columns: list[str]):
     """Train one link on the rows outside fold `model` and predict those inside; model FOLDS trains on all and gives its weights."""
 
     def train(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-        # The words are copied once, into one array each, a batch after the other.
-        counts = pc.list_value_length(part["index"]).to_numpy().astype(np.int64)
-        edge = np.concatenate([[0], np.cumsum(counts)])
-        index, value, at = np.empty(edge[-1], np.int32), np.empty(edge[-1], np.float32), 0
-        for i, v in zip(part["index"].chunks, part["value"].chunks, strict=True):
-            i, v = i.flatten(), v.flatten()
-            index[at : at + len(i)], value[at : at + len(i)] = i.to_numpy(), v.to_numpy()
-            at += len(i)
+        give_up_kept()
         y, fold = part[f"y_{category}"].to_numpy(), part["fold"].to_numpy()
         before = np.column_stack([part[c].to_numpy() for c in columns]) if columns else np.zeros((len(y), 0))
         model = key[0].as_py()
         mine = fold != model
-        if mine.all():
-            w = fit(index, value, edge, before, y)
-        else:
-            some = np.repeat(mine, counts)
-            w = fit(index[some], value[some], np.concatenate([[0], np.cumsum(counts[mine])]), before[mine], y[mine])
+        w = fit(*training_words(part, mine), before[mine], y[mine])
         if model == FOLDS:
             return pa.table({"doc_id": pa.array([None], pa.int64()), "p": pa.array([None], pa.float64()), "w": [w.astype(np.float32).tobytes()]})
         own = 1 << BITS
-        p = sigmoid(scores(index, value, edge, w) + before @ w[own:-1] + w[-1])[~mine]
+        total = np.concatenate([scores(index, value, edge, w) for index, value, edge, _ in word_batches(part)])
+        p = sigmoid(total + before @ w[own:-1] + w[-1])[~mine]
         return pa.table({"doc_id": part["doc_id"].filter(pa.array(~mine)), "p": pa.array(p), "w": pa.array([None] * len(p), pa.binary())})
 
     return train
@@ -136,6 +164,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], t
     sample = sample.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), *(F.first(c).alias(c) for c in truth))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up_kept()
         for batch in slices(batches):
             index, value, edge = features(batch.column("text"))
             at = pa.array(edge, pa.int32())

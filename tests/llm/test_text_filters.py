@@ -7,6 +7,7 @@ import random
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -180,3 +181,30 @@ def test_training_rows_take_eight_bytes_a_word(spark, monkeypatch):
     toxicity.train_chain(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ["quality", "toxic"])
     kinds = dict(held["sample"].dtypes)
     assert (kinds["index"], kinds["value"]) == ("array<int>", "array<float>")
+
+
+def test_training_copies_only_the_words_that_count():
+    """Of the rows of a fold, words that LEAST texts share are copied once; weights are those over all words."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 60, n)) * 7 if i % 9 else np.zeros(0, np.int64) for i, n in enumerate(rng.integers(1, 12, 90))]
+    batch = lambda part: pa.record_batch({"index": pa.array(part, pa.list_(pa.int32())), "value": pa.array([np.ones(len(x)) + x / 9 for x in part], pa.list_(pa.float32()))})
+    part = pa.Table.from_batches([batch(rows[:40]), batch(rows[40:]).slice(0)])
+    mine = rng.random(90) < 0.6
+    index, value, edge = toxicity.training_words(part, mine)
+    texts = np.bincount(np.concatenate([x for x, m in zip(rows, mine, strict=True) if m]), minlength=1 << toxicity.BITS)
+    want = [[i for i in x if texts[i] >= toxicity.LEAST] for x, m in zip(rows, mine, strict=True) if m]
+    assert [index[i:j].tolist() for i, j in zip(edge, edge[1:], strict=False)] == want and 0 < len(index) < texts.sum()
+    y = rng.integers(0, 2, len(want)).astype(float)
+    whole = [x for x, m in zip(rows, mine, strict=True) if m]
+    flat = np.concatenate(whole)
+    all_ = toxicity.fit(flat, np.float32(1 + flat / 9), np.concatenate([[0], np.cumsum([len(x) for x in whole])]), np.zeros((len(y), 0)), y)
+    assert np.array_equal(all_, toxicity.fit(index, value, edge, np.zeros((len(y), 0)), y))
+
+
+def test_training_frees_what_tokenizing_kept():
+    from larder.llm import tokens
+
+    tokens.worker_encoder(tokens.tokenizer_path("word_bpe_49k.json"))
+    part = pa.table({"doc_id": pa.array([1], pa.int64()), "y_toxic": [1.0], "fold": pa.array([0], pa.int32()), "index": pa.array([[1]], pa.list_(pa.int32())), "value": pa.array([[1.0]], pa.list_(pa.float32()))})
+    toxicity.link_trainer("toxic", [])((pa.scalar(toxicity.FOLDS),), part)
+    assert tokens.worker_encoder.cache_info().currsize == 0
