@@ -41,8 +41,9 @@ RUN_BYTES, BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 4 << 20, 50_000
 PIECE_BITS, RUN_BITS, WRITTEN = 28, 16, 1 << 15
 #: Pairs of linked ids whose counts are broadcast at most; more are joined.
 SENT_PAIRS = 1 << 20
-#: Pieces of texts that a worker remembers before it starts again, and with it a run of documents.
-REMEMBERED = 400_000
+#: Pieces of texts that a worker remembers before it starts again, and with it a run of documents; the share of the most
+#: frequent of a run that it keeps for the next. Pieces that are encoded in one text.
+REMEMBERED, KEPT, JOINED = 600_000, 4, 256
 #: Texts with white space beside a space, at an end, or with the mark that stands for a space in pieces.
 ODD = r"[\s\p{Z}\x{85}\x1c-\x1f] | [\s\p{Z}\x{85}\x1c-\x1f]|^[\s\p{Z}]|[\s\p{Z}\x{85}\x1c-\x1f]$|▁"
 
@@ -78,24 +79,66 @@ class TokenPair:
             raise ValueError("a token or a vocabulary is too long for its code")
         self.forget()
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.fits, self.a_codes, self.b_codes = np.zeros(0, bool), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.a_starts = self.b_starts = np.zeros(1, np.int64)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode pieces, a space before each, and remember their codes and whether both tokenizers spell them."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in pieces], add_special_tokens=False)]
-        ids_b = self.b.encode(pieces, num_threads=1)
-        a, b = self.spell_a.__getitem__, self.spell_b.__getitem__
-        raw = [b" " + t.encode() for t in pieces]
-        fits = [b"".join(map(a, x)) == r == b"".join(map(b, y)) for x, y, r in zip(ids_a, ids_b, raw, strict=True)]
-        flat = lambda ids: np.fromiter(chain.from_iterable(ids), np.int64)
-        ends = lambda starts, ids: np.concatenate([starts, starts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
-        self.fits = np.concatenate([self.fits, np.array(fits, bool)])
-        self.a_codes, self.a_starts = np.concatenate([self.a_codes, self.code_a[flat(ids_a)]]), ends(self.a_starts, ids_a)
-        self.b_codes, self.b_starts = np.concatenate([self.b_codes, self.code_b[flat(ids_b)]]), ends(self.b_starts, ids_b)
+    def forget(self, times: np.ndarray = np.zeros(0, np.int64)) -> None:  # noqa: B008
+        """Start again, with the most frequent of the pieces that came more than once (times by number)."""
+        kept = np.argsort(-times, kind="stable")[: REMEMBERED // KEPT]
+        kept = kept[times[kept] > 1]
+        if not len(kept):
+            self.known: dict[str, int] = {}
+            self.fits, self.a_codes, self.b_codes = np.zeros(0, bool), np.zeros(0, np.int32), np.zeros(0, np.int32)
+            self.a_starts = self.b_starts = np.zeros(1, np.int64)
+            return
+        names = list(self.known)
+        self.known, self.fits = {names[i]: k for k, i in enumerate(kept.tolist())}, self.fits[kept]
+        each = np.arange(len(kept) + 1)
+        self.a_codes, self.a_starts = _gather(self.a_codes, self.a_starts, kept, each)
+        self.b_codes, self.b_starts = _gather(self.b_codes, self.b_starts, kept, each)
+
+    def learn(self, pieces: list[str], whole: list[str]) -> None:
+        """Encode pieces and whole texts, a space before each, and remember their codes and whether both tokenizers spell them.
+
+        Pieces are encoded many in one text, as no token spans the spaces between them. Where a text is not spelled so,
+        its parts are encoded again, down to single pieces.
+        """
+        todo = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)] + [[w] for w in whole]
+        while todo:
+            part, todo, again = todo[:100], todo[100:], []
+            texts = [" ".join(x) for x in part]
+            ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+            ids_b = self.b.encode(texts, num_threads=1)
+            made = []
+            for names, text, *ids in zip(part, texts, ids_a, ids_b, strict=True):
+                raw = (" " + text).encode()
+                fits = all(b"".join(map(spell.__getitem__, x)) == raw for spell, x in zip((self.spell_a, self.spell_b), ids, strict=True))
+                codes = [code[x] for code, x in zip((self.code_a, self.code_b), ids, strict=True)]
+                if len(names) == 1:
+                    made.append((names, [fits], *((c, [len(c)]) for c in codes)))
+                    continue
+                ends = np.cumsum([1 + len(w) for w in map(str.encode, names)])
+                cuts = []
+                for c in codes if fits else ():
+                    size = c & ((1 << LENGTH_BITS) - 1)
+                    total = np.cumsum(size)
+                    at = np.searchsorted(total, ends)
+                    if size.min() and np.array_equal(total[at], ends):
+                        cuts.append(np.diff(at + 1, prepend=0))
+                if len(cuts) == 2:
+                    made.append((names, [True] * len(names), *zip(codes, cuts, strict=True)))
+                else:
+                    step = -(-len(names) // 8)
+                    again += [names[i : i + step] for i in range(0, len(names), step)]
+            todo = again + todo
+            if made:
+                names, fits, a, b = zip(*made, strict=True)
+                self.known.update(zip(chain.from_iterable(names), range(len(self.known), len(self.known) + sum(map(len, names))), strict=True))
+                self.fits = np.concatenate([self.fits, np.array(list(chain.from_iterable(fits)), bool)])
+                self.a_codes, self.a_starts = self._more(self.a_codes, self.a_starts, a)
+                self.b_codes, self.b_starts = self._more(self.b_codes, self.b_starts, b)
+
+    @staticmethod
+    def _more(codes: np.ndarray, starts: np.ndarray, made: tuple[tuple[np.ndarray, np.ndarray], ...]) -> tuple[np.ndarray, np.ndarray]:
+        more, each = zip(*made, strict=True)
+        return np.concatenate([codes, *more]).astype(np.int32, copy=False), np.concatenate([starts, starts[-1] + np.cumsum(np.concatenate(each))])
 
     def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the pieces of all texts in a row, and where each text's begin; none unless both spell the text.
@@ -110,9 +153,8 @@ class TokenPair:
         coded = flat.dictionary_encode()
         names = coded.dictionary.to_pylist()
         whole = texts.filter(odd).to_pylist()
-        if missing := [w for w in dict.fromkeys([*names, *whole]) if w not in self.known]:
-            for i in range(0, len(missing), 10_000):
-                self.learn(missing[i : i + 10_000])
+        missing = [w for w in names if w not in self.known]
+        self.learn([w for w in missing if w], [w for w in dict.fromkeys(["", *whole]) if w not in self.known])
         of_name = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
         pieces = of_name[coded.indices.to_numpy()]
         pieces[starts[:-1][odd.to_numpy(zero_copy_only=False)]] = np.fromiter(map(self.known.__getitem__, whole), np.int64, len(whole))
@@ -130,8 +172,12 @@ class TokenPair:
             owner = np.repeat(np.arange(len(pieces)), np.diff(starts))
             made.append((owner, (total[1:] - total[starts[owner]]) << (ID_BITS + 1) | stream << ID_BITS | codes >> LENGTH_BITS))
         owner, codes = (np.concatenate(x) for x in zip(*made, strict=True))
-        order = np.lexsort((-codes, owner))
-        return codes[order], np.searchsorted(owner[order], np.arange(len(pieces) + 1))
+        starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(pieces)))])
+        bits = int(codes.max(initial=0)).bit_length()
+        if bits + len(pieces).bit_length() < 63:  # both in one number, which sorts faster
+            least = (1 << bits) - 1
+            return least - (np.sort(owner << bits | least - codes) & least), starts
+        return codes[np.lexsort((-codes, owner))], starts
 
 
 def _gather(codes: np.ndarray, at: np.ndarray, pieces: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,9 +218,9 @@ def token_table(docs: DataFrame, path_a: str, path_b: str) -> str:
         for batch in slices(batches):
             if seen > RUN_BYTES or len(pair.known) > REMEMBERED:
                 yield from end()
-                run, seen, times = run + 1, 0, np.zeros(0, np.int64)
                 if len(pair.known) > REMEMBERED:
-                    pair.forget()
+                    pair.forget(times)
+                run, seen, times = run + 1, 0, np.zeros(0, np.int64)
             pieces, starts = pair.pieces(batch.column("text"))
             new = np.bincount(pieces, minlength=len(pair.known))
             new[: len(times)] += times

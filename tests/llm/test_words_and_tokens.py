@@ -191,6 +191,33 @@ def test_runs_meet_where_they_are(spark, rows, monkeypatch, sent_pairs):
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pieces_that_are_encoded_together_are_as_alone(monkeypatch):
+    """Also beside pieces that a tokenizer doesn't spell, and after a worker forgets all but the frequent ones."""
+    rng = random.Random(5)
+    names = list(dict.fromkeys("".join(rng.choice("abcdeéü1.,-\n😀") for _ in range(rng.randint(1, 9))).strip() or "x" for _ in range(700)))
+    names[30], names[300] = "a▁b", "é▁"  # the mark of a space is not spelled again
+    alone, joint = alignment.TokenPair(BYTE, PIECE), alignment.TokenPair(BYTE, PIECE)
+    calls, encode = [], joint.a.encode_batch_fast
+    joint.a = type("", (), {"encode_batch_fast": lambda self, texts, **k: calls.extend(texts) or encode(texts, **k)})()
+    alone.learn([], names)
+    joint.learn(names, [])
+    assert len(calls) < len(names) / 4 and set(joint.known) == set(names) and not joint.fits.all()
+
+    def codes(pair, w):
+        i = pair.known[w]
+        return bool(pair.fits[i]), pair.a_codes[pair.a_starts[i] : pair.a_starts[i + 1]].tolist(), pair.b_codes[pair.b_starts[i] : pair.b_starts[i + 1]].tolist()
+
+    want = {w: codes(alone, w) for w in names}
+    assert {w: codes(joint, w) for w in names} == want
+    monkeypatch.setattr(alignment, "REMEMBERED", 400)
+    times = np.ones(len(names), np.int64)
+    frequent = rng.sample(range(len(names)), 150)
+    times[frequent] = range(2, 152)
+    kept = list(joint.known)
+    joint.forget(times)
+    assert set(joint.known) == {kept[i] for i in frequent[50:]} and all(codes(joint, w) == want[w] for w in joint.known)
+
+
 def test_alignment_of_nothing(empty):
     assert alignment.align_documents(empty, BYTE, PIECE).collect() == []
 
