@@ -43,7 +43,9 @@ PIECE_BITS, RUN_BITS, WRITTEN = 28, 16, 1 << 15
 SENT_PAIRS = 1 << 20
 #: Pieces of texts that a worker remembers before it starts again, and with it a run of documents; the share of the most
 #: frequent of a run that it keeps for the next. Pieces that are encoded in one text.
-REMEMBERED, KEPT, JOINED = 600_000, 4, 256
+REMEMBERED, KEPT, JOINED = 400_000, 4, 256
+#: Pieces of documents that are put together at a time.
+AT_ONCE = 1 << 19
 #: Texts with white space beside a space, at an end, or with the mark that stands for a space in pieces.
 ODD = r"[\s\p{Z}\x{85}\x1c-\x1f] | [\s\p{Z}\x{85}\x1c-\x1f]|^[\s\p{Z}]|[\s\p{Z}\x{85}\x1c-\x1f]$|▁"
 
@@ -269,9 +271,15 @@ _SUMS = pa.schema([("run", pa.int64()), ("numbers", pa.list_(pa.int32())), *((n,
 _DIGEST = "run long, numbers array<int>, " + ", ".join(f"{n} array<int>" for n in _COUNTS) + ", times array<long>, a array<int>, b array<int>, groups string"
 
 
+def _give_up_tokenizers() -> None:
+    """Once all is encoded, no task needs the tokenizers and the pieces that this worker remembers."""
+    worker_pair.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links come in descending order of finish, piece by piece; a piece's last may come in a later batch."""
-    worker_pair.cache_clear()  # from here on no task needs the tokenizers and the pieces that this worker remembers
+    _give_up_tokenizers()
     carried: list[pa.RecordBatch] = []
     for batch in chain(batches, [None]):
         row = batch.column("row").to_numpy() if batch else None
@@ -335,7 +343,7 @@ def _scored(whole: DataFrame, sent_pairs: int) -> tuple[DataFrame, list[np.ndarr
 
 def _put_together(docs: pa.Table, pieces: pa.Table, sent: list[np.ndarray] | None) -> pa.Table:
     """The documents of a run from their pieces. Counts of pairs were sent, or come beside the pieces of each row."""
-    worker_pair.cache_clear()
+    _give_up_tokenizers()
     scores = []
     for piece in pieces.to_batches() if len(pieces) else ():
         for i in range(len(piece)):
@@ -346,18 +354,35 @@ def _put_together(docs: pa.Table, pieces: pa.Table, sent: list[np.ndarray] | Non
             scores.append([np.diff(np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)])[edges]) for x in (best, count)])
     score = dict(zip(("n_best", "count_sum"), (np.concatenate(x) for x in zip(*scores, strict=True)), strict=True)) if scores else dict.fromkeys(("n_best", "count_sum"), np.zeros(0, np.int64))
     number = pc.list_flatten(pieces["numbers"]).to_numpy()
-    place = np.zeros(number.max(initial=-1) + 1, np.int64)
+    place = np.zeros(number.max(initial=-1) + 1, np.int32)
     place[number] = np.arange(len(number))
+    of_piece = {n: score[n] if n in score else pc.list_flatten(pieces[n]).to_numpy() for n in (*_COUNTS, "n_best", "count_sum")}
+    groups = pc.list_flatten(pc.split_pattern(pieces["groups"], "\n")).combine_chunks().cast(pa.large_string())
+    made = [_some_together(part, place, of_piece, groups) for part in _parts(docs)]
+    return pa.concat_tables(made)
+
+
+def _parts(docs: pa.Table) -> Iterator[pa.Table]:
+    """docs in slices of about AT_ONCE pieces, one at least."""
+    cell = np.cumsum(pc.list_value_length(docs["pieces"]).to_numpy(), dtype=np.int64) // AT_ONCE
+    edges = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(docs)]
+    return (docs.slice(i, j - i) for i, j in pairwise(edges))
+
+
+def _some_together(docs: pa.Table, place: np.ndarray, of_piece: dict[str, np.ndarray], groups: pa.Array) -> pa.Table:
     counts = pc.list_value_length(docs["pieces"]).to_numpy()
     starts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
     at = place[pc.list_flatten(docs["pieces"]).to_numpy()]
     sums = {}
-    for name in (*_COUNTS, "n_best", "count_sum"):
-        own = score[name] if name in score else pc.list_flatten(pieces[name]).to_numpy()
+    for name, own in of_piece.items():
         total = np.concatenate([[0], np.cumsum(own[at], dtype=np.int64)])
         sums[name] = pa.array(total[starts[1:]] - total[starts[:-1]])
-    texts = [t for lines in pieces["groups"].to_pylist() for t in lines.split("\n")]
-    digests = [hashlib.sha256(";".join(map(texts.__getitem__, at[i:j].tolist())).encode()).hexdigest() if j > i else "" for i, j in pairwise(starts.tolist())]
+    texts = groups.take(pa.array(at))
+    if texts.nbytes < 1 << 31:
+        lines = (x.as_buffer() for x in _joined(texts.cast(pa.string()), starts, ";"))
+    else:  # one document of this size
+        lines = (";".join(texts[i:j].to_pylist()).encode() for i, j in pairwise(starts.tolist()))
+    digests = [hashlib.sha256(line).hexdigest() if n else "" for line, n in zip(lines, counts.tolist(), strict=True)]
     return pa.table({"doc_id": docs["doc_id"], **sums, "groups_sha256": pa.array(digests, pa.string())})
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -218,6 +219,21 @@ def test_pieces_that_are_encoded_together_are_as_alone(monkeypatch):
     assert set(joint.known) == {kept[i] for i in frequent[50:]} and all(codes(joint, w) == want[w] for w in joint.known)
 
 
+def test_documents_are_put_together_a_part_at_a_time(monkeypatch):
+    docs = pa.table({"doc_id": pa.array(range(9), pa.int64()), "pieces": pa.array([[0], [], [0, 2, 2], [1], [2] * 9, [], [1, 0], [0], []], pa.list_(pa.int32()))})
+    names = {n: [[1, 2, 1]] for n in ("n_a", "n_b", "n_groups", "n_links")}
+    pieces = pa.table({"numbers": pa.array([[2, 0, 1]], pa.list_(pa.int32())), **{n: pa.array(x, pa.list_(pa.int32())) for n, x in names.items()}, "a": pa.array([[1, 2, 3, 4]], pa.list_(pa.int32())), "b": pa.array([[1, 2, 3, 4]], pa.list_(pa.int32())), "groups": ["c|c\na|a;b|b\nd|d"]})
+    sent = [np.array([i << 32 | i for i in range(1, 5)]), np.arange(1, 5), np.array([True, False, True, True])]
+    whole = alignment._put_together(docs, pieces, sent)
+    monkeypatch.setattr(alignment, "AT_ONCE", 2)
+    parts = []
+    one = alignment._some_together
+    monkeypatch.setattr(alignment, "_some_together", lambda d, *x: parts.append(len(d)) or one(d, *x))
+    assert alignment._put_together(docs, pieces, sent).equals(whole) and len(parts) > 3
+    assert whole["n_links"].to_pylist() == [2, 0, 4, 1, 9, 0, 3, 2, 0] and whole["count_sum"].to_pylist()[:3] == [5, 0, 7]
+    assert whole["groups_sha256"].to_pylist()[2] == hashlib.sha256(b"a|a;b|b;c|c;c|c").hexdigest() and whole["groups_sha256"].to_pylist()[1] == ""
+
+
 def test_alignment_of_nothing(empty):
     assert alignment.align_documents(empty, BYTE, PIECE).collect() == []
 
